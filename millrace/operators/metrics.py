@@ -99,3 +99,27 @@ def calibration(pred: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))
     g = pred.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("s"), F.avg("label").alias("y"), F.sum((F.col("score") - F.col("label")) ** 2).alias("q"))
     return g.groupBy(*by).agg((F.sum("q") / F.sum("n")).alias("brier"), (F.sum(F.abs(F.col("s") - F.col("y")) * F.col("n")) / F.sum("n")).alias("ece"))
+
+
+def multilabel(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (label_vec, score_vec): macro average precision (0 without positives) and micro F1 at 0.5."""
+    x = pred.select(*by, F.posexplode(F.arrays_zip("label_vec", "score_vec")).alias("output", "z")).select(*by, "output", F.col("z.label_vec").cast("double").alias("label"), F.col("z.score_vec").alias("score"))
+    ap = average_precision(x, [*by, "output"])
+    pos = x.groupBy(*by, "output").agg(F.count_if(F.col("label") == 1).alias("p"))
+    macro = ap.join(pos, [*by, "output"]).groupBy(*by).agg(F.avg(F.when(F.col("p") == 0, 0.0).otherwise(F.col("average_precision"))).alias("macro_ap"))
+    y, p = F.col("label") == 1, F.col("score") >= 0.5
+    micro = x.groupBy(*by).agg(_ratio(2.0 * F.count_if(y & p), F.count_if(y & p) * 2 + F.count_if(~y & p) + F.count_if(y & ~p)).alias("micro_f1"))
+    return macro.join(micro, by)
+
+
+def change_points(df: DataFrame, by: list[str], pos: str, label: str) -> DataFrame:
+    """Positions whose label differs from the last valid one before; null labels are ignored."""
+    w = Window.partitionBy(*by).orderBy(pos)
+    return df.where(F.col(label).isNotNull()).withColumn("_p", F.lag(label).over(w)).where(F.col("_p") != F.col(label)).drop("_p")
+
+
+def class_weights(df: DataFrame, by: list[str], label: str) -> DataFrame:
+    """n / (k count) of each class, from the class counts alone."""
+    g = df.groupBy(*by, label).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by)
+    return g.withColumn("weight", F.sum("c").over(w) / (F.count("*").over(w) * F.col("c"))).drop("c")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, metrics, quality, sampling, stats
+from ..operators import corpus, features, metrics, quality, sampling, stats
+from ..streaming import logs
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,3 +286,74 @@ def c08_pool_sizes(spark, d):
   (SELECT *, row_number() OVER (PARTITION BY length ORDER BY shard, sha256('42|0|' || window_id), window_id) - 1 AS pos, count(*) OVER (PARTITION BY length) AS n FROM v_windows)""")
 def w15_batch_plan(spark, d):
     return corpus.batch_plan(X.windows(spark, d), 32, 42, 0)
+
+
+@query("SELECT model_id, task_id, any_value(c) AS c, 1 AS one FROM (SELECT model_id, task_id, count(*) AS c FROM v_results GROUP BY ALL) WHERE task_id IN (SELECT task_id FROM v_results WHERE value > 0.31) GROUP BY ALL")
+def j01_in_cohort(spark, d):
+    r = X.results(spark, d)
+    return r.join(r.where("value > 0.31"), "task_id", "left_semi").groupBy("model_id", "task_id").agg(F.count("*").alias("c"), F.lit(1).alias("one"))
+
+
+@query("SELECT l_partkey, l_suppkey, max(l_linenumber) AS label FROM lineitem GROUP BY ALL")
+def a04_max_label(spark, d):
+    return X.table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_linenumber").alias("label"))
+
+
+@query("SELECT split, label, round(sum(c) OVER (PARTITION BY split) / (count(*) OVER (PARTITION BY split) * c), 9) AS weight FROM (SELECT split, label, count(*) AS c FROM v_samples WHERE label IS NOT NULL GROUP BY ALL)")
+def a14_class_weights(spark, d):
+    return metrics.class_weights(X.samples(spark, d).where("label IS NOT NULL"), ["split"], "label").withColumn("weight", F.round("weight", 9))
+
+
+@query("SELECT length, count(*) AS n FROM v_windows GROUP BY length")
+def a15_window_catalogue(spark, d):
+    return X.windows(spark, d).groupBy("length").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, pos, label FROM (SELECT *, lag(label) OVER (PARTITION BY o_custkey ORDER BY pos) AS p FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos, CASE WHEN NOT starts_with(o_orderpriority, '4') THEN o_orderstatus END AS label FROM orders) WHERE label IS NOT NULL) WHERE p <> label")
+def w18_change_points(spark, d):
+    w = X.table(spark, d, "orders").selectExpr("o_custkey", "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS pos", "CASE WHEN NOT startswith(o_orderpriority, '4') THEN o_orderstatus END AS label")
+    return metrics.change_points(w, ["o_custkey"], "pos", "label")
+
+
+@query("""SELECT g.sample_id, (('0x' || substr(sha256(g.k || '|' || g.c), 14, 3))::INT % 2048) AS idx, round(count(*) / any_value(t.n), 9) AS share FROM
+  (SELECT sample_id, k, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS c FROM (SELECT sample_id, k, substr(sequence, i, k) AS w FROM v_samples, (VALUES (3), (4), (5), (6)) r(k), unnest(range(1, length(sequence) - k + 2)) u(i)) WHERE NOT contains(w, 'N')) g
+  JOIN (SELECT sample_id, count(*) AS n FROM (SELECT sample_id, substr(sequence, i, k) AS w FROM v_samples, (VALUES (3), (4), (5), (6)) r(k), unnest(range(1, length(sequence) - k + 2)) u(i)) WHERE NOT contains(w, 'N') GROUP BY sample_id) t USING (sample_id) GROUP BY g.sample_id, idx""")
+def f01_kmer_hash(spark, d):
+    return features.kmer_hash(X.samples(spark, d)).withColumn("share", F.round("share", 9))
+
+
+@query("""SELECT vec_id, bucket, round(sum(v * sign / sqrt(m)), 6) AS value FROM (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i)) JOIN
+  (SELECT *, count(*) OVER (PARTITION BY bucket) AS m FROM (SELECT i, (((i % 256) * 205 + 42) % 256) AS bucket, 1 - 2 * (('0x' || substr(sha256('42|' || i), 1, 2))::INT % 2) AS sign FROM range(64) r(i))) USING (i) GROUP BY vec_id, bucket""")
+def f02_project_hash(spark, d):
+    return features.project_hash(X.table(spark, d, "embeddings")).withColumn("value", F.round("value", 6))
+
+
+_PROB = "(SELECT vec_id, pos, [a * a / t, b * b / t, c * c / t, g * g / t] AS p FROM (SELECT *, a * a + b * b + c * c + g * g AS t FROM (SELECT vec_id, pos, embedding[pos * 4 + 1]::DOUBLE AS a, embedding[pos * 4 + 2]::DOUBLE AS b, embedding[pos * 4 + 3]::DOUBLE AS c, embedding[pos * 4 + 4]::DOUBLE AS g FROM embeddings, range(16) r(pos))) WHERE t > 0)"
+
+
+@query(f"SELECT label, round(sum(h) / sum(n), 9) AS base_accuracy, round(avg((h = n)::INT), 9) AS motif_accuracy FROM (SELECT vec_id % 4 AS label, vec_id * 4 + pos // 4 AS motif, count(*) FILTER (list_position(p, list_max(p)) - 1 = (vec_id + pos) % 4) AS h, count(*) AS n FROM {_PROB} GROUP BY ALL) GROUP BY label")
+def m11_motif(spark, d):
+    p = features.base_probabilities(X.table(spark, d, "embeddings")).selectExpr("vec_id % 4 AS label", "vec_id * 4 + pos div 4 AS motif", "(vec_id + pos) % 4 AS truth", "p")
+    return features.motif_recovery(p, ["label"]).select("label", F.round("base_accuracy", 9).alias("base_accuracy"), F.round("motif_accuracy", 9).alias("motif_accuracy"))
+
+
+@query(f"SELECT vec_id, pos, round(ln(greatest(1e-12, p[pos % 4 + 1])) - ln(greatest(1e-12, p[(pos + 1) % 4 + 1])), 7) AS effect FROM {_PROB}")
+def m13_snv_effect(spark, d):
+    p = features.base_probabilities(X.table(spark, d, "embeddings")).withColumns({"r": F.col("pos") % 4, "a": (F.col("pos") + 1) % 4})
+    return features.snv_effect(p, "r", "a").select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("effect", 7).alias("effect"))
+
+
+@query("SELECT user_id, (date_diff('second', max(ts), TIMESTAMP '2030-01-01'))::BIGINT AS age, date_diff('second', max(ts), TIMESTAMP '2030-01-01') <= 180 AS alive FROM events GROUP BY user_id")
+def st03_liveness(spark, d):
+    return logs.liveness(X.table(spark, d, "events"), "user_id", "2030-01-01 00:00:00")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def st05_event_counts(spark, d):
+    return logs.event_counts(X.table(spark, d, "events"))
+
+
+@query("SELECT species, count(*) AS n, min(length(sequence)) AS shortest, max(length(sequence)) AS longest, sum(length(sequence))::BIGINT AS bases, count(*) FILTER (length(sequence) > 512) AS over_limit FROM v_samples GROUP BY species")
+def p24_length_audit(spark, d):
+    n = F.length("sequence")
+    return X.samples(spark, d).groupBy("species").agg(F.count("*").alias("n"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n).alias("bases"), F.count_if(n > 512).alias("over_limit"))
