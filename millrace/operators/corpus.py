@@ -38,3 +38,30 @@ def batch_plan(windows: DataFrame, batch: int, seed: int, epoch: int) -> DataFra
 
 
 __all__ = ["batch_plan", "dedup_exact", "order_hash", "pool_sizes"]
+
+
+def dedup_coordinates(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per coordinate with its regions merged and the first as main channel."""
+    return windows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(F.col("region").cast("string"))), ",").alias("regions"), F.min("region").alias("main_region"), F.count("*").alias("occurrences"))
+
+
+def cluster_weights(df: DataFrame, cluster: str, power: float = 0.5) -> DataFrame:
+    """Each member weighs size ** -power; sizes come from a partial aggregate, so a large cluster is no hot task."""
+    sizes = df.groupBy(cluster).agg(F.count("*").alias("_n"))
+    return df.join(sizes, cluster).withColumn("weight", F.pow(F.col("_n").cast("double"), F.lit(-power))).drop("_n")
+
+
+def mix_quota(pools: DataFrame, length_share: dict[int, float], region_share: dict[int, float], tokens: int) -> DataFrame:
+    """Windows to draw from each (length, region) pool for a token budget, and how many rounds of the pool that takes."""
+    share = lambda m, c: F.coalesce(*[F.when(F.col(c) == k, v) for k, v in m.items()], F.lit(0.0))
+    x = pools.withColumn("target", share(length_share, "length") * share(region_share, "region") * tokens)
+    return x.select("length", "region", F.floor(F.col("target") / F.col("length")).alias("draws"), F.ceil(F.floor(F.col("target") / F.col("length")) / F.nullif(F.col("n"), F.lit(0))).alias("rounds"))
+
+
+def next_bases(df: DataFrame, order: int = 2) -> DataFrame:
+    """Markov counts: (context, base, n, p) with one added to each base; windows are counted where they are read."""
+    grams = F.transform(F.sequence(F.lit(1), F.length("sequence") - order), lambda i: F.substr(F.col("sequence"), i, F.lit(order + 1)))
+    g = df.where(F.length("sequence") > order).select(F.explode(grams).alias("g")).where(~F.col("g").contains("N")).groupBy("g").agg(F.count("*").alias("n"))
+    g = g.select(F.substr("g", F.lit(1), F.lit(order)).alias("context"), F.substr("g", F.lit(order + 1), F.lit(1)).alias("base"), "n")
+    w = Window.partitionBy("context")
+    return g.withColumn("p", (F.col("n") + 1) / (F.sum("n").over(w) + 4))

@@ -123,3 +123,25 @@ def class_weights(df: DataFrame, by: list[str], label: str) -> DataFrame:
     g = df.groupBy(*by, label).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by)
     return g.withColumn("weight", F.sum("c").over(w) / (F.count("*").over(w) * F.col("c"))).drop("c")
+
+
+def multioutput(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (label_vec, score_vec): macro means of the outputs' Pearson and R2, pooled MAE and RMSE."""
+    x = pred.select(*by, F.posexplode(F.arrays_zip("label_vec", "score_vec")).alias("output", "z")).select(*by, "output", F.col("z.label_vec").cast("double").alias("label"), F.col("z.score_vec").cast("double").alias("score"))
+    d = F.col("score") - F.col("label")
+    o = x.groupBy(*by, "output").agg(F.corr("label", "score").alias("r"), F.sum(d * d).alias("sse"), F.var_pop("label").alias("v"), F.sum(F.abs(d)).alias("sae"), F.count("*").alias("n"))
+    return o.groupBy(*by).agg(F.avg(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("pearson"), F.avg(1 - F.col("sse") / (F.col("v") * F.col("n"))).alias("r2"), (F.sum("sae") / F.sum("n")).alias("mae"), F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+
+
+def mean_iou(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Mean over classes of tp / (tp + fp + fn)."""
+    hit = (F.col("label") == F.col("pred")).cast("long")
+    sides = pred.select(*by, F.inline(F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("t"), hit.alias("h")), F.struct(F.col("pred").alias("c"), F.lit(1).alias("t"), F.lit(0).cast("long").alias("h")))))
+    k = sides.groupBy(*by, "c").agg(F.sum("t").alias("t"), F.sum("h").alias("h"))
+    return k.groupBy(*by).agg(F.avg(F.col("h") / (F.col("t") - F.col("h"))).alias("mean_iou"))
+
+
+def retention(full: DataFrame, low: DataFrame, by: list[str], value: str) -> DataFrame:
+    """low / full per key; a full value of zero gives null and a flag."""
+    x = full.select(*by, F.col(value).alias("full_value")).join(low.select(*by, F.col(value).alias("low_value")), by)
+    return x.withColumns({"retention": F.col("low_value") / F.nullif(F.col("full_value"), F.lit(0.0)), "undefined": F.col("full_value") == 0})

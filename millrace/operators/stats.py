@@ -60,3 +60,34 @@ def pair_models(results: DataFrame, ours: str) -> DataFrame:
     a = results.where(F.col("model_id") == ours).select("task_id", "seed", F.col("value").alias("our_value"))
     b = results.where(F.col("model_id") != ours).select("task_id", "seed", F.col("model_id").alias("baseline"), F.col("value").alias("baseline_value"))
     return b.join(a, ["task_id", "seed"])
+
+
+def boot_summary(boot: DataFrame, by: list[str], value: str) -> DataFrame:
+    return boot.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"), F.count("*").alias("n"))
+
+
+def bootstrap_counts(df: DataFrame, replicates: int, seed: int, by: list[str], row: str) -> DataFrame:
+    """(by, replicate, row, times): a Poisson bootstrap; each row decides from its own hash how often each replicate draws it.
+
+    Nothing is collected, ranked or joined, so it holds at any size; rows drawn zero times are left out.
+    """
+    x = df.select(*by, row, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    u = (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), "replicate", row), 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    # The Poisson(1) distribution function.
+    times = sum(((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+    return x.withColumn("times", times).where("times > 0")
+
+
+def paired_bootstrap(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """From replicate deltas: mean, 2.5% and 97.5%, and p = min(1, 2 min tail) with one added to each count."""
+    g = pairs.groupBy(*by).agg(F.avg("delta").alias("mean"), F.percentile("delta", F.lit(0.025)).alias("low"), F.percentile("delta", F.lit(0.975)).alias("high"), F.count_if(F.col("delta") <= 0).alias("le"), F.count_if(F.col("delta") >= 0).alias("ge"), F.count("*").alias("n"))
+    return g.select(*by, "mean", "low", "high", F.least(F.lit(1.0), 2 * (F.least("le", "ge") + 1) / (F.col("n") + 1)).alias("p"))
+
+
+def ensemble(pred: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    g = pred.groupBy(*by).agg(F.avg("score").alias("score"), F.max("label").alias("label"))
+    return g.withColumn("pred", (F.col("score") >= threshold).cast("int"))
+
+
+def weighted_metrics(df: DataFrame, by: list[str], metric: str, count: str) -> DataFrame:
+    return df.groupBy(*by).agg((F.sum(F.col(metric) * F.col(count)) / F.greatest(F.sum(count), F.lit(1))).alias("value"))

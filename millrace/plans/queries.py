@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, features, metrics, quality, sampling, stats
+from ..operators import corpus, features, heads, matrix, metrics, quality, sampling, stats
 from ..streaming import logs
 from . import fixtures as X
 
@@ -357,3 +357,211 @@ def st05_event_counts(spark, d):
 def p24_length_audit(spark, d):
     n = F.length("sequence")
     return X.samples(spark, d).groupBy("species").agg(F.count("*").alias("n"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n).alias("bases"), F.count_if(n > 512).alias("over_limit"))
+
+
+_LOG = "SELECT event_id % 5 AS log_no, event_id AS line_no, event_type AS split, event_id // 7 + (event_id % 5) * 40 AS step, round(value, 4) AS value FROM events"
+
+
+def _log(spark, d):
+    return X.table(spark, d, "events").selectExpr("event_id % 5 AS log_no", "event_id AS line_no", "event_type AS split", "event_id div 7 + (event_id % 5) * 40 AS step", "round(value, 4) AS value")
+
+
+@query(f"SELECT split, step, arg_max(value, log_no * 1000000000 + line_no) AS value FROM (SELECT l.*, (SELECT min(r.step) FROM ({_LOG}) r WHERE r.log_no > l.log_no) AS cut FROM ({_LOG}) l) WHERE cut IS NULL OR step < cut GROUP BY split, step")
+def w13_merge_logs(spark, d):
+    return matrix.merge_logs(_log(spark, d).withColumn("line_no", F.col("line_no")))
+
+
+_RUN = "SELECT user_id AS run_key, event_id AS step, round(value, 4) AS value FROM events"
+
+
+def _run(spark, d):
+    return X.table(spark, d, "events").selectExpr("user_id AS run_key", "event_id AS step", "round(value, 4) AS value")
+
+
+@query(f"SELECT run_key, step, value, b IS NULL OR value < b AS new, best, n - max(CASE WHEN b IS NULL OR value < b THEN n END) OVER (PARTITION BY run_key ORDER BY step) AS stale FROM (SELECT *, min(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, min(value) OVER (w ROWS UNBOUNDED PRECEDING) AS best, row_number() OVER w AS n FROM ({_RUN}) WINDOW w AS (PARTITION BY run_key ORDER BY step))")
+def w14_best_so_far(spark, d):
+    return matrix.best_so_far(_run(spark, d), ["run_key"])
+
+
+@query(f"SELECT run_key, step, value, round(quantile_cont(value, 0.5) OVER (PARTITION BY run_key ORDER BY step ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS median FROM ({_RUN})")
+def w09_rolling_median(spark, d):
+    return matrix.rolling_median(_run(spark, d), ["run_key"]).withColumn("median", F.round("median", 6))
+
+
+@query("""SELECT task_id, model_id, reason, unnest(CASE WHEN reason IS NULL THEN list_filter([512, 2048, 8192], lambda c: c <= capacity) ELSE [NULL] END) AS context_bp FROM
+  (SELECT *, CASE WHEN needs_strand AND NOT has_strand THEN 'capability' WHEN 512 > capacity THEN 'capacity' END AS reason FROM (SELECT DISTINCT o_orderpriority AS task_id, substr(o_orderpriority, 1, 1)::INT % 2 = 0 AS needs_strand FROM orders),
+    (SELECT n_name AS model_id, 512 * (n_nationkey % 16 + 1) AS capacity, n_nationkey % 2 = 0 AS has_strand FROM nation))""")
+def j03_applicability(spark, d):
+    t = X.table(spark, d, "orders").selectExpr("o_orderpriority AS task_id", "CAST(substr(o_orderpriority, 1, 1) AS INT) % 2 = 0 AS needs_strand", "array(512, 2048, 8192) AS contexts").distinct()
+    m = X.table(spark, d, "nation").selectExpr("n_name AS model_id", "512 * (n_nationkey % 16 + 1) AS capacity", "n_nationkey % 2 = 0 AS has_strand")
+    return matrix.applicability(t, m)
+
+
+@query("SELECT n_name || '@' || s AS run_key, s AS step FROM nation, (VALUES (100), (200)) r(s) UNION ALL SELECT r_name, NULL FROM region")
+def j04_expand_steps(spark, d):
+    return matrix.expand_steps(X.table(spark, d, "nation").selectExpr("n_name AS run_key"), X.table(spark, d, "region").selectExpr("r_name AS run_key"), [100, 200])
+
+
+_DONE = "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 90"
+_FAIL = "SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 14"
+
+
+def _states(spark, d):
+    e = X.table(spark, d, "events")
+    return e, e.where("event_type = 'purchase' AND value > 90").select("user_id").distinct(), quality.terminal_failures(e.withColumn("failed", F.col("event_type") == "error"), ["user_id"], 14)
+
+
+@query(f"SELECT CASE WHEN user_id IN ({_DONE}) THEN 'complete' WHEN user_id IN ({_FAIL}) THEN 'terminal_failed' ELSE 'missing' END AS state, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY state")
+def q11_closure_audit(spark, d):
+    e, done, failed = _states(spark, d)
+    return matrix.closure_audit(e.select("user_id").distinct(), done, failed, "user_id")
+
+
+@query(f"SELECT DISTINCT user_id FROM events WHERE user_id NOT IN ({_DONE}) AND user_id NOT IN ({_FAIL}) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 95)")
+def q13_pending_rows(spark, d):
+    e, done, failed = _states(spark, d)
+    return matrix.pending_rows(e.select("user_id").distinct(), done, failed, e.where("event_type = 'click' AND value > 95"), "user_id")
+
+
+_TIMES = " + ".join(f"(u > {p})::INT" for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))
+_BOOT = f"SELECT run_key, replicate, sum(times * label) / sum(times) AS value FROM (SELECT *, {_TIMES} AS times FROM (SELECT *, (('0x' || substr(sha256('42|' || replicate || '|' || row_no), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS u FROM v_pred_bin, range(100) r(replicate))) WHERE times > 0 GROUP BY ALL"
+
+
+def _boot(spark, d):
+    p = X.pred_bin(spark, d)
+    c = stats.bootstrap_counts(p, 100, 42, ["run_key", "label"], "row_no")
+    return c.groupBy("run_key", "replicate").agg((F.sum(F.col("times") * F.col("label")) / F.sum("times")).alias("value"))
+
+
+@query(f"SELECT run_key, round(avg(value), 7) AS mean, round(quantile_cont(value, 0.025), 7) AS low, round(quantile_cont(value, 0.975), 7) AS high, count(*) AS n FROM ({_BOOT}) GROUP BY run_key")
+def a10_boot_summary(spark, d):
+    return stats.boot_summary(_boot(spark, d), ["run_key"], "value").select("run_key", *[F.round(c, 7).alias(c) for c in ("mean", "low", "high")], "n")
+
+
+@query(f"SELECT run_key, round(avg(delta), 7) AS mean, round(quantile_cont(delta, 0.025), 7) AS low, round(quantile_cont(delta, 0.975), 7) AS high, round(least(1, 2 * (least(count(*) FILTER (delta <= 0), count(*) FILTER (delta >= 0)) + 1) / (count(*) + 1)), 9) AS p FROM (SELECT run_key, replicate, value - 0.5 AS delta FROM ({_BOOT})) GROUP BY run_key")
+def r02_paired_bootstrap(spark, d):
+    out = stats.paired_bootstrap(_boot(spark, d).withColumn("delta", F.col("value") - 0.5), ["run_key"])
+    return out.select("run_key", *[F.round(c, 7).alias(c) for c in ("mean", "low", "high")], F.round("p", 9).alias("p"))
+
+
+@query("SELECT model_id, task_id, round(avg(value), 9) AS score, max(seed) AS label, (avg(value) >= 0.3)::INT AS pred FROM v_results GROUP BY model_id, task_id")
+def a11_ensemble(spark, d):
+    out = stats.ensemble(X.results(spark, d).select("model_id", "task_id", F.col("value").alias("score"), F.col("seed").alias("label")), ["model_id", "task_id"], 0.3)
+    return out.withColumn("score", F.round("score", 9))
+
+
+@query("SELECT l_returnflag, round(sum(l_tax::DOUBLE * l_quantity::DOUBLE) / greatest(sum(l_quantity::DOUBLE), 1), 9) AS value FROM lineitem GROUP BY l_returnflag")
+def a12_weighted_metrics(spark, d):
+    li = X.table(spark, d, "lineitem").select("l_returnflag", F.col("l_tax").cast("double").alias("m"), F.col("l_quantity").cast("double").alias("n"))
+    return stats.weighted_metrics(li, ["l_returnflag"], "m", "n").withColumn("value", F.round("value", 9))
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0")
+def t02_missing_keys(spark, d):
+    return X.table(spark, d, "customer").select("c_custkey").join(X.table(spark, d, "orders").where("o_orderkey % 3 = 0").selectExpr("o_custkey AS c_custkey"), "c_custkey", "left_anti")
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def t03_common_keys(spark, d):
+    return X.table(spark, d, "customer").selectExpr("c_nationkey AS k").intersect(X.table(spark, d, "supplier").selectExpr("s_nationkey AS k"))
+
+
+@query("SELECT split, count(*) AS n_rows, sum(length(sequence))::BIGINT AS bases, count(DISTINCT group_id) AS groups, sum(length(sequence) - length(replace(sequence, 'N', '')))::BIGINT AS n_bases FROM v_samples GROUP BY split")
+def a01_manifest(spark, d):
+    n = F.length("sequence")
+    return X.samples(spark, d).groupBy("split").agg(F.count("*").alias("n_rows"), F.sum(n).alias("bases"), F.countDistinct("group_id").alias("groups"), F.sum(n - F.length(F.translate("sequence", "N", ""))).alias("n_bases"))
+
+
+@query(f"SELECT run_key, count(*) AS points, max(step) AS last_step, arg_max(value, step) AS last_value, round(min(value), 4) AS lowest FROM ({_RUN}) GROUP BY run_key")
+def a13_curve_summary(spark, d):
+    return _run(spark, d).groupBy("run_key").agg(F.count("*").alias("points"), F.max("step").alias("last_step"), F.max_by("value", "step").alias("last_value"), F.round(F.min("value"), 4).alias("lowest"))
+
+
+def _vectors(spark, d):
+    e = X.table(spark, d, "embeddings").where("label IS NOT NULL").selectExpr("vec_id % 3 AS run_key", "vec_id AS row_no", "array(label % 2, label div 2 % 2, label div 4 % 2) AS label_vec", "transform(slice(embedding, 1, 3), x -> round(1 / (1 + exp(-CAST(x AS DOUBLE))), 3)) AS score_vec")
+    return e
+
+
+_VEC = "SELECT vec_id % 3 AS run_key, o AS output, ((label // (2 ** o)::INT) % 2)::DOUBLE AS label, round(1 / (1 + exp(-embedding[o + 1]::DOUBLE)), 3) AS score FROM embeddings, range(3) r(o) WHERE label IS NOT NULL"
+
+
+@query(f"""SELECT run_key, round(avg(ap), 8) AS macro_ap, any_value(micro) AS micro_f1 FROM (SELECT run_key, output, CASE WHEN sum(pos) = 0 THEN 0 ELSE sum(pos * tp / a) / sum(pos) END AS ap FROM
+  (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS a FROM (SELECT run_key, output, score, count(*) FILTER (label = 1) AS pos, count(*) AS n FROM ({_VEC}) GROUP BY ALL) WINDOW w AS (PARTITION BY run_key, output ORDER BY score DESC)) GROUP BY ALL)
+  JOIN (SELECT run_key, round(2 * count(*) FILTER (label = 1 AND score >= 0.5) / (2 * count(*) FILTER (label = 1 AND score >= 0.5) + count(*) FILTER (label <> 1 AND score >= 0.5) + count(*) FILTER (label = 1 AND score < 0.5)), 8) AS micro FROM ({_VEC}) GROUP BY run_key) USING (run_key) GROUP BY run_key""")
+def m08_multilabel(spark, d):
+    return metrics.multilabel(_vectors(spark, d), ["run_key"]).select("run_key", F.round("macro_ap", 8).alias("macro_ap"), F.round("micro_f1", 8).alias("micro_f1"))
+
+
+@query(f"SELECT run_key, round(avg(r), 8) AS pearson, round(avg(1 - sse / (v * n)), 8) AS r2, round(sum(sae) / sum(n), 8) AS mae, round(sqrt(sum(sse) / sum(n)), 8) AS rmse FROM (SELECT run_key, output, corr(label, score) AS r, sum((score - label) ** 2) AS sse, var_pop(label) AS v, sum(abs(score - label)) AS sae, count(*) AS n FROM ({_VEC}) GROUP BY ALL) GROUP BY run_key")
+def m07_multioutput(spark, d):
+    out = metrics.multioutput(_vectors(spark, d), ["run_key"])
+    return out.select("run_key", *[F.round(c, 8).alias(c) for c in ("pearson", "r2", "mae", "rmse")])
+
+
+@query("SELECT seed, round(avg(h / (t - h)), 9) AS mean_iou FROM (SELECT seed, c, sum(h)::DOUBLE AS h, count(*) AS t FROM (SELECT seed, label AS c, (label = pred)::INT AS h FROM v_pred_multi UNION ALL SELECT seed, pred, 0 FROM v_pred_multi) GROUP BY ALL) GROUP BY seed")
+def m17_mean_iou(spark, d):
+    return metrics.mean_iou(X.pred_multi(spark, d), ["seed"]).withColumn("mean_iou", F.round("mean_iou", 9))
+
+
+@query("SELECT a.model_id, a.task_id, a.value AS full_value, b.value AS low_value, round(b.value / nullif(a.value, 0), 9) AS retention, a.value = 0 AS undefined FROM v_results a JOIN v_results b USING (model_id, task_id) WHERE a.seed = 0 AND b.seed = 1")
+def m19_retention(spark, d):
+    r = X.results(spark, d)
+    return metrics.retention(r.where("seed = 0"), r.where("seed = 1"), ["model_id", "task_id"], "value").withColumn("retention", F.round("retention", 9))
+
+
+@query(f"SELECT vec_id, round(exp(sum(ln(p[(vec_id + pos) % 4 + 1] + 1e-12))), 9) AS product, round(avg(p[(vec_id + pos) % 4 + 1]), 9) AS mean FROM {_PROB} GROUP BY vec_id")
+def m12_ref_base_score(spark, d):
+    p = features.base_probabilities(X.table(spark, d, "embeddings")).select("vec_id", F.get("p", ((F.col("vec_id") + F.col("pos")) % 4).cast("int")).alias("x"))
+    return p.groupBy("vec_id").agg(F.round(F.exp(F.sum(F.log(F.col("x") + 1e-12))), 9).alias("product"), F.round(F.avg("x"), 9).alias("mean"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * embedding[64 - i]::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 9) AS strand_cosine, round((embedding[1]::DOUBLE + embedding[1]::DOUBLE) / 2, 9) AS first_mean FROM embeddings")
+def m16_strand_consistency(spark, d):
+    e = X.table(spark, d, "embeddings").withColumn("r", F.reverse("embedding"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return e.select("vec_id", F.round(dot("embedding", "r") / dot("embedding", "embedding"), 9).alias("strand_cosine"), F.round(F.get(features.strand_average("embedding", "r"), F.lit(0)), 9).alias("first_mean"))
+
+
+@query("SELECT shard, length, string_agg(DISTINCT region::VARCHAR, ',' ORDER BY region::VARCHAR) AS regions, min(region) AS main_region, count(*) AS occurrences FROM v_windows GROUP BY shard, length")
+def c01_dedup_coordinates(spark, d):
+    return corpus.dedup_coordinates(X.windows(spark, d), ["shard", "length"])
+
+
+@query("SELECT window_id, round(count(*) OVER (PARTITION BY shard) ** -0.5, 9) AS weight FROM v_windows")
+def c06_cluster_weights(spark, d):
+    return corpus.cluster_weights(X.windows(spark, d), "shard").select("window_id", F.round("weight", 9).alias("weight"))
+
+
+@query("""SELECT length, region, floor(t / length)::BIGINT AS draws, ceil(floor(t / length) / n)::BIGINT AS rounds FROM (SELECT length, region, count(*) AS n, ls * rs * 1000000000 AS t FROM v_windows
+  JOIN (VALUES (4096, 0.05::DOUBLE), (8192, 0.15::DOUBLE), (16384, 0.05::DOUBLE), (32768, 0.05::DOUBLE), (65536, 0.7::DOUBLE)) l(length, ls) USING (length) JOIN (VALUES (0, 0.32::DOUBLE), (1, 0.21::DOUBLE), (2, 0.14::DOUBLE), (3, 0.11::DOUBLE), (4, 0.08::DOUBLE), (5, 0.1::DOUBLE), (6, 0.04::DOUBLE)) g(region, rs) USING (region) GROUP BY length, region, ls, rs)""")
+def c09_mix_quota(spark, d):
+    shares = {4096: 0.05, 8192: 0.15, 16384: 0.05, 32768: 0.05, 65536: 0.7}
+    return corpus.mix_quota(corpus.pool_sizes(X.windows(spark, d)), shares, {0: 0.32, 1: 0.21, 2: 0.14, 3: 0.11, 4: 0.08, 5: 0.1, 6: 0.04}, 1_000_000_000)
+
+
+@query("SELECT context, base, n, round((n + 1) / (sum(n) OVER (PARTITION BY context) + 4), 9) AS p FROM (SELECT substr(g, 1, 2) AS context, substr(g, 3, 1) AS base, count(*) AS n FROM (SELECT substr(sequence, i, 3) AS g FROM v_samples, unnest(range(1, length(sequence) - 1)) u(i)) WHERE NOT contains(g, 'N') GROUP BY g)")
+def f11_markov_counts(spark, d):
+    return corpus.next_bases(X.samples(spark, d)).withColumn("p", F.round("p", 9))
+
+
+@query("SELECT model_id, seed, arg_max(task_id, (value, -rank)) AS task_id FROM (SELECT *, substr(task_id, 1, 1)::INT AS rank FROM v_results) GROUP BY model_id, seed".replace("arg_max(task_id, (value, -rank))", "arg_max(rank, value * 1000000 - rank / 100)"))
+def f06_select_param(spark, d):
+    r = X.results(spark, d).withColumn("rank", F.substring("task_id", 1, 1).cast("int"))
+    return heads.select_param(r, ["model_id", "seed"], "rank", "value").withColumnRenamed("rank", "task_id")
+
+
+def _split_vectors(spark, d):
+    e = X.table(spark, d, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL").withColumn("split", F.when(S.hash_bucket(F.concat(F.lit("42|"), F.col("vec_id").cast("string")), 10) < 3, "test").otherwise("train"))
+    return e.where("split = 'train'"), e.where("split = 'test'")
+
+
+@query()
+def f03_logistic_head(spark, d):
+    train, test = _split_vectors(spark, d)
+    return heads.fit_logistic(train, test).select("vec_id", "label", "pred", "score")
+
+
+@query()
+def f05_ridge_head(spark, d):
+    train, test = (x.withColumn("label", F.col("label").cast("double")) for x in _split_vectors(spark, d))
+    return heads.fit_ridge(train, test).select("vec_id", "label", "pred")
