@@ -39,5 +39,3 @@ def shard_digest(docs: DataFrame) -> DataFrame:
     out = shard_documents(docs)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-
-#: DuckDB SQL of the query without text_crc32, which DuckDB has no function for.

@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,14 +141,12 @@ def merge_index(captures: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in _CDX.split(", ")]
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
         runs: dict[str, list[tuple]] = {}
         for b in batches:
             for row in b.astype(object).where(b.notna(), None).itertuples(index=False, name=None):
                 runs.setdefault(row[8], []).append(row)
         order = lambda x: (x[0], x[1], x[8], x[9])
-        # Spark's shuffle keeps a run's rows of one map task in order; a run comes from one task.
+        # A shuffle may bring a run's blocks in any order, so each slice is put in order before the merge.
         tree = LoserTree([iter([(order(x), x) for x in sorted(r, key=order)]) for r in runs.values()])
         out, pos, part = [], 0, TaskContext.get().partitionId()
         for _, x in tree:
