@@ -68,3 +68,28 @@ def snv_effect(prob: DataFrame, ref: str, alt: str, floor: float = 1e-12) -> Dat
 
 def strand_average(forward: str, reverse: str):
     return F.zip_with(forward, F.reverse(reverse), lambda a, b: (a.cast("double") + b) / 2)
+
+
+def chunks(df: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(contig, chunk_no, start, seq): overlapping chunks of long sequences."""
+    x = df.select("contig", "sequence", F.explode(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / size))).alias("chunk_no"))
+    return x.select("contig", "chunk_no", (F.col("chunk_no") * size).alias("start"), F.substr("sequence", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size + overlap)).alias("seq"))
+
+
+def fetch_windows(positions: DataFrame, chunked: DataFrame, window: int, size: int) -> DataFrame:
+    """Windows of ``window`` letters around 0-based positions, by an equi-join on (contig, chunk); null over the ends.
+
+    ``chunked`` must overlap by at least ``window`` letters, so that each window lies in the chunk of its start.
+    """
+    p = positions.withColumn("_s", F.col("pos") - window // 2).withColumn("chunk_no", F.floor(F.greatest(F.col("_s"), F.lit(0)) / size))
+    x = p.join(chunked, ["contig", "chunk_no"], "left")
+    w = F.substr("seq", (F.col("_s") - F.col("start") + 1).cast("int"), F.lit(window))
+    return x.select("contig", "pos", F.when((F.col("_s") >= 0) & (F.length(w) == window), w).alias("window"))
+
+
+def negative_sites(features: DataFrame, lengths: DataFrame, context: int, steps: int = 8) -> DataFrame:
+    """For each feature start a site that is no boundary: right by ``context``, or left past the contig's end, then right in steps."""
+    b = features.select("contig", F.col("start").alias("site")).distinct()
+    f = features.join(lengths, "contig").withColumn("_s", F.when(F.col("start") + context < F.col("length"), F.col("start") + context).otherwise(F.col("start") - context))
+    cand = f.select("contig", "start", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"), "_s").withColumn("site", F.col("_s") + F.col("k") * context)
+    return cand.join(b, ["contig", "site"], "left_anti").groupBy("contig", "start").agg(F.min_by("site", "k").alias("site"))

@@ -565,3 +565,30 @@ def f03_logistic_head(spark, d):
 def f05_ridge_head(spark, d):
     train, test = (x.withColumn("label", F.col("label").cast("double")) for x in _split_vectors(spark, d))
     return heads.fit_ridge(train, test).select("vec_id", "label", "pred")
+
+
+_CONTIG = "SELECT sample_id AS contig, sequence FROM v_samples WHERE length(sequence) >= 500"
+
+
+def _contigs(spark, d):
+    return X.samples(spark, d).where("length(sequence) >= 500").select(F.col("sample_id").alias("contig"), "sequence")
+
+
+@query(f"SELECT contig, pos, CASE WHEN pos - 20 >= 0 AND pos - 20 + 41 <= length(sequence) THEN substr(sequence, pos - 20 + 1, 41) END AS \"window\" FROM ({_CONTIG}), (SELECT i * 37 AS pos FROM range(40) r(i))")
+def j08_fetch_windows(spark, d):
+    c = _contigs(spark, d)
+    pos = c.select("contig", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).select("contig", (F.col("i") * 37).cast("long").alias("pos"))
+    return features.fetch_windows(pos, features.chunks(c, 256, 64), 41, 256)
+
+
+@query(f"""SELECT contig, start, arg_min(site, k) AS site FROM (SELECT contig, start, k, CASE WHEN start + 60 < length(sequence) THEN start + 60 ELSE start - 60 END + k * 60 AS site FROM ({_CONTIG}), (SELECT i * 90 AS start FROM range(12) r(i)), range(9) q(k) WHERE start < length(sequence)) c
+  WHERE NOT EXISTS (SELECT 1 FROM ({_CONTIG}) x, (SELECT i * 90 AS s FROM range(12) r(i)) WHERE s < length(x.sequence) AND x.contig = c.contig AND s = c.site) GROUP BY contig, start""")
+def j09_negative_sites(spark, d):
+    c = _contigs(spark, d)
+    f = c.select("contig", F.length("sequence").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).select("contig", (F.col("i") * 90).cast("long").alias("start"), "n").where("start < n").drop("n")
+    return features.negative_sites(f, c.select("contig", F.length("sequence").alias("length")), 60)
+
+
+@query("SELECT contig, chunk_no, chunk_no * 256 AS start, length(substr(sequence, chunk_no * 256 + 1, 320)) AS n FROM (SELECT contig, sequence, unnest(range((length(sequence) - 1) // 256 + 1)) AS chunk_no FROM (" + _CONTIG + "))")
+def s10_genome_chunks(spark, d):
+    return features.chunks(_contigs(spark, d), 256, 64).select("contig", "chunk_no", "start", F.length("seq").cast("long").alias("n"))
