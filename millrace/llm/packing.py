@@ -9,6 +9,7 @@ document then finds its place from the number of remainders of its length before
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +28,8 @@ END_ID = 1
 #: Three-part combinations are enumerated among this many of the most frequent lengths.
 TRIPLE_LENGTHS = 48
 SOLVER_SWEEPS = 60
-_WORDS_KEPT = 600_000
+_WORDS_KEPT = 900_000
+_MARKS = ".,;:!?"
 
 
 class _Ids(dict):
@@ -44,7 +46,14 @@ class _Ids(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= _WORDS_KEPT:
             self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+        body = piece.rstrip(_MARKS)
+        if body != piece and body:
+            # Marks never share a piece with letters before them.
+            ids = self[body] + self[piece[len(body) :]]
+        elif piece.isascii() and (low := piece.lower()) != piece:
+            ids = self[low]
+        else:
+            ids = array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
