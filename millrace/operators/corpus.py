@@ -65,3 +65,17 @@ def next_bases(df: DataFrame, order: int = 2) -> DataFrame:
     g = g.select(F.substr("g", F.lit(1), F.lit(order)).alias("context"), F.substr("g", F.lit(order + 1), F.lit(1)).alias("base"), "n")
     w = Window.partitionBy("context")
     return g.withColumn("p", (F.col("n") + 1) / (F.sum("n").over(w) + 4))
+
+
+def star_links(df: DataFrame, node: str, key: str) -> DataFrame:
+    """(a, b): every node with the smallest node of its key; a key of many rows gives a link per row, not per pair."""
+    low = df.groupBy(key).agg(F.min(node).alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return df.select(key, F.col(node).alias("b")).join(low, key).where("a <> b").select("a", "b")
+
+
+def resolve_splits(df: DataFrame, cluster: str) -> DataFrame:
+    """No cluster in two splits: rows of weaker splits than the cluster's strongest leave."""
+    from .sampling import priority
+
+    best = df.groupBy(cluster).agg(F.max(priority()).alias("_best"))
+    return df.join(best, cluster).where(priority() == F.col("_best")).drop("_best")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, features, heads, matrix, metrics, quality, sampling, stats
+from ..operators import corpus, features, graph, heads, matrix, metrics, quality, sampling, stats
 from ..streaming import logs
 from . import fixtures as X
 
@@ -592,3 +592,33 @@ def j09_negative_sites(spark, d):
 @query("SELECT contig, chunk_no, chunk_no * 256 AS start, length(substr(sequence, chunk_no * 256 + 1, 320)) AS n FROM (SELECT contig, sequence, unnest(range((length(sequence) - 1) // 256 + 1)) AS chunk_no FROM (" + _CONTIG + "))")
 def s10_genome_chunks(spark, d):
     return features.chunks(_contigs(spark, d), 256, 64).select("contig", "chunk_no", "start", F.length("seq").cast("long").alias("n"))
+
+
+def _clustered(spark, d):
+    s = X.samples(spark, d).select("row_no", "split", F.sha2(S.canonical(F.col("sequence")), 256).alias("whole"), F.substring("sequence", 1, 9).alias("prefix"))
+    links = corpus.star_links(s, "row_no", "whole").unionByName(corpus.star_links(s, "row_no", "prefix"))
+    c = graph.components(links)
+    return s.join(c, s["row_no"] == c["node"], "left").select("row_no", "split", F.coalesce("component", "row_no").alias("cluster_id"))
+
+
+_CLUSTERED = """SELECT row_no, split, least(row_no, coalesce(m, row_no)) AS cluster_id FROM v_samples LEFT JOIN (SELECT i, min(j) AS m FROM r GROUP BY i) ON i = row_no"""
+_REACH = """RECURSIVE k AS (SELECT row_no, least(sequence, reverse(translate(sequence, 'ACGT', 'TGCA'))) AS k FROM v_samples UNION ALL SELECT row_no, substr(sequence, 1, 9) || '/' FROM v_samples),
+  e AS (SELECT DISTINCT a.row_no AS i, b.row_no AS j FROM k a JOIN k b ON a.k = b.k AND a.row_no <> b.row_no), r(i, j) AS (SELECT i, j FROM e UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i)"""
+
+
+def _with_reach(body: str) -> str:
+    return f"WITH RECURSIVE v_samples AS ({X.SQL['v_samples']}), {_REACH.removeprefix('RECURSIVE ')} {body}"
+
+
+@query()
+def c05_clusters(spark, d):
+    return _clustered(spark, d).select("row_no", "cluster_id")
+
+
+@query()
+def c07_resolve_splits(spark, d):
+    return corpus.resolve_splits(_clustered(spark, d), "cluster_id").groupBy("split").agg(F.count("*").alias("n"))
+
+
+ORACLE_SQL["c05_clusters"] = _with_reach(f"SELECT row_no, cluster_id FROM ({_CLUSTERED})")
+ORACLE_SQL["c07_resolve_splits"] = _with_reach(f"SELECT split, count(*) AS n FROM (SELECT *, CASE split WHEN 'test' THEN 3 WHEN 'validation' THEN 2 ELSE 1 END AS p, max(CASE split WHEN 'test' THEN 3 WHEN 'validation' THEN 2 ELSE 1 END) OVER (PARTITION BY cluster_id) AS best FROM ({_CLUSTERED})) WHERE p = best GROUP BY split")
