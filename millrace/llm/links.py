@@ -1,4 +1,4 @@
-"""Parts shared by the similarity joins: dealing buckets out evenly, comparing them, and joining links up."""
+"""Parts shared by the similarity joins: dealing buckets out evenly and comparing them."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .store import materialize
 
+__all__ = ["Forest", "components", "deal", "segments"]
+
 
 def deal(rows: DataFrame, key: list[str], ident: str, cap: int) -> DataFrame:
     """Deal ``rows`` (``key``, ``kind``, ...) out by (key, salt), homes (kind 0) before visitors.
@@ -59,26 +62,3 @@ class Forest:
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
         return i != j
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b): the smallest node reachable.
-
-    Alternating large-star and small-star rounds; each is two shuffles over the links that are left, and is
-    written to the shared folder.  Ends when a round changes nothing; a star has a round to prove it.
-    """
-    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
-        links = materialize(small.where("u <> v").distinct())
-        now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0))).first()
-        if now == state:
-            break
-        state = now
-    heads = links.select("v").distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads.select(F.col("v").alias("node"), F.col("v").alias("component")))
