@@ -105,3 +105,31 @@ def join_pair(a: Column, b: Column, spacer: int = 50) -> Column:
 def hash_bucket(key: Column, buckets: int) -> Column:
     """First 32 bits of the key's SHA-256 modulo ``buckets``."""
     return (F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+
+
+def hash_uniform(key: Column, part: int = 0) -> Column:
+    """A draw in [0, 1) from 32 bits of the key's SHA-256; ``part`` 0 to 7 names which 32 bits."""
+    return F.conv(F.substring(F.sha2(key, 256), part * 8 + 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def superfamily(c: Column) -> Column:
+    """The last ``/`` part of a class name, up to its first ``_``."""
+    return F.split_part(F.element_at(F.split(c, "/"), -1), F.lit("_"), F.lit(1))
+
+
+def vocab_id(c: Column, names: tuple[str, ...], ignore: int = -100) -> Column:
+    """Place of a name in a fixed vocabulary; unknown and null names take ``ignore``."""
+    known = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    return F.coalesce(F.try_element_at(known, c), F.lit(ignore))
+
+
+def record_json(**cols: Column) -> Column:
+    """JSON object with its keys in order; null values are left out."""
+    return F.to_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)]))
+
+
+def true_bases(c: Column, positions: list[int]) -> Column:
+    """Codes 0 to 3 of the letters at 0-based positions; any other letter, or none, is 4."""
+    at = F.array(*[F.instr(F.lit("ACGT"), F.substring(c, p + 1, 1)) for p in positions])
+    seen = F.array(*[F.length(c) > p for p in positions])
+    return F.zip_with(at, seen, lambda i, s: F.when(s & (i > 0), i - 1).otherwise(4))

@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..operators import corpus, features, graph, heads, matrix, metrics, quality, sampling, stats
 from ..streaming import logs
 from . import fixtures as X
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = X.with_views(sql)
-        return f
-
-    return register
+from .registry import ORACLE_SQL, query
 
 
 @query("""SELECT split, count(*) AS n_rows, sum(length(sequence))::BIGINT AS bases FROM (SELECT *, max(CASE split WHEN 'test' THEN 3 WHEN 'validation' THEN 2 ELSE 1 END) OVER (PARTITION BY sequence) AS best FROM v_samples)

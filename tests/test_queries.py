@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 from millrace.operators import metrics, sampling, stats
-from millrace.plans.queries import ORACLE_SQL, QUERIES
+from millrace.plans import preparation, queries, reports  # noqa: F401  (each enters its queries)
+from millrace.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
