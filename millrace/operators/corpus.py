@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,21 @@ def resolve_splits(df: DataFrame, cluster: str) -> DataFrame:
 
     best = df.groupBy(cluster).agg(F.max(priority()).alias("_best"))
     return df.join(best, cluster).where(priority() == F.col("_best")).drop("_best")
+
+
+def pool_cursor(quota: DataFrame) -> DataFrame:
+    """From (pool columns, n, draws): full rounds, the cursor inside the next, mean exposure of a window and what the round lacks.
+
+    Within a round nothing is drawn twice, so the state is arithmetic on the pool's size.
+    """
+    d, n = F.col("draws"), F.greatest(F.col("n"), F.lit(1))
+    return quota.withColumns({"round": F.floor(d / n), "cursor": d % n, "exposure": d / n, "deficit": F.pmod(-d, n)})
+
+
+def ready_report(df: DataFrame) -> DataFrame:
+    """(check, rows, ok) over samples: repeated ids, repeated canonical sequences, groups in several splits, letters that are no base."""
+    slim = df.select("sample_id", "split", "group_id", F.sha2(canonical(F.col("sequence")), 256).alias("signature"), F.col("sequence").rlike("[^ACGTN]").alias("bad"))
+    extra = lambda key: slim.groupBy(key).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("rows"))
+    crossing = slim.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("rows"))
+    checks = {"repeated_id": extra("sample_id"), "repeated_sequence": extra("signature"), "group_crossing": crossing, "bad_letters": slim.agg(F.count_if("bad").alias("rows"))}
+    return reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("check"), "rows", (F.col("rows") == 0).alias("ok")) for n, t in checks.items()])

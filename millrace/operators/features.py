@@ -93,3 +93,34 @@ def negative_sites(features: DataFrame, lengths: DataFrame, context: int, steps:
     f = features.join(lengths, "contig").withColumn("_s", F.when(F.col("start") + context < F.col("length"), F.col("start") + context).otherwise(F.col("start") - context))
     cand = f.select("contig", "start", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"), "_s").withColumn("site", F.col("_s") + F.col("k") * context)
     return cand.join(b, ["contig", "site"], "left_anti").groupBy("contig", "start").agg(F.min_by("site", "k").alias("site"))
+
+
+def strand_divergence(pairs: DataFrame, by: list[str], floor: float = 1e-12) -> DataFrame:
+    """Symmetric Kullback-Leibler divergence of ``p`` and ``q``, halved, averaged over positions."""
+    log = lambda x: F.log(F.greatest(x, F.lit(floor)))
+    term = F.aggregate(F.zip_with("p", "q", lambda a, b: (a - b) * (log(a) - log(b))), F.lit(0.0), lambda t, x: t + x) / 2
+    return pairs.groupBy(*by).agg(F.avg(term).alias("divergence"))
+
+
+def boundary_pairs(df: DataFrame, length: int, flank: int = 5) -> DataFrame:
+    """Rows (id, left, right, bases) as ``2 * flank`` rows (id, ref_pos, mut_pos, base code 0 to 3, or 4).
+
+    ``left`` and ``right`` are the 1-based ends of the variant; ``bases`` are the mutant's letters around its centre.
+    """
+    x = df.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(2 * flank - 1))))
+    ref = F.when(F.col("o") < flank, F.col("left") - 1 - flank + F.col("o")).otherwise(F.col("right") + F.col("o") - flank)
+    code = F.instr(F.lit("ACGT"), F.upper(F.substr("bases", F.col("o") + 1, F.lit(1))))
+    return x.select("id", ref.cast("long").alias("ref_pos"), (F.lit(length // 2 - flank) + F.col("o")).cast("long").alias("mut_pos"), F.when(code > 0, code - 1).otherwise(4).alias("base"))
+
+
+def boundary_score(pairs: DataFrame, ref: DataFrame, mut: DataFrame, floor: float = 1e-12) -> DataFrame:
+    """Minus the mean log ratio of mutant to reference at the pairs; letters that are no base count zero.
+
+    ``outside`` counts pairs whose position neither table has.  Those take no part in the mean.
+    """
+    r, m = (t.select(F.col("vec_id").alias("id"), F.col("pos").cast("long").alias(f"{n}_pos"), F.col("p").alias(f"_{n}")) for t, n in ((ref, "ref"), (mut, "mut")))
+    at = lambda n: F.greatest(F.lit(floor), F.get(f"_{n}", F.col("base").cast("int")))
+    j = pairs.join(r, ["id", "ref_pos"], "left").join(m, ["id", "mut_pos"], "left")
+    known = F.col("_ref").isNotNull() & F.col("_mut").isNotNull()
+    value = F.when(F.col("base") == 4, 0.0).when(known, F.log(at("mut") / at("ref")))
+    return j.groupBy("id").agg((-F.avg(value)).alias("score"), F.count_if((F.col("base") < 4) & ~known).alias("outside"))

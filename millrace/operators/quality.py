@@ -65,3 +65,32 @@ def completeness(expected: DataFrame, observed: DataFrame, keys: list[str]) -> D
 def terminal_failures(attempts: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
     """Runs with at least ``most`` failed attempts."""
     return attempts.where("failed").groupBy(*keys).agg(F.count("*").alias("failures")).where(F.col("failures") >= most)
+
+
+def check_constraints(df: DataFrame, unique: tuple[str, ...] = (), required: tuple[str, ...] = (), allowed: dict[str, tuple] | None = None, foreign: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(rule, rows): rules on single rows in one pass, keys by a pre-aggregated count, references by an anti join.
+
+    ``foreign`` maps a column to a one-column table of what it may hold; a null is not a broken reference.
+    """
+    tests = {f"required:{c}": F.col(c).isNull() for c in required} | {f"allowed:{c}": F.col(c).isNotNull() & ~F.col(c).isin(*v) for c, v in (allowed or {}).items()}
+    parts = [df.where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1").agg(F.lit(f"unique:{c}").alias("rule"), F.count("*").alias("rows")) for c in unique]
+    for c, known in (foreign or {}).items():
+        other = known.toDF(c)
+        parts.append(df.where(F.col(c).isNotNull()).select(c).join(other, c, "left_anti").agg(F.lit(f"foreign:{c}").alias("rule"), F.count("*").alias("rows")))
+    if tests:
+        one = df.agg(*[F.count_if(t).alias(f"_{i}") for i, t in enumerate(tests.values())])
+        parts.append(one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_{i}").alias("rows")) for i, n in enumerate(tests)])).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def verify_embeddings(samples: DataFrame, vectors: DataFrame, key: str, width: int) -> DataFrame:
+    """(finding, rows) over a full outer join: missing and extra vectors, other labels, wrong widths, values that are not finite."""
+    a, b = samples.select(key, F.col("label").alias("_l"), F.lit(True).alias("_a")), vectors.select(key, F.col("label").alias("_m"), "embedding", F.lit(True).alias("_b"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    tests = {
+        "missing": F.col("_b").isNull(), "extra": F.col("_a").isNull(), "label": both & ~F.col("_l").eqNullSafe(F.col("_m")),
+        "width": both & (F.coalesce(F.size("embedding"), F.lit(-1)) != width), "not_finite": both & ~F.coalesce(finite, F.lit(False)),
+    }
+    one = a.join(b, key, "full_outer").agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("finding"), F.col(n).alias("rows")) for n in tests])).alias("x")).select("x.*")
