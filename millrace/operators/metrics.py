@@ -27,10 +27,30 @@ def _by_score(pred: DataFrame, by: list[str]) -> DataFrame:
     return pred.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("n"))
 
 
+def running_sums(g: DataFrame, by: list[str], value: str, sums: dict[str, str], descending: bool = False, buckets: int = 1024) -> DataFrame:
+    """Each row of ``g`` (one per key and value) with the sums over all values before its own, as the columns that ``sums`` names.
+
+    In two levels, so that one key of any number of values stays in many tasks: values fall into equal-width buckets of
+    their key's range, sums of whole buckets run over at most ``buckets`` + 2 rows a key, and rows are ordered inside
+    their bucket only.  Nulls come first and NaN last, turned round when ``descending``.
+    """
+    v, big = F.col(value).cast("double"), float("inf")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < big), v)
+    span = g.groupBy(*by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    place = F.coalesce(F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets), F.lit(0))
+    bucket = F.when(v.isNull(), -1).when(F.isnan(v) | (v == big), buckets).when(v == -big, 0).otherwise(F.least(place, F.lit(buckets - 1)))
+    g = g.join(span, by).withColumn("_b", bucket.cast("int")).drop("_lo", "_hi")
+    turn = F.desc if descending else F.asc
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, -1)
+    whole = g.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    whole = whole.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before(by, "_b")), F.lit(0)).alias(f"_w_{c}") for c in sums])
+    own = {out: F.col(f"_w_{c}") + F.coalesce(F.sum(c).over(before([*by, "_b"], value)), F.lit(0)) for c, out in sums.items()}
+    return g.join(whole, [*by, "_b"]).withColumns(own).drop("_b", *[f"_w_{c}" for c in sums])
+
+
 def auroc(pred: DataFrame, by: list[str]) -> DataFrame:
     """Tie-exact by average ranks; 0.0 and ``degenerate`` where one class is missing."""
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    g = _by_score(pred, by).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    g = running_sums(_by_score(pred, by), by, "score", {"n": "below"})
     s = g.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     one = (F.col("p") == 0) | (F.col("q") == 0)
     return s.select(*by, F.when(one, 0.0).otherwise((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("auroc"), one.alias("degenerate"))
@@ -38,22 +58,31 @@ def auroc(pred: DataFrame, by: list[str]) -> DataFrame:
 
 def average_precision(pred: DataFrame, by: list[str]) -> DataFrame:
     """Step sum over distinct scores; the mean label where one class is missing."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = _by_score(pred, by).withColumns({"tp": F.sum("pos").over(w), "all": F.sum("n").over(w)})
-    s = g.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("all")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    g = running_sums(_by_score(pred, by), by, "score", {"pos": "tp", "n": "all"}, descending=True)
+    at = (F.col("tp") + F.col("pos")) / (F.col("all") + F.col("n"))
+    s = g.groupBy(*by).agg(F.sum(F.col("pos") * at).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     one = (F.col("p") == 0) | (F.col("p") == F.col("n"))
     return s.select(*by, F.when(one, F.col("p") / F.col("n")).otherwise(F.col("s") / F.nullif(F.col("p"), F.lit(0))).alias("average_precision"))
 
 
 def top_odds(pred: DataFrame, by: list[str], frac: float = 0.01) -> DataFrame:
-    """Odds ratio of the best ceil(frac n) rows by score, ties in row order, with 0.5 added to each cell; an empty remainder has odds 1."""
-    w = Window.partitionBy(*by)
-    k = F.ceil(F.count("*").over(w) * frac)
-    r = pred.withColumn("_top", F.row_number().over(w.orderBy(F.desc("score"), "row_no")) <= k)
-    y = F.col("label") == 1
-    c = r.groupBy(*by).agg(*[F.count_if(e).alias(n) for n, e in (("tp", y & F.col("_top")), ("tn", ~y & F.col("_top")), ("rp", y & ~F.col("_top")), ("rn", ~y & ~F.col("_top")))])
-    rest = F.when(F.col("rp") + F.col("rn") == 0, 1.0).otherwise((F.col("rp") + 0.5) / (F.col("rn") + 0.5))
-    return c.select(*by, ((F.col("tp") + 0.5) / (F.col("tn") + 0.5) / rest).alias("top_odds_ratio"))
+    """Odds ratio of the best ceil(frac n) rows by score, ties in row order, with 0.5 added to each cell; an empty remainder has odds 1.
+
+    Whole score classes are counted; only rows of the one class that the cut divides are put in row order.
+    """
+    g = running_sums(_by_score(pred, by), by, "score", {"n": "before"}, descending=True)
+    total = g.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("n").alias("t"), F.ceil(F.sum("n") * frac).alias("_k"))
+    g = g.join(total.select(*by, "_k"), by)
+    inside = g.where("before + n <= _k").groupBy(*by).agg(F.sum("pos").alias("tp"), F.sum("n").alias("tt"))
+    edge = g.where("before < _k AND before + n > _k").select(*by, F.col("score").alias("_s"), (F.col("_k") - F.col("before")).alias("_need"))
+    rows = pred.join(edge, by).where(F.col("score").eqNullSafe(F.col("_s"))).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("row_no"))).where("_r <= _need")
+    divided = rows.groupBy(*by).agg(F.count_if(F.col("label") == 1).alias("ep"), F.count("*").alias("et"))
+    c = total.join(inside, by, "left").join(divided, by, "left").na.fill(0, ["tp", "tt", "ep", "et"])
+    tp = F.col("tp") + F.col("ep")
+    tn = F.col("tt") + F.col("et") - tp
+    rp, rn = F.col("p") - tp, F.col("t") - F.col("p") - tn
+    rest = F.when(rp + rn == 0, 1.0).otherwise((rp + 0.5) / (rn + 0.5))
+    return c.select(*by, ((tp + 0.5) / (tn + 0.5) / rest).alias("top_odds_ratio"))
 
 
 def multiclass(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -71,10 +100,8 @@ def multiclass(pred: DataFrame, by: list[str]) -> DataFrame:
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
     """Ties share the mean rank; ranks are found over distinct values."""
-    order = F.desc(value) if descending else F.asc(value)
-    g = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn(out, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    g = running_sums(df.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, {"_n": "_below"}, descending)
+    g = g.withColumn(out, F.col("_below") + (F.col("_n") + 1) / 2).drop("_n", "_below")
     return df.join(g, [*by, value])
 
 

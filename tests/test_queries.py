@@ -46,6 +46,17 @@ def test_one_class_and_ties(spark):
     assert metrics.top_odds(tied, ["k"], 1.0).first()["top_odds_ratio"] == 1.0
 
 
+def test_running_sums_over_buckets(spark):
+    nan, inf = float("nan"), float("inf")
+    vals = [None, -inf, -3.0, -2.5, 0.0, 1e-9, 7.0, 7.5, inf, nan]
+    rows = spark.createDataFrame([("a", v, i + 1) for i, v in enumerate(vals)] + [("b", 1.0, 5), ("c", None, 2)], "k string, v double, n long")
+    for down in (False, True):
+        got = {(r["k"], r["n"]): r["s"] for r in metrics.running_sums(rows, ["k"], "v", {"n": "s"}, down, buckets=3).collect()}
+        order = [*range(10, 0, -1)] if down else [*range(1, 11)]
+        assert [got["a", n] for n in order] == [sum(order[:i]) for i in range(10)]
+        assert got["b", 5] == got["c", 2] == 0
+
+
 def test_paired_t_of_equal_pairs(spark):
     rows = spark.createDataFrame([("a", s, 0.5, 0.5) for s in range(5)] + [("b", s, 0.6, 0.5) for s in range(5)], "k string, seed int, x double, y double")
     got = {r["k"]: r["p"] for r in stats.paired_t(rows, ["k"], "x", "y").collect()}
