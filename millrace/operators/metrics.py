@@ -172,3 +172,23 @@ def retention(full: DataFrame, low: DataFrame, by: list[str], value: str) -> Dat
     """low / full per key; a full value of zero gives null and a flag."""
     x = full.select(*by, F.col(value).alias("full_value")).join(low.select(*by, F.col(value).alias("low_value")), by)
     return x.withColumns({"retention": F.col("low_value") / F.nullif(F.col("full_value"), F.lit(0.0)), "undefined": F.col("full_value") == 0})
+
+
+def boundary_match(df: DataFrame, by: list[str], truth: str, found: str, tolerance: int = 20) -> DataFrame:
+    """Precision, recall and F1 of boundaries per key.
+
+    Each row holds one sequence's sorted positions.  True positions, in order, take the nearest free found position within
+    ``tolerance``, the smaller on ties.  A fold over the two arrays of one context; no rows are exploded.
+    """
+    start = F.struct(F.coalesce(F.col(found), F.array().cast("array<bigint>")).alias("free"), F.lit(0).cast("long").alias("hits"))
+
+    def step(s, t):
+        near = F.filter(s["free"], lambda p: F.abs(p - t) <= tolerance)
+        best = F.array_min(F.transform(near, lambda p: F.struct(F.abs(p - t).alias("d"), p.alias("p"))))
+        left = F.when(best.isNull(), s["free"]).otherwise(F.filter(s["free"], lambda p: p != best["p"]))
+        return F.struct(left.alias("free"), (s["hits"] + F.when(best.isNull(), 0).otherwise(1)).cast("long").alias("hits"))
+
+    size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    x = df.select(*by, F.coalesce(F.aggregate(F.col(truth), start, step, lambda s: s["hits"]), F.lit(0)).alias("h"), size(truth).alias("t"), size(found).alias("f"))
+    g = x.groupBy(*by).agg(*[F.sum(c).cast("double").alias(f"_{c}") for c in "htf"])
+    return g.select(*by, _ratio(F.col("_h"), F.col("_f")).alias("precision"), _ratio(F.col("_h"), F.col("_t")).alias("recall"), _ratio(2 * F.col("_h"), F.col("_t") + F.col("_f")).alias("f1"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import features, rows
+from ..operators import features, metrics, rows
 from . import fixtures as X
 from .registry import query
 
@@ -135,3 +135,25 @@ def w20_preview(spark, d):
 def w21_bootstrap_draws(spark, d):
     b = rows.bootstrap_draws(X.table(spark, d, "embeddings").where("label IS NOT NULL"), "label", "vec_id", 20, 11)
     return b.groupBy("label", "replicate").agg(F.sum("times").alias("n_rows"), F.count("*").alias("unique_rows"), F.sum(F.col("times") * (F.col("vec_id") % 97)).alias("checksum"))
+
+
+@query("SELECT l_orderkey, l_linenumber, s_name, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+def j11_window_shard(spark, d):
+    """Rows with their shard's payload; Spark broadcasts the shards while they are below its threshold."""
+    shards = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey")
+    return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(shards, "l_suppkey").drop("l_suppkey")
+
+
+@query("SELECT p_partkey, p_brand AS chrom, CASE WHEN p_size = 1 THEN 1 ELSE 0 END AS label FROM part WHERE p_partkey % 9 > 0 AND (p_size = 1 OR least(p_size / (p_partkey % 9 * 20), 1 - p_size / (p_partkey % 9 * 20)) >= 0.05)")
+def s06_population_variants(spark, d):
+    v = X.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("chrom"), S.allele_label(F.col("p_size"), F.col("p_partkey") % 9 * 20).cast("int").alias("label"))
+    return v.where("label IS NOT NULL")
+
+
+@query()
+def m10_boundary_match(spark, d):
+    """Letters N as true and T as found boundaries of contexts of 512 letters, by species."""
+    s = X.samples(spark, d).select("species", F.col("sample_id").alias("contig"), "sequence")
+    c = features.chunks(s.drop("species"), 512, 0).join(s.select("species", "contig"), "contig")
+    at = lambda letter: F.transform(F.filter(F.transform(F.split("seq", ""), lambda x, i: F.when(x == letter, i)), lambda i: i.isNotNull()), lambda i: i.cast("long"))
+    return metrics.boundary_match(c.select("species", at("N").alias("truth"), at("T").alias("found")), ["species"], "truth", "found")

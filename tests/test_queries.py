@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from millrace.operators import metrics, sampling, stats
+from millrace.operators import metrics, rows, sampling, stats
 from millrace.plans import preparation, queries, reports  # noqa: F401  (each enters its queries)
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
@@ -71,3 +71,27 @@ def test_no_signature_in_two_splits(spark):
 def test_cap_must_be_positive(spark):
     with pytest.raises(ValueError):
         sampling.hash_sample(spark.range(1), 0)
+
+
+def test_boundaries_against_brute_force(spark):
+    import random
+
+    rnd, rows, hits = random.Random(3), [("a", None, [1]), ("a", [4], None), ("a", [], [])], 0
+    for _ in range(40):
+        truth, found = (sorted(rnd.sample(range(120), rnd.randint(0, 9))) for _ in range(2))
+        rows.append(("a", truth, found))
+        free = list(found)
+        for t in truth:
+            near = [p for p in free if abs(p - t) <= 20]
+            if near:
+                free.remove(min(near, key=lambda p: (abs(p - t), p)))
+                hits += 1
+    got = metrics.boundary_match(spark.createDataFrame(rows, "k string, t array<bigint>, f array<bigint>"), ["k"], "t", "f").first()
+    n_truth, n_found = (sum(len(r[i] or []) for r in rows) for i in (1, 2))
+    assert got["precision"] == hits / n_found and got["recall"] == hits / n_truth
+
+
+def test_snv_windows_name_what_is_wrong(spark):
+    rows_in = spark.createDataFrame([("ACGTACGT", 5, "A", "C"), ("ACGTACGT", 1, "A", "C"), ("ACGTACGT", 5, "G", "C"), ("ACGTACGT", 5, "AC", "C")], "sequence string, pos1 int, ref string, alt string")
+    got = [(r["status"], r["alt_window"]) for r in rows.snv_windows(rows_in, 4).collect()]
+    assert got == [("ok", "GTCC"), ("edge", None), ("mismatch", None), ("not_snv", None)]
