@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,6 +11,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import k_shot
+
 
 def _scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
     frames = [x.withColumn("raw", array_to_vector(F.col("embedding").cast("array<double>"))) for x in (train, *others)]
@@ -37,3 +41,14 @@ def fit_ridge(train: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFram
 def select_param(trials: DataFrame, by: list[str], param: str, value: str) -> DataFrame:
     """The parameter with the best value; of equals the smallest."""
     return trials.groupBy(*by).agg(F.max_by(param, F.struct(F.col(value), -F.col(param))).alias(param))
+
+
+def fit_multilabel(train: DataFrame, test: DataFrame, labels: str, width: int, c: float = 1.0) -> DataFrame:
+    """One logistic head for each of ``width`` outputs of a label vector; rows of ``test`` once per output."""
+    at = lambda df, i: df.withColumn("label", F.get(labels, F.lit(i)).cast("double"))
+    return reduce(DataFrame.unionByName, [fit_logistic(at(train, i), at(test, i), c).withColumn("output", F.lit(i)) for i in range(width)])
+
+
+def few_shot(train: DataFrame, test: DataFrame, k: int, seeds: tuple[int, ...]) -> DataFrame:
+    """Per seed a head on ``k`` rows of each class, scored on the whole of ``test``."""
+    return reduce(DataFrame.unionByName, [fit_logistic(k_shot(train, k, s), test).withColumn("seed", F.lit(s)) for s in seeds])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, features, quality, reports, rows, stats
+from ..operators import corpus, features, heads, quality, reports, rows, stats
 from . import fixtures as X
 from .registry import query
 
@@ -198,3 +198,22 @@ def c11_ready_report(spark, d):
 def j12_full_compare(spark, d):
     r = X.results(spark, d)
     return quality.full_compare(r.where("seed = 0 AND category = 0"), r.where("seed = 1"), ["model_id", "task_id"], "value")
+
+
+def _heads(spark, d):
+    e = X.table(spark, d, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL").withColumn("sample_id", F.col("vec_id").cast("string"))
+    e = e.withColumn("split", F.when(S.hash_bucket(F.concat(F.lit("42|"), "sample_id"), 10) < 3, "test").otherwise("train"))
+    return e.where("split = 'train'"), e.where("split = 'test'")
+
+
+@query()
+def f04_multilabel_head(spark, d):
+    train, test = (x.withColumn("label_vec", F.expr("array(label % 2, label div 2 % 2)")) for x in _heads(spark, d))
+    return heads.fit_multilabel(train, test, "label_vec", 2).select("vec_id", "output", "label", "pred", "score")
+
+
+@query()
+def f09_few_shot(spark, d):
+    """Mean accuracy per seed of heads on eight rows a class."""
+    out = heads.few_shot(*_heads(spark, d), 8, (42, 43))
+    return out.groupBy("seed").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))

@@ -95,3 +95,11 @@ def test_snv_windows_name_what_is_wrong(spark):
     rows_in = spark.createDataFrame([("ACGTACGT", 5, "A", "C"), ("ACGTACGT", 1, "A", "C"), ("ACGTACGT", 5, "G", "C"), ("ACGTACGT", 5, "AC", "C")], "sequence string, pos1 int, ref string, alt string")
     got = [(r["status"], r["alt_window"]) for r in rows.snv_windows(rows_in, 4).collect()]
     assert got == [("ok", "GTCC"), ("edge", None), ("mismatch", None), ("not_snv", None)]
+
+
+def test_heads_score_every_test_row(spark):
+    n = QUERIES["f05_ridge_head"](spark, DIR).count()
+    multi = QUERIES["f04_multilabel_head"](spark, DIR).collect()
+    assert len(multi) == 2 * n and all(0 <= r["score"] <= 1 for r in multi)
+    few = QUERIES["f09_few_shot"](spark, DIR).collect()
+    assert sorted(r["seed"] for r in few) == [42, 43] and all(r["n"] == n for r in few)
