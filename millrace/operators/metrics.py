@@ -185,8 +185,9 @@ def boundary_match(df: DataFrame, by: list[str], truth: str, found: str, toleran
     def step(s, t):
         near = F.filter(s["free"], lambda p: F.abs(p - t) <= tolerance)
         best = F.array_min(F.transform(near, lambda p: F.struct(F.abs(p - t).alias("d"), p.alias("p"))))
-        left = F.when(best.isNull(), s["free"]).otherwise(F.filter(s["free"], lambda p: p != best["p"]))
-        return F.struct(left.alias("free"), (s["hits"] + F.when(best.isNull(), 0).otherwise(1)).cast("long").alias("hits"))
+        # An array of one binds the match, which would else be found again for every free position.
+        take = lambda b: F.struct(F.filter(s["free"], lambda p: b.isNull() | (p != b["p"])).alias("free"), (s["hits"] + b.isNotNull().cast("long")).alias("hits"))
+        return F.get(F.transform(F.array(best), take), F.lit(0))
 
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
     x = df.select(*by, F.coalesce(F.aggregate(F.col(truth), start, step, lambda s: s["hits"]), F.lit(0)).alias("h"), size(truth).alias("t"), size(found).alias("f"))
