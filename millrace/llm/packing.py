@@ -47,10 +47,11 @@ class _Ids(dict):
         if len(self) >= _WORDS_KEPT:
             self.clear()
         body = piece.rstrip(_MARKS)
-        if body != piece and body:
-            # Marks never share a piece with letters before them.
+        if body != piece and body[-1:].isascii() and body[-1:].isalnum():
+            # Marks never share a piece with letters or digits before them; any other character may be joined to them,
+            # and letters beyond ASCII may end in a combining sign once they are normalized and in lower case.
             ids = self[body] + self[piece[len(body) :]]
-        elif piece.isascii() and (low := piece.lower()) != piece:
+        elif piece.isascii() and "<|" not in piece and (low := piece.lower()) != piece:  # special tokens are found before lower-casing
             ids = self[low]
         else:
             ids = array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()

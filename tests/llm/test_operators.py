@@ -175,6 +175,15 @@ def test_packing(spark):
     assert packing.pack_documents(docs_of(spark, texts).where("false")).count() == 0
 
 
+def test_pieces_equal_library():
+    t = packing._known("word_bpe_49k.json").tokenizer
+    words = ['"hello".', "(see above).", "100%.", "dogs'.", "a-.", "это».", "नमस्ते.", '29B"!!', "<|ENDOFTEXT|>", "<|EndOfText|>,", "x<|endoftext|>.", "Aİ.", "\u0958.", "e\u0301.", "été!", "...", "Dog's.", "A\x1c(B)."]
+    rng = np.random.default_rng(6)
+    words += ["".join(rng.choice(list("aB9é.,!?\"')(%-«»<|>\u0301İ"), rng.integers(1, 9))) for _ in range(3000)]
+    wrong = [w for w in [*words, " ".join(words)] if packing.encode16(w) != np.array([*t.encode(w, add_special_tokens=False).ids, 1], "<u2").tobytes()]
+    assert not wrong
+
+
 def test_solver_fits_a_histogram():
     hist = np.zeros(2048, np.int64)
     hist[[1500, 548, 1000, 700, 348]] = [90, 90, 50, 50, 50]
