@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import Forest, components, deal, segments
+from .near import near_components
 from .store import materialize
 
 #: The generator polynomial of the [23, 12] Golay code, its length, check bits and covering radius.
@@ -161,11 +162,11 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each near-duplicate group; of rows that share it, one.
+    """The rows of ``docs`` with the smallest doc_id of each near-duplicate group (``near``); of rows that share it, one.
 
     Rows with a null doc_id stay: they cannot be told apart by id.
     """
-    c = simhash_components(docs)
+    c = near_components(docs)
     keep = c.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, embedding_dedup, packing, quality, sharding, simhash, toxicity, url_filter, warc
+from millrace.llm import bpe, chat, embedding_dedup, near, packing, quality, sharding, simhash, toxicity, url_filter, warc
 
 DOCS = "doc_id bigint, text string, lang string, shard int, score double, fp string, row string"
 
@@ -150,6 +150,28 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] for r in out) == sorted(set(r["component_id"] for r in simhash.simhash_components(docs_of(spark, TEXTS)).collect()))
 
 
+def test_near_copies_leave(spark):
+    rng = np.random.default_rng(9)
+    texts = [*TEXTS]
+    for _ in range(40):
+        base = [f"w{i}" for i in rng.integers(0, 5000, rng.integers(4, 300))]
+        texts.append(" ".join(base))
+        for edits in rng.integers(1, 8, 3):
+            copy = list(base)
+            for i in rng.integers(0, len(base), edits):
+                copy[i] = f"x{rng.integers(99999)}"
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        words = "".join(c.lower() if c.isascii() else c for c in t or "").split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    want = brute_components(range(len(texts)), lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) < len(set(map(frozenset, sets)))
+    assert {r["doc_id"]: r["component_id"] for r in near.near_components(docs_of(spark, texts)).collect()} == want
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs_of(spark, texts)).collect()) == sorted(set(want.values()))
+    assert simhash.one_of_each(docs_of(spark, texts).where("false")).count() == 0
+
+
 def test_packing(spark):
     texts = [*TEXTS, *(f"w{i} " * (i % 90) for i in range(400)), "x<|endoftext|>y É\x1cz", "word " * 2047, "word " * 1023]
     rows = packing.pack_documents(docs_of(spark, texts)).collect()
