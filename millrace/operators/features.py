@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import canonical
@@ -87,12 +87,24 @@ def fetch_windows(positions: DataFrame, chunked: DataFrame, window: int, size: i
     return x.select("contig", "pos", F.when((F.col("_s") >= 0) & (F.length(w) == window), w).alias("window"))
 
 
-def negative_sites(features: DataFrame, lengths: DataFrame, context: int, steps: int = 8) -> DataFrame:
-    """For each feature start a site that is no boundary: right by ``context``, or left past the contig's end, then right in steps."""
-    b = features.select("contig", F.col("start").alias("site")).distinct()
-    f = features.join(lengths, "contig").withColumn("_s", F.when(F.col("start") + context < F.col("length"), F.col("start") + context).otherwise(F.col("start") - context))
-    cand = f.select("contig", "start", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"), "_s").withColumn("site", F.col("_s") + F.col("k") * context)
-    return cand.join(b, ["contig", "site"], "left_anti").groupBy("contig", "start").agg(F.min_by("site", "k").alias("site"))
+def negative_sites(features: DataFrame, lengths: DataFrame, context: int) -> DataFrame:
+    """For each boundary a site that is none: right by ``context``, or left past the contig's end, then right in steps until one is free.
+
+    The boundaries are the starts; where ``features`` has an ``end``, both ends of an element are, and the first shift is
+    half the element if that is more (one row per ``side`` then).  Runs of boundaries a step apart are passed at once.
+    """
+    at, by, shift = F.col("_at"), ["contig", "start"], F.lit(context)
+    if "end" in features.columns:
+        by, shift = [*by, "end", "side"], F.greatest(shift, F.floor((F.col("end") - F.col("start") + 1) / 2))
+        sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("_at")) for n, c in (("left", "start"), ("right", "end"))])
+        f = features.select("contig", "start", "end", F.inline(sides)).distinct()
+    else:
+        f = features.select("contig", "start", F.col("start").alias("_at")).distinct()
+    steps = F.row_number().over(Window.partitionBy("contig", F.pmod(at, F.lit(context))).orderBy("_at"))
+    runs = f.select("contig", "_at").distinct().withColumn("_run", at - steps * context)
+    runs = runs.select("contig", at.alias("_s"), (F.max("_at").over(Window.partitionBy("contig", "_run")) + context).alias("_free"))
+    f = f.join(lengths, "contig").withColumn("_s", F.when(at + shift < F.col("length"), at + shift).otherwise(at - shift))
+    return f.join(runs, ["contig", "_s"], "left").select(*by, F.coalesce("_free", "_s").alias("site"))
 
 
 def strand_divergence(pairs: DataFrame, by: list[str], floor: float = 1e-12) -> DataFrame:

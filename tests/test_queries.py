@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from millrace.operators import metrics, rows, sampling, stats
+from millrace.operators import features, metrics, rows, sampling, stats
 from millrace.plans import preparation, queries, reports  # noqa: F401  (each enters its queries)
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
@@ -103,3 +103,25 @@ def test_heads_score_every_test_row(spark):
     assert len(multi) == 2 * n and all(0 <= r["score"] <= 1 for r in multi)
     few = QUERIES["f09_few_shot"](spark, DIR).collect()
     assert sorted(r["seed"] for r in few) == [42, 43] and all(r["n"] == n for r in few)
+
+
+def test_negative_sites_pass_long_runs(spark):
+    import random
+
+    rnd = random.Random(4)
+    n = {"a": 1000, "b": 400}
+    rows_in = sorted({("a", 10 * i, 10 * i + 10) for i in range(30)} | {(c, s, s + rnd.randint(1, 120)) for c in n for s in rnd.sample(range(280), 25)})
+    elements, lengths = spark.createDataFrame(rows_in, "contig string, start long, end long"), spark.createDataFrame(list(n.items()), "contig string, length long")
+
+    def site(c, at, shift, taken):
+        s = at + shift if at + shift < n[c] else at - shift
+        while (c, s) in taken:
+            s += 10
+        return s
+
+    starts = {(c, s) for c, s, _ in rows_in}
+    got = sorted(tuple(r) for r in features.negative_sites(elements.select("contig", "start"), lengths, 10).collect())
+    assert got == sorted((c, s, site(c, s, 10, starts)) for c, s in starts)
+    both = starts | {(c, e) for c, _, e in rows_in}
+    got = sorted(tuple(r) for r in features.negative_sites(elements, lengths, 10).collect())
+    assert got == sorted((c, s, e, side, site(c, at, max(10, (e - s + 1) // 2), both)) for c, s, e in rows_in for side, at in (("left", s), ("right", e)))
