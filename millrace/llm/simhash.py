@@ -14,11 +14,11 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .links import Forest, components, deal, segments
-from .near import near_components
+from .near import near_components, set_ids
 from .store import materialize
 
 #: The generator polynomial of the [23, 12] Golay code, its length, check bits and covering radius.
@@ -162,11 +162,15 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each near-duplicate group (``near``); of rows that share it, one.
+    """The rows of ``docs`` with the smallest doc_id of each near-duplicate group (``near``); of its rows that share it, one in a fixed order.
 
     Rows with a null doc_id stay: they cannot be told apart by id.
     """
-    c = near_components(docs)
-    keep = c.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    c = materialize(near_components(docs))
+    several = c.groupBy("doc_id").agg((F.min("set_id") != F.max("set_id")).alias("_several"))
+    heads = c.where("doc_id = component_id").groupBy("doc_id", "group_id").agg(F.min("set_id").alias("_set")).drop("group_id")
+    named = docs.join(heads.join(several, "doc_id"), "doc_id")
+    # Rows of one doc_id with several texts are told apart by their shingles.
+    named = named.where(~F.col("_several") | (set_ids(F.when(F.col("_several"), F.col("text"))) == F.col("_set")))
+    named = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_set").orderBy(F.xxhash64(*docs.columns)))).where("_n = 1")
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

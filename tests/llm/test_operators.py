@@ -172,6 +172,12 @@ def test_near_copies_leave(spark):
     assert simhash.one_of_each(docs_of(spark, texts).where("false")).count() == 0
 
 
+def test_one_doc_id_with_several_texts(spark):
+    texts = [(1, "alone in the world of words"), (1, "quite another text that has no copy"), (1, "Alone in the world of words"), (2, "quite another text of its own here"), (3, "shared by two of the rows here"), (4, "shared by two of the rows here"), (4, "only the fourth has this one here")]
+    out = simhash.one_of_each(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["text"].lower()) for r in out) == sorted((i, t.lower()) for i, t in texts if not t.startswith("Alone") and (i, t[:6]) != (4, "shared"))
+
+
 def test_packing(spark):
     texts = [*TEXTS, *(f"w{i} " * (i % 90) for i in range(400)), "x<|endoftext|>y É\x1cz", "word " * 2047, "word " * 1023]
     rows = packing.pack_documents(docs_of(spark, texts)).collect()
