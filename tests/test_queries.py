@@ -125,3 +125,13 @@ def test_negative_sites_pass_long_runs(spark):
     both = starts | {(c, e) for c, _, e in rows_in}
     got = sorted(tuple(r) for r in features.negative_sites(elements, lengths, 10).collect())
     assert got == sorted((c, s, e, side, site(c, at, max(10, (e - s + 1) // 2), both)) for c, s, e in rows_in for side, at in (("left", s), ("right", e)))
+
+
+def test_mean_interval_of_large_groups(spark):
+    want = {12: 2.200985160, 21: 2.085963447, 30: 2.045229642, 121: 1.979930405}
+    data = spark.createDataFrame([(n, float(i % 7)) for n in want for i in range(n)], "k int, v double")
+    for r in stats.mean_ci(data, ["k"], "v").collect():
+        vals = [float(i % 7) for i in range(r["k"])]
+        mean = sum(vals) / len(vals)
+        sd = (sum((v - mean) ** 2 for v in vals) / (len(vals) - 1)) ** 0.5
+        assert abs((r["high"] - mean) / sd * len(vals) ** 0.5 - want[r["k"]]) < 1e-4
