@@ -8,7 +8,7 @@ anything.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,22 +116,21 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, bloc
     auto, n = compile_globs(globs), 2 * len(rules)
     longest = sorted(range(len(rules)), key=lambda k: len(prefixes[k]))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = auto.run([h + p for h, p in zip(b["host"], b["path"], strict=True)])
-            best = np.full(len(b), -1)
-            for k in longest:
-                best[hit[:, 2 * k] | hit[:, 2 * k + 1]] = k
-            own = hit[:, n:]
-            glob = np.where(own.any(axis=1), own.argmax(axis=1), -1) if len(block) else np.full(len(b), -1)
-            b["rule"] = [prefixes[k] if k >= 0 else None for k in best]
-            b["verdict"] = [rules[k][0] if k >= 0 else ("block" if g >= 0 else "allow") for k, g in zip(best, glob, strict=True)]
-            b["block_glob"] = [block[g] if g >= 0 else None for g in glob]
-            yield b
+    @F.pandas_udf("rule string, verdict string, block_glob string")
+    def judge(host: pd.Series, path: pd.Series) -> pd.DataFrame:
+        hit = auto.run([h + p for h, p in zip(host, path, strict=True)])
+        best = np.full(len(host), -1)
+        for k in longest:
+            best[hit[:, 2 * k] | hit[:, 2 * k + 1]] = k
+        own = hit[:, n:]
+        glob = np.where(own.any(axis=1), own.argmax(axis=1), -1) if len(block) else np.full(len(host), -1)
+        verdict = [rules[k][0] if k >= 0 else ("block" if g >= 0 else "allow") for k, g in zip(best, glob, strict=True)]
+        return pd.DataFrame({"rule": [prefixes[k] if k >= 0 else None for k in best], "verdict": verdict, "block_glob": [block[g] if g >= 0 else None for g in glob]})
 
     host, path = canonical()
+    # Only host and path go to Python: ids stay what they are.
     slim = pages.select("page_id", host.alias("host"), path.alias("path"))
-    return slim.mapInPandas(judge, "page_id bigint, host string, path string, rule string, verdict string, block_glob string")
+    return slim.withColumn("_j", judge("host", "path")).select("page_id", "host", "path", "_j.rule", "_j.verdict", "_j.block_glob")
 
 
 def op1_sql() -> str:
