@@ -8,7 +8,7 @@ count.  The weights of the hits are summed, normalised by the text's length and
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -70,8 +70,17 @@ class Lexicon:
 
     def density(self, a: ahocorasick.Automaton, folded: str) -> float:
         hits = [(i - n + 1, i, w) for i, (n, w) in a.iter(folded)] if self.terms else []
-        spared = [(i, j) for i, j, w in hits if not w]
-        total = sum(w for i, j, w in hits if w and not any(x <= i and j <= y for x, y in spared))
+        total, spare, ends = 0.0, len(folded), len(hits)
+        # Hits come in the order of their ends.  Backwards, ``spare`` is the first begin of the exceptions that end here or later:
+        # a hit lies inside one of them if it begins there or after it.
+        for k in range(len(hits) - 1, -1, -1):
+            i, j, w = hits[k]
+            while ends and hits[ends - 1][1] >= j:
+                ends -= 1
+                if not hits[ends][2]:
+                    spare = min(spare, hits[ends][0])
+            if w and i < spare:
+                total += w
         return float(np.log1p(8 * total / np.sqrt(max(1, folded.count(" ") - 1))))
 
 
@@ -175,13 +184,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50
     return float(b[0]), max(0.0, float(b[1]))
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
-
-    Narrow: only the text column goes to Python, whole.  Null and empty texts have no hit and get the curve's lowest score.  Repeated rows
-    score alike.  Columns of these names in the input are replaced.
-    """
-
+def _scorer(lexicon: Lexicon) -> Callable[..., Column]:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = lexicon.matcher()
@@ -189,7 +192,16 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) ->
             x = np.array([lexicon.density(a, fold(t)) for t in texts], float)
             yield pd.Series(1 / (1 + np.exp(-(lexicon.intercept + lexicon.slope * x))))
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score
+
+
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
+
+    Narrow: only the text column goes to Python, whole.  Null and empty texts have no hit and get the curve's lowest score.  Repeated rows
+    score alike.  An empty table gives an empty result.  Columns of these names in the input are replaced; all others stay.
+    """
+    return docs.withColumn("score", _scorer(lexicon)("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,6 +209,10 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents below the threshold, in the columns of ``docs``."""
-    return score_toxicity(docs, learn(docs, labels)).where("predicted = 0").select(docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold, every column as it was, whatever its name.
+
+    Null and empty texts stay, so do repeated rows and rows with a null doc_id; an empty table gives an empty result.
+    """
+    scored = docs.select(F.struct("*").alias("doc"), _scorer(learn(docs, labels))("text").alias("score"))
+    return scored.where(F.col("score") < threshold).select("doc.*")
