@@ -36,25 +36,33 @@ def bad_line(line: Column) -> Column:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Each row of ``docs`` as the struct ``doc``, so that no column of it can clash with the steps beside it."""
+    whole = F.col("doc.text")
+    text = F.coalesce(whole, F.lit(""))
     bare = F.btrim(text, F.lit(SPACE))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     # Each step reads arrays of the step before more than once, so they stay columns and are made once.
-    step = docs.withColumns({
-        "_word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-        "_n_symbols": _count(text, SYMBOLS).cast("long"),
-        "_lines": lines,
-        "_h": F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(bare, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))),
-    })
+    step = docs.select(
+        F.struct("*").alias("doc")
+    ).select(
+        "doc",
+        F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
+        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
+        lines.alias("lines"),
+        F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(bare, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))).alias("h"),
+    )
+    # Hashes of windows of 2, 4 and 8 words, each from two of the size before; a window that hangs over the end is cut off.
+    pairs = lambda c, n: F.zip_with(c, F.slice(c, n + 1, F.greatest(F.size(c) - n, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     step = step.withColumns({
-        "_n_words": F.size("_h").cast("long"),
-        "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_bad": F.filter("_lines", bad_line),
-        "_w": F.when(F.size("_h") >= 8, F.transform(F.sequence(F.lit(0), F.size("_h") - 8), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(8)]))),
-    })
-    step = step.withColumn("_s", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    here, before, after = (lambda x: x["h"]), (lambda i: F.get(F.col("_s"), i - 1)["h"]), (lambda i: F.get(F.col("_s"), i + 1)["h"])
-    twice = F.filter("_s", lambda x, i: F.coalesce(here(x) == before(i), F.lit(False)) | F.coalesce(here(x) == after(i), F.lit(False)))
+        "n_words": F.size("h").cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "bad": F.filter("lines", bad_line),
+        "h2": F.when(F.size("h") >= 8, pairs("h", 1)),
+    }).drop("h", "lines")
+    step = step.withColumn("h4", pairs("h2", 2)).withColumn("w", F.slice(pairs("h4", 4), 1, F.col("n_words").cast("int") - 7)).drop("h2", "h4")
+    step = step.withColumn("s", F.when(F.size(F.array_distinct("w")) < F.size("w"), F.sort_array(F.transform("w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    here, before, after = (lambda x: x["h"]), (lambda i: F.get(F.col("s"), i - 1)["h"]), (lambda i: F.get(F.col("s"), i + 1)["h"])
+    twice = F.filter("s", lambda x, i: F.coalesce(here(x) == before(i), F.lit(False)) | F.coalesce(here(x) == after(i), F.lit(False)))
     begins = F.sort_array(F.transform(twice, lambda x: x["i"]))
     covered = F.aggregate(
         begins,
@@ -62,8 +70,15 @@ def _counted(docs: DataFrame) -> DataFrame:
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(8), i - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    lost = F.aggregate("_bad", F.lit(0).cast("long"), lambda a, x: a + F.length(F.translate(x, SPACE, "")))
-    return step.withColumns({"_n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"), "_lost": F.coalesce(lost, F.lit(0)).cast("long")})
+    lost = F.aggregate("bad", F.lit(0).cast("long"), lambda a, x: a + F.length(F.translate(x, SPACE, "")))
+    step = step.withColumns({"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"), "lost_chars": F.coalesce(lost, F.lit(0)).cast("long")}).drop("w", "s")
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    kept = ~failed & (F.col("lost_chars") <= MAX_LOST * F.col("word_chars"))
+    clean = F.when(F.size("bad") == 0, whole).otherwise(F.concat_ws("\n", F.filter(F.split(whole, "\n"), lambda x: ~bad_line(x))))
+    return step.withColumns({"base_failed": failed, "kept": kept, "clean_text": clean}).drop("bad")
+
+
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept", "clean_text")
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
@@ -71,26 +86,23 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
     Narrow: one pass over the rows, no shuffle, each text whole.  Null and empty texts have zero counts, fail the
     base rule and are not kept.  Repeated rows are judged alike.  Words in a repeated 8-word window are found by
-    64-bit hashes of the words inside one text.  ``clean_text`` is the text without its failed lines.
-    Columns of these names in the input are replaced.
+    64-bit hashes of the words inside one text.  ``clean_text`` is the text without its failed lines.  An empty table gives an
+    empty result.  Columns of these names in the input are replaced; all others stay, whatever their names.
     """
-    c = _counted(docs)
-    failed = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
-    kept = ~failed & (F.col("_lost") <= MAX_LOST * F.col("_word_chars"))
-    clean = F.when(F.size("_bad") == 0, F.col("text")).otherwise(F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: ~bad_line(x))))
-    out = c.withColumns({n: F.col(f"_{n}") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"lost_chars": F.col("_lost"), "base_failed": failed, "kept": kept, "clean_text": clean})
-    return out.drop("_word_chars", "_n_symbols", "_lines", "_h", "_n_words", "_n_dup_lines", "_bad", "_w", "_s", "_n_repeat_words", "_lost")
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in FIGURES]
+    return _counted(docs).select(*own, *FIGURES)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The kept documents with failed lines removed, in the columns of ``docs``; ``n_chars`` follows the text if present."""
-    judged = judge_quality(docs)
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("clean_text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.length("clean_text").cast("long")
+    """The kept documents with failed lines removed, every other column as it was; ``n_chars`` follows the text if present.
+
+    Repeated rows and rows with a null doc_id are judged like any other; an empty table gives an empty result.
+    """
+    judged = _counted(docs)
+    fresh = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    row = F.struct(*[fresh.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
     # A filter would be pushed below the steps and its arrays made anew for every word; a generator's output stays above them.
-    row = F.struct(F.lit(True).alias("_kept"), *(v.alias(k) for k, v in columns.items()))
-    return judged.select(F.inline_outer(F.when(F.col("kept"), F.array(row)))).where("_kept").select(docs.columns)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(row)).otherwise(F.array())).alias("doc")).select("doc.*")
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
