@@ -14,18 +14,18 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .links import Forest, components, deal, segments
-from .near import near_components, set_ids
+from .near import near_components, row_key
 from .store import materialize
 
 #: The generator polynomial of the [23, 12] Golay code, its length, check bits and covering radius.
 GOLAY = 0b110001110101
 BITS, CHECK, RADIUS = 23, 11, 3
-#: Fingerprints that differ from one block of anchors on are covered by two blocks (4096 and 4096 squared anchors).
-ONE_BLOCK_UP_TO = 1 << 21
+#: More distinct fingerprints than this are covered by two blocks of anchors (4096 squared) and not by one (4096).
+ONE_BLOCK_UP_TO = 1 << 24
 HOMES_PER_TASK = 4096
 _STEP = 1 << 15
 
@@ -142,18 +142,20 @@ def fingerprint_links(prints: DataFrame, threshold: int = 3, blocks: int = 1) ->
 def simhash_components(docs: DataFrame, threshold: int = 3, blocks: int | None = None) -> DataFrame:
     """doc_id, fp (signed 64 bit), component_id for each row of ``docs``.
 
-    Null and empty texts have fingerprint zero and link like any other.  Equal fingerprints are one node, named by
-    its smallest doc_id, so copies and repeated rows are never compared with each other.  Rows with a null doc_id
-    take part where another row of their fingerprint has a doc_id; else component_id is null.
-    Whole texts are read once; afterwards only (doc_id, fingerprint) moves.
+    Null and empty texts have fingerprint zero and link like any other.  Equal fingerprints are one node, so copies and repeated rows are
+    never compared with each other, and a doc_id may be on several rows.  Rows with a null doc_id take part; component_id is null where no
+    row of the component has a doc_id.  An empty table gives an empty result.  Whole texts are read once; afterwards only (doc_id, fingerprint)
+    moves, and other columns are not read.
     """
     rows = materialize(docs.select("doc_id", _fingerprints("text").alias("fp")))
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     if blocks is None:
         blocks = 1 if prints.count() <= ONE_BLOCK_UP_TO else 2
-    links = fingerprint_links(prints.where("node IS NOT NULL").repartition("fp"), threshold, blocks)
-    known = prints.join(components(links), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    links = fingerprint_links(prints.select("fp", F.col("fp").alias("node")).repartition("fp"), threshold, blocks)
+    named = prints.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = materialize(named)
+    heads = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(heads, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -162,15 +164,18 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each near-duplicate group (``near``); of its rows that share it, one in a fixed order.
+    """One row of ``docs`` of each near-duplicate group (``near``): that with the smallest doc_id, every column as it was.
 
-    Rows with a null doc_id stay: they cannot be told apart by id.
+    Rows without a doc_id come last in a group, so one of them stays only where no other row of the group has one.  Of rows that share the
+    doc_id the smallest row key stays, of rows that share the text too the smallest hash of the row; texts that are no near copy stay, whatever their doc_id.
     """
     c = materialize(near_components(docs))
-    several = c.groupBy("doc_id").agg((F.min("set_id") != F.max("set_id")).alias("_several"))
-    heads = c.where("doc_id = component_id").groupBy("doc_id", "group_id").agg(F.min("set_id").alias("_set")).drop("group_id")
-    named = docs.join(heads.join(several, "doc_id"), "doc_id")
-    # Rows of one doc_id with several texts are told apart by their shingles.
-    named = named.where(~F.col("_several") | (set_ids(F.when(F.col("_several"), F.col("text"))) == F.col("_set")))
-    named = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_set").orderBy(F.xxhash64(*docs.columns)))).where("_n = 1")
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("head")
+    heads = c.groupBy("group_id").agg(head).select("head.doc_id", "head.row_key")
+    repeated = c.groupBy("row_key").count().where("count > 1").select("row_key")
+    heads = materialize(heads.join(repeated.withColumn("again", F.lit(True)), "row_key", "left"))
+    rows = docs.select(F.struct("*").alias("doc"), row_key(docs).alias("row_key")).join(heads.select("row_key", "again"), "row_key")
+    # Only rows that are there more than once are grouped.
+    order = F.xxhash64(*[F.col("doc").getField(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    one = rows.where("again").groupBy("row_key").agg(F.min_by("doc", order).alias("doc"))
+    return rows.where("again IS NULL").select("doc.*").unionByName(one.select("doc.*"))
