@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,7 +25,8 @@ from .store import materialize
 
 WINDOW = 2048
 END_ID = 1
-#: Three-part combinations are enumerated among this many of the most frequent lengths.
+#: Three-part combinations are enumerated among this many of the most frequent lengths.  All other lengths still fit as pairs or in the residual
+#: stream: the bound costs cuts (more pieces), never padding or a document.
 TRIPLE_LENGTHS = 48
 SOLVER_SWEEPS = 60
 _WORDS_KEPT = 900_000
@@ -148,26 +149,29 @@ class Plan:
 def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece of every document.
 
-    Null and empty texts are the end id alone.  Each row is packed, repeated ones too; a null doc_id stays null.  Whole texts are encoded
+    Null and empty texts are the end id alone.  Each row is packed, repeated ones too; a null doc_id stays null.  Other columns are not read, and
+    an empty table gives an empty result.  Whole texts are encoded
     once and kept as 16-bit ids in the shared folder.  The driver holds the histogram of remainders (``window`` counts); the numbers of
     remainders before each input partition are summed per length in Spark.  Only the last sequence is padded.
     """
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, whole, part = np.zeros(window, np.int64), 0, TaskContext.get().partitionId()
         for b in batches:
-            ids = [encode16(t) for t in b["text"]]
+            ids = [encode16(t) for t in b.column("text").to_pylist()]
             n = np.array([len(i) // 2 for i in ids], np.int64)
-            rest, rank = n % window, []
-            for r in rest:
-                rank.append(seen[r])
+            rest, rank = n % window, np.zeros(len(n), np.int64)
+            for k, r in enumerate(rest):
+                rank[k] = seen[r]
                 seen[r] += 1
             full = n // window
-            yield pd.DataFrame({"part": part, "doc_id": b["doc_id"].astype("Int64"), "n": n, "rest": rest, "rank": rank, "chunk": whole + np.cumsum(full) - full, "ids": ids})
+            columns = [pa.array(np.full(len(n), part, np.int32)), b.column("doc_id"), *map(pa.array, (n, rest, rank, whole + np.cumsum(full) - full)), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n", "rest", "rank", "chunk", "ids"])
             whole += int(full.sum())
 
     schema = "part int, doc_id bigint, n bigint, rest bigint, rank bigint, chunk bigint, ids binary"
-    coded = materialize(docs.select("doc_id", "text").mapInPandas(tokens, schema))
+    # Arrow batches carry the ids through as they are: pandas would make them floats beside a null.
+    coded = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, schema))
     counts = materialize(coded.groupBy("part", "rest").agg(F.count("*").alias("rows"), F.sum(F.floor(F.col("n") / window)).alias("chunks")))
     hist = np.zeros(window, np.int64)
     for r in counts.groupBy("rest").agg(F.sum("rows").alias("rows")).collect():  # one row per length
@@ -182,10 +186,11 @@ def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     offsets = materialize(counts.select("part", "rest", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rank0")).join(first, "part"))
     placed = coded.join(offsets, ["part", "rest"])
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for b in batches:
             out = []
-            cols = (b[c].tolist() for c in ("n", "rest", "rank", "rank0", "chunk", "chunk0", "ids"))
+            cols = (b.column(c).to_pylist() for c in ("n", "rest", "rank", "rank0", "chunk", "chunk0", "ids"))
             for k, (n, rest, rank, rank0, chunk, chunk0, ids) in enumerate(zip(*cols, strict=True)):
                 ids = np.frombuffer(ids, "<u2").astype("<u4")
                 spots = [(chunk0 + chunk + i, 0, window) for i in range(n // window)]
@@ -194,9 +199,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for seq, offset, m in spots:
                     out.append((k, at, m, zlib.crc32(ids[at : at + m].tobytes()), n, seq, offset))
                     at += m
-            frame = pd.DataFrame(out, columns=["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            frame.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy()[frame.pop("k")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            table = np.array(out, np.int64).reshape(-1, 7)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(table[:, 0])), *(pa.array(table[:, i + 1]) for i in range(6))], ["doc_id", *names])
 
-    return placed.select("doc_id", "n", "rest", "rank", "rank0", "chunk", "chunk0", "ids").mapInPandas(pieces, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return placed.select("doc_id", "n", "rest", "rank", "rank0", "chunk", "chunk0", "ids").mapInArrow(pieces, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
