@@ -1,16 +1,19 @@
 """WARC archives and their index by external merge.
 
-Records are written by Spark's text writer: a record is a string, and the blank lines that end it are the line separator.  Each archive
-file that is read back gives a run of captures, sorted in the task that reads it.  The runs are dealt out by ranges of (URL key, timestamp), and in each range a
-loser tree merges them, so that the ranges in order hold every URL's history in order.
+Records are written by Spark's text writer: a record is a string, and the blank lines that end it are the line separator.  The archives are compressed,
+so each is one stream: it is read back piece by piece between blank lines, and no archive is held whole.  Each archive gives a run of
+captures.  The runs are dealt out by ranges of (URL key, timestamp) and sorted there by Spark, once; a loser tree merges the sorted runs of each range, so that
+the ranges in order hold every URL's history in order.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +22,13 @@ from .store import materialize, shared_dir
 
 #: Equal payloads of at least this many bytes are stored once.
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 500
+#: Captures that a task merges at once; it holds them as Arrow columns.
+CAPTURES_PER_RANGE = 200_000
 _END = "\r\n\r\n"
 _CDX = "url_key string, at bigint, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint"
+_NAMES = [c.split()[0] for c in _CDX.split(", ")]
+_TYPES = [pa.string() if c.endswith("string") else pa.int64() for c in _CDX.split(", ")]
+_SCHEMA = pa.schema(list(zip(_NAMES, _TYPES, strict=True)))
 
 
 def url_key(url: str = "url"):
@@ -31,46 +38,75 @@ def url_key(url: str = "url"):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.substr(rest, F.length(host) + 1))
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
-    """One record per row of ``pages`` (page_id, url, html).
+def write_warc(pages: DataFrame, path: str, fetched: str | None = None) -> None:
+    """One record per row of ``pages`` (page_id, url, html); ``fetched`` names a column with the times of fetching.
 
     Null html is an empty payload, a null URL an empty target.  Of equal payloads of at least MIN_REVISIT_BYTES the one with the largest
     page_id is a response, the others revisit it; a payload whose page_ids are all null is a response.  Rows that share
-    the largest page_id are responses alike.  Only digests of payloads that occur twice join the pages.
+    the largest page_id are responses alike.  Other columns are not read.  Digests and ids alone decide who revisits; what they decide joins the pages by
+    (page_id, digest), so that a payload of any number of pages stays spread.  Each task writes one archive, so their size follows the input splits.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
+    # Without times of its own a capture gets one from its id, within 17 years, whatever the id is.
+    time = F.coalesce(F.col(fetched), F.timestamp_seconds(F.lit(1_700_000_000))) if fetched else F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 29)))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"), time.alias("time"))
     keyed = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest")).where(F.octet_length(html) >= MIN_REVISIT_BYTES)
-    first = materialize(keyed.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1").drop("n"))
-    rows = rows.join(first, "digest", "left")
-    revisit = (F.col("bytes") >= MIN_REVISIT_BYTES) & F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    # A page has no fetch time: its id, as seconds of an epoch, gives each capture one.
-    date = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + F.lit(1_700_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    first = keyed.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    again = keyed.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    again = materialize(again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to"))
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    revisit = F.col("refers_to").isNotNull()
     clean = F.regexp_replace("url", r"[\r\n]", "")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), clean,
-        F.lit("\r\nWARC-Date: "), date, F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Bytes: "), F.col("bytes").cast("string"), F.lit("\r\nX-URL-Key: "), F.regexp_replace(url_key(), r"[\r\n]", ""),
+        F.lit("\r\nWARC-Date: "), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Bytes: "), F.col("bytes").cast("string"), F.lit("\r\nX-URL-Key: "), F.regexp_replace(url_key(), r"[\r\n]", ""),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
-        F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, "0").otherwise(F.col("bytes").cast("string")), F.lit("\r\n\r\n"),
+        F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, "0").otherwise(F.col("bytes").cast("string")), F.lit(_END),
     )
     record = F.concat(head, F.when(revisit, "").otherwise(F.col("html")))
-    rows.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
+    rows.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").text(path)
+
+
+class WarcStream:
+    """Puts one archive together again from its pieces between blank lines; holds no more than the record that is being read."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.buffer, self.at, self.head, self.need, self.begun = name, bytearray(), 0, None, 0, False
+
+    def feed(self, piece: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+        """(offset, headers in lower case, payload) of each record that the piece completes."""
+        if self.begun:
+            self.buffer += _END.encode()
+        self.begun = True
+        self.buffer += piece
+        yield from self._records()
+
+    def _records(self) -> Iterator[tuple[int, dict[str, str], bytes]]:
+        while self.buffer:
+            if self.head is None:
+                if (end := self.buffer.find(b"\r\n\r\n")) < 0:
+                    return
+                lines = self.buffer[:end].decode().split("\r\n")
+                if lines[0] != "WARC/1.1":
+                    raise ValueError(f"{self.name}: no record at byte {self.at}")
+                self.head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+                self.begin, self.need = end + 4, end + 4 + int(self.head["content-length"])
+            if len(self.buffer) < self.need + 4:
+                return
+            if self.buffer[self.need : self.need + 4] != b"\r\n\r\n":
+                raise ValueError(f"{self.name}: the record at byte {self.at} does not end where its length says")
+            yield self.at, self.head, bytes(self.buffer[self.begin : self.need])
+            self.at, self.head = self.at + self.need + 4, None
+            del self.buffer[: self.need + 4]
 
-def parse_warc(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers in lower case, payload) of each record."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split("\r\n")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        begin = end + 4
-        stop = begin + int(head["content-length"])
-        if lines[0] != "WARC/1.1" or content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"no record at byte {at}")
-        yield at, head, content[begin:stop]
-        at = stop + 4
+    def close(self) -> Iterator[tuple[int, dict[str, str], bytes]]:
+        """The last record: the reader takes the blank lines at the archive's end away, unless a line break before them goes with them."""
+        if self.buffer:
+            self.buffer += _END.encode()
+            yield from self._records()
+        if self.buffer:
+            raise ValueError(f"{self.name}: the record at byte {self.at} is not whole")
 
 
 class LoserTree:
@@ -106,63 +142,82 @@ class LoserTree:
             self._play(w)
 
 
-def read_captures(spark, path: str) -> DataFrame:
-    """One row per record of the archives; digest and size are taken from the payload where the record holds it.
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
 
-    Each file is one sorted run: by url_key, time, page_id.
-    """
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_captures(spark, path: str) -> DataFrame:
+    """One row per record of the archives, each archive a run; digest and size are taken from the payload where the record holds it."""
+
+    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = lambda v: int(v[len("<urn:page:") : -1]) if v and v != "<urn:page:>" else None
-        for b in batches:
-            for file, content in zip(b["path"], b["content"], strict=True):
-                out = []
-                for at, h, payload in parse_warc(content):
-                    stored = h["warc-type"] == "response"
-                    digest = hashlib.sha1(payload).hexdigest()
-                    if stored and f"sha1:{digest}" != h["warc-payload-digest"]:
-                        raise ValueError(f"{file}: wrong digest at byte {at}")
-                    time = int(pd.Timestamp(h["warc-date"]).timestamp())
-                    out.append((h["x-url-key"], time, page(h["warc-record-id"]), h["warc-target-uri"], len(payload) if stored else int(h["x-payload-bytes"]), digest if stored else h["warc-payload-digest"][5:], h["warc-type"], page(h.get("warc-refers-to")), file, at))
-                out.sort(key=lambda x: (x[0], x[1], x[9]))
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in _CDX.split(", ")])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(runs, _CDX)
-
-
-def merge_index(captures: DataFrame) -> DataFrame:
-    """``captures`` with range_no and range_pos, in which (range_no, range_pos) is the global order by url_key, time, file, offset.
-
-    A range receives its slice of every run; the slices are merged by a loser tree.  The range key goes down to the record, so that one URL or
-    host may spread over many ranges.
-    """
-    names = [c.split()[0] for c in _CDX.split(", ")]
+        stream, out = WarcStream(""), []
+
+        def take(records: Iterator[tuple[int, dict[str, str], bytes]]) -> None:
+            for at, h, payload in records:
+                stored = h["warc-type"] == "response"
+                digest = hashlib.sha1(payload).hexdigest()
+                if stored and f"sha1:{digest}" != h["warc-payload-digest"]:
+                    raise ValueError(f"{stream.name}: wrong digest at byte {at}")
+                time = int(datetime.fromisoformat(h["warc-date"]).timestamp())
+                out.append((h["x-url-key"], time, page(h["warc-record-id"]), h["warc-target-uri"], len(payload) if stored else int(h["x-payload-bytes"]), digest if stored else h["warc-payload-digest"][5:], h["warc-type"], page(h.get("warc-refers-to")), stream.name, at))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs: dict[str, list[tuple]] = {}
         for b in batches:
-            for row in b.astype(object).where(b.notna(), None).itertuples(index=False, name=None):
-                runs.setdefault(row[8], []).append(row)
-        order = lambda x: (x[0], x[1], x[8], x[9])
-        # A shuffle may bring a run's blocks in any order, so each slice is put in order before the merge.
-        tree = LoserTree([iter([(order(x), x) for x in sorted(r, key=order)]) for r in runs.values()])
-        out, pos, part = [], 0, TaskContext.get().partitionId()
-        for _, x in tree:
-            out.append((*x, part, pos))
-            pos += 1
-            if len(out) == 5000:
-                yield pd.DataFrame(out, columns=[*names, "range_no", "range_pos"]).astype({"page_id": "Int64", "refers_to": "Int64"})
-                out = []
+            for file, piece in zip(b.column("file").to_pylist(), b.column("piece").to_pylist(), strict=True):
+                if file != stream.name:
+                    take(stream.close())
+                    stream = WarcStream(file)
+                take(stream.feed(piece))
+                if len(out) >= 2000:
+                    yield _batch(out)
+                    out.clear()
+        take(stream.close())
         if out:
-            yield pd.DataFrame(out, columns=[*names, "range_no", "range_pos"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _batch(out)
+
+    pieces = spark.read.option("lineSep", _END).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInArrow(captures, _CDX)
 
-    return captures.repartitionByRange("url_key", "at", "file", "offset").mapInPandas(merge, f"{_CDX}, range_no int, range_pos bigint")
+
+def merge_index(captures: DataFrame, per_range: int = CAPTURES_PER_RANGE) -> DataFrame:
+    """``captures`` with range_no and range_pos, in which (range_no, range_pos) is the global order by url_key, time, page_id, file, offset.
+
+    There are enough ranges for about ``per_range`` captures each.  A range receives its slice of every run, sorted by Spark, and a loser tree
+    merges the slices.  The range key goes down to the record, so that one URL or host may spread over many ranges.
+    """
+    ranges = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // per_range))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches, _SCHEMA)
+        if not len(whole):
+            return
+        files = whole.column("file").to_numpy()
+        edges = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1), len(whole)]
+
+        def run(i: int, j: int) -> Iterator[tuple]:
+            cut = whole.slice(i, j - i)
+            for k in range(0, j - i, 1000):
+                part = cut.slice(k, 1000)
+                rows = zip(*(part.column(c).to_pylist() for c in ("url_key", "at", "page_id", "offset")), strict=True)
+                yield from ((key.encode(), at, page is not None, page or 0, files[i], offset, i + k + n) for n, (key, at, page, offset) in enumerate(rows))
+
+        order = np.fromiter((x[-1] for x in LoserTree([run(int(i), int(j)) for i, j in zip(edges, edges[1:], strict=False)])), np.int64, len(whole))
+        part = TaskContext.get().partitionId()
+        for k in range(0, len(order), 5000):
+            some = whole.take(pa.array(order[k : k + 5000])).combine_chunks()
+            place = [pa.array(np.full(len(some), part, np.int32)), pa.array(np.arange(k, k + len(some), dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in some.columns), *place], [*_NAMES, "range_no", "range_pos"])
+
+    key = ["url_key", "at", "page_id", "file", "offset"]
+    sorted_runs = captures.repartitionByRange(ranges, *key).sortWithinPartitions("file", "url_key", "at", "page_id", "offset")
+    return sorted_runs.mapInArrow(merge, f"{_CDX}, range_no int, range_pos bigint")
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder, read them back and merge their index: one row per page."""
+    """Write ``pages`` to archives in the shared folder, read them back and merge their index: one row per page.
+
+    Repeated rows each have their record, a null page_id stays null, and an empty table gives an empty result.
+    """
     spark = pages.sparkSession
     path = shared_dir(spark)
     write_warc(pages, path)
