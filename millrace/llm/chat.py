@@ -12,11 +12,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
-import public_tokenizers
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+
+from .bpe import encoding
 
 #: Reserved names; their ids follow the vocabulary.
 RESERVED = ("im_start", "im_end", "im_role")
@@ -33,23 +34,37 @@ def unescape(text: str) -> str:
 
 
 @cache
-def _tokenizer(name: str) -> tuple[Tokenizer, dict[str, int]]:
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.no_truncation()
-    t.no_padding()
-    t.encode_special_tokens = True  # control strings in a text are ordinary text
-    return t, {r: t.get_vocab_size() + i for i, r in enumerate(RESERVED)}
+def _encoding(name: str) -> tuple[tiktoken.Encoding, dict[str, int]]:
+    e = encoding(name)
+    return e, {r: e.n_vocab + i for i, r in enumerate(RESERVED)}
+
+
+class _Roles(dict):
+    """Ids of the roles met before; starts anew when it has grown large."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+
+    def __missing__(self, role: str) -> list[int]:
+        if len(self) >= 10_000:
+            self.clear()
+        ids = _encoding(self.name)[0].encode_ordinary(escape(role))
+        if len(role) <= 64:
+            self[role] = ids
+        return ids
+
+
+_roles = cache(_Roles)
 
 
-def assemble(turns: list[tuple[str, str]], name: str = "byte_bpe_50k.json") -> tuple[np.ndarray, np.ndarray]:
+def assemble(turns: list[tuple[str, str]], name: str = "byte_bpe_50k.tiktoken") -> tuple[np.ndarray, np.ndarray]:
     """(ids, loss mask) of turns (role, text): start, role, role end, text, end."""
-    t, own = _tokenizer(name)
-    codes = t.encode_batch([escape(s) for turn in turns for s in turn], add_special_tokens=False)
-    ids, edges = [], []
-    for k, (role, _) in enumerate(turns):
-        ids += [own["im_start"], *codes[2 * k].ids, own["im_role"]]
+    e, own = _encoding(name)
+    ids, edges, known = [], [], _roles(name)
+    for role, text in turns:
+        ids += [own["im_start"], *known[role], own["im_role"]]
         begin = len(ids)
-        ids += codes[2 * k + 1].ids
+        ids += e.encode_ordinary(escape(text))  # control strings in a text are ordinary text
         if role == "assistant":
             edges += [(begin, 1), (len(ids), -1)]
         ids.append(own["im_end"])
@@ -59,14 +74,15 @@ def assemble(turns: list[tuple[str, str]], name: str = "byte_bpe_50k.json") -> t
     return np.array(ids, np.int64), np.cumsum(steps)[:-1] == 1
 
 
-def read_back(ids: np.ndarray, mask: np.ndarray, name: str = "byte_bpe_50k.json") -> Iterator[tuple[str, str, str]]:
+def read_back(ids: np.ndarray, mask: np.ndarray, name: str = "byte_bpe_50k.tiktoken") -> Iterator[tuple[str, str, str]]:
     """(role, text, text under the mask) of each turn, from the output alone."""
-    t, own = _tokenizer(name)
-    decode = lambda x: unescape(t.decode(x.tolist(), skip_special_tokens=False)) if len(x) else ""
+    e, own = _encoding(name)
+    decode = lambda x: unescape(e.decode_bytes(x.tolist()).decode()) if len(x) else ""
     starts, roles, ends = (np.flatnonzero(ids == own[r]) for r in ("im_start", "im_role", "im_end"))
-    for s, r, e in zip(starts, roles, ends, strict=True):
-        text = ids[r + 1 : e]
-        yield decode(ids[s + 1 : r]), decode(text), decode(text[mask[r + 1 : e]])
+    for s, r, e_ in zip(starts, roles, ends, strict=True):
+        text, under = ids[r + 1 : e_], mask[r + 1 : e_]
+        whole = decode(text)
+        yield decode(ids[s + 1 : r]), whole, whole if under.all() else decode(text[under])
 
 
 def as_text(turns: list[tuple[str, str]]) -> str:
@@ -74,56 +90,81 @@ def as_text(turns: list[tuple[str, str]]) -> str:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, ids, mask, formatted: one row per turn, in partitions that hold each conversation whole and in order.
+    """conv_id, turn, ids, mask, formatted: one row per turn, made where the turn is read.
 
-    Null texts and roles are empty.  Rows that share conv_id and turn follow role, then text; repeated rows stay.  Rows with a null conv_id
-    are one conversation.  A turn is a row of the output, so a conversation of any length streams through its task.
+    A conversation is its turns' ids, masks and texts end to end in the order of ``turn``: the template carries nothing over from one turn to
+    the next.  Null texts and roles are empty; repeated rows stay; other columns are not read; an empty table gives an empty result.
     """
 
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for role, text in zip(b["role"], b["text"], strict=True):
-                ids, mask = assemble([(role, text)])
-                out.append((ids.astype("<u4").tobytes(), mask.astype("u1").tobytes(), as_text([(role, text)])))
-            yield pd.concat([b[["conv_id", "turn"]].astype("Int64").reset_index(drop=True), pd.DataFrame(out, columns=["ids", "mask", "formatted"])], axis=1)
+            turns = list(zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True))
+            made = [assemble([t]) for t in turns]
+            ids, mask = [i.astype("<u4").tobytes() for i, _ in made], [m.astype("u1").tobytes() for _, m in made]
+            columns = [b.column("conv_id"), b.column("turn"), pa.array(ids, pa.binary()), pa.array(mask, pa.binary()), pa.array([as_text([t]) for t in turns], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "ids", "mask", "formatted"])
 
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInPandas(turn, "conv_id bigint, turn bigint, ids binary, mask binary, formatted string")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    rows = conversations.select(long("conv_id"), long("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(turn, "conv_id bigint, turn bigint, ids binary, mask binary, formatted string")
+
+
+def read_turns(formatted: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, loss, formatted_chars of each turn, read back from its ids and mask; ``loss`` is null where it is the text."""
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for k, (ids, mask, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("ids", "mask", "formatted")), strict=True)):
+                turns = list(read_back(np.frombuffer(ids, "<u4"), np.frombuffer(mask, "u1") == 1))
+                at += [k] * len(turns)
+                out += [(role, said, None if loss == said else loss, len(text) if i == 0 else 0) for i, (role, said, loss) in enumerate(turns)]
+            at = pa.array(at, pa.int64())
+            columns = [b.column("conv_id").take(at), b.column("turn").take(at), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "role", "text", "loss", "formatted_chars"])
+
+    return formatted.mapInArrow(back, "conv_id bigint, turn bigint, role string, text string, loss string, formatted_chars bigint")
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
     """Per conversation, read back from the formatted output: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Running hashes over the ordered turns: no conversation is held whole.
+    Turns are formatted and read back where they are read; only finished turns meet, in order, for running hashes: no conversation is
+    held whole.  Rows that share conv_id and turn follow role, then text.  Rows with a null conv_id are one conversation.
     """
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, out = object(), None, []
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        def close() -> None:
+            if state:
+                n, turns, chars, loss, formatted = state
+                out.append((last, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
 
-        def close() -> tuple:
-            n, turns, chars, loss, formatted = state
-            return last, n, turns.hexdigest(), chars, loss.hexdigest(), formatted
+        def flush() -> pa.RecordBatch:
+            rows = out[:]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
         for b in batches:
-            out = []
-            for conv, ids, mask, formatted in zip(b["conv_id"], b["ids"], b["mask"], b["formatted"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, role, text, loss, formatted in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "formatted_chars")), strict=True):
                 if conv != last:
-                    if state:
-                        out.append(close())
+                    close()
                     last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, loss in read_back(np.frombuffer(ids, "<u4"), np.frombuffer(mask, "u1") == 1):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
-                state[4] += len(formatted)
+                said = text if loss is None else loss
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode())
+                state[2] += len(said)
+                state[3].update(said.encode())
+                state[4] += formatted
             if out:
-                yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
-        if state:
-            yield pd.DataFrame([close()], columns=columns).astype({"conv_id": "Int64"})
-
-    return format_conversations(conversations).mapInPandas(digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+                yield flush()
+        close()
+        if out:
+            yield flush()
+
+    turns = read_turns(format_conversations(conversations))
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.mapInArrow(digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
