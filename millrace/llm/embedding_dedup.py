@@ -22,8 +22,10 @@ from .store import materialize
 
 BLOCK_DIMS = 8
 HOMES_PER_TASK = 4096
-#: A grid over one dimension of each block serves this many vectors of a label; each further dimension as many times this.
-GRID_UP_TO = 200_000
+#: Measured nanoseconds of one comparison inside a block, and of one copy of a vector made, sent and read again.
+PAIR_NS, COPY_NS = 6.0, 9000.0
+#: Share of the comparisons that each further dimension of the grid leaves.
+GRID_KEEPS = 0.55
 _SLACK = 1e-5
 
 
@@ -57,16 +59,26 @@ def _cells(x: np.ndarray, radius: float, grid: int) -> Iterator[tuple[np.ndarray
             yield np.flatnonzero(ok), cell[ok], 2
 
 
-def vector_links(vectors: DataFrame, cosine: float, grid: int) -> DataFrame:
-    """From (label, node, n, v: binary of float64): rows (a, null, w) that add w links to a, and (a, b, null) that join up."""
-    squared = 2 - 2 * cosine
+def grid_width(rows: int) -> int:
+    """Dimensions of each block's grid with the least estimated cost for ``rows`` vectors of a label.
+
+    A further dimension leaves about half of the comparisons of a vector and makes about twice the copies of it.
+    """
+    return min(range(1, BLOCK_DIMS + 1), key=lambda g: rows * PAIR_NS * GRID_KEEPS**g / 2 + COPY_NS * (1 + (2**g - 1) / 2))
+
+
+def vector_links(vectors: DataFrame, cosine: float, grid: int, dtype: str = "<f8") -> DataFrame:
+    """From (label, node, n, v: binary of ``dtype``): rows (a, null, w) that add w links to a, and (a, b, null) that join up."""
+    squared, item = 2 - 2 * cosine, np.dtype(dtype).itemsize
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, b in batch.groupby(batch["v"].map(len) // 8):
-                x = _unit(np.frombuffer(b"".join(b["v"]), "<f8").reshape(-1, dim)) @ rotation(dim)
+            for dim, b in batch.groupby(batch["v"].map(len) // item):
+                x = _unit(np.frombuffer(b"".join(b["v"]), dtype).reshape(-1, dim).astype(float)) @ rotation(dim)
                 for k, (i, j, budget) in enumerate(block_budgets(dim, squared)):
                     for rows, cells, kind in _cells(x[:, i:j], budget**0.5, min(grid, j - i)):
+                        if not len(rows):
+                            continue
                         out = b.iloc[rows].copy()
                         out["bucket"] = [f"{label}/{dim}/{k}/" + ".".join(map(str, c)) for label, c in zip(out["label"], cells.tolist(), strict=True)]
                         out["kind"] = np.int32(kind)
@@ -78,7 +90,7 @@ def vector_links(vectors: DataFrame, cosine: float, grid: int) -> DataFrame:
             dim, k = (int(t) for t in key[0].rsplit("/", 3)[1:3])
             blocks = block_budgets(dim, squared)
             i, j, budget = blocks[k]
-            raw = np.frombuffer(b"".join(seg["v"]), "<f8").reshape(-1, dim)
+            raw = np.frombuffer(b"".join(seg["v"]), dtype).reshape(-1, dim).astype(float)
             x = _unit(raw) @ rotation(dim)
             node, n, kind = (seg[c].to_numpy() for c in ("node", "n", "kind"))
             if key != last:
@@ -141,28 +153,30 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.93, grid: int | N
 
     Only rows of one label (not null) and one length are compared.  Null, zero and non-finite vectors and vectors with a null
     component have no link and are their own component.  Equal vectors of a label are one node, counted but never
-    expanded.  A vec_id is taken to name one vector; a repeated row counts as another vector.  Rows with a null vec_id
-    have no links and a null component.  Other columns are not read.
+    expanded; nodes have numbers of their own, so a vec_id may be on several rows and joins nothing.  A repeated row counts as another vector.
+    Rows with a null vec_id have no links and a null component.  Other columns are not read.  An empty table gives an empty result.
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists(e, lambda c: c != 0), F.lit(False))
     rows = vectors.select("vec_id", "label", F.when(good, e).alias("e"))
+    dtype = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
     @F.pandas_udf("binary")
     def packed(v: pd.Series) -> pd.Series:
-        return v.map(lambda a: None if a is None else np.asarray(a, "<f8").tobytes())
+        return v.map(lambda a: None if a is None else (np.asarray(a, dtype) + 0.0).tobytes())  # -0.0 is 0.0
 
     known = materialize(rows.select("vec_id", F.col("label").cast("string").alias("label"), packed("e").alias("v")))
-    nodes = materialize(known.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
+    nodes = known.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     if grid is None:
-        most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-        grid = next(g for g in range(1, BLOCK_DIMS + 1) if most <= GRID_UP_TO**g or g == BLOCK_DIMS)
-    found = materialize(vector_links(nodes.repartition("node"), cosine, grid))
+        grid = grid_width(nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+    found = materialize(vector_links(nodes.repartition("node"), cosine, grid, dtype))
     degree = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
     joined = components(found.where("b IS NOT NULL").select("a", "b"))
     named = nodes.join(degree, "node", "left").join(joined, "node", "left")
-    named = named.select("label", "v", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = known.join(named, ["label", "v"], "left")
+    named = materialize(named.select("label", "v", "first", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    heads = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    out = known.join(named.join(heads, "component").select("label", "v", "n_links", "component_id"), ["label", "v"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
