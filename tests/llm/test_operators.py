@@ -308,16 +308,3 @@ def test_embeddings(spark, grid, cap, monkeypatch):
     for i in want:
         assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (sum(link(i, j) for j in range(len(rows)) if j != i), want[i], want[i] == i)
     assert all((out[i]["n_links"], out[i]["component_id"]) == (0, i) for i, _, _ in odd)
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    d = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, d)
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, d)
-        assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept.collect()}
