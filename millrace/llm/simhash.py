@@ -174,7 +174,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     heads = c.groupBy("group_id").agg(head).select("head.doc_id", "head.row_key")
     repeated = c.groupBy("row_key").count().where("count > 1").select("row_key")
     heads = materialize(heads.join(repeated.withColumn("again", F.lit(True)), "row_key", "left"))
-    rows = docs.select(F.struct("*").alias("doc"), row_key(docs).alias("row_key")).join(heads.select("row_key", "again"), "row_key")
+    # The list of heads grows with the documents, so this join is one by shuffle at every size.
+    rows = docs.select(F.struct("*").alias("doc"), row_key(docs).alias("row_key")).hint("merge").join(heads.select("row_key", "again"), "row_key")
     # Only rows that are there more than once are grouped.
     order = F.xxhash64(*[F.col("doc").getField(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     one = rows.where("again").groupBy("row_key").agg(F.min_by("doc", order).alias("doc"))
