@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import canonical
-from .sampling import order_hash
+from .sampling import hash_rank
 
 
 def dedup_exact(df: DataFrame) -> DataFrame:
@@ -25,21 +25,22 @@ def pool_sizes(windows: DataFrame) -> DataFrame:
 
 
 def batch_plan(windows: DataFrame, batch: int, seed: int, epoch: int) -> DataFrame:
-    """Every window once per epoch: full batches of one length in hash order; what is left of each length fills tail batches.
+    """Every window once per epoch: window_id, length, tail, batch_no, slot, batch_order.
 
-    Positions inside a (length, shard) come from small windows; shards are laid end to end by a running sum of their counts.
+    The windows of a length are shuffled over all shards by hash and cut into full batches of that length; what is left of each length is
+    shuffled into mixed ``tail`` batches, so that no window is dropped.  Batches are read in the order of ``batch_order``, a hash.
+    Places come from ``hash_rank``, so a length of any number of windows stays in many tasks; fewer than ``batch`` windows of each length reach the tail.
     """
-    h = F.sha2(F.concat_ws("|", F.lit(f"{seed}|{epoch}"), F.col("window_id")), 256)
-    inside = windows.select("length", "shard", "window_id", F.row_number().over(Window.partitionBy("length", "shard").orderBy(h, "window_id")).alias("k"))
-    sizes = windows.groupBy("length", "shard").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("length"))).drop("n")
-    pos = inside.join(starts, ["length", "shard"]).withColumn("pos", F.col("start") + F.col("k") - 1)
-    full = F.col("pos") < F.floor(F.col("total") / batch) * batch
-    return pos.select("window_id", "length", F.when(full, F.floor(F.col("pos") / batch)).alias("batch_no"), F.when(full, F.col("pos") % batch).alias("slot"))
-
-
-__all__ = ["batch_plan", "dedup_exact", "order_hash", "pool_sizes"]
+    draw = f"{seed}|{epoch}"
+    ranked = hash_rank(windows.select("length", "window_id"), ["length"], draw, "pos", "window_id").withColumn("pos", F.col("pos") - 1)
+    totals = windows.groupBy("length").agg(F.count("*").alias("n"))  # one row per length
+    placed = ranked.join(F.broadcast(totals), "length")
+    whole = F.floor(F.col("n") / batch) * batch
+    key = lambda name: F.sha2(F.concat_ws("|", F.lit(draw), name, F.col("batch_no").cast("string")), 256)
+    numbered = lambda df, tail, name: df.select("window_id", "length", F.lit(tail).alias("tail"), F.floor(F.col("pos") / batch).alias("batch_no"), (F.col("pos") % batch).alias("slot")).withColumn("batch_order", key(name))
+    left = placed.where(F.col("pos") >= whole).select("length", "window_id")
+    left = hash_rank(left, [], draw, "pos", "window_id").withColumn("pos", F.col("pos") - 1)
+    return numbered(placed.where(F.col("pos") < whole), False, F.col("length").cast("string")).unionByName(numbered(left, True, F.lit("tail")))
 
 
 def dedup_coordinates(windows: DataFrame, keys: list[str]) -> DataFrame:

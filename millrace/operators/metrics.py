@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ def binary(pred: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     )
 
 
+def _alike(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null."""
+    b = b.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return a.join(b, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def _by_score(pred: DataFrame, by: list[str]) -> DataFrame:
     return pred.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("n"))
 
@@ -39,13 +48,13 @@ def running_sums(g: DataFrame, by: list[str], value: str, sums: dict[str, str],
     span = g.groupBy(*by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
     place = F.coalesce(F.floor((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets), F.lit(0))
     bucket = F.when(v.isNull(), -1).when(F.isnan(v) | (v == big), buckets).when(v == -big, 0).otherwise(F.least(place, F.lit(buckets - 1)))
-    g = g.join(span, by).withColumn("_b", bucket.cast("int")).drop("_lo", "_hi")
+    g = _alike(g, span, by).withColumn("_b", bucket.cast("int")).drop("_lo", "_hi")
     turn = F.desc if descending else F.asc
     before = lambda keys, order: Window.partitionBy(*keys).orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, -1)
     whole = g.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     whole = whole.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before(by, "_b")), F.lit(0)).alias(f"_w_{c}") for c in sums])
     own = {out: F.col(f"_w_{c}") + F.coalesce(F.sum(c).over(before([*by, "_b"], value)), F.lit(0)) for c, out in sums.items()}
-    return g.join(whole, [*by, "_b"]).withColumns(own).drop("_b", *[f"_w_{c}" for c in sums])
+    return _alike(g, whole, [*by, "_b"]).withColumns(own).drop("_b", *[f"_w_{c}" for c in sums])
 
 
 def auroc(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -102,7 +111,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str, descending:
     """Ties share the mean rank; ranks are found over distinct values."""
     g = running_sums(df.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, {"_n": "_below"}, descending)
     g = g.withColumn(out, F.col("_below") + (F.col("_n") + 1) / 2).drop("_n", "_below")
-    return df.join(g, [*by, value])
+    return _alike(df, g, [*by, value])
 
 
 def regression(pred: DataFrame, by: list[str]) -> DataFrame:
@@ -115,11 +124,16 @@ def regression(pred: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ranking(pred: DataFrame, by: list[str], group: str) -> DataFrame:
-    """Per key over groups with exactly one positive: MRR, mean rank, recall at 1 and 5; ties in row order.  Counts other groups."""
-    w = Window.partitionBy(*by, group)
-    r = pred.withColumns({"_rank": F.row_number().over(w.orderBy(F.desc("score"), "row_no")), "_pos": F.count_if(F.col("label") == 1).over(w)})
-    hit = r.where("label = 1 AND _pos = 1").groupBy(*by).agg(F.count("*").alias("n_groups"), F.avg(1 / F.col("_rank")).alias("mrr"), F.avg("_rank").alias("mean_rank"), F.avg((F.col("_rank") <= 1).cast("double")).alias("recall_at_1"), F.avg((F.col("_rank") <= 5).cast("double")).alias("recall_at_5"))
-    return hit
+    """Per key over groups with exactly one positive: MRR, mean rank, recall at 1 and 5; ties in row order.
+
+    ``n_skipped`` counts the groups with none or several; a key that has no other groups has null metrics.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by, group).orderBy(F.desc("score"), "row_no"))
+    hit = F.col("label") == 1
+    g = pred.withColumn("_rank", rank).groupBy(*by, group).agg(F.count_if(hit).alias("_p"), F.min(F.when(hit, F.col("_rank"))).alias("_r"))
+    one = lambda c: F.avg(F.when(F.col("_p") == 1, c))
+    r = F.col("_r")
+    return g.groupBy(*by).agg(F.count_if(F.col("_p") == 1).alias("n_groups"), F.count_if(F.col("_p") != 1).alias("n_skipped"), one(1 / r).alias("mrr"), one(r).alias("mean_rank"), one((r <= 1).cast("double")).alias("recall_at_1"), one((r <= 5).cast("double")).alias("recall_at_5"))
 
 
 def calibration(pred: DataFrame, by: list[str], bins: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,28 @@ def hash_sample(df: DataFrame, cap: int | None, seed: int = 42, by: str = "split
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
 
 
+def hash_rank(df: DataFrame, by: list[str], seed: int | str, out: str, ident: str = "sample_id") -> DataFrame:
+    """``df`` with the 1-based place ``out`` of each row in the order of its hash, then ``ident``, among the rows of its key ``by``.
+
+    In two levels, so that one key of any number of rows stays in many tasks: rows are ordered among those that share the hash's first three digits,
+    and the counts of these 4,096 ranges are summed up before each.  Rows with a null key are one key.
+    """
+    x = df.withColumn("_h", order_hash(seed, ident)).withColumn("_b", F.substring("_h", 1, 3))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = x.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    starts = starts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_d"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], F.col("_b") == F.col("_d"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", ident))
+    return x.withColumn("_r", inside).join(starts, same).withColumn(out, F.col("_s") + F.col("_r")).drop("_h", "_b", "_r", "_s", "_d", *[f"_k{i}" for i in range(len(by))])
+
+
 def derive_validation(df: DataFrame, frac: float = 0.1, seed: int = 42) -> DataFrame:
     """If no validation rows exist, the lowest-hash share of the training rows (half-even rounding, at least one) becomes validation."""
     n = df.agg(F.count_if(F.col("split") == "validation").alias("v"), F.count_if(F.col("split") == "train").alias("t")).first()
     if n["v"] or not n["t"]:
         return df
     k = max(1, round(frac * n["t"]))
-    moved = df.where("split = 'train'").select("sample_id", order_hash(seed, "sample_id").alias("_h")).orderBy("_h", "sample_id").limit(k).select("sample_id", F.lit(True).alias("_m"))
+    moved = hash_rank(df.where("split = 'train'").select("sample_id"), [], seed, "_k").where(F.col("_k") <= k).select("sample_id", F.lit(True).alias("_m"))
     return df.join(moved, "sample_id", "left").withColumn("split", F.when(F.col("_m"), "validation").otherwise(F.col("split"))).drop("_m")
 
 
@@ -56,9 +73,8 @@ def decontaminate(df: DataFrame) -> DataFrame:
 
 def balanced_cap(df: DataFrame, cap: int, seed: int = 42, rule: str = "half") -> DataFrame:
     """Half positives, the rest negatives, by hash.  Rule ``bounded`` takes at least one and at most what there is of either."""
-    w = Window.partitionBy("label").orderBy(order_hash(seed, "sample_id"), "sample_id")
     pos = cap // 2 if rule == "half" else max(1, cap // 2)
-    ranked = df.where("label IN (0, 1)").withColumn("_rn", F.row_number().over(w))
+    ranked = hash_rank(df.where("label IN (0, 1)"), ["label"], seed, "_rn")
     return ranked.where(F.col("_rn") <= F.when(F.col("label") == 1, pos).otherwise(cap - pos)).drop("_rn")
 
 
@@ -72,8 +88,7 @@ def stratified_cap(df: DataFrame, cap: int, seed: int = 42) -> DataFrame:
     share = share.withColumn("left", F.lit(cap) - F.sum("q0").over(Window.partitionBy("total")))
     order = Window.partitionBy("total").orderBy(F.desc(cap * F.col("n") / F.col("total") - F.floor(cap * F.col("n") / F.col("total"))), F.desc("n"), "label")
     quota = share.withColumn("k", F.row_number().over(order)).select("label", F.least(F.col("n"), F.col("q0") + F.when((F.col("k") <= F.col("left")), 1).otherwise(0)).alias("quota"))
-    w = Window.partitionBy("label").orderBy(order_hash(seed, "sample_id"), "sample_id")
-    picked = train.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(quota), "label").where("_rn <= quota").select(df.columns)
+    picked = hash_rank(train, ["label"], seed, "_rn").join(F.broadcast(quota), "label").where("_rn <= quota").select(df.columns)
     return picked.unionByName(df.where("split <> 'train'"))
 
 
@@ -87,13 +102,27 @@ def stratified_pick(df: DataFrame, by: list[str], m: int, seed: int = 42) -> Dat
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= m).drop("_rn")
 
 
-def logo_folds(df: DataFrame, group: str) -> DataFrame:
-    """Every row once per fold: its group is the test, the last other group by name the validation, the rest train."""
+def _folds(df: DataFrame, group: str) -> DataFrame:
+    """(fold, held): each group, and the last other group by name, from the groups alone."""
     names = df.select(group).where(F.col(group).isNotNull()).distinct()
-    w = Window.orderBy(F.desc(group))
-    # One row per group: the last by name serves all folds but its own, which takes the one before.
-    top = names.withColumn("k", F.row_number().over(w)).where("k <= 2")
-    ends = top.agg(F.max(F.when(F.col("k") == 1, F.col(group))).alias("last"), F.max(F.when(F.col("k") == 2, F.col(group))).alias("prior"))
-    folds = names.withColumnRenamed(group, "fold").join(F.broadcast(ends)).select("fold", F.when(F.col("fold") == F.col("last"), F.col("prior")).otherwise(F.col("last")).alias("held"))
-    role = F.when(F.col(group) == F.col("fold"), "test").when(F.col(group) == F.col("held"), "validation").otherwise("train")
-    return df.join(F.broadcast(folds)).withColumn("role", role).drop("held")
+    ends = names.agg(F.max(group).alias("last"))
+    prior = names.join(F.broadcast(ends)).where(F.col(group) < F.col("last")).agg(F.max(group).alias("prior"))
+    # Two tables of one row.
+    folds = names.withColumnRenamed(group, "fold").join(F.broadcast(ends)).join(F.broadcast(prior))
+    return folds.select("fold", F.when(F.col("fold") == F.col("last"), F.col("prior")).otherwise(F.col("last")).alias("held"))
+
+
+def _role(group: str) -> Column:
+    return F.when(F.col(group) == F.col("fold"), "test").when(F.col(group) == F.col("held"), "validation").otherwise("train")
+
+
+def logo_folds(df: DataFrame, group: str, only: tuple[str, ...]) -> DataFrame:
+    """Every row once for each fold in ``only``: its group is the test, the last other group by name the validation, the rest train."""
+    chosen = _folds(df, group).where(F.col("fold").isin(*only))  # one row per chosen fold
+    return df.join(F.broadcast(chosen)).withColumn("role", _role(group)).drop("held")
+
+
+def logo_sizes(df: DataFrame, group: str) -> DataFrame:
+    """(fold, role, n_rows) of all folds, from the counts of the groups: no row is repeated."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    return sizes.crossJoin(_folds(df, group)).groupBy("fold", _role(group).alias("role")).agg(F.sum("n").alias("n_rows"))

@@ -113,7 +113,7 @@ def w08_stratified_pick(spark, d):
 
 @query("SELECT fold, role, count(*) AS n_rows FROM (SELECT f.g AS fold, CASE WHEN group_id = f.g THEN 'test' WHEN group_id = (SELECT max(group_id) FROM v_samples WHERE group_id <> f.g) THEN 'validation' ELSE 'train' END AS role FROM v_samples, (SELECT DISTINCT group_id AS g FROM v_samples) f) GROUP BY ALL")
 def w17_logo_folds(spark, d):
-    return sampling.logo_folds(X.samples(spark, d), "group_id").groupBy("fold", "role").agg(F.count("*").alias("n_rows"))
+    return sampling.logo_sizes(X.samples(spark, d), "group_id")
 
 
 @query("SELECT model_id, task_id, seed, value, rank() OVER w + (count(*) OVER (PARTITION BY task_id, seed, value) - 1) / 2 AS avg_rank FROM v_results WINDOW w AS (PARTITION BY task_id, seed ORDER BY value DESC)")
@@ -245,11 +245,13 @@ def m06_regression(spark, d):
     return out.select("run_key", *[F.round(c, n).alias(c) for c, n in (("pearson", 7), ("spearman", 7), ("r2", 7), ("mae", 4), ("rmse", 4))])
 
 
-@query("""SELECT run_key, count(*) AS n_groups, round(avg(1 / r), 9) AS mrr, round(avg(r), 9) AS mean_rank, round(avg((r <= 1)::INT), 9) AS recall_at_1, round(avg((r <= 5)::INT), 9) AS recall_at_5 FROM
-  (SELECT *, row_number() OVER (PARTITION BY run_key, group_id ORDER BY score DESC, row_no) AS r, count(*) FILTER (label = 1) OVER (PARTITION BY run_key, group_id) AS p FROM v_pred_rank) WHERE label = 1 AND p = 1 GROUP BY run_key""")
+@query("""SELECT run_key, count(*) FILTER (p = 1) AS n_groups, count(*) FILTER (p <> 1) AS n_skipped, round(avg(1 / r) FILTER (p = 1), 9) AS mrr, round(avg(r) FILTER (p = 1), 9) AS mean_rank,
+  round(avg((r <= 1)::INT) FILTER (p = 1), 9) AS recall_at_1, round(avg((r <= 5)::INT) FILTER (p = 1), 9) AS recall_at_5 FROM
+  (SELECT run_key, group_id, count(*) FILTER (label = 1) AS p, min(r) FILTER (label = 1) AS r FROM
+    (SELECT *, row_number() OVER (PARTITION BY run_key, group_id ORDER BY score DESC, row_no) AS r FROM v_pred_rank) GROUP BY run_key, group_id) GROUP BY run_key""")
 def m09_ranking(spark, d):
     out = metrics.ranking(X.pred_rank(spark, d), ["run_key"], "group_id")
-    return out.select("run_key", "n_groups", *[F.round(c, 9).alias(c) for c in ("mrr", "mean_rank", "recall_at_1", "recall_at_5")])
+    return out.select("run_key", "n_groups", "n_skipped", *[F.round(c, 9).alias(c) for c in ("mrr", "mean_rank", "recall_at_1", "recall_at_5")])
 
 
 @query("SELECT run_key, round(sum(q) / sum(n), 9) AS brier, round(sum(abs(s - y) * n) / sum(n), 9) AS ece FROM (SELECT run_key, least(floor(score * 10), 9) AS b, count(*) AS n, avg(score) AS s, avg(label) AS y, sum((score - label) ** 2) AS q FROM v_pred_bin GROUP BY ALL) GROUP BY run_key")
@@ -267,8 +269,10 @@ def c08_pool_sizes(spark, d):
     return corpus.pool_sizes(X.windows(spark, d))
 
 
-@query("""SELECT window_id, length, CASE WHEN pos < (n // 32) * 32 THEN pos // 32 END AS batch_no, CASE WHEN pos < (n // 32) * 32 THEN pos % 32 END AS slot FROM
-  (SELECT *, row_number() OVER (PARTITION BY length ORDER BY shard, sha256('42|0|' || window_id), window_id) - 1 AS pos, count(*) OVER (PARTITION BY length) AS n FROM v_windows)""")
+@query("""SELECT * FROM (WITH p AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY sha256('42|0|' || window_id), window_id) - 1 AS pos, count(*) OVER (PARTITION BY length) AS n FROM v_windows),
+  t AS (SELECT *, row_number() OVER (ORDER BY sha256('42|0|' || window_id), window_id) - 1 AS k FROM p WHERE pos >= (n // 32) * 32)
+  SELECT window_id, length, false AS tail, pos // 32 AS batch_no, pos % 32 AS slot, sha256('42|0|' || length || '|' || pos // 32) AS batch_order FROM p WHERE pos < (n // 32) * 32
+  UNION ALL SELECT window_id, length, true, k // 32, k % 32, sha256('42|0|tail|' || k // 32) FROM t)""")
 def w15_batch_plan(spark, d):
     return corpus.batch_plan(X.windows(spark, d), 32, 42, 0)
 

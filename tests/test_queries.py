@@ -135,3 +135,28 @@ def test_mean_interval_of_large_groups(spark):
         mean = sum(vals) / len(vals)
         sd = (sum((v - mean) ** 2 for v in vals) / (len(vals) - 1)) ** 0.5
         assert abs((r["high"] - mean) / sd * len(vals) ** 0.5 - want[r["k"]]) < 1e-4
+
+
+def test_every_window_has_a_batch(spark):
+    from millrace.operators import corpus
+
+    rows = [(4 if i % 3 else 8, i % 5, f"w{i}") for i in range(53)]
+    out = corpus.batch_plan(spark.createDataFrame(rows, "length int, shard int, window_id string"), 6, 1, 0).collect()
+    assert sorted(r["window_id"] for r in out) == sorted(w for _, _, w in rows)
+    places = [(r["tail"], None if r["tail"] else r["length"], r["batch_no"], r["slot"]) for r in out]
+    assert len(set(places)) == len(out) and all(0 <= r["slot"] < 6 for r in out)
+    full = [p[:3] for p in places if not p[0]]
+    assert {full.count(b) for b in full} == {6}
+    assert len({r["batch_order"] for r in out}) == len({p[:3] for p in places})
+
+
+def test_ranks_keep_null_values_and_keys(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.0), (None, 5.0), (None, None)], "k string, v double")
+    got = {(r["k"], r["v"]): r["r"] for r in metrics.average_rank(rows, ["k"], "v", "r").collect()}
+    assert got == {("a", None): 1, ("a", 1.0): 2, ("a", 2.0): 3, (None, None): 1, (None, 5.0): 2}
+
+
+def test_groups_without_one_positive_are_counted(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0, 0.9, 1), ("a", 1, 0.0, 0.1, 2), ("a", 2, 0.0, 0.1, 3), ("b", 3, 1.0, 0.1, 4), ("b", 3, 1.0, 0.2, 5)], "k string, g int, label double, score double, row_no int")
+    got = {r["k"]: (r["n_groups"], r["n_skipped"], r["mrr"]) for r in metrics.ranking(rows, ["k"], "g").collect()}
+    assert got == {"a": (1, 1, 1.0), "b": (0, 1, None)}
