@@ -207,3 +207,35 @@ def boundary_match(df: DataFrame, by: list[str], truth: str, found: str, toleran
     x = df.select(*by, F.coalesce(F.aggregate(F.col(truth), start, step, lambda s: s["hits"]), F.lit(0)).alias("h"), size(truth).alias("t"), size(found).alias("f"))
     g = x.groupBy(*by).agg(*[F.sum(c).cast("double").alias(f"_{c}") for c in "htf"])
     return g.select(*by, _ratio(F.col("_h"), F.col("_f")).alias("precision"), _ratio(F.col("_h"), F.col("_t")).alias("recall"), _ratio(2 * F.col("_h"), F.col("_t") + F.col("_f")).alias("f1"))
+
+
+def class_scores(pred: DataFrame, by: list[str]) -> DataFrame:
+    """(by, class, support, predicted, f1) of every class seen as label or prediction, from the confusion counts."""
+    cell = pred.groupBy(*by, "label", "pred").agg(F.count("*").alias("n"))
+    side = lambda c, t, p: F.struct(F.col(c).alias("class"), t.alias("t"), p.alias("p"), (F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0) if c == "label" else F.lit(0).cast("long")).alias("h"))
+    none = F.lit(0).cast("long")
+    k = cell.select(*by, F.inline(F.array(side("label", F.col("n"), none), side("pred", none, F.col("n")))))
+    k = k.groupBy(*by, "class").agg(F.sum("t").alias("support"), F.sum("p").alias("predicted"), F.sum("h").alias("_h"))
+    return k.withColumn("f1", 2 * F.col("_h") / (F.col("support") + F.col("predicted"))).drop("_h")
+
+
+def confusion(pred: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Counts tp, fp, fn, tn at ``threshold``, with precision, recall and specificity; a share of nothing is 0."""
+    y, p = F.col("label") == 1, F.col("score") >= threshold
+    c = pred.groupBy(*by).agg(*[F.count_if(w).alias(n) for n, w in (("tp", y & p), ("fp", ~y & p), ("fn", y & ~p), ("tn", ~y & ~p))])
+    ratio = lambda a, b: _ratio(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double"))
+    return c.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn"), "specificity": ratio("tn", "fp")})
+
+
+def multilabel_pooled(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (label_vec, score_vec): micro average precision over all cells, and macro F1 at 0.5 over the outputs."""
+    x = pred.select(*by, F.posexplode(F.arrays_zip("label_vec", "score_vec")).alias("output", "z")).select(*by, "output", F.col("z.label_vec").cast("double").alias("label"), F.col("z.score_vec").cast("double").alias("score"))
+    y, p = F.col("label") == 1, F.col("score") >= 0.5
+    f1 = x.groupBy(*by, "output").agg(_ratio(2.0 * F.count_if(y & p), F.count_if(y & p) * 2 + F.count_if(~y & p) + F.count_if(y & ~p)).alias("_f")).groupBy(*by).agg(F.avg("_f").alias("macro_f1"))
+    return average_precision(x, by).select(*by, F.col("average_precision").alias("micro_ap")).join(f1, by)
+
+
+def output_scores(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (label_vec, score_vec): the ``regression`` metrics, Spearman with them, of each output."""
+    x = pred.select(*by, F.posexplode(F.arrays_zip("label_vec", "score_vec")).alias("output", "z"))
+    return regression(x.select(*by, "output", F.col("z.label_vec").cast("double").alias("label"), F.col("z.score_vec").cast("double").alias("score")), [*by, "output"])

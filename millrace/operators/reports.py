@@ -101,3 +101,47 @@ def merge_coverage(previous: DataFrame, current: DataFrame, key: str) -> DataFra
     j = p.join(c, key, "full_outer")
     formal = (F.coalesce("_p", F.lit("")) == "formal") | (F.coalesce("_c", F.lit("")) == "formal")
     return j.select(key, F.when(formal, "formal").otherwise("smoke").alias("profile"), F.array_sort(F.array_union(F.coalesce("_pp", none), F.coalesce("_cp", none))).alias("patterns"))
+
+
+def category_report(results: DataFrame, value: str, categories: int, tasks: int, seeds: int) -> DataFrame:
+    """Per model: macro mean over categories, micro mean over results, mean rank among the models of a task and seed, best category, completeness.
+
+    ``position`` orders the models by the macro mean (ties by name) and is null unless the model has every category, task and seed.
+    Ranks run over the models of one task and seed, positions over one row per model.
+    """
+    rank = F.rank().over(Window.partitionBy("task_id", "seed").orderBy(F.desc(value)))
+    same = F.count("*").over(Window.partitionBy("task_id", "seed", value))
+    ranked = results.withColumn("_rank", rank + (same - 1) / 2)
+    c = ranked.groupBy("model_id", "category").agg(F.avg(value).alias("_m"), F.sum(value).alias("_s"), F.count("*").alias("_n"), F.sum("_rank").alias("_r"))
+    best = F.max_by("category", F.struct("_m", -F.col("category")))
+    g = c.groupBy("model_id").agg(F.avg("_m").alias("macro"), (F.sum("_s") / F.sum("_n")).alias("micro"), (F.sum("_r") / F.sum("_n")).alias("mean_rank"), best.alias("best_category"), F.count("*").alias("_c"))
+    full = results.groupBy("model_id").agg(F.count_distinct("task_id", "seed").alias("_cells"))
+    g = g.join(full, "model_id").withColumn("complete", (F.col("_c") == categories) & (F.col("_cells") == tasks * seeds))
+    place = F.row_number().over(Window.partitionBy("complete").orderBy(F.desc("macro"), "model_id"))
+    return g.withColumn("position", F.when(F.col("complete"), place)).drop("_c", "_cells")
+
+
+def retention_report(results: DataFrame, full: str, low: str, tasks: tuple[str, ...]) -> DataFrame:
+    """(model_id, seed, n_tasks, mean, least) of low / full over the parent tasks, by seed, and over the seeds' means where seed is null.
+
+    ``results`` holds both settings in ``setting``; a full value of zero has no retention and is not counted.
+    """
+    keys = ["model_id", "task_id", "seed"]
+    own = results.where(F.col("task_id").isin(*tasks) & F.col("setting").isin(full, low))
+    at = lambda s: F.avg(F.when(F.col("setting") == s, F.col("value")))
+    r = own.groupBy(*keys).agg((at(low) / F.nullif(at(full), F.lit(0.0))).alias("_r")).where("_r IS NOT NULL")
+    by_seed = r.groupBy("model_id", "seed").agg(F.count("*").alias("n_tasks"), F.avg("_r").alias("mean"), F.min("_r").alias("least"))
+    over = by_seed.groupBy("model_id").agg(F.lit(None).cast("long").alias("seed"), F.sum("n_tasks").alias("n_tasks"), F.avg("mean").alias("mean"), F.min("least").alias("least"))
+    return by_seed.select("model_id", F.col("seed").cast("long").alias("seed"), "n_tasks", "mean", "least").unionByName(over)
+
+
+def matrix_rows(plan: DataFrame, status: DataFrame, intervals: DataFrame) -> DataFrame:
+    """One row per planned cell (model_id, task_id): its state, its interval where it is complete, and why there is none elsewhere.
+
+    ``status``: model_id, task_id, state.  ``intervals``: model_id, task_id, n, mean, low, high.
+    """
+    keys = ["model_id", "task_id"]
+    x = plan.join(status, keys, "left").join(intervals, keys, "left").withColumn("state", F.coalesce("state", F.lit("not_applicable")))
+    done = (F.col("state") == "complete") & F.col("n").isNotNull()
+    limit = F.when(F.col("state") == "not_applicable", "model does not take the task").when(F.col("state") != "complete", F.col("state")).when(F.col("n").isNull(), "no value").when(F.col("n") < 2, "one seed: no interval")
+    return x.select(*keys, "state", *[F.when(done, F.col(c)).alias(c) for c in ("n", "mean", "low", "high")], limit.alias("limitation"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: 97.5% quantiles of Student's t for 1 to 10 degrees of freedom.
@@ -70,15 +70,20 @@ def boot_summary(boot: DataFrame, by: list[str], value: str) -> DataFrame:
     return boot.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"), F.count("*").alias("n"))
 
 
+def poisson_times(text: Column) -> Column:
+    """A draw from Poisson(1) by the hash of ``text``."""
+    u = (F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    # The Poisson(1) distribution function.
+    return sum(((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+
+
 def bootstrap_counts(df: DataFrame, replicates: int, seed: int, by: list[str], row: str) -> DataFrame:
     """(by, replicate, row, times): a Poisson bootstrap; each row decides from its own hash how often each replicate draws it.
 
     Nothing is collected, ranked or joined, so it holds at any size; rows drawn zero times are left out.
     """
     x = df.select(*by, row, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), "replicate", row), 256), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    # The Poisson(1) distribution function.
-    times = sum(((u > p).cast("int") for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+    times = poisson_times(F.concat_ws("|", F.lit(str(seed)), "replicate", row))
     return x.withColumn("times", times).where("times > 0")
 
 

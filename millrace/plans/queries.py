@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, features, heads, matrix, metrics, quality, sampling, similarity, stats
+from ..operators import corpus, evaluation, features, heads, matrix, metrics, quality, sampling, similarity, stats
 from ..sources.store import materialize
 from ..streaming import logs
 from . import fixtures as X
@@ -559,6 +559,31 @@ def f05_ridge_head(spark, d):
     return heads.fit_ridge(train, test).select("vec_id", "label", "pred")
 
 
+def _eval_vectors(spark, d):
+    b = S.hash_bucket(F.concat(F.lit("42|"), F.col("vec_id").cast("string")), 10)
+    e = X.table(spark, d, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL")
+    return e.withColumns({"label": F.col("label").cast("double"), "split": F.when(b < 2, "test").when(b < 4, "validation").otherwise("train"), "group_id": F.concat(F.lit("g"), F.col("vec_id") % 7)})
+
+
+@query()
+def f07_fixed_split(spark, d):
+    out = evaluation.fixed_split_ridge(_eval_vectors(spark, d), "vec_id", "embedding", "label", (0, 1, 2, 3, 4), (0.01, 1.0, 100.0))
+    return out.select("vec_id", "label", "pred")
+
+
+@query()
+def f08_leave_group_out(spark, d):
+    out = evaluation.logo_ridge(_eval_vectors(spark, d), "vec_id", "group_id", "embedding", "label", 42, (0.01, 1.0, 100.0))
+    return out.select("vec_id", "group_id", "label", "pred")
+
+
+@query("""SELECT sample_id, round(avg(lp), 7) AS score FROM (SELECT sample_id, substr(sequence, i, 3) AS g FROM v_samples, unnest(range(1, greatest(2, length(sequence) - 1))) u(i)) LEFT JOIN
+  (SELECT g, ln((n + 1) / (sum(n) OVER (PARTITION BY substr(g, 1, 2)) + 4)) AS lp FROM (SELECT substr(sequence, i, 3) AS g, count(*) AS n FROM v_samples, unnest(range(1, length(sequence) - 1)) u(i) WHERE NOT contains(substr(sequence, i, 3), 'N') GROUP BY ALL)) USING (g) GROUP BY sample_id""")
+def f11_score_with(spark, d):
+    s = X.samples(spark, d)
+    return evaluation.score_with(s, "sample_id", "sequence", evaluation.MarkovScorer(corpus.next_bases(s))).withColumn("score", F.round("score", 7))
+
+
 _CONTIG = "SELECT sample_id AS contig, sequence FROM v_samples WHERE length(sequence) >= 500"
 
 

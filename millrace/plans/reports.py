@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, features, heads, quality, reports, rows, stats
+from ..operators import corpus, features, heads, metrics, quality, reports, rows, stats
 from . import fixtures as X
+from .queries import _VEC as VEC_SQL
+from .queries import _vectors as vectors
 from .registry import query
 
 _PROB = "(SELECT vec_id, pos, [a * a / t, b * b / t, c * c / t, g * g / t] AS p FROM (SELECT *, a * a + b * b + c * c + g * g AS t FROM (SELECT vec_id, pos, embedding[pos * 4 + 1]::DOUBLE AS a, embedding[pos * 4 + 2]::DOUBLE AS b, embedding[pos * 4 + 3]::DOUBLE AS c, embedding[pos * 4 + 4]::DOUBLE AS g FROM embeddings, range(16) r(pos))) WHERE t > 0)"
@@ -217,3 +219,69 @@ def f09_few_shot(spark, d):
     """Mean accuracy per seed of heads on eight rows a class."""
     out = heads.few_shot(*_heads(spark, d), 8, (42, 43))
     return out.groupBy("seed").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+_RANKED = "(SELECT *, rank() OVER (PARTITION BY task_id, seed ORDER BY value DESC) + (count(*) OVER (PARTITION BY task_id, seed, value) - 1) / 2 AS r FROM v_results WHERE NOT (model_id = 'NATION_2' AND seed = 4))"
+
+
+@query(f"""SELECT model_id, round(macro, 9) AS macro, round(micro, 9) AS micro, round(mean_rank, 9) AS mean_rank, best_category, complete, CASE WHEN complete THEN row_number() OVER (PARTITION BY complete ORDER BY macro DESC, model_id) END AS position FROM
+  (SELECT model_id, avg(m) AS macro, sum(s) / sum(n) AS micro, sum(rs) / sum(n) AS mean_rank, max({{'m': m, 'c': -category}}).c * -1 AS best_category, count(*) = 2 AND any_value(cells) = 25 AS complete FROM
+    (SELECT model_id, category, avg(value) AS m, sum(value) AS s, count(*) AS n, sum(r) AS rs FROM {_RANKED} GROUP BY ALL) JOIN (SELECT model_id, count(DISTINCT (task_id, seed)) AS cells FROM {_RANKED} GROUP BY ALL) USING (model_id) GROUP BY model_id)""")
+def r08_category_report(spark, d):
+    out = reports.category_report(X.results(spark, d).where("NOT (model_id = 'NATION_2' AND seed = 4)"), "value", 2, 5, 5)
+    return out.select("model_id", *[F.round(c, 9).alias(c) for c in ("macro", "micro", "mean_rank")], "best_category", "complete", "position")
+
+
+_SETTINGS = "SELECT n_name AS model_id, o_orderpriority AS task_id, o_orderkey % 5 AS seed, avg(o_totalprice::DOUBLE) FILTER (o_orderkey % 2 = 0) AS f, avg(o_totalprice::DOUBLE) FILTER (o_orderkey % 2 = 1) AS l FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority NOT LIKE '5%' GROUP BY ALL"
+
+
+@query(f"""SELECT model_id, seed, n_tasks, round(mean, 9) AS mean, round(least, 9) AS least FROM (WITH s AS (SELECT model_id, seed, count(*) AS n_tasks, avg(l / f) AS mean, min(l / f) AS least FROM ({_SETTINGS}) WHERE f <> 0 AND l IS NOT NULL GROUP BY ALL)
+  SELECT * FROM s UNION ALL SELECT model_id, NULL, sum(n_tasks)::BIGINT, avg(mean), min(least) FROM s GROUP BY model_id)""")
+def r09_retention_report(spark, d):
+    o, c, n = (X.table(spark, d, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    setting = F.when(F.col("o_orderkey") % 2 == 0, "full").otherwise("low")
+    r = j.groupBy(F.col("n_name").alias("model_id"), F.col("o_orderpriority").alias("task_id"), (F.col("o_orderkey") % 5).alias("seed"), setting.alias("setting")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("value"))
+    out = reports.retention_report(r, "full", "low", ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"))
+    return out.select("model_id", "seed", "n_tasks", *[F.round(c, 9).alias(c) for c in ("mean", "least")])
+
+
+@query("""SELECT model_id, task_id, state, CASE WHEN state = 'complete' THEN n END AS n, CASE WHEN state = 'complete' THEN round(m, 8) END AS mean, CASE WHEN state = 'complete' THEN round(m - h, 8) END AS low, CASE WHEN state = 'complete' THEN round(m + h, 8) END AS high,
+  CASE WHEN state = 'not_applicable' THEN 'model does not take the task' WHEN state <> 'complete' THEN state WHEN n IS NULL THEN 'no value' WHEN n < 2 THEN 'one seed: no interval' END AS limitation FROM
+  (SELECT *, CASE WHEN task_id LIKE '5%' AND length(model_id) = 8 THEN 'not_applicable' WHEN n = 5 THEN 'complete' WHEN n > 0 THEN 'terminal_failed' ELSE 'missing' END AS state, CASE WHEN n < 2 THEN 0 ELSE [12.706204736, 4.302652730, 3.182446305, 2.776445105][greatest(1, n - 1)] * s / sqrt(n) END AS h FROM
+  (SELECT n_name AS model_id, o_orderpriority AS task_id FROM nation, (SELECT DISTINCT o_orderpriority FROM orders)) LEFT JOIN (SELECT model_id, task_id, count(*) AS n, avg(value) AS m, stddev_samp(value) AS s FROM v_results WHERE NOT (seed = 3 AND category = 1) GROUP BY ALL) USING (model_id, task_id))""")
+def r06_matrix_rows(spark, d):
+    r = X.results(spark, d).where("NOT (seed = 3 AND category = 1)")
+    tasks = X.table(spark, d, "orders").select(F.col("o_orderpriority").alias("task_id")).distinct()
+    plan = X.table(spark, d, "nation").select(F.col("n_name").alias("model_id")).crossJoin(F.broadcast(tasks))  # the plan is a grid of models and tasks, one row per task here
+    takes = plan.where("NOT (task_id LIKE '5%' AND length(model_id) = 8)")
+    n = r.groupBy("model_id", "task_id").agg(F.count("*").alias("_n"))
+    status = takes.join(n, ["model_id", "task_id"], "left").select("model_id", "task_id", F.when(F.col("_n") == 5, "complete").when(F.col("_n") > 0, "terminal_failed").otherwise("missing").alias("state"))
+    out = reports.matrix_rows(plan, status, stats.mean_ci(r, ["model_id", "task_id"], "value"))
+    return out.select("model_id", "task_id", "state", "n", *[F.round(c, 8).alias(c) for c in ("mean", "low", "high")], "limitation")
+
+
+@query("SELECT seed, class, sum(t)::BIGINT AS support, sum(p)::BIGINT AS predicted, round(2 * sum(h) / (sum(t) + sum(p)), 9) AS f1 FROM (SELECT seed, label AS class, 1 AS t, 0 AS p, (label = pred)::INT AS h FROM v_pred_multi UNION ALL SELECT seed, pred, 0, 1, 0 FROM v_pred_multi) GROUP BY ALL")
+def m05_class_scores(spark, d):
+    return metrics.class_scores(X.pred_multi(spark, d), ["seed"]).withColumn("f1", F.round("f1", 9))
+
+
+@query("""SELECT run_key, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(tn / nullif(tn + fp, 0), 0), 9) AS specificity FROM
+  (SELECT run_key, count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (label <> 1 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn, count(*) FILTER (label <> 1 AND score < 0.5) AS tn FROM v_pred_bin GROUP BY run_key)""")
+def m15_confusion(spark, d):
+    out = metrics.confusion(X.pred_bin(spark, d), ["run_key"])
+    return out.select("run_key", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "specificity")])
+
+
+@query(f"""SELECT run_key, round(any_value(ap), 8) AS micro_ap, round(avg(f), 8) AS macro_f1 FROM (SELECT run_key, output, 2 * count(*) FILTER (label = 1 AND score >= 0.5) / (2 * count(*) FILTER (label = 1 AND score >= 0.5) + count(*) FILTER (label <> 1 AND score >= 0.5) + count(*) FILTER (label = 1 AND score < 0.5)) AS f FROM ({VEC_SQL}) GROUP BY ALL)
+  JOIN (SELECT run_key, sum(pos * tp / a) / sum(pos) AS ap FROM (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS a FROM (SELECT run_key, score, count(*) FILTER (label = 1) AS pos, count(*) AS n FROM ({VEC_SQL}) GROUP BY ALL) WINDOW w AS (PARTITION BY run_key ORDER BY score DESC)) GROUP BY run_key) USING (run_key) GROUP BY run_key""")
+def m08_pooled(spark, d):
+    out = metrics.multilabel_pooled(vectors(spark, d), ["run_key"])
+    return out.select("run_key", F.round("micro_ap", 8).alias("micro_ap"), F.round("macro_f1", 8).alias("macro_f1"))
+
+
+@query(f"""SELECT run_key, output, round(corr(label, score), 7) AS pearson, round(corr(rl, rs), 7) AS spearman, round(1 - sum((score - label) ** 2) / (var_pop(label) * count(*)), 7) AS r2, round(avg(abs(score - label)), 7) AS mae, round(sqrt(avg((score - label) ** 2)), 7) AS rmse FROM
+  (SELECT *, rank() OVER (PARTITION BY run_key, output ORDER BY label) + (count(*) OVER (PARTITION BY run_key, output, label) - 1) / 2 AS rl, rank() OVER (PARTITION BY run_key, output ORDER BY score) + (count(*) OVER (PARTITION BY run_key, output, score) - 1) / 2 AS rs FROM ({VEC_SQL})) GROUP BY run_key, output""")
+def m07_outputs(spark, d):
+    out = metrics.output_scores(vectors(spark, d), ["run_key"])
+    return out.select("run_key", "output", *[F.round(c, 7).alias(c) for c in ("pearson", "spearman", "r2", "mae", "rmse")])
