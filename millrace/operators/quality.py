@@ -94,3 +94,23 @@ def verify_embeddings(samples: DataFrame, vectors: DataFrame, key: str, width: i
     }
     one = a.join(b, key, "full_outer").agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("finding"), F.col(n).alias("rows")) for n in tests])).alias("x")).select("x.*")
+
+
+def verify_artifacts(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, finding) of what differs between two tables (path, size_bytes, sha256): missing, unlisted, size or sha256."""
+    f = found.select("path", F.col("size_bytes").alias("_n"), F.col("sha256").alias("_h"), F.lit(True).alias("_f"))
+    j = manifest.select("path", "size_bytes", "sha256", F.lit(True).alias("_m")).join(f, "path", "full_outer")
+    state = F.when(F.col("_f").isNull(), "missing").when(F.col("_m").isNull(), "unlisted").when(~F.col("size_bytes").eqNullSafe(F.col("_n")), "size").when(~F.col("sha256").eqNullSafe(F.col("_h")), "sha256")
+    return j.select("path", state.alias("finding")).where("finding IS NOT NULL")
+
+
+def verify_receipts(receipts: DataFrame, plan_sha256: str, found: DataFrame) -> DataFrame:
+    """(run_key, state): the first of status, plan, self_hash, artifact that does not hold, else ok.
+
+    ``found``: path, sha256 of what there is.  Artifacts are looked up one row each, so a receipt of many is no large row in the join.
+    """
+    f = found.select("path", F.col("sha256").alias("_h"))
+    listed = receipts.select("run_key", F.explode("artifacts").alias("a")).select("run_key", "a.path", "a.sha256")
+    bad = listed.join(f, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("_h"))).select("run_key").distinct().withColumn("_bad", F.lit(True))
+    fails = [("status", ~F.col("status").eqNullSafe(F.lit("ok"))), ("plan", ~F.col("plan_sha256").eqNullSafe(F.lit(plan_sha256))), ("self_hash", ~F.col("receipt_sha256").eqNullSafe(F.col("own_sha256"))), ("artifact", F.col("_bad").isNotNull())]
+    return receipts.join(bad, "run_key", "left").select("run_key", F.coalesce(*[F.when(c, n) for n, c in fails], F.lit("ok")).alias("state"))

@@ -70,3 +70,56 @@ def write_report(df: DataFrame, path: str, columns: list[str]) -> None:
 def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return f.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_parquet_samples(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Only the source columns that ``columns`` (name: source) asks for are read."""
+    return spark.read.parquet(path).select(*[F.col(source).alias(name) for name, source in columns.items()])
+
+
+# The two headers of hit tables, for chrom, pos, ref, alt.
+HIT_COLUMNS = (("snp.chr", "snp.position", "snp.ref", "snp.alt"), ("SNPChr", "SNPPos", "SNPRef", "SNPAlt"))
+
+
+def read_gwas_hits(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, ref, alt, label) from CSV files, gzipped or not, each with either header: one row a variant, label 1 if any of its rows says true.
+
+    Each file's header line tells its columns; a file with neither header gives no rows.
+    """
+    cells = lambda c: F.transform(F.split(c, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda v: F.trim(v, F.lit('" ')))
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), cells("value").alias("f"))
+    is_head = F.array_contains("f", "overPermutation")
+    heads = lines.where(is_head).groupBy("file").agg(F.first("f").alias("names"))
+    x = lines.where(~is_head).join(heads, "file")
+    at = lambda n: F.get("f", (F.array_position("names", n) - 1).cast("int"))
+    pick = [F.coalesce(*[F.when(F.array_contains("names", h[i]), at(h[i])) for h in HIT_COLUMNS]).alias(n) for i, n in enumerate(("chrom", "pos", "ref", "alt"))]
+    rows = x.select(*pick, (F.lower(at("overPermutation")) == "true").cast("int").alias("label")).withColumn("pos", F.col("pos").try_cast("long"))
+    return rows.where("chrom IS NOT NULL AND pos IS NOT NULL").groupBy("chrom", "pos", "ref", "alt").agg(F.max("label").alias("label"))
+
+
+RECEIPT = "artifacts array<struct<path:string,sha256:string>>, plan_sha256 string, receipt_sha256 string, run_key string, status string"
+
+
+def read_receipts(spark: SparkSession, path: str) -> DataFrame:
+    """The receipts of ``path``, a JSON object a line, with ``own_sha256`` over the record without its hash, keys in order; lines that are no JSON are absent."""
+    x = spark.read.text(path).select(F.from_json("value", RECEIPT).alias("r")).select("r.*").where("run_key IS NOT NULL")
+    return x.withColumn("own_sha256", F.sha2(receipt_text("artifacts", "plan_sha256", "run_key", "status"), 256))
+
+
+def receipt_text(*columns: str) -> Column:
+    return F.to_json(F.struct(*sorted(columns)))
+
+
+def append_embeddings(df: DataFrame, path: str) -> None:
+    """One more batch of (key columns, embedding): the writer's memory is a row group of each task."""
+    df.write.mode("append").parquet(path)
+
+
+def read_embeddings(spark: SparkSession, path: str, width: int, rows: int) -> DataFrame:
+    """The appended batches; an error if the row count is not the declared one or a vector has another width or a value that is not finite."""
+    e = spark.read.parquet(path)
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    seen = e.agg(F.count("*").alias("n"), F.count_if(~F.coalesce((F.size("embedding") == width) & finite, F.lit(False))).alias("bad")).first()
+    if seen["n"] != rows or seen["bad"]:
+        raise ValueError(f"{seen['n']} rows for {rows} declared, {seen['bad']} bad vectors")
+    return e

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from millrace.operators import features, metrics, rows, sampling, stats
-from millrace.plans import preparation, queries, reports  # noqa: F401  (each enters its queries)
+from millrace.plans import preparation, queries, reports, stores  # noqa: F401  (each enters its queries)
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"

@@ -50,3 +50,23 @@ def test_sink_refuses_a_second_write(spark, tmp_path):
         readers.write_samples(df, str(tmp_path / "s"))
     readers.write_report(df, str(tmp_path / "r"), ["split", "sequence"])
     assert {r["size_bytes"] > 0 for r in readers.scan_artifacts(spark, str(tmp_path / "r")).collect()} == {True}
+
+
+def test_hits_under_both_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"snp.chr",snp.position,snp.ref,snp.alt,overPermutation\n"p, q",1,5,A,C,True\n,1,5,A,C,false\n')
+    (tmp_path / "b.csv").write_text("overPermutation,SNPAlt,SNPRef,SNPPos,SNPChr\nFalse,C,A,5,1\nFalse,T,G,6,2\n,T,G,bad,2\n")
+    (tmp_path / "c.csv").write_text("other,header\n1,2\n")
+    assert sorted(tuple(r) for r in readers.read_gwas_hits(spark, str(tmp_path)).collect()) == [("1", 5, "A", "C", 1), ("2", 6, "G", "T", 0)]
+
+
+def test_embeddings_must_be_whole(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, 0.0])], "row int, embedding array<double>")
+    readers.append_embeddings(df.where("row = 1"), str(tmp_path / "e"))
+    readers.append_embeddings(df.where("row = 2"), str(tmp_path / "e"))
+    assert readers.read_embeddings(spark, str(tmp_path / "e"), 2, 2).count() == 2
+    for width, rows in ((2, 3), (3, 2)):
+        with pytest.raises(ValueError):
+            readers.read_embeddings(spark, str(tmp_path / "e"), width, rows)
+    readers.append_embeddings(spark.createDataFrame([(3, [float("nan"), None])], df.schema), str(tmp_path / "e"))
+    with pytest.raises(ValueError):
+        readers.read_embeddings(spark, str(tmp_path / "e"), 2, 3)
