@@ -584,26 +584,38 @@ def f11_score_with(spark, d):
     return evaluation.score_with(s, "sample_id", "sequence", evaluation.MarkovScorer(corpus.next_bases(s))).withColumn("score", F.round("score", 7))
 
 
-_CONTIG = "SELECT sample_id AS contig, sequence FROM v_samples WHERE length(sequence) >= 500"
+_CONTIG = "SELECT sample_id AS contig, sequence, length(sequence) AS n FROM v_samples"
+# Elements start at each ATA and end 10 to 309 letters on, or with their contig.
+_ELEMENT = f"SELECT contig, n, start, least(start + 10 + start % 300, n - 1) AS \"end\" FROM (SELECT contig, n, sequence, unnest(range(n)) AS start FROM ({_CONTIG})) WHERE substr(sequence, start + 1, 3) = 'ATA'"
 
 
 def _contigs(spark, d):
-    return X.samples(spark, d).where("length(sequence) >= 500").select(F.col("sample_id").alias("contig"), "sequence")
+    return X.samples(spark, d).select(F.col("sample_id").alias("contig"), "sequence")
 
 
-@query(f"SELECT contig, pos, CASE WHEN pos - 20 >= 0 AND pos - 20 + 41 <= length(sequence) THEN substr(sequence, pos - 20 + 1, 41) END AS \"window\" FROM ({_CONTIG}), (SELECT i * 37 AS pos FROM range(40) r(i))")
+def _lengths(spark, d):
+    return _contigs(spark, d).select("contig", F.length("sequence").cast("long").alias("length"))
+
+
+@query(f"SELECT contig, pos, CASE WHEN pos - 20 >= 0 AND pos - 20 + 41 <= n THEN substr(sequence, pos - 20 + 1, 41) END AS \"window\" FROM (SELECT contig, sequence, n, unnest(range(0, n, 37)) AS pos FROM ({_CONTIG}))")
 def j08_fetch_windows(spark, d):
-    c = _contigs(spark, d)
-    pos = c.select("contig", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).select("contig", (F.col("i") * 37).cast("long").alias("pos"))
-    return features.fetch_windows(pos, features.chunks(c, 256, 64), 41, 256)
+    pos = _lengths(spark, d).select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(37).cast("long"))).alias("pos"))
+    return features.fetch_windows(pos, features.chunks(_contigs(spark, d), 256, 64), 41, 256)
 
 
-@query(f"""SELECT contig, start, arg_min(site, k) AS site FROM (SELECT contig, start, k, CASE WHEN start + 60 < length(sequence) THEN start + 60 ELSE start - 60 END + k * 60 AS site FROM ({_CONTIG}), (SELECT i * 90 AS start FROM range(12) r(i)), range(9) q(k) WHERE start < length(sequence)) c
-  WHERE NOT EXISTS (SELECT 1 FROM ({_CONTIG}) x, (SELECT i * 90 AS s FROM range(12) r(i)) WHERE s < length(x.sequence) AND x.contig = c.contig AND s = c.site) GROUP BY contig, start""")
+@query()
 def j09_negative_sites(spark, d):
-    c = _contigs(spark, d)
-    f = c.select("contig", F.length("sequence").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).select("contig", (F.col("i") * 90).cast("long").alias("start"), "n").where("start < n").drop("n")
-    return features.negative_sites(f, c.select("contig", F.length("sequence").alias("length")), 60)
+    starts = features.chunks(_contigs(spark, d), 256, 2)
+    found = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda i: F.substr("seq", i + 1, F.lit(3)) == "ATA")
+    e = starts.select("contig", "start", F.explode(found).alias("i")).select("contig", (F.col("start") + F.col("i")).alias("start")).join(_lengths(spark, d), "contig")
+    end = F.least(F.col("start") + 10 + F.col("start") % 300, F.col("length") - 1)
+    return features.negative_sites(e.select("contig", "start", end.alias("end")), _lengths(spark, d), 60)
+
+
+ORACLE_SQL["j09_negative_sites"] = f"""WITH RECURSIVE v_samples AS ({X.SQL['v_samples']}), e AS MATERIALIZED ({_ELEMENT}), b AS MATERIALIZED (SELECT contig, start AS s FROM e UNION SELECT contig, "end" FROM e),
+  f AS (SELECT contig, start, "end", n, greatest(60, ("end" - start + 1) // 2) AS shift, side, CASE side WHEN 'left' THEN start ELSE "end" END AS edge FROM e, (VALUES ('left'), ('right')) v(side)),
+  r AS (SELECT contig, start, "end", side, CASE WHEN edge + shift < n THEN edge + shift ELSE edge - shift END AS site FROM f UNION ALL SELECT contig, start, "end", side, site + 60 FROM r SEMI JOIN b ON b.contig = r.contig AND b.s = r.site)
+  SELECT contig, start, "end", side, site FROM r ANTI JOIN b ON b.contig = r.contig AND b.s = r.site"""
 
 
 @query("SELECT contig, chunk_no, chunk_no * 256 AS start, length(substr(sequence, chunk_no * 256 + 1, 320)) AS n FROM (SELECT contig, sequence, unnest(range((length(sequence) - 1) // 256 + 1)) AS chunk_no FROM (" + _CONTIG + "))")
