@@ -11,6 +11,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize
+from .metrics import multiclass
 from .sampling import k_shot
 
 
@@ -20,21 +22,25 @@ def _scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
     return [scaler.transform(x) for x in frames]
 
 
-def fit_logistic(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
+def fit_logistic(train: DataFrame, test: DataFrame, c: float = 1.0, steps: int = 50) -> DataFrame:
     """Standardised, class-balanced logistic head; ``test`` with pred and score (probability of the last class)."""
     sizes = train.groupBy("label").agg(F.count("*").alias("n"))
     w = Window.partitionBy(F.lit(0))  # one row per class
     weights = sizes.select("label", (F.sum("n").over(w) / (F.count("*").over(w) * F.col("n"))).alias("weight"))
     a, b = _scaled(train.join(weights, "label"), test)
-    n = train.count()
-    model = LogisticRegression(weightCol="weight", regParam=1 / (c * max(1, n)), elasticNetParam=0.0, maxIter=50).fit(a)
+    # The scaler divides by the sample's deviation; the penalty is that of features of population deviation 1.
+    n = max(1, train.count())
+    model = LogisticRegression(weightCol="weight", regParam=(n - 1) / n / (c * n), elasticNetParam=0.0, maxIter=steps, standardization=False).fit(a)
     out = model.transform(b)
     return out.withColumn("pred", F.col("prediction").cast("long")).withColumn("score", F.element_at(vector_to_array("probability"), -1)).drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
 def fit_ridge(train: DataFrame, test: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """``test`` with pred of the least of squared errors plus ``alpha`` times the squared weights of standardised features."""
     a, b = _scaled(train, test)
-    model = LinearRegression(regParam=alpha / max(1, train.count()), elasticNetParam=0.0, solver="normal").fit(a)
+    size = train.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s")).first()
+    # MLlib divides the penalty by the label's deviation.
+    model = LinearRegression(regParam=alpha * (size["s"] or 0.0) / max(1, size["n"]), elasticNetParam=0.0, solver="normal").fit(a)
     return model.transform(b).withColumnRenamed("prediction", "pred").drop("raw", "features")
 
 
@@ -52,3 +58,22 @@ def fit_multilabel(train: DataFrame, test: DataFrame, labels: str, width: int, c
 def few_shot(train: DataFrame, test: DataFrame, k: int, seeds: tuple[int, ...]) -> DataFrame:
     """Per seed a head on ``k`` rows of each class, scored on the whole of ``test``."""
     return reduce(DataFrame.unionByName, [fit_logistic(k_shot(train, k, s), test).withColumn("seed", F.lit(s)) for s in seeds])
+
+
+IGNORED = 255
+
+
+def token_head(tokens: DataFrame, grid: tuple[int, ...] = (5, 20, 80)) -> DataFrame:
+    """Rows (split, embedding, label) of tokens: the test tokens with pred and score of a class-balanced head.
+
+    A grid of step counts stands for early stopping: the count with the best macro F1 on validation is taken, of equals the smallest.
+    Tokens labelled 255 count nowhere, but those of the test split are scored.
+    """
+    train, validation = (tokens.where((F.col("split") == s) & (F.col("label") != IGNORED)) for s in ("train", "validation"))
+    train = materialize(train)
+    best = None
+    for steps in sorted(grid):
+        f1 = multiclass(fit_logistic(train, validation, steps=steps).withColumn("run", F.lit(0)), ["run"]).first()["macro_f1"]
+        if best is None or f1 > best[0]:
+            best = (f1, steps)
+    return fit_logistic(train, tokens.where("split = 'test'"), steps=best[1]).withColumn("steps", F.lit(best[1]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequences import norm_split, parse_label, stable_id
+from ..functions.sequences import norm_split, parse_label, stable_id, vocab_id
 
 ALIASES = {"sequence": ("sequence", "sequences", "seq"), "label": ("label", "labels"), "species": ("species", "genome"), "group_id": ("group_id", "orthogroup")}
 
@@ -123,3 +123,30 @@ def read_embeddings(spark: SparkSession, path: str, width: int, rows: int) -> Da
     if seen["n"] != rows or seen["bad"]:
         raise ValueError(f"{seen['n']} rows for {rows} declared, {seen['bad']} bad vectors")
     return e
+
+
+# The region classes, numbered from 0.
+REGIONS = ("intergenic", "CDS", "intron", "three_prime_UTR", "five_prime_UTR", "ncRNA_gene", "Repeat")
+
+
+def read_region_windows(spark: SparkSession, path: str, genome: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(sample_id, split, sequence, label, class_name, group_id) of the centre windows of a Parquet table (chrom, center_start, center_end, Region).
+
+    ``genome`` holds chunks (contig, chunk_no, start, seq) of ``size`` letters and ``overlap`` more, as ``features.chunks`` makes them,
+    named without ``Chr``.  A window meets only the chunk it starts in.  Windows over the ends of their contig, or of a contig
+    that is not there, are left out; one longer than ``overlap`` is an error, as is a region that is none of the classes.
+    """
+    w = spark.read.parquet(path).select(F.regexp_replace(F.regexp_replace("chrom", "^Chr", ""), "^chr", "").alias("contig"), F.col("center_start").cast("long").alias("a"), F.col("center_end").cast("long").alias("b"), F.col("Region").alias("class_name"))
+    label = vocab_id(F.col("class_name"), REGIONS, -1)
+    bad = F.when(F.col("b") - F.col("a") > overlap, "a window is longer than the overlap of the chunks").when(label < 0, "a region is none of the classes")
+    w = w.where("a >= 0").withColumn("label", F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(label)).withColumn("chunk_no", F.floor(F.col("a") / size))
+    n = F.col("b") - F.col("a")
+    x = w.join(genome, ["contig", "chunk_no"]).withColumn("sequence", F.substr("seq", (F.col("a") - F.col("start") + 1).cast("int"), n.cast("int"))).where(F.length("sequence") == n)
+    return x.select(stable_id(F.lit("D01"), F.col("contig"), F.col("a").cast("string"), F.col("b").cast("string")).alias("sample_id"), F.lit("test").alias("split"), "sequence", "label", "class_name", F.col("contig").alias("group_id"))
+
+
+def read_token_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, split, pos, embedding, label) of a table (sample_id, split, hidden, labels), one row a token; an error where the two arrays differ in length."""
+    x = spark.read.parquet(path)
+    same = F.when(F.size("hidden") == F.size("labels"), F.arrays_zip("hidden", "labels")).otherwise(F.raise_error(F.concat(F.lit("hidden and labels differ in length: "), F.col("sample_id").cast("string"))))
+    return x.select("sample_id", "split", F.posexplode(same).alias("pos", "t")).select("sample_id", "split", "pos", F.col("t.hidden").alias("embedding"), F.col("t.labels").alias("label"))
