@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import canonical
+from .quality import CROSSING, key_groups, of_kind
 from .sampling import hash_rank
 
 
@@ -95,8 +94,9 @@ def pool_cursor(quota: DataFrame) -> DataFrame:
 
 def ready_report(df: DataFrame) -> DataFrame:
     """(check, rows, ok) over samples: repeated ids, repeated canonical sequences, groups in several splits, letters that are no base."""
-    slim = df.select("sample_id", "split", "group_id", F.sha2(canonical(F.col("sequence")), 256).alias("signature"), F.col("sequence").rlike("[^ACGTN]").alias("bad"))
-    extra = lambda key: slim.groupBy(key).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("rows"))
-    crossing = slim.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("rows"))
-    checks = {"repeated_id": extra("sample_id"), "repeated_sequence": extra("signature"), "group_crossing": crossing, "bad_letters": slim.agg(F.count_if("bad").alias("rows"))}
-    return reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("check"), "rows", (F.col("rows") == 0).alias("ok")) for n, t in checks.items()])
+    keys = {"sample_id": F.col("sample_id"), "signature": F.sha2(canonical(F.col("sequence")), 256), "group_id": F.col("group_id")}
+    g = key_groups(df, keys, {"bad_letters": F.col("sequence").rlike("[^ACGTN]")})
+    extra = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n") - 1))
+    checks = {"repeated_id": extra("sample_id"), "repeated_sequence": extra("signature"), "group_crossing": of_kind("group_id", CROSSING), "bad_letters": F.sum(F.when(F.col("kind") == "bad_letters", F.col("n")))}
+    one = g.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in checks.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("rows"), (F.col(k) == 0).alias("ok")) for k in checks])))

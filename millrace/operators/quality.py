@@ -4,46 +4,69 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import signature
 
 
+def split_bit() -> Column:
+    return F.when(F.col("split") == "train", 1).when(F.col("split") == "validation", 2).when(F.col("split") == "test", 4).otherwise(8)
+
+
 def cross_split_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys in more than one split, as a bit mask with partial aggregation: no distinct, no expand."""
-    bit = F.when(F.col("split") == "train", 1).when(F.col("split") == "validation", 2).when(F.col("split") == "test", 4).otherwise(8)
-    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.bit_or(bit).alias("mask"), F.count("*").alias("rows"))
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.bit_or(split_bit()).alias("mask"), F.count("*").alias("rows"))
     return g.withColumn("n_splits", F.bit_count("mask").cast("int")).where("n_splits > 1").select(key, "rows", "n_splits")
 
 
+def key_groups(df: DataFrame, keys: dict[str, Column], flags: dict[str, Column] | None = None) -> DataFrame:
+    """(kind, key, n, mask) of every value of several keys, with the splits as a bit mask, in one pass and one shuffle of partial counts.
+
+    A row gives one pair for each key, and one of null key for each of ``flags`` that holds.
+    """
+    null = F.lit(None).cast("string")
+    pairs = [F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key")) for k, c in keys.items()]
+    pairs += [F.struct(F.when(c, F.lit(k)).alias("kind"), null.alias("key")) for k, c in (flags or {}).items()]
+    rows = df.select(split_bit().alias("bit"), F.inline(F.filter(F.array(*pairs), lambda x: x["kind"].isNotNull())))
+    return rows.groupBy("kind", "key").agg(F.count("*").alias("n"), F.bit_or("bit").alias("mask"))
+
+
+REPEATED, CROSSING = "n > 1", "key IS NOT NULL AND bit_count(mask) > 1"
+
+
+def of_kind(kind: str, rule: str) -> Column:
+    return F.count_if((F.col("kind") == kind) & F.expr(rule))
+
+
 def validate_samples(df: DataFrame, required: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
     """(rule, rows) for each broken rule: ids, splits, symbols, labels, and sequences or groups that cross splits."""
-    flags = df.agg(
-        F.count_if(F.col("sample_id").isNull() | (F.col("sample_id") == "")).alias("missing_id"),
-        F.count_if(~F.coalesce(F.col("split").isin(*required), F.lit(False))).alias("bad_split"),
-        F.count_if(~F.coalesce(F.col("sequence").rlike("^[ACGTN]+$"), F.lit(False))).alias("bad_symbol"),
-        F.count_if(F.isnan("label") | (F.abs("label") == float("inf"))).alias("bad_label"),
-        F.count_if(F.col("label").isNull()).alias("missing_label"),
-        *[(F.count_if(F.col("split") == s) == 0).cast("long").alias(f"no_{s}") for s in required],
-    )
-    names = flags.columns
-    rows = flags.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).cast("long").alias("rows")) for n in names])).alias("x")).select("x.*")
-    dup = df.groupBy("sample_id").count().where("count > 1").agg(F.count("*").alias("rows")).select(F.lit("duplicate_id").alias("rule"), "rows")
-    hashed = df.select("split", signature(F.col("sequence")).alias("signature"), "group_id")
-    crossing = [cross_split_keys(hashed, k).agg(F.count("*").alias("rows")).select(F.lit(f"cross_split_{k}").alias("rule"), "rows") for k in ("signature", "group_id")]
-    return reduce(DataFrame.unionByName, [rows, dup, *crossing]).where("rows > 0")
+    flags = {
+        "missing_id": F.col("sample_id").isNull() | (F.col("sample_id") == ""),
+        "bad_split": ~F.coalesce(F.col("split").isin(*required), F.lit(False)),
+        "bad_symbol": ~F.coalesce(F.col("sequence").rlike("^[ACGTN]+$"), F.lit(False)),
+        "bad_label": F.isnan("label") | (F.abs("label") == float("inf")),
+        "missing_label": F.col("label").isNull(),
+    }
+    keys = {"sample_id": F.col("sample_id"), "signature": signature(F.col("sequence")), "group_id": F.col("group_id"), "split": F.col("split")}
+    rules = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in flags}
+    rules |= {f"no_{s}": (of_kind("split", f"key = '{s}'") == 0).cast("long") for s in required}
+    rules |= {"duplicate_id": of_kind("sample_id", REPEATED), "cross_split_signature": of_kind("signature", CROSSING), "cross_split_group_id": of_kind("group_id", CROSSING)}
+    one = key_groups(df, keys, flags).agg(*[c.alias(k) for k, c in rules.items()])
+    found = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("rows")) for k in rules])
+    return one.select(F.inline(found)).where("rows > 0")
 
 
 def audit_dataset(df: DataFrame) -> DataFrame:
     """One row: counts of rows, ids, signatures, and of keys that leak between splits."""
-    slim = df.select("sample_id", "split", signature(F.col("sequence")).alias("signature"), "group_id")
-    n = slim.agg(F.count("*").alias("n_rows"), F.count_if(F.col("sample_id").isNull()).alias("missing_ids"))
-    ids = slim.groupBy("sample_id").count().agg(F.count("*").alias("unique_ids"), F.count_if(F.col("count") > 1).alias("duplicate_ids"))
-    sig = cross_split_keys(slim, "signature").agg(F.count("*").alias("leaking_signatures"))
-    grp = cross_split_keys(slim, "group_id").agg(F.count("*").alias("leaking_groups"))
-    # Four tables of one row each.
-    return n.join(F.broadcast(ids)).join(F.broadcast(sig)).join(F.broadcast(grp))
+    g = key_groups(df, {"sample_id": F.col("sample_id"), "signature": signature(F.col("sequence")), "group_id": F.col("group_id")})
+    ids, none = F.col("kind") == "sample_id", F.lit(0)
+    return g.agg(
+        F.coalesce(F.sum(F.when(ids, F.col("n"))), none).alias("n_rows"),
+        F.coalesce(F.sum(F.when(ids & F.col("key").isNull(), F.col("n"))), none).alias("missing_ids"),
+        F.count_if(ids).alias("unique_ids"), of_kind("sample_id", REPEATED).alias("duplicate_ids"),
+        of_kind("signature", CROSSING).alias("leaking_signatures"), of_kind("group_id", CROSSING).alias("leaking_groups"),
+    )
 
 
 def full_compare(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality
+from ..functions.sequences import hash_bucket
+from ..operators import features, heads, quality
 from ..sources import readers
 from ..sources.store import shared_dir
+from ..streaming import logs
 from . import fixtures as X
 from .registry import query
 
@@ -73,3 +75,62 @@ def s18_embeddings(spark, d):
     for part in range(2):
         readers.append_embeddings(e.where(F.col("vec_id") % 2 == part), path)
     return readers.read_embeddings(spark, path, 64, e.count())
+
+
+_EVALS = "SELECT user_id AS run_key, event_id AS step, round(value, 4) AS value FROM events"
+
+
+@query(f"SELECT run_key, step, value, b IS NULL OR value < b AS new, best, n - max(CASE WHEN b IS NULL OR value < b THEN n END) OVER (PARTITION BY run_key ORDER BY step) AS stale FROM (SELECT *, min(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, min(value) OVER (w ROWS UNBOUNDED PRECEDING) AS best, row_number() OVER w AS n FROM ({_EVALS}) WINDOW w AS (PARTITION BY run_key ORDER BY step))")
+def st02_best_so_far(spark, d):
+    """The events in two halves by id, each as it arrives: the second query starts from the first one's checkpoint."""
+    e = X.table(spark, d, "events").selectExpr("user_id AS run_key", "event_id AS step", "round(value, 4) AS value")
+    middle = e.agg(F.avg("step")).first()[0] or 0
+    path = shared_dir(spark)
+    for half in (F.col("step") <= middle, F.col("step") > middle):
+        e.where(half).write.mode("append").parquet(f"{path}/in")
+        rows = logs.best_so_far(spark.readStream.schema(e.schema).parquet(f"{path}/in"))
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL")
+def st04_append_vectors(spark, d):
+    e, path = X.table(spark, d, "embeddings"), shared_dir(spark)
+    stream = spark.readStream.schema(e.schema).parquet(f"{d}/embeddings.parque[t]").where("embedding IS NOT NULL").select("vec_id", "label", "embedding")
+    logs.append_vectors(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return readers.read_embeddings(spark, f"{path}/out", 64, e.where("embedding IS NOT NULL").count()).drop("batch")
+
+
+_REGION = "list_value('intergenic', 'CDS', 'intron', 'three_prime_UTR', 'five_prime_UTR', 'ncRNA_gene', 'Repeat')"
+
+
+@query(f"""SELECT substr(sha256('D01|' || sample_id || '|' || a || '|' || (a + 50)), 1, 24) AS sample_id, 'test' AS split, substr(sequence, a + 1, 50) AS sequence, (a // 30 % 7)::INT AS label, {_REGION}[a // 30 % 7 + 1] AS class_name, sample_id AS group_id
+  FROM (SELECT sample_id, sequence, unnest(range(0, length(sequence), 30)) AS a FROM v_samples) WHERE a + 50 <= length(sequence)""")
+def s08_region_windows(spark, d):
+    """A window of 50 letters every 30, of each region in turn, written as a table of windows."""
+    s, path = X.samples(spark, d), shared_dir(spark)
+    w = s.select("sample_id", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(30))).alias("a"))
+    names = F.array(*map(F.lit, readers.REGIONS))
+    w.select(F.concat(F.lit("Chr"), "sample_id").alias("chrom"), F.col("a").alias("center_start"), (F.col("a") + 50).alias("center_end"), F.get(names, (F.col("a") / 30).cast("int") % 7).alias("Region")).write.parquet(path)
+    return readers.read_region_windows(spark, path, features.chunks(s.select(F.col("sample_id").alias("contig"), "sequence"), 256, 64), 256, 64)
+
+
+def _token_cache(spark, d):
+    """Each vector as 16 tokens of four values: the class is the greatest value's place, and 255 where the first is negative and the second too."""
+    e, path = X.table(spark, d, "embeddings").where("embedding IS NOT NULL"), shared_dir(spark)
+    hidden = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, 4))
+    label = F.transform("hidden", lambda h: F.when((h[0] < 0) & (h[1] < 0), heads.IGNORED).otherwise(F.array_position(h, F.array_max(h)).cast("int") - 1))
+    b = hash_bucket(F.concat(F.lit("42|"), F.col("vec_id").cast("string")), 10)
+    e.select(F.col("vec_id").alias("sample_id"), F.when(b < 2, "test").when(b < 4, "validation").otherwise("train").alias("split"), hidden.alias("hidden")).withColumn("labels", label).write.parquet(path)
+    return readers.read_token_cache(spark, path)
+
+
+@query("""SELECT sample_id, split, pos, CASE WHEN h[1] < 0 AND h[2] < 0 THEN 255 ELSE list_position(h, list_max(h)) - 1 END::INT AS label FROM (SELECT vec_id AS sample_id, pos::INT AS pos, embedding[pos * 4 + 1 : pos * 4 + 4] AS h,
+  CASE WHEN b < 2 THEN 'test' WHEN b < 4 THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, ('0x' || substr(sha256('42|' || vec_id::VARCHAR), 1, 8))::BIGINT % 10 AS b FROM embeddings WHERE embedding IS NOT NULL), range(16) r(pos))""")
+def s19_token_cache(spark, d):
+    return _token_cache(spark, d).drop("embedding")
+
+
+@query()
+def f10_token_head(spark, d):
+    return heads.token_head(_token_cache(spark, d)).select("sample_id", "pos", "label", "pred")

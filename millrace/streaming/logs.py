@@ -1,9 +1,12 @@
-"""Streams: training-log tails with the last row of each step, and heartbeats."""
+"""Streams: training-log tails with the last row of each step, best-so-far states, appended vectors, and heartbeats."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..sources.readers import read_training_log
 
@@ -24,3 +27,39 @@ def event_counts(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Rows per event type and hour; the watermark bounds the state on a stream."""
     hour = F.window("ts", "1 hour")
     return events.withWatermark("ts", delay).groupBy(hour, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
+
+
+def best_so_far(evals: DataFrame, min_delta: float = 0.0) -> DataFrame:
+    """Rows (run_key, step, value) of a stream with ``new`` (under the best by more than ``min_delta``), ``best`` and ``stale``, the rows since.
+
+    A run's state is two numbers in the query's checkpoint: a query that is started again goes on where it stopped.
+    A micro-batch must hold later steps than the one before it; the rows of one run in a micro-batch meet in one task,
+    which puts them in step order, so bound a batch by ``maxFilesPerTrigger``.  A null value is no new best, except
+    that every row of a run is ``new`` until it has a value.
+    """
+    names = ("run_key", "step", "value")
+    fields = [StructField(n, evals.schema[n].dataType) for n in names]
+    out = StructType([*fields, StructField("new", BooleanType()), StructField("best", DoubleType()), StructField("stale", LongType())])
+
+    def follow(key, frames, state):
+        best, stale = state.get if state.exists else (None, 0)
+        x = pd.concat(frames).sort_values("step", kind="stable")
+        marks = []
+        for v in x["value"]:
+            v = None if pd.isna(v) else float(v)
+            new = best is None or (v is not None and v < best - min_delta)
+            best, stale = (v, 0) if new else (best, stale + 1)
+            marks.append((new, best, stale))
+        state.update((best, stale))
+        yield x[list(names)].reset_index(drop=True).join(pd.DataFrame(marks, columns=["new", "best", "stale"]))
+
+    return evals.groupBy("run_key").applyInPandasWithState(follow, out, "best double, stale long", "append", GroupStateTimeout.NoTimeout)
+
+
+def append_vectors(vectors: DataFrame, path: str, checkpoint: str):
+    """Start a query that appends a stream of vectors to ``path``, a folder a micro-batch; a batch that is run again replaces its folder.
+
+    ``sources.readers.read_embeddings`` reads the folders back and checks that nothing is missing.
+    """
+    write = lambda batch, no: batch.write.mode("overwrite").parquet(f"{path}/batch={no}")
+    return vectors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
