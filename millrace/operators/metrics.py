@@ -107,6 +107,11 @@ def multiclass(pred: DataFrame, by: list[str]) -> DataFrame:
     return s.select(*by, (F.col("c") / n).alias("accuracy"), "balanced_accuracy", "macro_f1", _ratio(F.col("c") * n - F.col("tp"), F.sqrt(n * n - F.col("pp")) * F.sqrt(n * n - F.col("tt"))).alias("mcc"))
 
 
+def token_metrics(pred: DataFrame, by: list[str], ignore: int = 255) -> DataFrame:
+    """Multiclass metrics over the tokens whose true label is known: neither null nor ``ignore``."""
+    return multiclass(pred.where(F.col("label") != ignore), by)
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
     """Ties share the mean rank; ranks are found over distinct values."""
     g = running_sums(df.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, {"_n": "_below"}, descending)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sequences import hash_bucket
-from ..operators import features, heads, quality
+from ..operators import features, heads, metrics, quality
 from ..sources import readers
 from ..sources.store import shared_dir
 from ..streaming import logs
@@ -131,6 +131,17 @@ def s19_token_cache(spark, d):
     return _token_cache(spark, d).drop("embedding")
 
 
+@query("""SELECT split, round(sum(h) / sum(t), 9) AS accuracy, round(avg(CASE WHEN t > 0 THEN h / t END), 9) AS balanced_accuracy, round(avg(2 * h / (t + p)), 9) AS macro_f1, round((sum(h) * sum(t) - sum(t * p)) / (sqrt(sum(t) * sum(t) - sum(p * p)) * sqrt(sum(t) * sum(t) - sum(t * t))), 9) AS mcc FROM
+  (WITH x AS MATERIALIZED (SELECT split, list_position(h, list_max(h)) AS label, list_position(g, list_max(g)) AS pred FROM (SELECT split, h, list_transform(h, lambda v: abs(v)) AS g FROM (SELECT embedding[pos * 4 + 1 : pos * 4 + 4] AS h,
+    CASE WHEN b < 2 THEN 'test' WHEN b < 4 THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, ('0x' || substr(sha256('42|' || vec_id::VARCHAR), 1, 8))::BIGINT % 10 AS b FROM embeddings WHERE embedding IS NOT NULL), range(16) r(pos))) WHERE NOT (h[1] < 0 AND h[2] < 0))
+   SELECT split, c, sum(t)::DOUBLE AS t, sum(p)::DOUBLE AS p, sum(h)::DOUBLE AS h FROM (SELECT split, label AS c, 1 AS t, 0 AS p, (label = pred)::INT AS h FROM x UNION ALL SELECT split, pred, 0, 1, 0 FROM x) GROUP BY ALL) GROUP BY split""")
+def m10_token_metrics(spark, d):
+    """The place of the greatest magnitude as the prediction of each token's class."""
+    size = F.transform("embedding", lambda v: F.abs(v))
+    t = _token_cache(spark, d).withColumn("pred", F.array_position(size, F.array_max(size)).cast("int") - 1)
+    return metrics.token_metrics(t, ["split"]).select("split", *[F.round(c, 9).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "mcc")])
+
+
 @query()
 def f10_token_head(spark, d):
     return heads.token_head(_token_cache(spark, d)).select("sample_id", "pos", "label", "pred")
