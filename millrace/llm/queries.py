@@ -1,4 +1,4 @@
-"""The queries over the ten operators, and their SQL where SQL can express them."""
+"""The queries over the thirteen operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, packing, quality, sharding, simhash, toxicity, url_filter, warc
+from . import bpe, chat, divergence, embedding_dedup, packing, phrases, quality, sharding, simhash, token_files, toxicity, url_filter, warc
 from .store import table
 
 
@@ -53,6 +53,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality, op4_simhash, op5_packing, op6_bpe, op7_sharding, op8_warc, op9_chat, op10_embeddings, pipeline)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality, op4_simhash, op5_packing, op6_bpe, op7_sharding, op8_warc, op9_chat, op10_embeddings, op11_token_files, op12_phrases, op13_divergence, pipeline)
 }
 
 _OP10_SQL = """
@@ -76,4 +88,4 @@ FROM e LEFT JOIN c ON c.i = vec_id LEFT JOIN n ON n.i = vec_id
 """
 
 #: XXH64, CRC-32, the tokenizers, fitted weights and the index ranges are beyond SQL; those queries are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.op1_sql(), "op3_quality": quality.op3_sql(), "op10_embeddings": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.op1_sql(), "op3_quality": quality.op3_sql(), "op10_embeddings": _OP10_SQL, "op12_phrases": phrases.op12_sql(), "op13_divergence": divergence.op13_sql()}
