@@ -47,7 +47,8 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Stripes:
     """(term, group) and (term, language) counts of one task; a group is a (language, source) with a number in the order of both."""
 
-    def __init__(self, lang_of: np.ndarray) -> None:
+    def __init__(self, lang_of: np.ndarray, most: int) -> None:
+        self.most = most
         self.lang_of, self.groups, self.langs = lang_of, len(lang_of), int(lang_of.max(initial=-1)) + 1
         self.clear()
 
@@ -69,7 +70,7 @@ class Stripes:
         self.counts.append(summed(own[term] * self.groups + group[row], times))
         self.docs.append(summed(own[term] * self.langs + self.lang_of[group[row]], np.ones(len(term), np.int64)))
         self.size += len(self.counts[-1][0])
-        if self.size > SPILL_COUNTS:  # counts of the same keys come together first
+        if self.size > self.most:  # counts of the same keys come together first
             for kept in (self.counts, self.docs):
                 kept[:] = [summed(*map(np.concatenate, zip(*kept, strict=True)))]
             self.size = len(self.counts[0][0])
@@ -123,18 +124,18 @@ def merge_sorted(batches: Iterator[pa.RecordBatch], groups: int, least: int) ->
         yield from merged(held, True)[0].to_batches()
 
 
-def term_stripes(docs: DataFrame, groups: list[tuple[str, str]], min_docs: int = MIN_DOCS) -> DataFrame:
+def term_stripes(docs: DataFrame, groups: list[tuple[str, str]], min_docs: int = MIN_DOCS, spill: int = SPILL_COUNTS) -> DataFrame:
     """Merged stripes of the terms in at least ``min_docs`` rows of their language; ``groups`` are all (lang, source) in order."""
     number = {g: i for i, g in enumerate(groups)}
     langs = sorted({lang for lang, _ in groups})
     lang_of = np.array([langs.index(lang) for lang, _ in groups], np.int64)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes = Stripes(lang_of)
+        stripes = Stripes(lang_of, spill)
         for b in batches:
             for s in slices(b):
                 stripes.fold(s.column("text"), np.array([number[g] for g in zip(s.column("lang").to_pylist(), s.column("source").to_pylist(), strict=True)], np.int64))
-                if stripes.size > SPILL_COUNTS // 2:
+                if stripes.size > spill // 2:
                     yield from stripes.spill()
         yield from stripes.spill()
 
@@ -152,7 +153,7 @@ def share(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
     return 1 + whole
 
 
-def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, spill: int = SPILL_COUNTS, matrix_sources: int = MATRIX_SOURCES) -> DataFrame:
     """lang, source, part, item, value, rank for every (lang, source) of ``docs`` (lang, source, text).
 
     Part ``pair`` has the divergence from each other source of the language, part ``term`` the ``top`` terms that the source has more of than its language.
@@ -164,7 +165,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     groups = sorted((r["lang"], r["source"]) for r in docs.select("lang", "source").distinct().collect())
     langs = sorted({lang for lang, _ in groups})
-    merged = materialize(term_stripes(docs, groups, min_docs))
+    merged = materialize(term_stripes(docs, groups, min_docs, spill))
     sums = {r["g"]: r["n"] for r in merged.select(F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy(F.col("x.sources").alias("g")).agg(F.sum("x.counts").alias("n")).collect()}
     kept = {r["lang"]: r["v"] for r in merged.groupBy("lang").agg(F.count("*").alias("v")).collect()}
     totals = np.array([sums.get(g, 0) for g in range(len(groups))], np.int64)
@@ -209,7 +210,7 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
                             found = found[more[found] >= np.partition(more[found], -top)[-top]]
                         best[g] = sorted([*best.get(g, ()), *((-int(more[x]), terms[x]) for x in found)])[:top]
                         values = np.abs(p[:, k + 1 :] - p[:, k : k + 1]).sum(0)
-                        if len(own) > MATRIX_SOURCES:
+                        if len(own) > matrix_sources:
                             yield from pairs(lang, k, values)
                         else:
                             matrix.setdefault(lang, np.zeros((len(own), len(own)), np.int64))[k, k + 1 :] += values

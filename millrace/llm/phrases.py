@@ -107,7 +107,7 @@ class Block:
         yield _relation_row(_FIRST, self.number, np.concatenate(self.places), codes)
 
 
-def word_occurrences(docs: DataFrame) -> DataFrame:
+def word_occurrences(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The relation of single words and the words' counts, block by block; ``docs`` has lang and text."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def word_occurrences(docs: DataFrame) -> DataFrame:
         for b in batches:
             for s in slices(b):
                 block.add(s.column("text"), s.column("lang").to_pylist())
-                if block.at >= BLOCK_WORDS:
+                if block.at >= block_words:
                     yield from block.close()
                     number += 1
                     block = Block(number)
@@ -166,12 +166,12 @@ def _extend(table: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
     return relations.cogroup(frequent.select("block", "code", "id").groupBy("block")).applyInArrow(join, _NEXT_DDL)
 
 
-def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of up to ``longest`` words with f >= ``least``, and (lang, n) with n all words of a language.
 
     A-Z are lower-cased, null texts have no words, null languages are ``und``.  Repeated rows count each; other columns are not read; an empty table gives empty results.
     """
-    table = materialize(word_occurrences(docs))
+    table = materialize(word_occurrences(docs, block_words))
     words = table.where("code IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     known = None
     for k in range(1, longest + 1):
@@ -196,12 +196,12 @@ def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(1000).cast("decimal(4,0)") * (wide["a"].cast("decimal(17,0)") * wide["n"].cast("decimal(17,0)")), wide["l"].cast("decimal(19,0)") * wide["r"].cast("decimal(19,0)"))
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT, top: int = TOP, block_words: int = BLOCK_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two words or more.
 
     A phrase is scored by its lowest-scoring cut; one that lies in a longer candidate of the same count is dropped.
     """
-    phrases, words = frequent_phrases(docs, longest, least)
+    phrases, words = frequent_phrases(docs, longest, least, block_words)
     candidates = phrases.where("k > 1").withColumn("w", F.split("phrase", " "))
     part = lambda begin, size: F.array_join(F.slice("w", begin, size), " ")
     cuts = candidates.select("lang", "phrase", "k", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
