@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import canonical
+from .features import gram_counts, gram_letters
 from .quality import CROSSING, key_groups, of_kind
 from .sampling import hash_rank
 
@@ -61,9 +62,8 @@ def mix_quota(pools: DataFrame, length_share: dict[int, float], region_share: di
 
 
 def next_bases(df: DataFrame, order: int = 2) -> DataFrame:
-    """Markov counts: (context, base, n, p) with one added to each base; windows are counted where they are read."""
-    grams = F.transform(F.sequence(F.lit(1), F.length("sequence") - order), lambda i: F.substr(F.col("sequence"), i, F.lit(order + 1)))
-    g = df.where(F.length("sequence") > order).select(F.explode(grams).alias("g")).where(~F.col("g").contains("N")).groupBy("g").agg(F.count("*").alias("n"))
+    """Markov counts: (context, base, n, p) with one added to each base; a row's grams are counted where it is read, and groups of them before the shuffle."""
+    g = df.select(F.explode(gram_counts("sequence", order + 1)).alias("g")).groupBy("g.gram").agg(F.sum("g.n").alias("n")).withColumn("g", gram_letters(F.col("gram"), order + 1))
     g = g.select(F.substr("g", F.lit(1), F.lit(order)).alias("context"), F.substr("g", F.lit(order + 1), F.lit(1)).alias("base"), "n")
     w = Window.partitionBy("context")
     return g.withColumn("p", (F.col("n") + 1) / (F.sum("n").over(w) + 4))

@@ -2,20 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import canonical
 
 
 def canonical_kmers(spark: SparkSession, ks: tuple[int, ...], dim: int) -> DataFrame:
-    """(k, kmer, idx) of every canonical k-mer: 2,760 rows for k up to 6, hashed once."""
+    """(k, gram, idx) of every k-mer by its number, with the index of its canonical form."""
     words = spark.range(1).select(F.explode(F.array(*map(F.lit, ks))).alias("k")).select("k", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(4), F.col("k")) - 1).cast("int"))).alias("i"))
-    letter = lambda j: F.substr(F.lit("ACGT"), (F.floor(F.col("i") / F.pow(F.lit(4), j)) % 4 + 1).cast("int"), F.lit(1))
-    spelled = words.withColumn("kmer", F.array_join(F.transform(F.sequence(F.lit(0), F.col("k") - 1), letter), ""))
+    kmer = F.coalesce(*[F.when(F.col("k") == k, gram_letters(F.col("i"), k)) for k in ks])
+    spelled = words.withColumn("kmer", canonical(kmer))
     h = F.sha2(F.concat_ws("|", "k", "kmer"), 256)
     # The low 12 bits of the first 8 bytes decide the index for any dimension that divides 4096.
-    return spelled.where(F.col("kmer") == canonical(F.col("kmer"))).select("k", "kmer", (F.conv(F.substring(h, 14, 3), 16, 10).cast("int") % dim).alias("idx"))
+    return spelled.select("k", F.col("i").cast("long").alias("gram"), (F.conv(F.substring(h, 14, 3), 16, 10).cast("int") % dim).alias("idx"))
+
+
+def gram_counts(sequence: Column | str, *lengths: int) -> Column:
+    """For each of ``lengths`` the ACGT grams of a sequence, as array<struct<k, gram, n>>: ``gram`` is the number in base 4 of its letters, n how often it occurs.
+
+    Grams with any other letter count nowhere.  One Arrow pass: the numbers of all grams roll over the letters, so the time follows the sequence's length.
+    """
+
+    @F.pandas_udf("array<struct<k:int,gram:bigint,n:bigint>>")
+    def counts(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda s: None if s is None else [{"k": k, "gram": g, "n": n} for k in lengths for g, n in zip(*_grams(s, k), strict=True)])
+
+    return counts(sequence)
+
+
+_CODES = np.full(256, 4, np.uint8)
+_CODES[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def _grams(sequence: str, k: int) -> tuple[list[int], list[int]]:
+    codes = _CODES[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
+    if len(codes) < k:
+        return [], []
+    numbers, bad = np.zeros(len(codes) - k + 1, np.int64), np.concatenate([[0], np.cumsum(codes > 3)])
+    for i in range(k):
+        numbers = numbers * 4 + codes[i : i + len(numbers)]
+    numbers, n = np.unique(numbers[bad[k:] == bad[:-k]], return_counts=True)
+    return numbers.tolist(), n.tolist()
+
+
+def gram_letters(gram: Column, k: int) -> Column:
+    """The letters of a gram's number."""
+    return F.concat(*[F.substr(F.lit("ACGT"), (F.floor(gram / 4**j) % 4 + 1).cast("int"), F.lit(1)) for j in range(k - 1, -1, -1)])
 
 
 def kmer_hash(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5, 6), dim: int = 2048) -> DataFrame:
@@ -23,33 +60,43 @@ def kmer_hash(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5, 6), dim: int = 2048
 
     The k-mers of a row are counted where the row is read; the shuffle carries at most ``dim`` counts of a row.
     """
-    none = F.array().cast("array<struct<k:int,kmer:string>>")
-
-    def of_length(k: int):
-        grams = F.transform(F.sequence(F.lit(1), F.length("sequence") - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), F.substr(F.col("sequence"), i, F.lit(k)).alias("kmer")))
-        return F.when(F.length("sequence") >= k, grams).otherwise(none)
-
-    grams = F.concat(*map(of_length, ks))
-    rows = df.select("sample_id", F.explode(grams).alias("g")).select("sample_id", "g.k", canonical(F.col("g.kmer")).alias("kmer")).where(~F.col("kmer").contains("N"))
-    known = F.broadcast(canonical_kmers(df.sparkSession, ks, dim))  # a fixed number of rows
-    counts = rows.join(known, ["k", "kmer"]).groupBy("sample_id", "idx").agg(F.count("*").alias("n"))
+    rows = df.select("sample_id", F.explode(gram_counts("sequence", *ks)).alias("g")).select("sample_id", "g.k", "g.gram", "g.n")
+    known = F.broadcast(canonical_kmers(df.sparkSession, ks, dim))  # 4 ** k rows for each k
+    counts = rows.join(known, ["k", "gram"]).groupBy("sample_id", "idx").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("sample_id").agg(F.sum("n").alias("total"))
     return counts.join(totals, "sample_id").select("sample_id", "idx", (F.col("n") / F.col("total")).alias("share"))
 
 
-def project_hash(df: DataFrame, dim: int = 256, seed: int = 42, size: int = 64) -> DataFrame:
-    """(vec_id, bucket, value): signed hash projection of ``embedding``; sums inside the row, no shuffle."""
-    spec = df.sparkSession.range(size).select(F.col("id").alias("i"), (((F.col("id") % dim) * 205 + seed % dim) % dim).alias("bucket"), (1 - 2 * (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col("id")), 256), 1, 2), 16, 10).cast("int") % 2)).alias("sign"))
-    sizes = spec.groupBy("bucket").agg(F.count("*").alias("m"))
-    x = df.select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    spec = F.broadcast(spec.join(sizes, "bucket"))  # one row per dimension
-    return x.join(spec, "i").groupBy("vec_id", "bucket").agg(F.sum(F.col("v").cast("double") * F.col("sign") / F.sqrt("m")).alias("value"))
+# The seed of the projection, its width, and the factor that spreads dimensions over buckets at that width (1 at any other).
+PROJECTION_SEED, PROJECTION_DIM, PROJECTION_FACTOR = 20260801, 256, 205
+
+
+def project_hash(df: DataFrame, dim: int = PROJECTION_DIM, seed: int = PROJECTION_SEED) -> DataFrame:
+    """(vec_id, bucket, value): signed hash projection of ``embedding``, whatever its width; sums inside the row, no shuffle.
+
+    Dimension i falls into the bucket of i modulo ``dim`` with the sign of a hash, and a bucket is divided by the root of its dimensions' number.  Buckets that no
+    dimension falls into have no row; null and empty vectors have none.  Vectors may differ in width.  The signs are a list as long as the widest vector.
+    """
+    width = df.agg(F.max(F.size("embedding"))).first()[0] or 0
+    signs = F.lit([1.0 if hashlib.sha256(f"{seed}|{i}".encode()).digest()[0] & 1 else -1.0 for i in range(width)] or [0.0])
+    factor = PROJECTION_FACTOR if dim == PROJECTION_DIM else 1
+    size = F.size("embedding")
+
+    def value(r: Column) -> Column:
+        at = F.sequence(r, size - 1, F.lit(dim))
+        total = F.aggregate(at, F.lit(0.0), lambda t, i: t + F.get("embedding", i).cast("double") * F.get(signs, i))
+        return F.struct((r.cast("long") * factor + seed % dim) % dim, total / F.sqrt(F.size(at).cast("double")))
+
+    buckets = F.transform(F.sequence(F.lit(0), F.least(size, F.lit(dim)) - 1), value)
+    x = df.where(size > 0).select("vec_id", F.explode(buckets).alias("x"))
+    return x.select("vec_id", F.col("x.col1").alias("bucket"), F.col("x.col2").alias("value"))
 
 
 def base_probabilities(df: DataFrame) -> DataFrame:
-    """(vec_id, pos, p): each four embedding values squared and normalised."""
-    quad = F.transform(F.sequence(F.lit(0), (F.size("embedding") / 4 - 1).cast("int")), lambda i: F.transform(F.slice("embedding", i * 4 + 1, 4), lambda x: x.cast("double") * x.cast("double")))
-    x = df.select("vec_id", F.posexplode(quad).alias("pos", "q"))
+    """(vec_id, pos, p): each four embedding values squared and normalised; what is left of fewer than four is no position."""
+    quads = F.floor(F.size("embedding") / 4).cast("int")
+    quad = F.transform(F.sequence(F.lit(0), quads - 1), lambda i: F.transform(F.slice("embedding", i * 4 + 1, 4), lambda x: x.cast("double") * x.cast("double")))
+    x = df.where(quads > 0).select("vec_id", F.posexplode(quad).alias("pos", "q"))
     total = F.aggregate("q", F.lit(0.0), lambda a, v: a + v)
     return x.withColumn("_t", total).where("_t > 0").select("vec_id", "pos", F.transform("q", lambda v: v / F.col("_t")).alias("p"))
 
@@ -71,9 +118,13 @@ def strand_average(forward: str, reverse: str):
 
 
 def chunks(df: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(contig, chunk_no, start, seq): overlapping chunks of long sequences."""
-    x = df.select("contig", "sequence", F.explode(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / size))).alias("chunk_no"))
-    return x.select("contig", "chunk_no", (F.col("chunk_no") * size).alias("start"), F.substr("sequence", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size + overlap)).alias("seq"))
+    """(contig, chunk_no, start, seq): overlapping chunks of long sequences; an empty or null sequence has none."""
+    some = df.where(F.length("sequence") > 0)
+    # The lengths are those of the whole sequence, so they are found once and not for each chunk.
+    x = some.select("contig", F.col("sequence").cast("binary").alias("raw"), "sequence", (F.octet_length("sequence") == F.length("sequence")).alias("narrow"), F.explode(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / size))).alias("chunk_no"))
+    at = (F.col("chunk_no") * size + 1).cast("int")
+    seq = F.when(F.col("narrow"), F.substring("raw", at, F.lit(size + overlap)).cast("string")).otherwise(F.substr("sequence", at, F.lit(size + overlap)))
+    return x.select("contig", "chunk_no", (F.col("chunk_no") * size).alias("start"), seq.alias("seq"))
 
 
 def fetch_windows(positions: DataFrame, chunked: DataFrame, window: int, size: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..operators import corpus, evaluation, features, heads, matrix, metrics, quality, sampling, similarity, stats
-from ..sources.store import materialize
+from ..sources import genome
+from ..sources.store import materialize, shared_dir
 from ..streaming import logs
 from . import fixtures as X
 from .registry import ORACLE_SQL, query
@@ -312,10 +313,15 @@ def f01_kmer_hash(spark, d):
     return features.kmer_hash(X.samples(spark, d)).withColumn("share", F.round("share", 9))
 
 
-@query("""SELECT vec_id, bucket, round(sum(v * sign / sqrt(m)), 6) AS value FROM (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i)) JOIN
-  (SELECT *, count(*) OVER (PARTITION BY bucket) AS m FROM (SELECT i, (((i % 256) * 205 + 42) % 256) AS bucket, 1 - 2 * (('0x' || substr(sha256('42|' || i), 1, 2))::INT % 2) AS sign FROM range(64) r(i))) USING (i) GROUP BY vec_id, bucket""")
+# Each vector widened to 320 dimensions, so that 64 of the 256 buckets take two.
+_WIDE = "SELECT vec_id, list_concat(embedding, list_reverse(embedding), embedding, list_reverse(embedding), embedding) AS e FROM embeddings"
+
+
+@query(f"""SELECT vec_id, bucket, round(sum(v * sign / sqrt(m)), 6) AS value FROM (SELECT vec_id, i, e[i + 1]::DOUBLE AS v FROM ({_WIDE}), range(320) r(i)) JOIN
+  (SELECT *, count(*) OVER (PARTITION BY bucket) AS m FROM (SELECT i, (((i % 256) * 205 + 20260801 % 256) % 256) AS bucket, 2 * (('0x' || substr(sha256('20260801|' || i), 1, 2))::INT % 2) - 1 AS sign FROM range(320) r(i))) USING (i) GROUP BY vec_id, bucket""")
 def f02_project_hash(spark, d):
-    return features.project_hash(X.table(spark, d, "embeddings")).withColumn("value", F.round("value", 6))
+    e, back = F.col("embedding"), F.reverse("embedding")
+    return features.project_hash(X.table(spark, d, "embeddings").select("vec_id", F.concat(e, back, e, back, e).alias("embedding"))).withColumn("value", F.round("value", 6))
 
 
 _PROB = "(SELECT vec_id, pos, [a * a / t, b * b / t, c * c / t, g * g / t] AS p FROM (SELECT *, a * a + b * b + c * c + g * g AS t FROM (SELECT vec_id, pos, embedding[pos * 4 + 1]::DOUBLE AS a, embedding[pos * 4 + 2]::DOUBLE AS b, embedding[pos * 4 + 3]::DOUBLE AS c, embedding[pos * 4 + 4]::DOUBLE AS g FROM embeddings, range(16) r(pos))) WHERE t > 0)"
@@ -620,7 +626,9 @@ ORACLE_SQL["j09_negative_sites"] = f"""WITH RECURSIVE v_samples AS ({X.SQL['v_sa
 
 @query("SELECT contig, chunk_no, chunk_no * 256 AS start, length(substr(sequence, chunk_no * 256 + 1, 320)) AS n FROM (SELECT contig, sequence, unnest(range((length(sequence) - 1) // 256 + 1)) AS chunk_no FROM (" + _CONTIG + "))")
 def s10_genome_chunks(spark, d):
-    return features.chunks(_contigs(spark, d), 256, 64).select("contig", "chunk_no", "start", F.length("seq").cast("long").alias("n"))
+    path = shared_dir(spark)
+    genome.write_fasta(_contigs(spark, d), path)
+    return genome.read_genome(spark, path, 256, 64).select(F.col("contig").cast("long").alias("contig"), "chunk_no", "start", F.length("seq").cast("long").alias("n"))
 
 
 def _distinct(spark, d):
