@@ -26,6 +26,10 @@ SMOOTHING = 5
 SPILL_COUNTS = 2_000_000
 #: Languages of more sources than this give each chunk's pair sums at once and keep no matrix of them.
 MATRIX_SOURCES = 1024
+#: A spilled stripe's counts, side by side.
+_ENTRY = np.dtype([("source", "<u4"), ("count", "<u8")])
+_SPILLED = "lang int, term binary, docs bigint, entries binary"
+_SPILLED_ARROW = pa.schema([("lang", pa.int32()), ("term", pa.binary()), ("docs", pa.int64()), ("entries", pa.binary())])
 _STRIPE = "lang int, term binary, docs bigint, sources array<int>, counts array<bigint>"
 _ARROW = pa.schema([("lang", pa.int32()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
@@ -86,9 +90,11 @@ class Stripes:
             for k in range(0, len(at), 10_000):
                 i, j = k, min(k + 10_000, len(at))
                 lo, hi = begin[i], begin[j] if j < len(at) else len(key)
-                off = pa.array(np.append(begin[i:j], hi) - lo, pa.int32())
-                lists = [pa.ListArray.from_arrays(off, pa.array(x[lo:hi], t)) for x, t in ((group, pa.int32()), (count, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(lang[i:j], pa.int32()), names.take(pa.array(term[i:j])), pa.array(docs[i:j]), *lists], schema=_ARROW)
+                entries = np.empty(hi - lo, _ENTRY)
+                entries["source"], entries["count"] = group[lo:hi], count[lo:hi]
+                off = ((np.append(begin[i:j], hi) - lo) * _ENTRY.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(off), pa.py_buffer(entries)])
+                yield pa.RecordBatch.from_arrays([pa.array(lang[i:j], pa.int32()), names.take(pa.array(term[i:j])), pa.array(docs[i:j]), packed], schema=_SPILLED_ARROW)
         self.clear()
 
 
@@ -99,29 +105,38 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def merge_sorted(batches: Iterator[pa.RecordBatch], groups: int, least: int) -> Iterator[pa.RecordBatch]:
-    """One stripe for each key of at least ``least`` documents, from stripes sorted by key; holds a batch and one open key."""
-    held = _ARROW.empty_table()
+    """One stripe for each key of at least ``least`` documents, from spilled stripes sorted by key; holds a batch and one open key."""
+    held = None  # (lang, term, docs, sources, counts) of the open key
 
-    def merged(table: pa.Table, final: bool) -> tuple[pa.Table, pa.Table]:
-        term, lang = table.column("term").combine_chunks(), table.column("lang").to_numpy()
-        new = np.ones(len(table), bool)
-        new[1:] = (lang[1:] != lang[:-1]) | ~pc.equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(new)
-        row, source, count = _lists(table)
-        key, count = summed((np.cumsum(new) - 1)[row] * groups + source, count)
-        off = pa.array(np.searchsorted(key, np.arange(len(first) + 1) * groups), pa.int32())
-        lists = [pa.ListArray.from_arrays(off, x) for x in (pa.array(key % groups, pa.int32()), pa.array(count))]
-        out = pa.Table.from_arrays([pa.array(lang[first]), term.take(pa.array(first)), pa.array(np.add.reduceat(table.column("docs").to_numpy(), first)), *lists], schema=_ARROW)
-        done = out if final else out.slice(0, len(out) - 1)
-        return done.filter(pc.greater_equal(done.column("docs"), least)), out.slice(len(done))
+    def stripes(lang: np.ndarray, term: pa.Array, docs: np.ndarray, begin: np.ndarray, source: np.ndarray, count: np.ndarray) -> pa.Table:
+        lists = [pa.ListArray.from_arrays(pa.array(begin, pa.int32()), x) for x in (pa.array(source, pa.int32()), pa.array(count, pa.int64()))]
+        out = pa.Table.from_arrays([pa.array(lang, pa.int32()), term, pa.array(docs), *lists], schema=_ARROW)
+        return out.filter(pc.greater_equal(out.column("docs"), least))
 
     for b in batches:
-        if len(b):
-            done, held = merged(pa.concat_tables([held, pa.Table.from_arrays(b.columns, schema=_ARROW)]), False)
-            held = pa.Table.from_batches([x for x in held.combine_chunks().to_batches()], _ARROW)
-            yield from done.to_batches()
-    if len(held):
-        yield from merged(held, True)[0].to_batches()
+        if not len(b):
+            continue
+        lang, term, docs = b.column("lang").to_numpy(), b.column("term"), b.column("docs").to_numpy()
+        new = np.ones(len(b), bool)
+        new[1:] = (lang[1:] != lang[:-1]) | ~pc.equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+        packed = b.column("entries")
+        off = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(b) + 1] // _ENTRY.itemsize
+        entries = np.frombuffer(packed.buffers()[2], _ENTRY)[off[0] : off[-1]]
+        key = (np.cumsum(new) - 1)[np.repeat(np.arange(len(b)), np.diff(off))] * groups + entries["source"]
+        count = entries["count"].astype(np.int64)
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(docs, first)
+        if held and held[0] == lang[0] and held[1] == term[0].as_py():
+            key, count = np.concatenate([held[3], key]), np.concatenate([held[4], count])
+            sums[0] += held[2]
+        elif held:
+            yield from stripes([held[0]], pa.array([held[1]], pa.binary()), [held[2]], [0, len(held[3])], held[3], held[4]).to_batches()
+        key, count = summed(key, count)
+        begin = np.searchsorted(key, np.arange(len(first) + 1) * groups)
+        yield from stripes(lang[first[:-1]], term.take(pa.array(first[:-1])), sums[:-1], begin[:-1], key[: begin[-2]] % groups, count[: begin[-2]]).to_batches()
+        held = (int(lang[-1]), term[-1].as_py(), int(sums[-1]), key[begin[-2] :] % groups, count[begin[-2] :])
+    if held:
+        yield from stripes([held[0]], pa.array([held[1]], pa.binary()), [held[2]], [0, len(held[3])], held[3], held[4]).to_batches()
 
 
 def term_stripes(docs: DataFrame, groups: list[tuple[str, str]], min_docs: int = MIN_DOCS, spill: int = SPILL_COUNTS) -> DataFrame:
@@ -139,7 +154,7 @@ def term_stripes(docs: DataFrame, groups: list[tuple[str, str]], min_docs: int =
                     yield from stripes.spill()
         yield from stripes.spill()
 
-    spilled = materialize(docs.select("lang", "source", "text").mapInArrow(fold, _STRIPE))
+    spilled = materialize(docs.select("lang", "source", "text").mapInArrow(fold, _SPILLED))
     by_key = spilled.repartition("lang", "term").sortWithinPartitions("lang", "term")
     return by_key.mapInArrow(lambda batches: merge_sorted(batches, len(groups), min_docs), _STRIPE)
 

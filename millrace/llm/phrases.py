@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .divergence import counted
 from .store import materialize
 from .words import byte_classes, slices, split
 
@@ -29,28 +29,57 @@ MIN_COUNT = 100
 TOP = 2000
 _RELATION = [("places", pa.binary()), ("codes", pa.binary())]
 _FIRST = pa.schema([("block", pa.int64()), ("code", pa.int64()), ("lang", pa.string()), ("term", pa.binary()), ("n", pa.int64()), *_RELATION])
-_NEXT = pa.schema([("block", pa.int64()), ("code", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), *_RELATION])
+_NEXT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("groups", pa.binary()), *_RELATION])
 _FIRST_DDL = "block bigint, code bigint, lang string, term binary, n bigint, places binary, codes binary"
-_NEXT_DDL = "block bigint, code bigint, a bigint, b bigint, n bigint, places binary, codes binary"
+_NEXT_DDL = "block bigint, bucket int, groups binary, places binary, codes binary"
+_FREQUENT = pa.schema([("block", pa.int64()), ("code", pa.int64()), ("id", pa.int64()), ("f", pa.int64()), ("first", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
+_FREQUENT_DDL = "block bigint, code bigint, id bigint, f bigint, first boolean, a bigint, b bigint"
 #: Codes of a block stay below 2**_CODE_BITS.
 _CODE_BITS = 31
 
 
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns as planes of bytes, compressed; most bytes of a plane are alike."""
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _expand(packed: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    rows, out, at = len(raw) // sum(widths), [], 0
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + rows * w].reshape(w, rows).T).view(k).ravel())
+        at += rows * w
+    return out
+
+
 def pack_relation(places: np.ndarray, codes: np.ndarray) -> dict[str, bytes]:
-    """Places as a bitmap, codes as planes of bytes, both compressed: common phrases have small codes."""
+    """Places as a bitmap, and the codes; common phrases have small ones."""
     bitmap = np.zeros(int(places[-1]) + 1 if len(places) else 0, bool)
     bitmap[places] = True
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    codec = pa.Codec("zstd")
-    with_size = lambda raw: len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
-    return {"places": with_size(np.packbits(bitmap, bitorder="little").tobytes()), "codes": with_size(planes)}
+    return {"places": _squeeze(np.packbits(bitmap, bitorder="little")), "codes": _squeeze(codes.astype("<u4"))}
 
 
 def unpack_relation(places: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    codec = pa.Codec("zstd")
-    raw = [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in (places, codes)]
-    at = np.flatnonzero(np.unpackbits(np.frombuffer(raw[0], np.uint8), bitorder="little"))
-    return at, np.ascontiguousarray(np.frombuffer(raw[1], np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    (bitmap,), (code,) = _expand(places, "u1"), _expand(codes, "<u4")
+    return np.flatnonzero(np.unpackbits(bitmap, bitorder="little")), code.astype(np.int64)
+
+
+def pack_groups(a: np.ndarray, b: np.ndarray, n: np.ndarray, code: np.ndarray) -> bytes:
+    """Groups in the order of ``a``, which is kept as steps."""
+    return _squeeze(np.diff(a, prepend=0).astype("<i8"), b.astype("<i8"), n.astype("<u4"), code.astype("<u4"))
+
+
+def unpack_groups(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    step, b, n, code = _expand(packed, "<i8", "<i8", "<u4", "<u4")
+    return np.cumsum(step), b, n.astype(np.int64), code.astype(np.int64)
+
+
+def bucket_of(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
 def _by_frequency(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +90,6 @@ def _by_frequency(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.
     return order, new[codes]
 
 
-def _group_rows(schema: pa.Schema, block: int, columns: list, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each group of a block, code by code."""
-    for k in range(0, len(n), 50_000):
-        rows = len(n[k : k + 50_000])
-        own = [c.slice(k, rows) if isinstance(c, pa.Array) else pa.array(c[k : k + rows]) for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), pa.array(np.arange(k, k + rows)), *own, pa.array(n[k : k + rows]), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], schema=schema)
-
-
-def _relation_row(schema: pa.Schema, block: int, places: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"block": block} | pack_relation(places, codes)], schema=schema)
-
-
 class Block:
     """Words of whole documents, with codes for each (language, word)."""
 
@@ -103,8 +120,11 @@ class Block:
         order, codes = _by_frequency(codes, n)
         langs = pa.array([x for x, _ in self.known], pa.string()).take(pa.array(order))
         terms = pa.array([t for _, t in self.known], pa.binary()).take(pa.array(order))
-        yield from _group_rows(_FIRST, self.number, [langs, terms], n[order])
-        yield _relation_row(_FIRST, self.number, np.concatenate(self.places), codes)
+        for k in range(0, len(n), 50_000):
+            rows = len(n[k : k + 50_000])
+            none = pa.nulls(rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, self.number)), pa.array(np.arange(k, k + rows)), langs.slice(k, rows), terms.slice(k, rows), pa.array(n[order[k : k + rows]]), none, none], schema=_FIRST)
+        yield pa.RecordBatch.from_pylist([{"block": self.number} | pack_relation(np.concatenate(self.places), codes)], schema=_FIRST)
 
 
 def word_occurrences(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -126,19 +146,42 @@ def word_occurrences(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(blocks, _FIRST_DDL)
 
 
-def _frequent(table: DataFrame, key: list[str], least: int) -> DataFrame:
-    """block, code, id, f, first and key of every group of a block whose phrase is frequent in all.
+def _frequent_words(table: DataFrame, least: int) -> DataFrame:
+    """block, code, id, f, first, lang, term of every word of a block that is frequent in all.
 
-    The smallest (block, code) of a phrase is its id; there ``first`` is true and the key's columns are kept.  A block has a phrase once, so a key has no more rows than there are blocks.
+    The smallest (block, code) of a word is its id; there ``first`` is true and the word is kept.  A block has a word once, so a word has no more rows than there are blocks.
     """
     own = F.shiftleft("block", _CODE_BITS) + F.col("code")
-    w = Window.partitionBy(*key)
-    rows = table.where("code IS NOT NULL").select("block", "code", *key, F.sum("n").over(w).alias("f"), F.min(own).over(w).alias("id"))
+    w = Window.partitionBy("lang", "term")
+    rows = table.where("code IS NOT NULL").select("block", "code", "lang", "term", F.sum("n").over(w).alias("f"), F.min(own).over(w).alias("id"))
     first = F.col("id") == own
-    return rows.where(F.col("f") >= least).select("block", "code", "id", "f", first.alias("first"), *(F.when(first, F.col(k)).alias(k) for k in key))
+    return rows.where(F.col("f") >= least).select("block", "code", "id", "f", first.alias("first"), *(F.when(first, F.col(k)).alias(k) for k in ("lang", "term")))
+
+
+def _frequent_groups(table: DataFrame, least: int) -> DataFrame:
+    """The same for longer phrases, (a, b) instead of the word: the groups of a bucket come from all blocks and are merged by key."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        parts = [(block, *unpack_groups(g)) for block, g in zip(rows.column("block").to_pylist(), rows.column("groups").to_pylist(), strict=True)]
+        own = np.concatenate([(block << _CODE_BITS) + code for block, *_, code in parts])
+        a, b, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        order = np.lexsort((own, b, a))
+        own, a, b, n = own[order], a[order], b[order], n[order]
+        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        size = np.diff(np.append(begin, len(own)))
+        total = np.add.reduceat(n, begin)
+        keep, first = np.repeat(total >= least, size), np.zeros(len(own), bool)
+        first[begin] = True
+        shown = pa.array(~first[keep])
+        block, code = np.divmod(own[keep], 1 << _CODE_BITS)
+        blank = lambda x: pc.if_else(shown, pa.scalar(None, pa.int64()), pa.array(x[keep]))
+        columns = [block, code, np.repeat(own[begin], size)[keep], np.repeat(total, size)[keep], first[keep]]
+        return pa.Table.from_arrays([*map(pa.array, columns), blank(a), blank(b)], schema=_FREQUENT)
+
+    return table.where("bucket IS NOT NULL").select("bucket", "block", "groups").groupBy("bucket").applyInArrow(merge, _FREQUENT_DDL)
 
 
-def _extend(table: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
+def _extend(table: DataFrame, frequent: DataFrame, buckets: int, last: bool) -> DataFrame:
     """Occurrences one word longer, from the relation of ``table`` without its occurrences of phrases that are not frequent."""
 
     def join(relation: pa.Table, ids: pa.Table) -> pa.Table:
@@ -156,13 +199,16 @@ def _extend(table: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
         code = pair.indices.to_numpy()
         n = np.bincount(code, minlength=len(pair.dictionary))
         order, code = _by_frequency(code, n)
-        a, b = np.divmod(pair.dictionary.to_numpy()[order], 1 << _CODE_BITS)
-        parts = list(_group_rows(_NEXT, block, [named[a], named[b]], n[order]))
+        a, b = (named[x] for x in np.divmod(pair.dictionary.to_numpy()[order], 1 << _CODE_BITS))
+        bucket = bucket_of(a, b, buckets)
+        by = np.lexsort((a, bucket))
+        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        rows = [{"block": block, "bucket": k, "groups": pack_groups(a[x], b[x], n[order][x], x)} for k in range(buckets) if len(x := by[cuts[k] : cuts[k + 1]])]
         if not last:
-            parts.append(_relation_row(_NEXT, block, places[meet], code))
-        return pa.Table.from_batches(parts, _NEXT)
+            rows.append({"block": block} | pack_relation(places[meet], code))
+        return pa.Table.from_pylist(rows, _NEXT)
 
-    relations = table.where("code IS NULL").select("block", "places", "codes").groupBy("block")
+    relations = table.where("places IS NOT NULL").select("block", "places", "codes").groupBy("block")
     return relations.cogroup(frequent.select("block", "code", "id").groupBy("block")).applyInArrow(join, _NEXT_DDL)
 
 
@@ -173,9 +219,11 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = MIN_C
     """
     table = materialize(word_occurrences(docs, block_words))
     words = table.where("code IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    # As many buckets of groups as there are blocks, so that a bucket has about as many groups as a block.
+    buckets = max(table.where("places IS NOT NULL").count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     known = None
     for k in range(1, longest + 1):
-        frequent = materialize(_frequent(table, ["lang", "term"] if k == 1 else ["a", "b"], least))
+        frequent = materialize(_frequent_words(table, least) if k == 1 else _frequent_groups(table, least))
         new = frequent.where("first")
         if k == 1:
             level = new.select("id", "lang", F.col("term").cast("string").alias("phrase"), F.col("term").cast("string").alias("last"), "f")
@@ -186,7 +234,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = MIN_C
         found = level.select("lang", "phrase", F.lit(k).alias("k"), "f")
         known = found if known is None else known.unionByName(found)
         if k < longest:
-            table = materialize(_extend(table, frequent, k + 1 == longest))
+            table = materialize(_extend(table, frequent, buckets, k + 1 == longest))
     return known, words
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are split at once; a longer text is split whole.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 WORD, GAP, BREAK = 0, 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32

@@ -1,8 +1,9 @@
-"""Near copies of DNA sequences: candidates by keys that near copies share, confirmed by edit distance over whole sequences."""
+"""Near copies of DNA sequences: candidates by keys that near copies share, confirmed by an alignment that covers both."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -10,29 +11,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import materialize
+from .alignment import Scoring, align_pairs
 from .graph import components
 
-GRAM, BANDS, SHORT, PER_EDIT = 11, 64, 128, 20  # an edit for each 20 letters of the longer sequence: identity of 95%
+#: Near copies are equal in 95% of the aligned columns, and the alignment covers 90% of each.
+IDENTITY, COVERAGE = 0.95, 0.9
+SCORING = Scoring(1, 3, 3, 3)
+GRAM, BANDS, SHORT = 11, 128, 128
 
 
-def _segments(s: str, edits: int) -> Iterator[tuple[int, int, str]]:
-    """(number, start, letters) of ``edits + 1`` even segments."""
-    cuts = [len(s) * i // (edits + 1) for i in range(edits + 2)]
-    return ((i, a, s[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
+def edits_of(n: int) -> int:
+    """The most edits in an alignment that covers at most ``n`` letters of one sequence: a twentieth of its columns."""
+    return n // 19
 
 
-def _short_keys(s: str) -> tuple[list[str], list[str]]:
-    """Keys under which a short sequence lies, and keys that find every one not longer and within the edits that its length allows.
+@cache
+def segments_of(n: int) -> tuple[int, int]:
+    """(number, length) of the fewest even segments of ``n`` letters of which one survives whole in every near copy.
 
-    Of ``edits + 1`` segments of the other sequence one survives whole, shifted by no more than the edits.
+    Edits destroy a segment each; so do ends that are not aligned, up to a tenth of the letters on both sides together.
     """
-    m, allowed = len(s), len(s) // PER_EDIT
-    lies = [f"{m}|{e}|{i}|{t}" for e in {allowed, (m + allowed + 1) // PER_EDIT} for i, _, t in _segments(s, e)]
-    finds = set()
-    for n in range(m - allowed, m + 1) if allowed else ():
-        for i, a, t in _segments("N" * n, allowed):
-            finds.update(f"{n}|{allowed}|{i}|{s[p : p + len(t)]}" for p in range(max(0, a - allowed), min(m - len(t), a + allowed) + 1))
-    return lies, list(finds)
+    loose = n // 10
+    for parts in range(1, n + 1):
+        size = n // parts
+        rest = n - parts * size  # letters after the last segment
+        lost = max(-(-p // size) + max(0, -(-(loose - p - rest) // size)) for p in range(loose + 1))
+        if parts > edits_of(n) + lost:
+            return parts, size
+    return n, 1
+
+
+def may_pair(m: int, n: int) -> bool:
+    """Whether lengths ``m`` and ``n`` leave room for a near copy."""
+    return 10 * max(m, n) * 9 <= 100 * (min(m, n) + edits_of(min(m, n)))
+
+
+@cache
+def _found_sizes(m: int) -> tuple[int, ...]:
+    return tuple(sorted({segments_of(n)[1] for n in range(max(1, m * 7 // 10), min(SHORT, m * 13 // 10 + 2) + 1) if may_pair(m, n)}))
+
+
+def _short_keys(s: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """(key, place): segments under which a short sequence lies, and the pieces that find it in any near copy."""
+    lies = []
+    if len(s) <= SHORT:
+        parts, size = segments_of(len(s))
+        lies = [(f"{size}|{s[i * size : (i + 1) * size]}", i * size) for i in range(parts)]
+    return lies, [(f"{size}|{s[i : i + size]}", i) for size in _found_sizes(len(s)) for i in range(len(s) - size + 1)]
 
 
 def _marks() -> tuple[np.ndarray, np.ndarray]:
@@ -55,53 +80,64 @@ def _band_keys(s: str, factors: np.ndarray, adds: np.ndarray) -> list[str]:
 
 def _keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     factors, adds = _marks()
+    longest = max(m for m in range(SHORT, 2 * SHORT) if _found_sizes(m))
 
-    def of(s: str) -> list[tuple[str, bool | None]]:
-        lies, finds = _short_keys(s) if len(s) <= SHORT else ([], [])
-        both = _band_keys(s, factors, adds) if len(s) + SHORT // PER_EDIT >= SHORT else []
-        return [(k, False) for k in lies] + [(k, True) for k in finds] + [(k, None) for k in both]
+    def of(s: str) -> list[tuple[str, int | None, bool | None]]:
+        lies, finds = _short_keys(s) if 0 < len(s) <= longest else ([], [])
+        both = _band_keys(s, factors, adds) if len(s) > SHORT else []
+        return [(k, i, False) for k, i in lies] + [(k, i, True) for k, i in finds] + [(k, None, None) for k in both]
 
     for part in parts:
         yield part.map(of)
 
 
 def sequence_keys(df: DataFrame, node: str, sequence: str) -> DataFrame:
-    """(node, key, finds): 64-bit keys; two sequences may be near copies if one lies under a key that finds the other, or both have it with null."""
-    keys = F.pandas_udf(_keys, "array<struct<key:string,finds:boolean>>")
-    x = df.select(F.col(node).alias("node"), F.explode(keys(F.col(sequence))).alias("x"))
-    return x.select("node", F.xxhash64("x.key").alias("key"), "x.finds")
-
-
-def _meet(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b) with a < b of the keyed nodes that meet under a key, each pair once."""
-    x, y = a.select("key", F.col("finds").alias("_f"), F.col("node").alias("x")), b.select("key", F.col("finds").alias("_g"), F.col("node").alias("y"))
-    bands = x.where("_f IS NULL").join(y.where("_g IS NULL"), "key").where("x < y")
-    short = x.where("_f").join(y.where("NOT _g"), "key").where("x <> y")
-    return bands.select("x", "y").unionByName(short.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def confirmed(pairs: DataFrame, df: DataFrame, node: str, sequence: str, coverage: float = 0.9) -> DataFrame:
-    """(a, b, identity) of the pairs whose edit distance is at most a twentieth of the longer sequence and whose shorter one covers the longer.
-
-    The distance is banded by that limit, so a pair costs its length times its edits.
+    """(node, size, key, place, finds): 64-bit keys; two sequences may be near copies if one lies under a key that finds the other, or both have it with null."""
+    keys = F.pandas_udf(_keys, "array<struct<key:string,place:int,finds:boolean>>")
+    x = df.select(F.col(node).alias("node"), F.length(sequence).alias("size"), F.explode(keys(F.col(sequence))).alias("x"))
+    return x.select("node", "size", F.xxhash64("x.key").alias("key"), "x.place", "x.finds")
+
+
+def _meet(keyed: DataFrame, extra: list[str] = [], apart: str = "true") -> DataFrame:  # noqa: B006
+    """(a, b) with a < b of the keyed nodes that meet under a key, each pair once, where the places and sizes leave room for a near copy."""
+    x, y = (keyed.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("node", "size", "place", "finds", *extra))) for i in (0, 1))
+    bands = x.where("finds0 IS NULL").join(y.where("finds1 IS NULL"), "key").where("node0 < node1")
+    short = x.where("finds0").join(y.where("NOT finds1"), "key").where("node0 <> node1")
+    less, more = F.least("size0", "size1"), F.greatest("size0", "size1")
+    edits = F.floor(less / 19)
+    room = 9 * more <= 10 * (less + edits)
+    # What lies before a segment is aligned but for a tenth of the letters, and shifted by no more than the edits.
+    shift = F.abs(F.col("place0") - F.col("place1")) <= F.floor(more / 10) + edits + 1
+    met = bands.where(room).where(apart).unionByName(short.where(room & shift).where(apart))
+    return met.select(F.least("node0", "node1").alias("a"), F.greatest("node0", "node1").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, df: DataFrame, node: str, sequence: str) -> DataFrame:
+    """(a, b, identity, coverage_a, coverage_b) of the pairs whose best local alignment is equal in IDENTITY of its columns and covers COVERAGE of both.
+
+    The alignment is sought over all diagonals that such an alignment can touch: those of a tenth of the letters left out before it, and of its gaps.
+    A pair costs the product of its lengths, times 0.3.
     """
-    s = df.select(F.col(node).alias("a"), F.col(sequence).alias("_a"))
-    x = pairs.join(s, "a").join(s.select(F.col("a").alias("b"), F.col("_a").alias("_b")), "b")
-    size = F.greatest(F.length("_a"), F.length("_b"))
-    x = x.where(F.least(F.length("_a"), F.length("_b")) >= coverage * size).withColumn("_n", size)
-    x = x.withColumn("_d", F.expr(f"levenshtein(_a, _b, CAST(floor(_n / {PER_EDIT}) AS INT))")).where("_d >= 0")
-    return x.select("a", "b", (1 - F.col("_d") / F.col("_n")).alias("identity"))
+    s = df.select(F.col(node).alias("a"), F.col(sequence).alias("query"))
+    x = pairs.join(s, "a").join(s.select(F.col("a").alias("b"), F.col("query").alias("target")), "b")
+    n, m = F.length("query"), F.length("target")
+    edits = F.floor(F.least(n, m) / 19)
+    x = x.select("a", "b", n.alias("n"), m.alias("m"), "query", "target", (-F.floor(n / 10) - edits).alias("low"), (F.floor(m / 10) + edits).alias("high"))
+    found = align_pairs(x, ["a", "b", "n", "m"], SCORING).where("score > 0")
+    share = lambda end, of: (F.col(f"{end}_end") - F.col(f"{end}_begin")) / F.col(of)
+    found = found.select("a", "b", (F.col("matches") / F.col("columns")).alias("identity"), share("query", "n").alias("coverage_a"), share("target", "m").alias("coverage_b"))
+    return found.where((F.col("identity") >= IDENTITY) & (F.col("coverage_a") >= COVERAGE) & (F.col("coverage_b") >= COVERAGE))
 
 
 def near_pairs(df: DataFrame, node: str, sequence: str) -> DataFrame:
-    """(a, b, identity): every confirmed pair of different sequences; ``df`` has each sequence once.
+    """(a, b, identity, coverage_a, coverage_b): every confirmed pair of different sequences; ``df`` has each sequence once.
 
-    Sequences up to 128 letters are found exactly, by surviving segments.  Longer ones by 64 bands of two MinHash marks over
-    11-letter grams: scattered edits at identity 95% leave a similarity near 0.40, so a pair is missed with a chance of 1 in 60,000;
-    edits placed so as to destroy the most grams leave 0.26 at 140 letters, 1 in 76, and less where grams repeat.  Null sequences and empty tables give no pair.
+    A pair with one of up to 128 letters is found exactly, by surviving segments.  Longer ones by 128 bands of two MinHash marks over 11-letter grams: the worst pair, with a tenth of
+    each left out and scattered edits in a twentieth of the rest, keeps a similarity near 0.34 and is missed with a chance of 2 in 10 million; edits placed so as to
+    destroy the most grams, more often.  Null and empty sequences and empty tables give no pair.
     """
     keyed = materialize(sequence_keys(df.where(F.col(sequence).isNotNull()), node, sequence))
-    return confirmed(_meet(keyed, keyed), df, node, sequence)
+    return confirmed(_meet(keyed), df, node, sequence)
 
 
 def near_clusters(df: DataFrame, node: str, sequence: str) -> DataFrame:
@@ -113,13 +149,12 @@ def near_clusters(df: DataFrame, node: str, sequence: str) -> DataFrame:
     keyed = materialize(sequence_keys(df.where(F.col(sequence).isNotNull()), node, sequence))
     heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a <> _z").drop("_z")
     first = keyed.select("key", F.col("node").alias("b")).join(heads, "key").where("a <> b").select("a", "b").distinct()
+    sizes = keyed.groupBy("node").agg(F.first("size").alias("size"))
+    first = first.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("n")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("m")), "b")
+    first = first.where(9 * F.greatest("n", "m") <= 10 * (F.least("n", "m") + F.floor(F.least("n", "m") / 19))).select("a", "b")
     links = materialize(confirmed(first, df, node, sequence).select("a", "b"))
     parts = components(links)
     known = keyed.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     open_keys = known.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_z")).where("_a <> _z").select("key")
-    apart = known.join(open_keys, "key", "left_semi")
-    x, y = (apart.select("key", F.col("finds").alias(f"_f{i}"), F.col("node").alias(f"n{i}"), F.col("part").alias(f"p{i}")) for i in (0, 1))
-    bands = x.where("_f0 IS NULL").join(y.where("_f1 IS NULL"), "key").where("n0 < n1 AND p0 <> p1")
-    short = x.where("_f0").join(y.where("NOT _f1"), "key").where("p0 <> p1")
-    rest = bands.unionByName(short).select(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b")).distinct()
+    rest = _meet(known.join(open_keys, "key", "left_semi"), ["part"], "part0 <> part1")
     return components(links.unionByName(confirmed(rest, df, node, sequence).select("a", "b")))

@@ -645,23 +645,9 @@ def _clustered(spark, d):
     return rows.join(similarity.near_clusters(nodes, "node", "sequence"), "node", "left").select("row_no", "split", F.coalesce("component", "node").alias("cluster_id"))
 
 
-# Near copies share at least n - 7 - 8 * edits of their 8-letter grams, so this loses none before the edit distance is found.
-_NEAR = """u AS MATERIALIZED (SELECT c, min(row_no) AS node FROM (SELECT row_no, least(sequence, reverse(translate(sequence, 'ACGT', 'TGCA'))) AS c FROM v_samples) GROUP BY c),
-  g AS MATERIALIZED (SELECT node, length(c) AS m, substr(c, i, 8) AS g, count(*) AS n FROM u, unnest(range(1, length(c) - 6)) r(i) GROUP BY ALL),
-  k AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.g = b.g AND a.node < b.node AND least(a.m, b.m) >= 0.9 * greatest(a.m, b.m) GROUP BY a.node, b.node, a.m, b.m HAVING sum(least(a.n, b.n)) >= greatest(a.m, b.m) - 7 - 8 * (greatest(a.m, b.m) // 20)),
-  p AS MATERIALIZED (SELECT a, b, levenshtein(x.c, y.c) AS d, greatest(length(x.c), length(y.c)) AS m FROM k JOIN u x ON x.node = a JOIN u y ON y.node = b),
-  e AS MATERIALIZED (SELECT a, b, 1 - d / m AS identity FROM p WHERE d <= m // 20)"""
-_CLUSTERED = "SELECT row_no, split, coalesce(least(node, m), node) AS cluster_id FROM v_samples JOIN u ON c = least(sequence, reverse(translate(sequence, 'ACGT', 'TGCA'))) LEFT JOIN (SELECT i, min(j) AS m FROM r GROUP BY i) ON i = node"
-_REACH = "r(i, j) AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT r.i, x.j FROM r JOIN (SELECT a AS i, b AS j FROM e UNION ALL SELECT b, a FROM e) x ON r.j = x.i)"
-
-
-def _with_near(body: str) -> str:
-    return f"WITH RECURSIVE v_samples AS ({X.SQL['v_samples']}), {_NEAR}, {_REACH} {body}"
-
-
 @query()
 def c04_near_pairs(spark, d):
-    return similarity.near_pairs(_distinct(spark, d)[0], "node", "sequence").select("a", "b", F.round("identity", 9).alias("identity"))
+    return similarity.near_pairs(_distinct(spark, d)[0], "node", "sequence").select("a", "b", *(F.round(c, 9).alias(c) for c in ("identity", "coverage_a", "coverage_b")))
 
 
 @query()
@@ -672,8 +658,3 @@ def c05_clusters(spark, d):
 @query()
 def c07_resolve_splits(spark, d):
     return corpus.resolve_splits(_clustered(spark, d), "cluster_id").groupBy("split").agg(F.count("*").alias("n"))
-
-
-ORACLE_SQL["c04_near_pairs"] = _with_near("SELECT a, b, round(identity, 9) AS identity FROM e")
-ORACLE_SQL["c05_clusters"] = _with_near(f"SELECT row_no, cluster_id FROM ({_CLUSTERED})")
-ORACLE_SQL["c07_resolve_splits"] = _with_near(f"SELECT split, count(*) AS n FROM (SELECT *, CASE split WHEN 'test' THEN 3 WHEN 'validation' THEN 2 ELSE 1 END AS p, max(CASE split WHEN 'test' THEN 3 WHEN 'validation' THEN 2 ELSE 1 END) OVER (PARTITION BY cluster_id) AS best FROM ({_CLUSTERED})) WHERE p = best GROUP BY split")

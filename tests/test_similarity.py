@@ -1,17 +1,11 @@
-"""Near copies against all pairs by edit distance."""
+"""Near copies against alignments of all pairs."""
 
 import random
 
-from millrace.operators import similarity
-
+import numpy as np
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+from millrace.operators import similarity
+from millrace.operators.alignment import align
 
 
 def edited(rnd, s, edits):
@@ -21,25 +15,39 @@ def edited(rnd, s, edits):
     return s
 
 
-def linked(a, b):
-    m = max(len(a), len(b))
-    return min(len(a), len(b)) >= 0.9 * m and distance(a, b) <= m // 20
+def linked(texts):
+    """Pairs whose best alignment over all diagonals is equal in 95% of its columns and covers 90% of both."""
+    pairs = [(i, j) for i, a in enumerate(texts) for j in range(i + 1, len(texts)) if a and texts[j]]
+    want = {}
+    for k in range(0, len(pairs), 400):
+        part = pairs[k : k + 400]
+        q, t = ([texts[p[x]].encode() for p in part] for x in (0, 1))
+        found = align(q, t, np.array([-len(x) for x in q]), np.array([len(x) for x in t]), similarity.SCORING)
+        for n, p in enumerate(part):
+            covers = 10 * (found.query_end[n] - found.query_begin[n]) >= 9 * len(q[n]) and 10 * (found.target_end[n] - found.target_begin[n]) >= 9 * len(t[n])
+            if found.score[n] and covers and 20 * found.matches[n] >= 19 * found.columns[n]:
+                want[p] = found.matches[n] / found.columns[n]
+    return want
 
 
 def test_pairs_and_clusters_against_all_pairs(spark):
     rnd = random.Random(9)
     texts = {"", "A", "ACGTN" * 5}
-    for n in (12, 19, 20, 21, 39, 40, 41, 60, 99, 126, 128, 131, 134, 180):
+    for n in (5, 9, 12, 19, 20, 21, 39, 40, 41, 60, 99, 126, 128, 131, 134, 180):
         base = "".join(rnd.choices("ACGT", k=n))
         texts |= {base} | {edited(rnd, base, e) for e in (1, 1, 2, n // 20, n // 20 + 1)}
+        # The same with other ends, on one side or both.
+        for left, right in ((n // 20, n // 20), (n // 10, 0), (0, n // 10), (n // 8, n // 8)):
+            inner = edited(rnd, base[left : n - right], rnd.choice([0, n // 30]))
+            texts |= {"".join(rnd.choices("ACGT", k=left)) + inner + "".join(rnd.choices("ACGT", k=right)), inner}
     hot = "".join(rnd.choices("ACGT", k=90))
     texts |= {edited(rnd, hot, 1) for _ in range(30)}
     texts = sorted(texts)
     df = spark.createDataFrame([*enumerate(texts), (10_000, None)], "node long, c string")
-    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[i + 1 :], i + 1) if linked(a, b)}
+    want = linked(texts)
     got = similarity.near_pairs(df, "node", "c").collect()
-    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 400
-    assert all(r["identity"] >= 0.95 for r in got)
+    assert {(r["a"], r["b"]): round(r["identity"], 9) for r in got} == {p: round(x, 9) for p, x in want.items()} and len(got) == len(want) > 400
+    assert all(min(r["coverage_a"], r["coverage_b"]) >= 0.9 for r in got)
     best = {i: i for p in want for i in p}
     for _ in best:
         for a, b in want:
@@ -47,3 +55,13 @@ def test_pairs_and_clusters_against_all_pairs(spark):
     assert {r["node"]: r["component"] for r in similarity.near_clusters(df, "node", "c").collect()} == best
     empty = df.where("node < 0")
     assert similarity.near_pairs(empty, "node", "c").isEmpty() and similarity.near_clusters(empty, "node", "c").isEmpty()
+
+
+def test_shifted_copies(spark):
+    rnd = random.Random(3)
+    core = "".join(rnd.choices("ACGT", k=1000))
+    left, right = "".join(rnd.choices("ACGT", k=60)), "".join(rnd.choices("ACGT", k=60))
+    far = "".join(rnd.choices("ACGT", k=200))
+    df = spark.createDataFrame([(1, left + core), (2, core + right), (3, far + core), (4, far + left + core)], "node long, c string")
+    got = {(r["a"], r["b"]): r["identity"] for r in similarity.near_pairs(df, "node", "c").collect()}
+    assert set(got) == {(1, 2), (3, 4)} and got[1, 2] == 1
