@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, evaluation, features, heads, matrix, metrics, quality, sampling, similarity, stats
+from ..operators import corpus, evaluation, features, heads, homology, matrix, metrics, quality, sampling, similarity, stats
 from ..sources import genome
 from ..sources.store import materialize, shared_dir
 from ..streaming import logs
@@ -658,3 +658,19 @@ def c05_clusters(spark, d):
 @query()
 def c07_resolve_splits(spark, d):
     return corpus.resolve_splits(_clustered(spark, d), "cluster_id").groupBy("split").agg(F.count("*").alias("n"))
+
+
+def _hits(spark, d):
+    s = X.samples(spark, d)
+    return s.where("split = 'test'"), homology.similarity_join(s.where("split = 'test'"), s.where("split <> 'test'"), "row_no", "sequence")
+
+
+@query()
+def j10_similarity_join(spark, d):
+    return _hits(spark, d)[1].select("query", "target", *(F.round(c, 9).alias(c) for c in ("identity", "query_coverage", "target_coverage", "bits")))
+
+
+@query()
+def j10_low_homology(spark, d):
+    tests, hits = _hits(spark, d)
+    return homology.low_homology(tests.drop("group_id"), hits, "row_no")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from millrace.operators import homology
 from millrace.operators.alignment import Scoring, align
 
 
@@ -58,3 +59,46 @@ def test_scores_against_the_matrix(scoring):
             assert a[0] == b[0] and a[-1] == b[-1]
     alone = [align([q.encode()], [t.encode()], np.array([lo]), np.array([hi]), scoring) for q, t, lo, hi in pairs]
     assert all([int(x[0]) for x in one] == [int(x[k]) for x in got] for k, one in enumerate(alone))
+
+
+def all_hits(queries, targets):
+    """The best hit of each query by alignment with every target over all diagonals."""
+    best = {}
+    for i, q in queries:
+        part = [(j, t) for j, t in targets if t and q and 0.6 * len(q) <= len(t) <= 1.7 * len(q)]
+        if not part:
+            continue
+        a = align([q.encode()] * len(part), [t.encode() for _, t in part], np.array([-len(q)] * len(part)), np.array([len(t) for _, t in part]), homology.SCORING)
+        for k, (j, t) in enumerate(part):
+            covers = 5 * (a.query_end[k] - a.query_begin[k]) >= 4 * len(q) and 5 * (a.target_end[k] - a.target_begin[k]) >= 4 * len(t)
+            if a.score[k] and covers and 5 * a.matches[k] >= 4 * a.columns[k]:
+                best[i] = max(best.get(i, (0, 0)), (int(a.score[k]), -j))
+    return best
+
+
+def test_search_against_all_alignments(spark):
+    rnd = random.Random(12)
+    targets = [(1000 + i, "".join(rnd.choices("ACGT", k=rnd.choice([6, 20, 40, 60, 120, 400, 900])))) for i in range(120)]
+    targets += [(2000, ""), (2001, None), (2002, targets[3][1]), (900, targets[3][1])]
+    queries = [(i, edited(rnd, rnd.choice(targets[:120])[1], rnd.choice([0, 0.02, 0.1, 0.18, 0.3]))) for i in range(90)]
+    queries += [(90, None), (91, ""), (92, queries[0][1]), (93, "ACGT" * 30), (94, targets[6][1] * 3)]
+    want = all_hits(queries, targets)
+    q, t = (spark.createDataFrame(x, "id long, s string") for x in (queries, targets))
+    got = {r["query"]: r for r in homology.similarity_join(q, t, "id", "s").collect()}
+    bits = lambda score: (0.625 * score - np.log(0.41)) / np.log(2)
+    assert len(want) > 50 and set(got) <= set(want)
+    same = [i for i in want if i in got and got[i]["bits"] == pytest.approx(bits(want[i][0]))]
+    assert len(same) >= 0.95 * len(want), sorted(set(want) - set(same))
+    assert all(got[i]["target"] == -want[i][1] for i in same)
+    assert homology.similarity_join(q.where("id < 0"), t, "id", "s").isEmpty() and homology.similarity_join(q, t.where("id < 0"), "id", "s").isEmpty()
+
+
+def test_low_homology_by_groups(spark):
+    rows = [("a", "g", 1.0), ("b", "g", 0.0), ("c", "h", 1.0), ("d", "h", 1.0), ("e", None, 0.0), ("f", None, 1.0), ("g", "", 0.0)]
+    samples = spark.createDataFrame(rows, "sample_id string, group_id string, label double")
+    hits = spark.createDataFrame([("b",), ("d",), ("e",)], "query string")
+    low = lambda s: {r["sample_id"]: r["low"] for r in homology.low_homology(s, hits, "sample_id").collect()}
+    assert low(samples) == {"a": True, "b": True, "c": False, "d": False, "e": False, "f": True, "g": True}
+    assert low(samples.drop("group_id")) == {x: x not in "bde" for x in "abcdefg"}
+    with pytest.raises(Exception, match="no positive sample in group g"):
+        homology.low_homology(samples.where("sample_id <> 'a'"), hits, "sample_id").collect()
