@@ -193,6 +193,14 @@ def retention(full: DataFrame, low: DataFrame, by: list[str], value: str) -> Dat
     return x.withColumns({"retention": F.col("low_value") / F.nullif(F.col("full_value"), F.lit(0.0)), "undefined": F.col("full_value") == 0})
 
 
+def seed_retention(full: DataFrame, low: DataFrame, by: list[str], seed: str, value: str) -> DataFrame:
+    """``retention`` of each seed, and for all seeds together, where ``seed`` is null, that of the means over the seeds that both sides have."""
+    each = retention(full, low, [*by, seed], value)
+    means = each.groupBy(*by).agg(F.avg("full_value").alias("full_value"), F.avg("low_value").alias("low_value"))
+    whole = retention(means.select(*by, F.col("full_value").alias(value)), means.select(*by, F.col("low_value").alias(value)), by, value)
+    return each.unionByName(whole.withColumn(seed, F.lit(None).cast(each.schema[seed].dataType)))
+
+
 def boundary_match(df: DataFrame, by: list[str], truth: str, found: str, tolerance: int = 20) -> DataFrame:
     """Precision, recall and F1 of boundaries per key.
 

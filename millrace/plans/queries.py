@@ -59,9 +59,10 @@ def p09_composition(spark, d):
     return c.select("sample_id", *[F.round(F.col(f"x.{n}"), 9).alias(n) for n in ("gc", "rel_length", "n_share")])
 
 
-@query("SELECT sample_id, CASE WHEN 40 - 10 >= 0 AND 30 + 21 <= length(sequence) THEN substr(sequence, 31, 21) END AS flank FROM v_samples")
+@query("SELECT sample_id, pos, CASE WHEN pos >= 10 AND pos + 11 <= length(sequence) THEN substr(sequence, pos - 9, 21) END AS flank FROM (SELECT sample_id, sequence, unnest(range(0, length(sequence), 37)) AS pos FROM v_samples)")
 def p10_window_at(spark, d):
-    return X.samples(spark, d).select("sample_id", S.window_at(F.col("sequence"), F.lit(40), 21).alias("flank"))
+    at = X.samples(spark, d).select("sample_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(37))).alias("pos"))
+    return at.select("sample_id", F.col("pos").cast("long").alias("pos"), S.window_at(F.col("sequence"), F.col("pos"), 21).alias("flank"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_size = 1 THEN 1 WHEN least(p_size / (p_partkey % 9 * 20), 1 - p_size / (p_partkey % 9 * 20)) >= 0.05 THEN 0 END AS label FROM part")
@@ -129,12 +130,12 @@ def w11_specialization(spark, d):
     return stats.specialization(r, "model_id", "category", "r").withColumn("specialization", F.round("specialization", 9))
 
 
-@query("""SELECT task_id, model_id, p, CASE WHEN p IS NOT NULL THEN max(s) OVER (PARTITION BY task_id ORDER BY p NULLS LAST, model_id ROWS UNBOUNDED PRECEDING) END AS p_holm FROM
-  (SELECT *, CASE WHEN p IS NOT NULL THEN least(1, p * (count(p) OVER (PARTITION BY task_id) - row_number() OVER (PARTITION BY task_id ORDER BY p NULLS LAST, model_id) + 1)) END AS s FROM
-    (SELECT task_id, model_id, CASE WHEN value > 0.3 THEN NULL ELSE round(value / 10, 4) END AS p FROM v_results WHERE seed = 0))""")
+@query("""SELECT task_id, seed, model_id, p, CASE WHEN p IS NOT NULL THEN max(s) OVER (PARTITION BY task_id, seed ORDER BY p NULLS LAST, model_id ROWS UNBOUNDED PRECEDING) END AS p_holm FROM
+  (SELECT *, CASE WHEN p IS NOT NULL THEN least(1, p * (count(p) OVER (PARTITION BY task_id, seed) - row_number() OVER (PARTITION BY task_id, seed ORDER BY p NULLS LAST, model_id) + 1)) END AS s FROM
+    (SELECT task_id, seed, model_id, CASE WHEN value > 0.3 THEN NULL ELSE round(value / 10, 4) END AS p FROM v_results))""")
 def w12_holm(spark, d):
-    r = X.results(spark, d).where("seed = 0").select("task_id", "model_id", F.when(F.col("value") <= 0.3, F.round(F.col("value") / 10, 4)).alias("p"))
-    return stats.holm(r, ["task_id"], "p", ["model_id"])
+    r = X.results(spark, d).select("task_id", "seed", "model_id", F.when(F.col("value") <= 0.3, F.round(F.col("value") / 10, 4)).alias("p"))
+    return stats.holm(r, ["task_id", "seed"], "p", ["model_id"])
 
 
 @query("SELECT rule, n AS rows FROM (SELECT 'missing_label' AS rule, count(*) FILTER (label IS NULL) AS n FROM v_samples UNION ALL SELECT 'cross_split_signature', count(*) FROM (SELECT sequence FROM v_samples GROUP BY sequence HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'cross_split_group_id', count(*) FROM (SELECT group_id FROM v_samples GROUP BY group_id HAVING count(DISTINCT split) > 1)) WHERE n > 0")
@@ -501,10 +502,16 @@ def m17_mean_iou(spark, d):
     return metrics.mean_iou(X.pred_multi(spark, d), ["seed"]).withColumn("mean_iou", F.round("mean_iou", 9))
 
 
-@query("SELECT a.model_id, a.task_id, a.value AS full_value, b.value AS low_value, round(b.value / nullif(a.value, 0), 9) AS retention, a.value = 0 AS undefined FROM v_results a JOIN v_results b USING (model_id, task_id) WHERE a.seed = 0 AND b.seed = 1")
+# Each seed's value against that of the next seed.
+_RETAINED = "SELECT model_id, task_id, a.seed, a.value AS full_value, b.value AS low_value, b.value / nullif(a.value, 0) AS retention FROM v_results a JOIN v_results b USING (model_id, task_id) WHERE b.seed = (a.seed + 1) % 5"
+
+
+@query(f"""SELECT model_id, task_id, seed::BIGINT AS seed, round(full_value, 9) AS full_value, round(low_value, 9) AS low_value, round(retention, 9) AS retention, full_value = 0 AS undefined FROM ({_RETAINED})
+  UNION ALL SELECT model_id, task_id, -1, round(avg(full_value), 9), round(avg(low_value), 9), round(avg(low_value) / nullif(avg(full_value), 0), 9), avg(full_value) = 0 FROM ({_RETAINED}) GROUP BY ALL""")
 def m19_retention(spark, d):
     r = X.results(spark, d)
-    return metrics.retention(r.where("seed = 0"), r.where("seed = 1"), ["model_id", "task_id"], "value").withColumn("retention", F.round("retention", 9))
+    seeds = metrics.seed_retention(r, r.withColumn("seed", F.pmod(F.col("seed") - 1, F.lit(5))), ["model_id", "task_id"], "seed", "value")
+    return seeds.select("model_id", "task_id", F.coalesce("seed", F.lit(-1)).cast("long").alias("seed"), *(F.round(c, 9).alias(c) for c in ("full_value", "low_value", "retention")), "undefined")
 
 
 @query(f"SELECT vec_id, round(exp(sum(ln(p[(vec_id + pos) % 4 + 1] + 1e-12))), 9) AS product, round(avg(p[(vec_id + pos) % 4 + 1]), 9) AS mean FROM {_PROB} GROUP BY vec_id")
