@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,15 +31,15 @@ _FIRST = pa.schema([("block", pa.int64()), ("code", pa.int64()), ("lang", pa.str
 _NEXT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("groups", pa.binary()), *_RELATION])
 _FIRST_DDL = "block bigint, code bigint, lang string, term binary, n bigint, places binary, codes binary"
 _NEXT_DDL = "block bigint, bucket int, groups binary, places binary, codes binary"
-_FREQUENT = pa.schema([("block", pa.int64()), ("code", pa.int64()), ("id", pa.int64()), ("f", pa.int64()), ("first", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
-_FREQUENT_DDL = "block bigint, code bigint, id bigint, f bigint, first boolean, a bigint, b bigint"
+_FREQUENT = pa.schema([("block", pa.int64()), ("found", pa.binary()), ("id", pa.int64()), ("f", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_FREQUENT_DDL = "block bigint, found binary, id bigint, f bigint, a bigint, b bigint"
 #: Codes of a block stay below 2**_CODE_BITS.
 _CODE_BITS = 31
 
 
 def _squeeze(*columns: np.ndarray) -> bytes:
     """Columns as planes of bytes, compressed; most bytes of a plane are alike."""
-    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
@@ -159,24 +158,30 @@ def _frequent_words(table: DataFrame, least: int) -> DataFrame:
 
 
 def _frequent_groups(table: DataFrame, least: int) -> DataFrame:
-    """The same for longer phrases, (a, b) instead of the word: the groups of a bucket come from all blocks and are merged by key."""
+    """id, f, a, b of every frequent group, and beside them (block, found) rows, the codes and ids of a block's frequent groups.
+
+    The groups of a bucket come from all blocks and are merged by key; ids are as for words.
+    """
 
     def merge(rows: pa.Table) -> pa.Table:
         parts = [(block, *unpack_groups(g)) for block, g in zip(rows.column("block").to_pylist(), rows.column("groups").to_pylist(), strict=True)]
         own = np.concatenate([(block << _CODE_BITS) + code for block, *_, code in parts])
         a, b, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
         order = np.lexsort((own, b, a))
-        own, a, b, n = own[order], a[order], b[order], n[order]
+        own, a, b = own[order], a[order], b[order]
         begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        size = np.diff(np.append(begin, len(own)))
-        total = np.add.reduceat(n, begin)
-        keep, first = np.repeat(total >= least, size), np.zeros(len(own), bool)
-        first[begin] = True
-        shown = pa.array(~first[keep])
-        block, code = np.divmod(own[keep], 1 << _CODE_BITS)
-        blank = lambda x: pc.if_else(shown, pa.scalar(None, pa.int64()), pa.array(x[keep]))
-        columns = [block, code, np.repeat(own[begin], size)[keep], np.repeat(total, size)[keep], first[keep]]
-        return pa.Table.from_arrays([*map(pa.array, columns), blank(a), blank(b)], schema=_FREQUENT)
+        total, size = np.add.reduceat(n[order], begin), np.diff(np.append(begin, len(own)))
+        keep = total >= least
+        ids, within = own[begin], np.repeat(keep, size)
+        named, own = np.repeat(ids, size)[within], own[within]
+        order = np.argsort(own)
+        block, code = np.divmod(own[order], 1 << _CODE_BITS)
+        blocks, cuts = np.unique(block, return_index=True)
+        found = [_squeeze(code[i:j].astype("<u4"), named[order][i:j].astype("<i8")) for i, j in zip(cuts, np.append(cuts, len(code))[1:], strict=True)]
+        phrases, begin = int(keep.sum()), begin[keep]
+        lists = [pa.concat_arrays([pa.array(x, t), pa.nulls(phrases, t)]) for x, t in ((blocks, pa.int64()), (found, pa.binary()))]
+        named = [pa.concat_arrays([pa.nulls(len(blocks), pa.int64()), pa.array(x)]) for x in (ids[keep], total[keep], a[begin], b[begin])]
+        return pa.Table.from_arrays([*lists, *named], schema=_FREQUENT)
 
     return table.where("bucket IS NOT NULL").select("bucket", "block", "groups").groupBy("bucket").applyInArrow(merge, _FREQUENT_DDL)
 
@@ -190,7 +195,12 @@ def _extend(table: DataFrame, frequent: DataFrame, buckets: int, last: bool) ->
         block = relation.column("block")[0].as_py()
         places, codes = unpack_relation(relation.column("places")[0].as_py(), relation.column("codes")[0].as_py())
         named = np.full(int(codes.max(initial=0)) + 1, -1, np.int64)
-        named[ids.column("code").to_numpy()] = ids.column("id").to_numpy()
+        if "found" in ids.column_names:
+            for found in ids.column("found").to_pylist():
+                code, own = _expand(found, "<u4", "<i8")
+                named[code] = own
+        else:
+            named[ids.column("code").to_numpy()] = ids.column("id").to_numpy()
         keep = named[codes] >= 0
         places, codes = places[keep], codes[keep]
         # Both sides of the merge-join are sorted by place, and a place has one phrase of this length.
@@ -204,12 +214,12 @@ def _extend(table: DataFrame, frequent: DataFrame, buckets: int, last: bool) ->
         by = np.lexsort((a, bucket))
         cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
         rows = [{"block": block, "bucket": k, "groups": pack_groups(a[x], b[x], n[order][x], x)} for k in range(buckets) if len(x := by[cuts[k] : cuts[k + 1]])]
-        if not last:
+        if not last and len(meet):
             rows.append({"block": block} | pack_relation(places[meet], code))
         return pa.Table.from_pylist(rows, _NEXT)
 
     relations = table.where("places IS NOT NULL").select("block", "places", "codes").groupBy("block")
-    return relations.cogroup(frequent.select("block", "code", "id").groupBy("block")).applyInArrow(join, _NEXT_DDL)
+    return relations.cogroup(frequent.where("block IS NOT NULL").select("block", *(["found"] if "found" in frequent.columns else ["code", "id"])).groupBy("block")).applyInArrow(join, _NEXT_DDL)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +234,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = MIN_C
     known = None
     for k in range(1, longest + 1):
         frequent = materialize(_frequent_words(table, least) if k == 1 else _frequent_groups(table, least))
-        new = frequent.where("first")
+        new = frequent.where("first" if k == 1 else "id IS NOT NULL")
         if k == 1:
             level = new.select("id", "lang", F.col("term").cast("string").alias("phrase"), F.col("term").cast("string").alias("last"), "f")
         else:

@@ -167,6 +167,8 @@ def test_phrases_against_brute_force(spark, least, block, top):
 def test_phrases_of_nothing(spark):
     d = frame(spark, [(1, "a b", "en", "s"), (2, None, None, None)])
     assert phrases.collocations(d.where("false")).count() == 0 == phrases.collocations(d).count()
+    words_only = frame(spark, [(i, f"stop {i} go", "en", "s") for i in range(120)])
+    assert phrases.collocations(words_only).count() == 0
 
 
 def test_scores_beyond_64_bits(spark):
