@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import norm_split, parse_label, stable_id, vocab_id
+from .files import in_file_order
+from .samples import UNKNOWN
 
 ALIASES = {"sequence": ("sequence", "sequences", "seq"), "label": ("label", "labels"), "species": ("species", "genome"), "group_id": ("group_id", "orthogroup")}
+# Endings of a file's stem that tell its split and not its species.
+STEM_ENDS = "_validation|_validate|_valid|_train|_test|_dev"
 
 
 def _pick(df: DataFrame, name: str) -> Column:
@@ -15,28 +19,53 @@ def _pick(df: DataFrame, name: str) -> Column:
     return F.coalesce(*have) if have else F.lit(None).cast("string")
 
 
-def _file_split() -> Column:
+def _name_of(file: Column) -> Column:
+    return F.element_at(F.split(file, "/"), -1)
+
+
+def _file_split(file: Column) -> Column:
     """Split from the file's name: validation before test before train."""
-    name = F.lower(F.element_at(F.split(F.input_file_name(), "/"), -1))
+    name = F.lower(_name_of(file))
     return F.when(name.rlike("val|dev"), "validation").when(name.contains("test"), "test").otherwise("train")
 
 
-def read_table_samples(spark: SparkSession, paths: str | list[str], task: str, sep: str = ",") -> DataFrame:
-    """CSV or TSV with column aliases; ``split`` from the column if there is one, else from the file's name."""
-    raw = spark.read.option("header", True).option("sep", sep).csv(paths)
-    split = norm_split(F.col("split")) if "split" in raw.columns else _file_split()
-    parsed = raw.select(F.lit(task).alias("task_id"), split.alias("split"), F.upper(_pick(raw, "sequence")).alias("sequence"), parse_label(_pick(raw, "label")).alias("y"), _pick(raw, "species").alias("species"), _pick(raw, "group_id").alias("group_id"))
-    return parsed.select("task_id", stable_id(F.col("task_id"), F.col("sequence"), F.col("group_id")).alias("sample_id"), "split", "sequence", "y.label", "y.label_vec", "species", "group_id")
+def _sample_id(task: str, source: Column) -> Column:
+    """The hash of task, file, row of the file and source name: equal rows are two samples."""
+    return stable_id(F.lit(task), F.col("_file"), F.col("_index"), F.coalesce(source, F.lit("")))
+
+
+def read_table_samples(spark: SparkSession, paths: str | list[str], task: str, sep: str = ",", species: str = UNKNOWN) -> DataFrame:
+    """CSV or TSV with column aliases; ``split`` from the column if there is one, else from the file's name; ``species`` where a row has none.
+
+    (task_id, sample_id, split, sequence, label, label_vec, species, group_id, source_name, status); status is ``no_label`` where the label is none, ``no_sequence`` where there is no sequence.
+    """
+    raw = in_file_order(spark.read.option("header", True).option("sep", sep).csv(paths))
+    split = norm_split(F.col("split")) if "split" in raw.columns else _file_split(F.col("_file"))
+    x = raw.select("_file", "_index", split.alias("split"), F.upper(_pick(raw, "sequence")).alias("sequence"), parse_label(_pick(raw, "label")).alias("y"), _pick(raw, "species").alias("species"), _pick(raw, "group_id").alias("group_id"))
+    return _samples(x.withColumn("source_name", F.lit(None).cast("string")).withColumn("species", F.coalesce("species", F.lit(species))), task)
+
+
+def _samples(x: DataFrame, task: str) -> DataFrame:
+    status = F.when(F.coalesce(F.length("sequence"), F.lit(0)) == 0, "no_sequence").when(F.col("y.label").isNull() & F.col("y.label_vec").isNull(), "no_label")
+    return x.select(F.lit(task).alias("task_id"), _sample_id(task, F.col("source_name")).alias("sample_id"), "split", "sequence", "y.label", "y.label_vec", "species", "group_id", "source_name", status.alias("status"))
+
 
+def read_labelled_fasta(spark: SparkSession, paths: str | list[str], task: str, species: str | None = None) -> DataFrame:
+    """Records ``>name|label[|label...]`` in the columns of ``read_table_samples``: one label is a scalar, several are a vector; the species is the file's stem without its split.
 
-def read_labelled_fasta(spark: SparkSession, paths: str | list[str], task: str) -> DataFrame:
-    """Records ``>name|label[|label...]``; records without a label are left out."""
-    rec = spark.read.option("lineSep", ">").text(paths).select("value", _file_split().alias("split")).where(F.length(F.trim("value")) > 0)
+    A record without a label, or with one that is no number, has the status ``no_label``, so that a store refuses it; it is not dropped.
+    """
+    rec = spark.read.option("lineSep", ">").text(paths)
+    rec = in_file_order(rec.select("value", "_metadata").where(F.length(F.trim(F.regexp_replace("value", r"[\r\n]", ""))) > 0))
     head = F.split(F.regexp_extract("value", r"^([^\r\n]*)", 1), r"\|")
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", ""))
-    x = rec.select(head.alias("head"), seq.alias("sequence"), "split").where(F.size("head") > 1)
-    values = F.transform(F.slice("head", 2, F.greatest(F.lit(0), F.size("head") - 1)), lambda v: v.try_cast("double"))
-    return x.select(F.lit(task).alias("task_id"), F.get("head", F.lit(0)).alias("name"), "split", "sequence", F.when(F.size("head") == 2, F.get(values, F.lit(0))).alias("label"), F.when(F.size("head") > 2, values).alias("label_vec"))
+    x = rec.select("_file", "_index", head.alias("head"), seq.alias("sequence"), _file_split(F.col("_file")).alias("split"))
+    labels = F.transform(F.slice("head", 2, F.greatest(F.lit(0), F.size("head") - 1)), parse_label)
+    flat = F.transform(labels, lambda y: y["label"])
+    many = F.struct(F.lit(None).cast("double").alias("label"), F.when(F.forall(flat, lambda v: v.isNotNull()), flat).alias("label_vec"))
+    y = F.when(F.size("head") == 2, F.get(labels, F.lit(0))).when(F.size("head") > 2, many)
+    stem = F.regexp_replace(F.regexp_replace(_name_of(F.col("_file")), r"\.[^.]*$", ""), f"({STEM_ENDS})$", "")
+    return _samples(x.select("_file", "_index", "split", "sequence", y.alias("y"), F.get("head", F.lit(0)).alias("source_name"), (F.lit(species) if species else stem).alias("species"), F.lit(None).cast("string").alias("group_id")), task)
 
 
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:
@@ -58,11 +87,6 @@ def read_training_log(spark: SparkSession, path: str, stream: bool = False) -> D
     return pair.select(F.when(val, "val").otherwise("train").alias("split"), "step", F.regexp_replace("key", "^val_", "").alias("metric"), "value")
 
 
-def write_samples(df: DataFrame, path: str) -> None:
-    """Refuses a path that exists; a row group per task and split."""
-    df.write.mode("errorifexists").partitionBy("task_id", "split").parquet(path)
-
-
 def write_report(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("errorifexists").option("header", True).option("sep", "\t").csv(path)
 

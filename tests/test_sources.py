@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from millrace.sources import readers
+from millrace.sources import files, readers, samples
 from millrace.streaming import logs
 
 
@@ -12,15 +12,32 @@ def test_csv_aliases(spark, tmp_path):
     (tmp_path / "x_dev.csv").write_text("seq,labels,genome,orthogroup\nacgt,1,rice,g1\nACGG,011,,\nAC,\"[1, 2.5]\",maize,g2\n")
     rows = readers.read_table_samples(spark, str(tmp_path), "t").orderBy("sequence").collect()
     assert [(r["sequence"], r["label"], r["label_vec"], r["species"], r["split"]) for r in rows] == [
-        ("AC", None, [1.0, 2.5], "maize", "validation"), ("ACGG", None, [0.0, 1.0, 1.0], None, "validation"), ("ACGT", 1.0, None, "rice", "validation")]
+        ("AC", None, [1.0, 2.5], "maize", "validation"), ("ACGG", None, [0.0, 1.0, 1.0], "unknown_plant", "validation"), ("ACGT", 1.0, None, "rice", "validation")]
     assert len({r["sample_id"] for r in rows}) == 3
 
 
 def test_fasta(spark, tmp_path):
-    (tmp_path / "rice_test.fa").write_text(">a|1\nACG\nTT\n>b|0|1\nGG\n>nolabel\nAA\n")
-    rows = {r["name"]: r for r in readers.read_labelled_fasta(spark, str(tmp_path), "t").collect()}
-    assert (rows["a"]["sequence"], rows["a"]["label"], rows["a"]["split"]) == ("ACGTT", 1.0, "test")
-    assert rows["b"]["label_vec"] == [0.0, 1.0] and set(rows) == {"a", "b"}
+    (tmp_path / "rice_test.fa").write_text(">a|1\nACG\nTT\n>b|0|1\nGG\n>nolabel\nAA\n>bad|x\nAC\n>a|1\nACG\nTT\n")
+    rows = readers.read_labelled_fasta(spark, str(tmp_path), "t").collect()
+    by = {r["source_name"]: r for r in rows}
+    assert (by["a"]["sequence"], by["a"]["label"], by["a"]["split"], by["a"]["species"], by["a"]["status"]) == ("ACGTT", 1.0, "test", "rice", None)
+    assert by["b"]["label_vec"] == [0.0, 1.0] and by["nolabel"]["status"] == by["bad"]["status"] == "no_label" and len({r["sample_id"] for r in rows}) == len(rows) == 5
+    assert {r["species"] for r in readers.read_labelled_fasta(spark, str(tmp_path), "t", "wheat").collect()} == {"wheat"}
+
+
+def test_rows_are_numbered_over_byte_ranges(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("sequence,label\n" + "".join(f"{'ACGT' * (i % 30)},{i}\n" for i in range(500)))
+    ids = []
+    for most in ("700", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            rows = files.in_file_order(spark.read.option("header", True).csv(str(tmp_path))).collect()
+            ids.append({(r["sample_id"], r["label"]) for r in readers.read_table_samples(spark, str(tmp_path), "t").collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(rows) == 1000 and all(r["_index"] == int(r["label"]) for r in rows)
+    assert ids[0] == ids[1] and len({i for i, _ in ids[0]}) == 1000
 
 
 def test_gff3(spark, tmp_path):
@@ -43,11 +60,66 @@ def test_log_and_stream_agree(spark, tmp_path):
     assert {tuple(r) for r in spark.sql("SELECT split, step, metric, value FROM tail").collect()} == want
 
 
-def test_sink_refuses_a_second_write(spark, tmp_path):
+def rows_of(n=60):
+    return [{"sample_id": f"s{i}", "split": ("train", "val", "TEST ")[i % 3], "sequence": "ACGTRYU"[: 3 + i % 5] + format(i, "b").translate({48: "A", 49: "C"}), "label": float(i % 2), "species": "rice" if i % 2 else "", "group_id": f"g{i}", "extra": i if i % 4 else None} for i in range(n)]
+
+
+def frame_of(spark, rows):
+    return spark.createDataFrame(rows, "sample_id string, split string, sequence string, label double, species string, group_id string, extra long")
+
+
+def test_store_is_written_whole_or_not_at_all(spark, tmp_path):
+    path, rows = str(tmp_path / "top" / "store"), rows_of()
+    manifest = samples.write_samples(frame_of(spark, rows), path, "t1", "binary")
+    flat = [r["sequence"] for r in rows]
+    assert (manifest["rows"], manifest["total_bases"], manifest["split_counts"]) == (60, sum(map(len, flat)), {"train": 20, "validation": 20, "test": 20})
+    assert manifest["iupac_symbols_to_n"] == {c: sum(s.count(c) for s in flat) for c in "RY"} and manifest["u_bases_to_t"] == sum(s.count("U") for s in flat)
+    assert manifest["rows_with_iupac"] == sum(any(c in s for c in "RY") for s in flat) and manifest["cross_split_groups"] == 0 and not manifest["paired_sequences"]
+    assert samples.read_manifest(spark, path) == manifest
+    back = {r["sample_id"]: r for r in samples.read_samples(spark, path).collect()}
+    for r in rows:
+        b = back[r["sample_id"]]
+        assert (b["sequence"], b["label"], b["species"]) == (r["sequence"].translate(str.maketrans("RYU", "NNT")), r["label"], r["species"] or "unknown_plant")
+        assert b["metadata"] == ({} if r["extra"] is None else {"extra": str(r["extra"])})
+    one = samples.read_samples(spark, path, "validation")
+    assert {r["split"] for r in one.collect()} == {"validation"} and "PartitionFilters: [isnotnull(split" in one._jdf.queryExecution().toString()
+    with pytest.raises(FileExistsError):
+        samples.write_samples(frame_of(spark, rows), path, "t1", "binary")
+    assert sorted(x.name for x in (tmp_path / "top").iterdir() if not x.name.endswith(".crc")) == ["store"]
+
+
+@pytest.mark.parametrize(("change", "rule"), [
+    ({"sample_id": "s2"}, "duplicate_id"), ({"sample_id": " "}, "missing_id"), ({"split": "other"}, "bad_split"), ({"sequence": "AC-T"}, "bad_symbol"), ({"sequence": None}, "bad_symbol"), ({"label": None}, "missing_label"),
+    ({"label": float("inf")}, "bad_label"), ({"sequence": "ACGTRA"}, "cross_split_signature"), ({"group_id": "g1"}, "cross_split_group_id"),
+])
+def test_broken_rules_leave_nothing(spark, tmp_path, change, rule):
+    rows = rows_of()
+    rows[3] |= change
+    if rule == "cross_split_signature":
+        rows[4] |= change
+    with pytest.raises(samples.InvalidSamples) as x:
+        samples.write_samples(frame_of(spark, rows), str(tmp_path / "store"), "t", "binary")
+    assert rule in x.value.found and not list(tmp_path.iterdir())
+    if rule.startswith("cross_split"):
+        m = samples.write_samples(frame_of(spark, rows), str(tmp_path / "store"), "t", "binary", allow_copies=True, allow_groups=True)
+        assert m["rows"] == 60 and m["cross_split_groups"] == (rule == "cross_split_group_id")
+
+
+def test_pairs_vectors_and_empty_tables(spark, tmp_path):
+    kind = "sample_id string, split string, sequence string, sequence_b string, label_vec array<double>"
+    write = lambda rows, **k: samples.write_samples(spark.createDataFrame(rows, kind), str(tmp_path / "store"), "t", "multilabel", **k)
+    whole = [("a", "train", "ACG", "UU", [1.0, 0.0]), ("b", "test", "ACT", "AR", [0.0, 0.0]), ("c", "dev", "GG", "T", [1.0, 1.0])]
+    for rows, rule in ([], "no_rows"), (whole[:2], "no_validation"), ([*whole, ("d", "train", "AAA", "", [1.0, 0.0])], "mixed_pairing"), ([*whole, ("d", "train", "AAA", "A", [1.0])], "label_widths"), ([*whole, ("d", "train", "AAA", "A", [1.0, float("nan")])], "bad_label_vector"):
+        with pytest.raises(samples.InvalidSamples) as x:
+            write(rows)
+        assert rule in x.value.found
+    m = write(whole)
+    assert (m["vector_label_width"], m["paired_sequences"], m["u_bases_to_t"], m["iupac_symbols_to_n"]) == (2, True, 2, {"R": 1})
+    assert {r["sample_id"]: r["sequence_b"] for r in samples.read_samples(spark, str(tmp_path / "store")).collect()} == {"a": "TT", "b": "AN", "c": "T"}
+
+
+def test_reports_and_scans(spark, tmp_path):
     df = spark.createDataFrame([("t", "train", "AC")], "task_id string, split string, sequence string")
-    readers.write_samples(df, str(tmp_path / "s"))
-    with pytest.raises(Exception, match="exists"):
-        readers.write_samples(df, str(tmp_path / "s"))
     readers.write_report(df, str(tmp_path / "r"), ["split", "sequence"])
     assert {r["size_bytes"] > 0 for r in readers.scan_artifacts(spark, str(tmp_path / "r")).collect()} == {True}
 
