@@ -47,6 +47,17 @@ def merge_logs(logs: DataFrame) -> DataFrame:
     return kept.groupBy("split", "step").agg(F.max_by("value", F.struct("log_no", "line_no")).alias("value"))
 
 
+def merge_entries(entries: DataFrame) -> DataFrame:
+    """(split, step, metrics) of log entries (log, line, split, step, metrics): the last entry of a (split, step) wins, in the order of logs and lines.
+
+    A log with a ``resume`` entry first takes away what earlier logs have beyond its step (the last such entry's, if it has several); the resume steps are a table of one row per log.
+    """
+    resumed = entries.groupBy("log").agg(F.max_by(F.when(F.col("split") == "resume", F.col("step")), F.when(F.col("split") == "resume", F.col("line"))).alias("resume"))
+    cut = resumed.select("log", F.min("resume").over(Window.orderBy(F.desc("log")).rowsBetween(Window.unboundedPreceding, -1)).alias("cut"))
+    kept = entries.where("split <> 'resume'").join(F.broadcast(cut), "log").where("cut IS NULL OR step <= cut")
+    return kept.groupBy("split", "step").agg(F.max_by("metrics", F.struct("log", "line")).alias("metrics"))
+
+
 def best_so_far(log: DataFrame, by: list[str]) -> DataFrame:
     """Running minimum of ``value`` by step, and how many steps ago it was set."""
     w = Window.partitionBy(*by).orderBy("step")

@@ -78,13 +78,34 @@ def read_gff3(spark: SparkSession, path: str) -> DataFrame:
     return x.select("contig", "feature", F.col("start").try_cast("long").alias("start"), F.col("end").try_cast("long").alias("end"), F.get(F.split(cls, "_"), F.lit(0)).alias("superfamily"))
 
 
-def read_training_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """(split, step, metric, value) of JSON lines; lines that are no JSON and values that are not finite are skipped."""
-    raw = (spark.readStream if stream else spark.read).text(path)
-    x = raw.select(F.from_json("value", "map<string,double>").alias("m")).where(F.col("m").isNotNull())
-    pair = x.select(F.element_at("m", F.lit("step")).cast("long").alias("step"), F.explode("m").alias("key", "value")).where("key <> 'step' AND step IS NOT NULL AND NOT isnan(value)")
-    val = F.col("key").startswith("val_")
-    return pair.select(F.when(val, "val").otherwise("train").alias("split"), "step", F.regexp_replace("key", "^val_", "").alias("metric"), "value")
+ENTRY = "array<struct<split:string,step:bigint,metrics:map<string,double>>>"
+
+
+def log_entries(raw: DataFrame) -> DataFrame:
+    """(log, line, split, step, metrics) of JSON lines (value, _metadata), as a reader of text gives them.
+
+    A line with a step gives a ``train`` entry if it has a loss, and a ``val`` entry if it has ``val_`` keys, whose prefix is taken off.  A line with ``resume`` and ``start_step`` gives an
+    entry ``resume``.  Lines that are no JSON, and values that are no finite numbers, are skipped.
+    """
+    x = in_file_order(raw).where(F.trim("value").startswith("{")).select(F.col("_file").alias("log"), F.col("_index").alias("line"), F.from_json(F.trim("value"), "map<string,string>").alias("m")).where("m IS NOT NULL")
+    numbers = F.map_filter(F.transform_values("m", lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    at = lambda k: F.try_element_at("m", F.lit(k)).try_cast("double").cast("long")
+    x = x.select("log", "line", "m", numbers.alias("n"), at("step").alias("step"), at("start_step").alias("start"))
+    has = lambda k: F.map_contains_key("m", k)
+    val = F.map_filter("n", lambda k, _: k.startswith("val_"))
+    train = F.map_filter("n", lambda k, _: ~k.startswith("val_") & (k != "step"))
+    entry = lambda when, split, step, metrics: F.when(when, F.struct(F.lit(split).alias("split"), step.alias("step"), metrics.alias("metrics")))
+    none = F.lit(None).cast("map<string,double>")
+    found = F.array(
+        entry(has("resume") & F.col("start").isNotNull(), "resume", F.col("start"), none), entry(F.col("step").isNotNull() & has("loss"), "train", F.col("step"), train),
+        entry(F.col("step").isNotNull() & F.exists(F.map_keys("m"), lambda k: k.startswith("val_")), "val", F.col("step"), F.transform_keys(val, lambda k, _: F.substring(k, 5, 1 << 30))),
+    ).cast(ENTRY)
+    return x.select("log", "line", F.inline(F.filter(found, lambda e: e.isNotNull())))
+
+
+def read_training_log(spark: SparkSession, path: str) -> DataFrame:
+    """The entries (log, line, split, step, metrics) of the log files of ``path``."""
+    return log_entries(spark.read.text(path).select("value", "_metadata"))
 
 
 def write_report(df: DataFrame, path: str, columns: list[str]) -> None:

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from ..sources.readers import read_training_log
+from ..operators.matrix import merge_entries
+from ..sources.readers import log_entries
+
+
+def follow_logs(spark: SparkSession, source: str, target: str, checkpoint: str, files_at_once: int = 1000):
+    """Start a query that adds the entries of new log files of ``source`` to the table ``target``; ``read_followed`` merges them.
+
+    A micro-batch writes its entries to a folder of its own, which a batch that is run again replaces.  The order of logs and lines is kept with each entry, so it makes no difference which files come together, or in
+    which order, or where the query stops and goes on.  No state is held.
+    """
+    stream = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(source).select("value", "_metadata")
+    write = lambda batch, no: log_entries(batch).write.mode("overwrite").parquet(f"{target}/batch={no}")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_log(spark: SparkSession, path: str) -> DataFrame:
-    """Latest value of each (split, step, metric) of a growing folder of log files; run it in complete or update mode."""
-    return read_training_log(spark, path, stream=True).groupBy("split", "step", "metric").agg(F.last("value").alias("value"))
+def read_followed(spark: SparkSession, target: str) -> DataFrame:
+    """(split, step, metrics) of all entries that ``follow_logs`` has written so far."""
+    return merge_entries(spark.read.parquet(target).drop("batch"))
 
 
 def liveness(beats: DataFrame, key: str, now: str, poll: int = 60, least: int = 180) -> DataFrame:
@@ -23,6 +38,75 @@ def liveness(beats: DataFrame, key: str, now: str, poll: int = 60, least: int =
     return last.select(key, age.alias("age"), (age <= max(least, 3 * poll)).alias("alive"))
 
 
+class _Watch(StatefulProcessor):
+    """Last beat of a run and whether it was found stalled; a timer per run makes silence an event."""
+
+    def __init__(self, plan: str, poll: int, least: int) -> None:
+        self.plan, self.limit = plan, 1000 * max(least, 3 * poll)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("watch", "last bigint, state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, state = self.state.get() if self.state.exists() else (None, None)
+        out = []
+        x = pd.concat(rows)
+        x = x[x["plan_sha256"] == self.plan].sort_values("ts", kind="stable")
+        for ts, status in zip(x["ts"].astype("datetime64[ms, UTC]" if x["ts"].dt.tz is not None else "datetime64[ms]").astype("int64"), x["status"], strict=True):
+            if last is not None and ts <= last:
+                continue
+            if state == "running" and ts - last > self.limit:
+                out.append((last + self.limit, "stalled"))
+                state = "stalled"
+            if status != state:
+                out.append((ts, status))
+            last, state = int(ts), status
+        if last is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            if state == "running":
+                self.handle.registerTimer(last + self.limit)
+            self.state.update((last, state))
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, state = self.state.get()
+        if state == "running":
+            self.state.update((last, "stalled"))
+            yield self._rows(key, [(last + self.limit, "stalled")])
+
+    def _rows(self, key, out: list[tuple[int, str]]) -> pd.DataFrame:
+        own = lambda values: pd.Series(values, dtype=object)
+        return pd.DataFrame({"run_key": own([key[0]] * len(out)), "at": pd.to_datetime([t for t, _ in out], unit="ms"), "state": own([s for _, s in out])})
+
+    def close(self) -> None:
+        pass
+
+
+def watch_runs(beats: DataFrame, plan: str, poll: int = 60, least: int = 180, delay: str = "0 seconds") -> DataFrame:
+    """(run_key, at, state) whenever the state of a run changes, from a stream of beats (run_key, ts, status, plan_sha256).
+
+    A running run whose next beat is more than max(``least``, 3 ``poll``) seconds off is ``stalled`` from then on, whether that beat ever comes: a timer in event time
+    fires when the other runs' beats have moved the watermark past it.  A beat of another plan is no beat.  The state of a run is its last beat; beats must come in the order of time but for ``delay``, and older ones are
+    passed over.
+    """
+    kind = beats.schema["run_key"].dataType.simpleString()
+    timed = beats.select("run_key", "ts", "status", "plan_sha256").withWatermark("ts", delay)
+    return timed.groupBy("run_key").transformWithStateInPandas(_Watch(plan, poll, least), f"run_key {kind}, at timestamp, state string", "append", "EventTime")
+
+
+def roll_up(runs: DataFrame, states: DataFrame) -> DataFrame:
+    """(complete, terminal, active, waiting, status) of planned runs (run_key) by the last of their state changes (run_key, at, state).
+
+    ``ok`` if all are complete, ``failed`` if all are complete or terminal, ``running`` while one is active, else ``not_running``.
+    """
+    last = states.groupBy("run_key").agg(F.max_by("state", F.struct("at", "state")).alias("state"))
+    kind = F.when(F.col("state") == "complete", "complete").when(F.col("state") == "terminal_failed", "terminal").when(F.col("state") == "running", "active").otherwise("waiting")
+    one = runs.select("run_key").distinct().join(last, "run_key", "left").select(kind.alias("kind")).agg(F.count("*").alias("n"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("complete", "terminal", "active", "waiting")))
+    status = F.when(F.col("complete") == F.col("n"), "ok").when(F.col("complete") + F.col("terminal") == F.col("n"), "failed").when(F.col("active") > 0, "running").otherwise("not_running")
+    return one.select("complete", "terminal", "active", "waiting", status.alias("status"))
+
+
 def event_counts(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Rows per event type and hour; the watermark bounds the state on a stream."""
     hour = F.window("ts", "1 hour")

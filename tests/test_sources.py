@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from millrace.operators import matrix
 from millrace.sources import files, readers, samples
 from millrace.streaming import logs
 
@@ -45,19 +46,40 @@ def test_gff3(spark, tmp_path):
     assert [tuple(r) for r in readers.read_gff3(spark, str(tmp_path)).collect()] == [("chr1", "repeat_region", 5, 9, "Gypsy")]
 
 
-LINES = [{"step": 1, "loss": 0.5}, {"step": 2, "val_loss": 0.7, "loss": 0.4}]
-
-
-def test_log_and_stream_agree(spark, tmp_path):
-    src = tmp_path / "logs"
-    src.mkdir()
-    (src / "a.jsonl").write_text("starting\n" + "\n".join(map(json.dumps, LINES)) + "\n")
-    want = {("train", 1, "loss", 0.5), ("train", 2, "loss", 0.4), ("val", 2, "loss", 0.7)}
-    assert {tuple(r) for r in readers.read_training_log(spark, str(src)).collect()} == want
-    q = logs.stream_log(spark, str(src)).writeStream.format("memory").queryName("tail").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {tuple(r) for r in spark.sql("SELECT split, step, metric, value FROM tail").collect()} == want
+LOGS = {
+    "run-a.jsonl": ["starting", {"step": 1, "loss": 0.5, "lr": 1e-3, "note": "x"}, {"step": 2, "val_loss": 0.7, "loss": 0.4}, {"step": 3, "loss": 0.3}, {"step": 3, "loss": 0.31}, {"step": 5, "val_acc": 1}, "{broken", {"loss": 9}],
+    "run-b.jsonl": [{"resume": "a", "start_step": 2}, {"step": 3, "loss": 0.25}, {"resume": "a", "start_step": 4}, {"step": 4, "loss": "NaN", "lr": 2}],
+    "run-c.jsonl": [{"step": 3, "loss": 0.2}, {"step": 9, "other": 1}],
+    "run-d.jsonl": [{"resume": "c", "start_step": 3}, {"step": 4, "val_loss": 0.1}],
+}
+
+
+def merged_plainly():
+    rows = []
+    for _, lines in sorted(LOGS.items()):
+        new, resume = [], None
+        for m in (x for x in lines if isinstance(x, dict)):
+            resume = m["start_step"] if "resume" in m else resume
+            number = {k: float(v) for k, v in m.items() if k != "step" and not isinstance(v, str)}
+            if "step" in m and "loss" in m:
+                new.append(("train", m["step"], {k: v for k, v in number.items() if not k.startswith("val_")}))
+            if "step" in m and any(k.startswith("val_") for k in m):
+                new.append(("val", m["step"], {k[4:]: v for k, v in number.items() if k.startswith("val_")}))
+        rows = [r for r in rows if resume is None or r[1] <= resume] + new
+    return {(s, t): m for s, t, m in rows}
+
+
+@pytest.mark.parametrize("order", [["run-a", "run-b", "run-c", "run-d"], ["run-d", "run-b", "run-a", "run-c"]])
+def test_logs_followed_in_any_cut_equal_a_plain_merge(spark, tmp_path, order):
+    write = lambda name: (tmp_path / "logs" / f"{name}.jsonl").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in LOGS[f"{name}.jsonl"]))
+    (tmp_path / "logs").mkdir()
+    for names in order[:1], order[1:3], order[3:]:  # the query stops and goes on between
+        for name in names:
+            write(name)
+        logs.follow_logs(spark, str(tmp_path / "logs"), str(tmp_path / "t"), str(tmp_path / "cp"), files_at_once=1).awaitTermination()
+    want = merged_plainly()
+    assert {(r["split"], r["step"]): r["metrics"] for r in logs.read_followed(spark, str(tmp_path / "t")).collect()} == want
+    assert {(r["split"], r["step"]): r["metrics"] for r in matrix.merge_entries(readers.read_training_log(spark, str(tmp_path / "logs"))).collect()} == want
 
 
 def rows_of(n=60):

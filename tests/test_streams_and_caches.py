@@ -100,3 +100,25 @@ def test_audits_name_each_fault(spark):
     bad = spark.createDataFrame(rows, "sample_id string, split string, sequence string, label double, group_id string")
     got = {r["rule"]: r["rows"] for r in quality.validate_samples(bad).collect()}
     assert got == {"missing_id": 2, "bad_split": 2, "bad_symbol": 2, "bad_label": 1, "missing_label": 1, "no_validation": 1, "duplicate_id": 2, "cross_split_signature": 1, "cross_split_group_id": 1}
+
+
+def test_silence_makes_a_run_stalled(spark, tmp_path):
+    start = 1_700_000_000
+    beats = [("a", 0), ("b", 10), ("a", 100), ("b", 100), ("b", 190), ("b", 370), ("b", 550), ("a", 600), ("b", 700), ("c", 710), ("b", 880), ("b", 1060), ("b", 1240)]
+    rows = [(k, start + t, "running", "p") for k, t in beats] + [("a", start + 700, "complete", "p"), ("c", start + 800, "running", "other"), ("d", start + 5, "running", "other")]
+    rows.sort(key=lambda r: r[1])
+    kind = "run_key string, ts timestamp, status string, plan_sha256 string"
+    for k in range(0, len(rows), 3):  # every file is a micro-batch, and the query stops after each
+        spark.createDataFrame([(a, t, b, c) for a, t, b, c in rows[k : k + 3]], "run_key string, t long, status string, plan_sha256 string").selectExpr("run_key", "timestamp_seconds(t) AS ts", "status", "plan_sha256").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            states = logs.watch_runs(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), "p")
+            states.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        finally:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    out = spark.read.schema("run_key string, at timestamp, state string").parquet(f"{tmp_path}/out")
+    got = sorted((r["run_key"], r["t"] - start, r["state"]) for r in out.selectExpr("run_key", "unix_timestamp(at) AS t", "state").collect())
+    assert got == [("a", 0, "running"), ("a", 280, "stalled"), ("a", 600, "running"), ("a", 700, "complete"), ("b", 10, "running"), ("c", 710, "running"), ("c", 890, "stalled")]
+    plan = lambda *k: spark.createDataFrame([(x,) for x in k], "run_key string")
+    assert tuple(logs.roll_up(plan("a", "b", "c", "d", "d"), out).first()) == (1, 0, 1, 2, "running")
+    assert logs.roll_up(plan("a"), out).first()["status"] == "ok" and logs.roll_up(plan("a", "c"), out).first()["status"] == "not_running"
