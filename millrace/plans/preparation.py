@@ -101,17 +101,6 @@ def s05_zero_shot_panel(spark, d):
     return X.samples(spark, d).where("split = 'test'").select("sample_id", F.concat_ws(",", S.true_bases(F.col("sequence"), [3, 17]).cast("array<string>")).alias("truth"))
 
 
-@query("SELECT sample_id, species, split, length(sequence) AS n FROM v_samples WHERE sequence IS NOT NULL AND regexp_full_match(sequence, '[ACGTN]+')")
-def s12_read_samples(spark, d):
-    s = X.samples(spark, d).withColumn("codes", S.encode(F.col("sequence")))
-    return s.where(F.forall("codes", lambda c: c.isNotNull() & (c <= 4))).select("sample_id", "species", "split", F.size("codes").cast("long").alias("n"))
-
-
-@query("SELECT window_id, length, CASE region WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 5 THEN 2 ELSE -100 END AS region_id FROM v_windows")
-def s13_window_index(spark, d):
-    return X.windows(spark, d).select("window_id", "length", S.vocab_id(F.col("region").cast("string"), ("0", "2", "5")).alias("region_id"))
-
-
 @query("SELECT o_orderkey, ntile(6) OVER (PARTITION BY o_orderkey // 64 ORDER BY o_orderkey) - 1 AS rank FROM orders")
 def w16_rank_slices(spark, d):
     o = X.table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 64").alias("batch"))

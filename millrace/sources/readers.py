@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,9 +118,103 @@ def write_report(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("errorifexists").option("header", True).option("sep", "\t").csv(path)
 
 
-def scan_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return f.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+#: Files beyond this are hashed piece by piece and never are a cell of a table.
+CELL_BYTES = 1 << 28
+
+
+def scan_artifacts(spark: SparkSession, root: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """(path, size_bytes, sha256) of every file below ``root``, by its path there; caches (``.cache``) and receipts are left out.
+
+    A file is one task's work, as its hash runs from its first byte.  Those up to ``cell_bytes`` come through Spark's reader, larger ones are opened where they lie, which needs a
+    store that Arrow's file systems know.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    kept = listed.where(~F.col("path").contains("/.cache/") & ~name.endswith("receipt.json"))
+    small = kept.where(F.col("length") <= cell_bytes).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def digests(batches):
+        for b in batches:
+            out = []
+            for path in b.column("path").to_pylist():
+                fs, at = FileSystem.from_uri(path)
+                h = hashlib.sha256()
+                with fs.open_input_stream(at) as f:
+                    while piece := f.read(1 << 23):
+                        h.update(piece)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("size_bytes"), pa.array(out, pa.string())], ["path", "size_bytes", "sha256"])
+
+    large = kept.where(F.col("length") > cell_bytes).select("path", F.col("length").alias("size_bytes")).repartition("path").mapInArrow(digests, "path string, size_bytes bigint, sha256 string")
+    plain = lambda c: F.regexp_replace(c, "^[a-zA-Z0-9+.-]+:/*", "/")
+    # Spark's reader has no row for an empty file, but its list of files has it.
+    every = spark.createDataFrame([(unquote(p),) for p in listed.inputFiles()], "path string").where(~F.col("path").contains("/.cache/") & ~name.endswith("receipt.json"))
+    empty = every.select(plain("path").alias("path")).join(kept.select(plain("path").alias("path")), "path", "left_anti")
+    small = small.unionByName(empty.select("path", F.lit(0).cast("long").alias("size_bytes"), F.sha2(F.lit(""), 256).alias("sha256")))
+    top = plain(F.lit(root.rstrip("/") + "/"))
+    return small.unionByName(large).withColumn("path", F.substr(plain(F.col("path")), F.length(top) + 1))
+
+
+def write_texts(df: DataFrame, root: str) -> None:
+    """Each row (path, text) as a file of its own below ``root``, written by the row's task under another name and moved into place."""
+
+    def write(batches):
+        fs, top = FileSystem.from_uri(root)
+        mark = f".attempt-{TaskContext.get().taskAttemptId()}"
+        made, n = set(), 0
+        for b in batches:
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
+                at = f"{top}/{path}"
+                if (folder := at.rpartition("/")[0]) not in made:
+                    made.add(folder)
+                    fs.create_dir(folder, recursive=True)
+                with fs.open_output_stream(at + mark) as f:
+                    f.write(text.encode())
+                fs.move(at + mark, at)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    df.select("path", "text").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+def snapshot_digest(artifacts: DataFrame) -> str:
+    """One hash of a scan: of the folders in order, each with the hash of its files' names, sizes and hashes in order."""
+    cut = F.regexp_extract("path", "^(.*/)?", 0)
+    row = F.struct(F.substr("path", F.length(cut) + 1).alias("name"), "size_bytes", "sha256")
+    text = lambda rows, *names: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: F.concat_ws("\t", *(x[n].cast("string") for n in names))), "\n"), 256)
+    folders = artifacts.groupBy(cut.alias("folder")).agg(text(row, "name", "size_bytes", "sha256").alias("digest"))
+    return folders.agg(text(F.struct("folder", "digest"), "folder", "digest")).first()[0]
+
+
+def write_window_index(windows: DataFrame, root: str) -> None:
+    """Windows (shard, split, offset, length, region_bucket, ...) as a gzipped TSV of each shard, and the manifest (shard, path, tokens, windows_count, splits) beside them."""
+    own = ("shard", "split", "offset", "length", "region_bucket")
+    windows = windows.select(*own, *(c for c in windows.columns if c not in own))
+    windows.repartition("shard").write.partitionBy("shard").option("sep", "\t").option("header", True).option("compression", "gzip").csv(f"{root}/shards")
+    splits = F.array_join(F.array_sort(F.collect_set("split")), ",")
+    shards = windows.groupBy("shard").agg(F.sum("length").alias("tokens"), F.count("*").alias("windows_count"), splits.alias("splits"))
+    shards.select("shard", F.concat(F.lit("shards/shard="), "shard").alias("path"), "tokens", "windows_count", "splits").write.option("sep", "\t").option("header", True).csv(f"{root}/manifest")
+
+
+def read_window_index(spark: SparkSession, root: str, split: str, regions: dict[str, int], columns: str = "", shards: list[int] | None = None) -> DataFrame:
+    """(shard, offset, length, region, ...) of one split, with the region's number, -100 where ``regions`` has no such name; names are trimmed and in lower case.
+
+    The manifest, a row for each shard, says which shards hold the split: files of other shards, and of those not in ``shards``, are never opened.  ``columns`` names further columns of the
+    index with their types.  No shard at all is an error; a split that none holds has no rows.
+    """
+    manifest = spark.read.option("sep", "\t").schema("shard bigint, path string, tokens bigint, windows_count bigint, splits string").option("header", True).csv(f"{root}/manifest").collect()
+    if not manifest:
+        raise ValueError(f"no shards in {root}")
+    wanted = [f"{root}/{r['path']}" for r in manifest if split in (r["splits"] or "").split(",") and (shards is None or r["shard"] in shards)]
+    schema = "split string, offset bigint, length int, region_bucket string, shard bigint" + (f", {columns}" if columns else "")
+    rows = spark.createDataFrame([], schema)
+    if wanted:
+        kinds = {f.name: f.dataType for f in rows.schema}
+        raw = spark.read.option("sep", "\t").option("header", True).option("basePath", f"{root}/shards").csv(wanted)
+        rows = raw.select(*(F.col(n).cast(t).alias(n) for n, t in kinds.items()))
+    region = F.lower(F.trim(F.coalesce("region_bucket", F.lit(""))))
+    number = F.coalesce(*[F.when(region == k, v) for k, v in regions.items()], F.lit(-100)) if regions else F.lit(-100)
+    return rows.where(F.col("split") == split).withColumn("region", number.cast("long")).drop("split", "region_bucket")
 
 
 def read_parquet_samples(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:

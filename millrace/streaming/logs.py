@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,18 @@ def liveness(beats: DataFrame, key: str, now: str, poll: int = 60, least: int =
     return last.select(key, age.alias("age"), (age <= max(least, 3 * poll)).alias("alive"))
 
 
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """States with timers need this provider; the session's own setting comes back after."""
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class _Watch(StatefulProcessor):
     """Last beat of a run and whether it was found stalled; a timer per run makes silence an event."""
 
@@ -77,7 +91,7 @@ class _Watch(StatefulProcessor):
 
     def _rows(self, key, out: list[tuple[int, str]]) -> pd.DataFrame:
         own = lambda values: pd.Series(values, dtype=object)
-        return pd.DataFrame({"run_key": own([key[0]] * len(out)), "at": pd.to_datetime([t for t, _ in out], unit="ms"), "state": own([s for _, s in out])})
+        return pd.DataFrame({"run_key": own([key[0]] * len(out)), "at": np.array([t for t, _ in out], "datetime64[ms]"), "state": own([s for _, s in out])})
 
     def close(self) -> None:
         pass

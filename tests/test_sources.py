@@ -1,5 +1,6 @@
 """Readers, writers and streams on small files."""
 
+import hashlib
 import json
 
 import pytest
@@ -144,6 +145,34 @@ def test_reports_and_scans(spark, tmp_path):
     df = spark.createDataFrame([("t", "train", "AC")], "task_id string, split string, sequence string")
     readers.write_report(df, str(tmp_path / "r"), ["split", "sequence"])
     assert {r["size_bytes"] > 0 for r in readers.scan_artifacts(spark, str(tmp_path / "r")).collect()} == {True}
+    with pytest.raises(Exception, match="exists"):
+        readers.write_report(df, str(tmp_path / "r"), ["split"])
+
+
+def test_scan_of_small_and_large_files(spark, tmp_path):
+    held = {"a.txt": b"one", "sub/b.bin": bytes(range(256)) * 40, "sub/deep/c": b"", "x receipt.txt": b"r"}
+    for name, raw in {**held, ".cache/d": b"no", "sub/.cache/e": b"no", "sub/receipt.json": b"no", "my_receipt.json": b"no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    want = {(n, len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in held.items()}
+    digests = set()
+    for cell in (1 << 20, 100, -1):
+        got = readers.scan_artifacts(spark, str(tmp_path), cell)
+        assert {tuple(r) for r in got.collect()} == want
+        digests.add(readers.snapshot_digest(got))
+    (tmp_path / "sub" / "deep" / "c").write_bytes(b"!")
+    assert len(digests) == 1 and readers.snapshot_digest(readers.scan_artifacts(spark, str(tmp_path))) not in digests
+
+
+def test_window_index_opens_only_its_shards(spark, tmp_path):
+    rows = [(s, "train" if s < 3 else "validation", 10 * i, 4096 + i, (" CDS ", "intron", None)[i % 3]) for s in range(5) for i in range(4)]
+    readers.write_window_index(spark.createDataFrame(rows, "shard long, split string, offset long, length int, region_bucket string"), str(tmp_path))
+    regions = {"cds": 1, "intron": 2}
+    got = readers.read_window_index(spark, str(tmp_path), "train", regions)
+    assert sorted(tuple(r[c] for c in ("shard", "offset", "length", "region")) for r in got.collect()) == [(s, o, n, {" CDS ": 1, "intron": 2}.get(x, -100)) for s, p, o, n, x in rows if p == "train"]
+    opened = lambda x: {f.rsplit("/", 2)[-2] for f in x.inputFiles()}
+    assert opened(got) == {"shard=0", "shard=1", "shard=2"} and opened(readers.read_window_index(spark, str(tmp_path), "train", regions, shards=[1, 4])) == {"shard=1"}
+    assert readers.read_window_index(spark, str(tmp_path), "test", regions).isEmpty()
 
 
 def test_hits_under_both_headers(spark, tmp_path):

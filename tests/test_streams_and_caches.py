@@ -110,12 +110,9 @@ def test_silence_makes_a_run_stalled(spark, tmp_path):
     kind = "run_key string, ts timestamp, status string, plan_sha256 string"
     for k in range(0, len(rows), 3):  # every file is a micro-batch, and the query stops after each
         spark.createDataFrame([(a, t, b, c) for a, t, b, c in rows[k : k + 3]], "run_key string, t long, status string, plan_sha256 string").selectExpr("run_key", "timestamp_seconds(t) AS ts", "status", "plan_sha256").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        try:
+        with logs.state_in_rocksdb(spark):
             states = logs.watch_runs(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), "p")
             states.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
-        finally:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     out = spark.read.schema("run_key string, at timestamp, state string").parquet(f"{tmp_path}/out")
     got = sorted((r["run_key"], r["t"] - start, r["state"]) for r in out.selectExpr("run_key", "unix_timestamp(at) AS t", "state").collect())
     assert got == [("a", 0, "running"), ("a", 280, "stalled"), ("a", 600, "running"), ("a", 700, "complete"), ("b", 10, "running"), ("c", 710, "running"), ("c", 890, "stalled")]
