@@ -85,14 +85,30 @@ def read_back(ids: np.ndarray, mask: np.ndarray, name: str = "byte_bpe_50k.tikto
         yield decode(ids[s + 1 : r]), whole, whole if under.all() else decode(text[under])
 
 
-def as_text(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|im_start|>{escape(r)}<|im_role|>\n{escape(x)}<|im_end|>\n" for r, x in turns)
+def render(ids: np.ndarray, name: str = "byte_bpe_50k.tiktoken") -> str:
+    """The formatted text: that of the ids, with the names of reserved ones."""
+    e, _ = _encoding(name)
+    cuts = np.concatenate([[-1], np.flatnonzero(ids >= e.n_vocab), [len(ids)]])
+    runs = [e.decode_bytes(ids[i + 1 : j].tolist()).decode() for i, j in zip(cuts, cuts[1:], strict=False)]
+    return runs[0] + "".join(f"<|{RESERVED[ids[i] - e.n_vocab]}|>{run}" for i, run in zip(cuts[1:-1], runs[1:], strict=True))
+
+
+@cache
+def _letters(name: str) -> np.ndarray:
+    """Characters that begin in each token, reserved ones by their names."""
+    e, _ = _encoding(name)
+    return np.array([*(sum(c & 0xC0 != 0x80 for c in e.decode_single_token_bytes(i)) for i in range(e.n_vocab)), *(len(f"<|{r}|>") for r in RESERVED)], np.int64)
+
+
+def rendered_chars(ids: np.ndarray, name: str = "byte_bpe_50k.tiktoken") -> int:
+    """The length of ``render(ids)``, without making it."""
+    return int(_letters(name)[ids].sum())
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, ids, mask, formatted: one row per turn, made where the turn is read.
+    """conv_id, turn, ids, mask: one row per turn, made where the turn is read.
 
-    A conversation is its turns' ids, masks and texts end to end in the order of ``turn``: the template carries nothing over from one turn to
+    A conversation is its turns' ids and masks end to end in the order of ``turn``: the template carries nothing over from one turn to
     the next.  Null texts and roles are empty; repeated rows stay; other columns are not read; an empty table gives an empty result.
     """
 
@@ -101,12 +117,12 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
             turns = list(zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True))
             made = [assemble([t]) for t in turns]
             ids, mask = [i.astype("<u4").tobytes() for i, _ in made], [m.astype("u1").tobytes() for _, m in made]
-            columns = [b.column("conv_id"), b.column("turn"), pa.array(ids, pa.binary()), pa.array(mask, pa.binary()), pa.array([as_text([t]) for t in turns], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "ids", "mask", "formatted"])
+            columns = [b.column("conv_id"), b.column("turn"), pa.array(ids, pa.binary()), pa.array(mask, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "ids", "mask"])
 
     long = lambda c: F.col(c).cast("long").alias(c)
     rows = conversations.select(long("conv_id"), long("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(turn, "conv_id bigint, turn bigint, ids binary, mask binary, formatted string")
+    return rows.mapInArrow(turn, "conv_id bigint, turn bigint, ids binary, mask binary")
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
@@ -115,10 +131,11 @@ def read_turns(formatted: DataFrame) -> DataFrame:
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out = [], []
-            for k, (ids, mask, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("ids", "mask", "formatted")), strict=True)):
-                turns = list(read_back(np.frombuffer(ids, "<u4"), np.frombuffer(mask, "u1") == 1))
+            for k, (ids, mask) in enumerate(zip(*(b.column(c).to_pylist() for c in ("ids", "mask")), strict=True)):
+                ids = np.frombuffer(ids, "<u4")
+                turns, chars = list(read_back(ids, np.frombuffer(mask, "u1") == 1)), rendered_chars(ids)
                 at += [k] * len(turns)
-                out += [(role, said, None if loss == said else loss, len(text) if i == 0 else 0) for i, (role, said, loss) in enumerate(turns)]
+                out += [(role, said, None if loss == said else loss, 0 if i else chars) for i, (role, said, loss) in enumerate(turns)]
             at = pa.array(at, pa.int64())
             columns = [b.column("conv_id").take(at), b.column("turn").take(at), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64())))]
             yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "role", "text", "loss", "formatted_chars"])

@@ -154,11 +154,11 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.93, grid: int | N
     Only rows of one label (not null) and one length are compared.  Null, zero and non-finite vectors and vectors with a null
     component have no link and are their own component.  Equal vectors of a label are one node, counted but never
     expanded; nodes have numbers of their own, so a vec_id may be on several rows and joins nothing.  A repeated row counts as another vector.
-    Rows with a null vec_id have no links and a null component.  Other columns are not read.  An empty table gives an empty result.
+    Rows with a null vec_id link like any other; their component is null where no row of it has a vec_id, and they are never kept.  Other columns are not read.  An empty table gives an empty result.
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    good = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists(e, lambda c: c != 0), F.lit(False))
+    good = F.coalesce(F.col("label").isNotNull() & finite & F.exists(e, lambda c: c != 0), F.lit(False))
     rows = vectors.select("vec_id", "label", F.when(good, e).alias("e"))
     dtype = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 

@@ -149,7 +149,8 @@ def test_chat_assembly_and_lengths(spark):
     escaped = lambda t: re.sub(r"<\|(\\*)(im_start|im_end|im_role|endoftext)\|>", r"<|\\\1\2|>", t)
     for c in (1, 2):
         mine = [(r, t) for i, _, r, t in rows if i == c]
-        assert out[c]["formatted_chars"] == sum(len(f"<|im_start|>{escaped(r)}<|im_role|>\n{escaped(t)}<|im_end|>\n") for r, t in mine)
+        formatted = "".join(f"<|im_start|>{escaped(r)}<|im_role|>{escaped(t)}<|im_end|>" for r, t in mine)
+        assert out[c]["formatted_chars"] == len(formatted) == len(chat.render(chat.assemble(mine)[0])) and chat.render(chat.assemble(mine)[0]) == formatted
         assert out[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
         assert out[c]["loss_sha256"] == hashlib.sha256("".join(t for r, t in mine if r == "assistant").encode()).hexdigest()
 
@@ -296,3 +297,24 @@ def test_pipeline_by_brute_force(spark):
             assert r["ids_crc32"] == zlib.crc32(np.array(want[at : at + r["length"]], "<u4").tobytes())
             at += r["length"]
         assert at == len(want)
+
+
+def test_vectors_without_an_id_link(spark):
+    a, far = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    frame = spark.createDataFrame([(None, a), (7, a), (5, [1.0, 0.0, 0.0]), (None, far), (None, far)], "vec_id bigint, embedding array<double>").withColumn("label", F.lit(1))
+    out = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_components(frame).collect()), key=str)
+    assert out == sorted([(None, 2, 5, False), (7, 2, 5, False), (5, 2, 5, True), (None, 1, None, False), (None, 1, None, False)], key=str)
+
+
+def test_hot_vector_and_hot_fingerprint(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("label", F.lit(1)).repartition(8)
+    x = np.array([v for _, v in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near_ = unit @ unit.T >= 0.93
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_components(frame).collect()}
+    assert got == {i: int(near_[i].sum()) - 1 for i in range(900)}
+    texts = [(i, None if i % 3 == 0 else prose(i, 12)) for i in range(600)]
+    out = simhash.simhash_digest(docs(spark, texts).repartition(8)).collect()
+    assert len(out) == 600 and {r["component_id"] for r in out if r["doc_id"] % 3 == 0} == {0}
