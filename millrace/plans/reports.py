@@ -295,14 +295,14 @@ def m07_outputs(spark, d):
     return out.select("run_key", "output", *[F.round(c, 7).alias(c) for c in ("pearson", "spearman", "r2", "mae", "rmse")])
 
 
-@query("""WITH g AS MATERIALIZED (SELECT doc_id % 40 AS grp, source || '|' || lang AS s, dense_rank() OVER (ORDER BY doc_id % 40) - 1 AS k FROM documents), n AS (SELECT count(DISTINCT grp) AS n, count(DISTINCT s) AS w FROM g),
+@query("""WITH g AS MATERIALIZED (SELECT doc_id % 40 AS grp, CASE WHEN doc_id % 40 = 7 THEN 'rare' ELSE lang END AS s, dense_rank() OVER (ORDER BY doc_id % 40) - 1 AS k FROM documents), n AS (SELECT count(DISTINCT grp) AS n, count(DISTINCT s) AS w FROM g),
   d AS MATERIALIZED (SELECT attempt, replicate, ('0x' || substr(sha256('5|' || attempt || '|' || replicate || '|' || draw), 1, 12))::BIGINT % n AS k, count(*) AS times FROM n, range(1, 31) a(attempt), range(20) r(replicate), range(40) x(draw) WHERE draw < n GROUP BY ALL),
   ok AS (SELECT replicate, min(attempt) AS attempt FROM (SELECT attempt, replicate FROM d JOIN g USING (k), n GROUP BY attempt, replicate, w HAVING count(DISTINCT s) = w) GROUP BY replicate)
   SELECT d.replicate, grp, times, d.attempt::INT AS attempt FROM d JOIN ok USING (replicate, attempt) JOIN (SELECT DISTINCT k, grp FROM g) USING (k)""")
 def w21_group_bootstrap(spark, d):
-    """Forty groups of documents, drawn until every source and language is there."""
+    """Forty groups of documents, drawn until every language is there and what only one group has."""
     docs = X.table(spark, d, "documents").withColumn("grp", F.col("doc_id") % 40)
-    return resampling.group_bootstrap(docs, "grp", F.array(F.concat_ws("|", "source", "lang")), spark.range(20).withColumnRenamed("id", "replicate"), ["replicate"], 5)
+    return resampling.group_bootstrap(docs, "grp", F.array(F.when(F.col("grp") == 7, "rare").otherwise(F.col("lang"))), spark.range(20).withColumnRenamed("id", "replicate"), ["replicate"], 5)
 
 
 @query()
