@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, features, heads, metrics, quality, reports, resampling, rows, stats
+from ..operators import corpus, draws, features, heads, metrics, quality, reports, resampling, rows, stats
+from ..sources.store import shared_dir
 from . import fixtures as X
 from .queries import _VEC as VEC_SQL
 from .queries import _vectors as vectors
@@ -310,3 +311,35 @@ def r04_bootstrap_ranked(spark, d):
     values = resampling.bootstrap_ranked(X.pred_bin(spark, d), ["run_key"], "row_no", "label", "score", 2025)
     each = [resampling.summarize_bootstrap(values, ["run_key"], m).withColumn("metric", F.lit(m)) for m in ("auroc", "average_precision")]
     return each[0].unionByName(each[1])
+
+
+def _pools(spark, d):
+    """The windows by length and region class, each class standing for a region's name."""
+    names = list(draws.REGION_SHARES)
+    weights = draws.draw_weights(draws.LENGTH_SHARES, draws.REGION_SHARES)
+    sizes = {(r["length"], names[r["region"]]): r["n"] for r in X.windows(spark, d).groupBy("length", "region").agg(F.count("*").alias("n")).collect()}  # 35 rows
+    return [draws.Pool(f"{n}:{r}", w, sizes[n, r]) for (n, r), w in weights.items() if (n, r) in sizes]
+
+
+_SLOTS = """(SELECT pool, n, k, row_number() OVER (ORDER BY k::DOUBLE / w, o) - 1 AS slot FROM (SELECT length || ':' || name AS pool, count(*) AS n, any_value(lp * rp * (65536 // length)) AS w, any_value(li * 7 + region) AS o FROM v_windows
+    JOIN (VALUES (4096, 5, 0), (8192, 15, 1), (16384, 5, 2), (32768, 5, 3), (65536, 70, 4)) l(length, lp, li) USING (length) JOIN (VALUES (0, 'coding', 32), (1, 'splice', 21), (2, 'promoter', 14), (3, 'UTR', 11), (4, 'TES', 8), (5, 'gene_body', 10), (6, 'background', 4)) r(region, name, rp) USING (region) GROUP BY ALL), range(60001) k(k))"""
+
+
+@query(f"SELECT slot, pool, k // n AS round, k % n AS cursor FROM {_SLOTS} WHERE slot < 60000")
+def c09_draw_slots(spark, d):
+    """60,000 slots of the 35 pools, in the order in which they are due."""
+    rows, _ = draws.draw(spark, draws.State(tuple(_pools(spark, d)), 42), 60_000)
+    return rows.select("slot", "pool", "round", "cursor")
+
+
+@query(f"SELECT pool, count(*) AS draws, count(*) // n AS round, count(*) % n AS cursor, least(count(*), n) AS windows, 0::BIGINT AS repeats FROM {_SLOTS} WHERE slot < 60000 GROUP BY pool, n")
+def c10_resumed_draws(spark, d):
+    """The same slots in three parts, each from the state that the one before saved; windows that a round takes twice are counted."""
+    pools, path, parts = _pools(spark, d), shared_dir(spark), []
+    for count in (10_001, 29_999, 20_000):
+        rows, after = draws.draw(spark, draws.State.load(spark, path, pools, 42), count)
+        after.save(spark, path)
+        parts.append(rows)
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    twice = rows.groupBy("pool", "round", "place").count().groupBy("pool").agg(F.sum(F.col("count") - 1).alias("repeats"), F.count_distinct("place").alias("windows"))
+    return after.table(spark).join(twice, "pool").select("pool", "draws", "round", "cursor", "windows", "repeats")
