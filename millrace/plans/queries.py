@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import corpus, evaluation, features, heads, homology, matrix, metrics, quality, sampling, similarity, stats
+from ..operators import corpus, evaluation, features, heads, homology, logistic, matrix, metrics, quality, sampling, similarity, stats
 from ..sources import genome
 from ..sources.store import materialize, shared_dir
 from ..streaming import logs
@@ -681,3 +681,23 @@ def j10_similarity_join(spark, d):
 def j10_low_homology(spark, d):
     tests, hits = _hits(spark, d)
     return homology.low_homology(tests.drop("group_id"), hits, "row_no")
+
+
+def _binary_vectors(spark, d):
+    return _eval_vectors(spark, d).withColumn("label", (F.col("label") % 2).cast("double")).withColumn("query", F.floor(F.col("vec_id") / 8))
+
+
+@query()
+def f07_fixed_split_logistic(spark, d):
+    return logistic.fixed_split_logistic(_binary_vectors(spark, d), "vec_id", "embedding", "label", (0, 1, 2, 3, 4)).select("vec_id", "label", F.round("score", 6).alias("score"), "pred")
+
+
+@query()
+def f07_fixed_split_ranking(spark, d):
+    return logistic.fixed_split_logistic(_binary_vectors(spark, d), "vec_id", "embedding", "label", (0, 1), group="query").select("vec_id", "query", "label", F.round("score", 6).alias("score"))
+
+
+@query()
+def f08_leave_group_out_logistic(spark, d):
+    v = _binary_vectors(spark, d).withColumn("grp", F.col("vec_id") % 5)
+    return logistic.logo_logistic(v, "vec_id", "grp", "embedding", "label", (0, 1)).select("vec_id", "grp", "label", F.round("score", 6).alias("score"), "pred")
