@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -111,23 +111,44 @@ def align(queries: list[bytes], targets: list[bytes], low: np.ndarray, high: np.
 ALIGNED = "score bigint, matches bigint, columns bigint, query_begin bigint, query_end bigint, target_begin bigint, target_end bigint"
 
 
-def align_pairs(pairs: DataFrame, keys: list[str], scoring: Scoring) -> DataFrame:
-    """``keys`` of ``pairs`` (keys, query, target, low, high) with the columns of ALIGNED; pairs of like size are aligned together."""
+def align_pairs(pairs: DataFrame, keys: list[str], scoring: Scoring, guess: Callable[[bytes, bytes], tuple[int, int] | None] | None = None, enough: Callable[[Alignments, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``keys`` of ``pairs`` (keys, query, target, low, high) with the columns of ALIGNED; pairs of like size are aligned together.
+
+    ``guess`` may name a narrower band for a pair: where the alignment over it is ``enough`` (alignments, lengths of queries, of targets), it is taken, else the whole band is aligned.  A guess with low
+    over high says that no alignment can be enough: such a pair has no row.
+    """
+
+    def batched(query: list[bytes], target: list[bytes], low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, Alignments]]:
+        order = np.lexsort((high - low, [len(s) for s in query])) if len(query) else np.zeros(0, np.int64)
+        i = 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and (j - i + 1) * int((high - low)[order[i : j + 1]].max() + 1) <= CELLS and len(query[order[j]]) <= 1.3 * len(query[order[i]]) + 8:
+                j += 1
+            own = order[i:j]
+            yield own, align([query[k] for k in own], [target[k] for k in own], low[own], high[own], scoring)
+            i = j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             query, target = ([s.encode() for s in b.column(c).to_pylist()] for c in ("query", "target"))
             low, high = (b.column(c).to_numpy().astype(np.int64) for c in ("low", "high"))
-            order = np.lexsort((high - low, [len(s) for s in query])) if len(b) else np.zeros(0, np.int64)
-            i = 0
-            while i < len(order):
-                j = i + 1
-                while j < len(order) and (j - i + 1) * int((high - low)[order[i : j + 1]].max() + 1) <= CELLS and len(query[order[j]]) <= 1.3 * len(query[order[i]]) + 8:
-                    j += 1
-                own = order[i:j]
-                found = align([query[k] for k in own], [target[k] for k in own], low[own], high[own], scoring)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(own)) for c in keys), *map(pa.array, found)], [*keys, *Alignments._fields])
-                i = j
+            rows = lambda own, found: pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(own)) for c in keys), *map(pa.array, found)], [*keys, *Alignments._fields])  # noqa: B023, E731
+            left = np.arange(len(query))
+            if guess:
+                bands = [guess(q, t) for q, t in zip(query, target, strict=True)]
+                first = np.array([i for i, x in enumerate(bands) if x and x[0] <= x[1]], np.int64)
+                open_ = {i for i, x in enumerate(bands) if x is None}
+                for own, found in batched([query[i] for i in first], [target[i] for i in first], *(np.array([bands[i][k] for i in first], np.int64) for k in (0, 1))):
+                    good = enough(found, np.array([len(query[i]) for i in first[own]]), np.array([len(target[i]) for i in first[own]]))
+                    if good.any():
+                        yield rows(first[own][good], (x[good] for x in found))
+                    open_ |= set(first[own][~good].tolist())
+                left = np.array(sorted(open_), np.int64)
+            for own, found in batched([query[i] for i in left], [target[i] for i in left], low[left], high[left]):
+                yield rows(left[own], found)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields)
-    return pairs.select(*keys, "query", "target", "low", "high").mapInArrow(run, f"{kinds}, {ALIGNED}")
+    # The work lies in the letters' products and not in bytes, so pairs are dealt out to a fixed number of tasks that is not coalesced.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select(*keys, "query", "target", "low", "high").repartition(tasks, *keys).mapInArrow(run, f"{kinds}, {ALIGNED}")

@@ -90,11 +90,14 @@ def candidates(queries: DataFrame, targets: DataFrame, k: int = SEED) -> DataFra
     asked = asked.join(common, "seed", "left").withColumn("in_targets", F.coalesce("in_targets", F.lit(0))).withColumn("rank", rank)
     asked = asked.where((F.col("in_targets") == 0) | (F.col("rank") <= RAREST))
     stripes = met(asked, seeds).groupBy("query", "target", "m", F.floor((F.col("t") - F.col("q")) / STRIPE).alias("stripe")).agg(F.count("*").alias("hits"))
-    pairs = stripes.groupBy("query", "target", "m").agg(F.sum("hits").alias("hits"), F.max_by("stripe", F.struct("hits", -F.abs("stripe"), "stripe")).alias("stripe"))
+    pairs = stripes.groupBy("query", "target", "m").agg(F.collect_list(F.struct("stripe", "hits")).alias("all"), F.max_by("stripe", F.struct("hits", -F.abs("stripe"), "stripe")).alias("stripe"))
+    reach = F.floor(F.col("m") * (1 - IDENTITY)) + STRIPE
+    # Only hits that one alignment can hold count: those within reach of the stripe with the most.
+    close = F.filter("all", lambda x: F.abs(x["stripe"] - F.col("stripe")) * STRIPE <= reach)
+    pairs = pairs.select("query", "target", "m", "stripe", F.aggregate(close, F.lit(0).cast("long"), lambda t, x: t + x["hits"]).alias("hits"))
     # Where only the rarest seeds were looked up, fewer hits can be asked for.
     asked_for = asked.groupBy(F.col("node").alias("query")).agg(F.count("*").alias("seeds"))
     pairs = pairs.join(asked_for, "query").where(F.col("hits") >= F.greatest(F.lit(2), F.floor(F.least("m", "seeds") / LETTERS_PER_HIT)))
-    reach = F.floor(F.col("m") * (1 - IDENTITY)) + STRIPE
     long = pairs.select("query", "target", (F.col("stripe") * STRIPE - reach).alias("low"), ((F.col("stripe") + 1) * STRIPE + reach).alias("high"))
     return short.unionByName(long)
 

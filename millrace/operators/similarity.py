@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import materialize
-from .alignment import Scoring, align_pairs
+from .alignment import Alignments, Scoring, align_pairs
 from .graph import components
 
 #: Near copies are equal in 95% of the aligned columns, and the alignment covers 90% of each.
@@ -112,18 +112,56 @@ def _meet(keyed: DataFrame, extra: list[str] = [], apart: str = "true") -> DataF
     return met.select(F.least("node0", "node1").alias("a"), F.greatest("node0", "node1").alias("b")).distinct()
 
 
+#: Pairs over this length are first looked at through their shared grams.
+LONG, NARROW = 512, 64
+
+
+def _gram_numbers(s: bytes) -> np.ndarray:
+    codes = np.frombuffer(s, np.uint8).astype(np.int64)
+    out = np.zeros(len(codes) - GRAM + 1, np.int64)
+    for i in range(GRAM):
+        out = out * 131 + codes[i : len(out) + i]
+    return out
+
+
+def likely_band(q: bytes, t: bytes) -> tuple[int, int] | None:
+    """For long pairs the diagonals around the one that most of their shared grams lie on; none (1, 0) where too few are shared for any near copy.
+
+    An edit destroys at most GRAM grams, so a near copy keeps nine tenths of the shorter sequence's less GRAM for each edit.
+    """
+    n = min(len(q), len(t))
+    if n <= LONG:
+        return None
+    (a, i, x), (b, j, y) = (np.unique(_gram_numbers(s), return_index=True, return_counts=True) for s in (q, t))
+    _, p, r = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if 10 * np.minimum(x[p], y[r]).sum() < 9 * n - 10 * GRAM * (edits_of(n) + 1):
+        return 1, 0
+    once = (x[p] == 1) & (y[r] == 1)
+    if not once.any():
+        return None
+    stripe = (j[r][once] - i[p][once]) // NARROW
+    values, times = np.unique(stripe, return_counts=True)
+    middle = int(values[times.argmax()]) * NARROW
+    return middle - NARROW, middle + 2 * NARROW
+
+
+def near(found: Alignments, query: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Which alignments are those of near copies, from the lengths of both."""
+    return (found.score > 0) & (20 * found.matches >= 19 * found.columns) & (10 * (found.query_end - found.query_begin) >= 9 * query) & (10 * (found.target_end - found.target_begin) >= 9 * target)
+
+
 def confirmed(pairs: DataFrame, df: DataFrame, node: str, sequence: str) -> DataFrame:
     """(a, b, identity, coverage_a, coverage_b) of the pairs whose best local alignment is equal in IDENTITY of its columns and covers COVERAGE of both.
 
-    The alignment is sought over all diagonals that such an alignment can touch: those of a tenth of the letters left out before it, and of its gaps.
-    A pair costs the product of its lengths, times 0.3.
+    The alignment is sought over all diagonals that such an alignment can touch: those of a tenth of the letters left out before it, and of its gaps.  A pair costs the product of its
+    lengths, times 0.3; long pairs are first aligned around their main diagonal (``likely_band``), where most near copies are found in proportion to their length.
     """
     s = df.select(F.col(node).alias("a"), F.col(sequence).alias("query"))
     x = pairs.join(s, "a").join(s.select(F.col("a").alias("b"), F.col("query").alias("target")), "b")
     n, m = F.length("query"), F.length("target")
     edits = F.floor(F.least(n, m) / 19)
     x = x.select("a", "b", n.alias("n"), m.alias("m"), "query", "target", (-F.floor(n / 10) - edits).alias("low"), (F.floor(m / 10) + edits).alias("high"))
-    found = align_pairs(x, ["a", "b", "n", "m"], SCORING).where("score > 0")
+    found = align_pairs(x, ["a", "b", "n", "m"], SCORING, likely_band, near).where("score > 0")
     share = lambda end, of: (F.col(f"{end}_end") - F.col(f"{end}_begin")) / F.col(of)
     found = found.select("a", "b", (F.col("matches") / F.col("columns")).alias("identity"), share("query", "n").alias("coverage_a"), share("target", "m").alias("coverage_b"))
     return found.where((F.col("identity") >= IDENTITY) & (F.col("coverage_a") >= COVERAGE) & (F.col("coverage_b") >= COVERAGE))

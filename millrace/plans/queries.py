@@ -635,7 +635,7 @@ ORACLE_SQL["j09_negative_sites"] = f"""WITH RECURSIVE v_samples AS ({X.SQL['v_sa
 def s10_genome_chunks(spark, d):
     path = shared_dir(spark)
     genome.write_fasta(_contigs(spark, d), path)
-    return genome.read_genome(spark, path, 256, 64).select(F.col("contig").cast("long").alias("contig"), "chunk_no", "start", F.length("seq").cast("long").alias("n"))
+    return genome.read_genome(spark, path, 256, 64).select("contig", "chunk_no", "start", F.length("seq").cast("long").alias("n"))
 
 
 def _distinct(spark, d):
