@@ -1,6 +1,7 @@
 """Near duplicates by word shingles: groups of texts joined by pairs with Jaccard similarity 0.8 or more.
 
-MinHash bands propose candidates, a loose estimate from the signatures joins them into clusters, and inside each cluster whole shingle
+SimHash anchors (``simhash``) propose the sets whose fingerprints differ in three bits or fewer.  Similarity 0.8 is some ten bits away, so MinHash bands propose
+the pairs beyond the anchors, where a loose estimate from the signatures joins them; both kinds of links make clusters, and inside each cluster whole shingle
 sets are compared: two sets can only be alike if they share one of their rarest shingles (a fifth of each set), so only such pairs
 are.  Every link is exact; a pair at similarity 0.8 is never proposed with a chance of about 3 in a million.  Bands and clusters of any size are
 dealt out: no task holds more than a bounded part of one.
@@ -26,6 +27,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 #: Equal minima, of 96, that join two texts loosely; a pair at 0.8 has fewer with a chance below one in a million.
 LOOSE = 56
+#: Bits in which the fingerprints of two sets may differ that anchors propose.
+BITS_APART = 3
 #: Bands up to this many rows are compared all at once.
 SMALL = 48
 _RNG = np.random.default_rng(42)
@@ -47,6 +50,14 @@ def set_id(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(s.tobytes(), 7)], np.uint64).view(np.int64)[0])
 
 
+def set_fingerprint(s: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set: a bit is set if it is set in over half of the shingles; zero for an empty set."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(s), 1 << 15):
+        ones += np.unpackbits(s[i : i + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0])
+
+
 def minima(s: np.ndarray) -> np.ndarray:
     """Minimum of the shingles under each of 96 mixes; an empty set has the largest value."""
     low = np.full(BANDS * ROWS, ~np.uint64(0))
@@ -236,6 +247,17 @@ def bucket_links(rows: DataFrame, sizes: DataFrame, key: str, value: str, kind:
     return links.unionByName(again)
 
 
+def anchor_links(nodes: DataFrame) -> DataFrame:
+    """(a, b) links that join up all of ``nodes`` (node, fp) whose fingerprints differ in at most BITS_APART bits, a spanning part of them."""
+    from . import simhash  # which imports this module
+
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    blocks = 1 if prints.count() <= simhash.ONE_BLOCK_UP_TO else 2
+    links = simhash.fingerprint_links(prints.repartition("fp"), BITS_APART, blocks)
+    equal = nodes.select("fp", F.col("node").alias("b")).join(prints.withColumnRenamed("node", "a"), "fp").where("a <> b")
+    return links.unionByName(equal.select("a", "b"))
+
+
 def row_key(docs: DataFrame) -> Column:
     """A row's name from its doc_id and text: equal rows share it."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.col("text").isNull(), F.col("doc_id").isNull())
@@ -252,8 +274,8 @@ def near_components(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             marks = [(minima(s) & np.uint64(255)).astype(np.uint8).tobytes() for s in sets]
-            columns = [b.column("doc_id"), b.column("row_key"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([8 * len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "node", "size", "marks"])
+            columns = [b.column("doc_id"), b.column("row_key"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([8 * len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([set_fingerprint(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "node", "size", "marks", "fp"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -261,16 +283,16 @@ def near_components(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"node": np.array([set_id(s) for s in found], np.int64), "shingles": [s.tobytes() for s in found]})
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), "text")
-    rows = materialize(named.mapInArrow(sketch, "doc_id bigint, row_key bigint, node bigint, size bigint, marks binary"))
+    rows = materialize(named.mapInArrow(sketch, "doc_id bigint, row_key bigint, node bigint, size bigint, marks binary, fp bigint"))
     # ``holder`` names one row that has the set: its text is read again for the exact comparison.
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("holder"), F.min("size").alias("size"), F.min("marks").alias("marks")))
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("holder"), F.min("size").alias("size"), F.min("marks").alias("marks"), F.min("fp").alias("fp")))
     # A band is its number and its four marks: the table of nodes needs no more than the marks.
     bands = [F.lit(k << 32) + F.conv(F.hex(F.substring("marks", k * ROWS + 1, ROWS)), 16, 10).cast("long") for k in range(BANDS)]
     keys = nodes.select("node", F.explode(F.array(*bands)).alias("band"))
     often = materialize(keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
     shared = keys.join(often.select("band"), "band", "left_semi")
     placed = shared.join(nodes.select("node", "marks"), "node")
-    loose = components(bucket_links(placed, often, "band", "marks", _Marks, BAND_CAP))
+    loose = components(anchor_links(nodes).unionByName(bucket_links(placed, often, "band", "marks", _Marks, BAND_CAP)))
     loose = materialize(loose.join(nodes.select("node", "holder", "size"), "node").withColumnRenamed("component", "cluster"))
     # The list of candidates grows with the documents, so this join is one by shuffle at every size.
     texts = named.hint("merge").join(loose.select(F.col("holder").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"]).select("text")

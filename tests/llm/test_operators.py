@@ -317,3 +317,15 @@ def test_url_rules_have_the_contracts_words(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
     want = [(r, a) for a, r in rules] + [("net/de/", "allow"), (None, "allow")]
     assert [got[i] for i in range(len(urls))] == want
+
+
+def test_anchors_propose_near_copies(spark, monkeypatch):
+    """With the bands' links left out, texts whose fingerprints differ in three bits or fewer are still found."""
+    links = near.bucket_links
+    monkeypatch.setattr(near, "bucket_links", lambda rows, sizes, key, value, kind, cap: links(rows, sizes, key, value, kind, cap).where(F.lit(key != "band")))
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 3000)]
+    texts = [" ".join(base), " ".join([*base[:1500], "changed", *base[1501:]]), " ".join(f"v{i}" for i in rng.integers(0, 5000, 3000))]
+    prints = [near.set_fingerprint(near.shingles(t)) & (1 << 64) - 1 for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= near.BITS_APART and near.set_fingerprint(near.shingles("")) == 0
+    assert {r["doc_id"]: r["component_id"] for r in near.near_components(docs_of(spark, texts)).collect()} == {0: 0, 1: 0, 2: 2}
