@@ -63,7 +63,7 @@ def mix_quota(pools: DataFrame, length_share: dict[int, float], region_share: di
 
 def next_bases(df: DataFrame, order: int = 2) -> DataFrame:
     """Markov counts: (context, base, n, p) with one added to each base; a row's grams are counted where it is read, and groups of them before the shuffle."""
-    g = df.select(F.explode(gram_counts("sequence", order + 1)).alias("g")).groupBy("g.gram").agg(F.sum("g.n").alias("n")).withColumn("g", gram_letters(F.col("gram"), order + 1))
+    g = gram_counts(df, [], order + 1).groupBy("gram").agg(F.sum("n").alias("n")).withColumn("g", gram_letters(F.col("gram"), order + 1))
     g = g.select(F.substr("g", F.lit(1), F.lit(order)).alias("context"), F.substr("g", F.lit(order + 1), F.lit(1)).alias("base"), "n")
     w = Window.partitionBy("context")
     return g.withColumn("p", (F.col("n") + 1) / (F.sum("n").over(w) + 4))

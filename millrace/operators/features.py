@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,32 +24,57 @@ def canonical_kmers(spark: SparkSession, ks: tuple[int, ...], dim: int) -> DataF
     return spelled.select("k", F.col("i").cast("long").alias("gram"), (F.conv(F.substring(h, 14, 3), 16, 10).cast("int") % dim).alias("idx"))
 
 
-def gram_counts(sequence: Column | str, *lengths: int) -> Column:
-    """For each of ``lengths`` the ACGT grams of a sequence, as array<struct<k, gram, n>>: ``gram`` is the number in base 4 of its letters, n how often it occurs.
+#: Grams of a batch that goes on to Spark.
+GRAM_ROWS = 1 << 18
 
-    Grams with any other letter count nowhere.  One Arrow pass: the numbers of all grams roll over the letters, so the time follows the sequence's length.
+
+def gram_counts(df: DataFrame, keep: list[str], *lengths: int) -> DataFrame:
+    """(``keep``, k, gram, n): for each of ``lengths`` the ACGT grams of each row's ``sequence``; ``gram`` is the number in base 4 of its letters, n how often it occurs.
+
+    Grams with any other letter count nowhere.  One Arrow pass: the numbers of all grams roll over the letters, so the time follows the sequence's length, and
+    a task holds the grams of GRAM_ROWS and one sequence at most, as numbers and not as objects.
     """
 
-    @F.pandas_udf("array<struct<k:int,gram:bigint,n:bigint>>")
-    def counts(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda s: None if s is None else [{"k": k, "gram": g, "n": n} for k in lengths for g, n in zip(*_grams(s, k), strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, rows = [], 0
+            for i, s in enumerate(b.column("sequence")):
+                for k in lengths if s.is_valid else ():
+                    gram, n = _grams(s.as_py(), k)
+                    held.append((np.full(len(gram), i), np.full(len(gram), k, np.int32), gram, n))
+                    rows += len(gram)
+                if held and (rows >= GRAM_ROWS or i + 1 == len(b)):
+                    row, *columns = map(np.concatenate, zip(*held, strict=True))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in keep), *map(pa.array, columns)], [*keep, "k", "gram", "n"])
+                    held, rows = [], 0
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields)
+    return df.select(*keep, F.col("sequence").cast("string").alias("sequence")).mapInArrow(run, f"{kept}k int, gram bigint, n bigint")
+
+
+def letter_places(sequence: Column | str, letter: str) -> Column:
+    """The places of a letter in a sequence, from 0."""
+
+    @F.arrow_udf("array<bigint>")
+    def places(parts: pa.Array) -> pa.Array:
+        found = [None if s is None else np.flatnonzero(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") == ord(letter)) for s in parts.to_pylist()]
+        return pa.array(found, pa.list_(pa.int64()))
 
-    return counts(sequence)
+    return places(sequence)
 
 
 _CODES = np.full(256, 4, np.uint8)
 _CODES[[ord(c) for c in "ACGT"]] = range(4)
 
 
-def _grams(sequence: str, k: int) -> tuple[list[int], list[int]]:
+def _grams(sequence: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     codes = _CODES[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
     if len(codes) < k:
-        return [], []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     numbers, bad = np.zeros(len(codes) - k + 1, np.int64), np.concatenate([[0], np.cumsum(codes > 3)])
     for i in range(k):
         numbers = numbers * 4 + codes[i : i + len(numbers)]
-    numbers, n = np.unique(numbers[bad[k:] == bad[:-k]], return_counts=True)
-    return numbers.tolist(), n.tolist()
+    return np.unique(numbers[bad[k:] == bad[:-k]], return_counts=True)
 
 
 def gram_letters(gram: Column, k: int) -> Column:
@@ -60,7 +87,7 @@ def kmer_hash(df: DataFrame, ks: tuple[int, ...] = (3, 4, 5, 6), dim: int = 2048
 
     The k-mers of a row are counted where the row is read; the shuffle carries at most ``dim`` counts of a row.
     """
-    rows = df.select("sample_id", F.explode(gram_counts("sequence", *ks)).alias("g")).select("sample_id", "g.k", "g.gram", "g.n")
+    rows = gram_counts(df, ["sample_id"], *ks)
     known = F.broadcast(canonical_kmers(df.sparkSession, ks, dim))  # 4 ** k rows for each k
     counts = rows.join(known, ["k", "gram"]).groupBy("sample_id", "idx").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("sample_id").agg(F.sum("n").alias("total"))

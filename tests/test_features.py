@@ -100,3 +100,16 @@ def test_genome_in_byte_ranges(spark, tmp_path, monkeypatch):
     (tmp_path / "none" / "d.fa").write_text("ACGT\n")
     with pytest.raises(ValueError, match="no sequences"):
         genome.read_genome(spark, str(tmp_path / "none"), 1000, 100)
+
+
+def test_grams_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "ACGTNACGT" * 3) for i in range(40)] + [(40, None), (41, "A")], "sample_id long, sequence string").coalesce(1)
+    once = features.gram_counts(df, ["sample_id"], 2, 3)
+    assert once.where("sample_id >= 40").isEmpty() and {(r["k"], r["gram"], r["n"]) for r in once.where("sample_id = 7").collect()} == {(2, 1, 6), (2, 6, 6), (2, 11, 6), (3, 6, 6), (3, 27, 6), (2, 12, 2), (3, 49, 2), (3, 44, 2)}
+    monkeypatch.setattr(features, "GRAM_ROWS", 10)
+    assert sorted(features.gram_counts(df, ["sample_id"], 2, 3).collect()) == sorted(once.collect())
+
+
+def test_letter_places(spark):
+    df = spark.createDataFrame([("ANNÉN",), ("",), (None,)], "s string")
+    assert [r[0] for r in df.select(features.letter_places("s", "N")).collect()] == [[1, 2, 4], [], None]
