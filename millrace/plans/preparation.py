@@ -144,5 +144,4 @@ def m10_boundary_match(spark, d):
     """Letters N as true and T as found boundaries of contexts of 512 letters, by species."""
     s = X.samples(spark, d).select("species", F.col("sample_id").alias("contig"), "sequence")
     c = features.chunks(s.drop("species"), 512, 0).join(s.select("species", "contig"), "contig")
-    at = lambda letter: F.transform(F.filter(F.transform(F.split("seq", ""), lambda x, i: F.when(x == letter, i)), lambda i: i.isNotNull()), lambda i: i.cast("long"))
-    return metrics.boundary_match(c.select("species", at("N").alias("truth"), at("T").alias("found")), ["species"], "truth", "found")
+    return metrics.boundary_match(c.select("species", features.letter_places("seq", "N").alias("truth"), features.letter_places("seq", "T").alias("found")), ["species"], "truth", "found")

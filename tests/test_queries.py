@@ -160,3 +160,31 @@ def test_groups_without_one_positive_are_counted(spark):
     rows = spark.createDataFrame([("a", 1, 1.0, 0.9, 1), ("a", 1, 0.0, 0.1, 2), ("a", 2, 0.0, 0.1, 3), ("b", 3, 1.0, 0.1, 4), ("b", 3, 1.0, 0.2, 5)], "k string, g int, label double, score double, row_no int")
     got = {r["k"]: (r["n_groups"], r["n_skipped"], r["mrr"]) for r in metrics.ranking(rows, ["k"], "g").collect()}
     assert got == {"a": (1, 1, 1.0), "b": (0, 1, None)}
+
+
+def test_masks_of_odd_rows(spark):
+    """Each base is hashed once; null sequences, unknown letters and ids that are null stay as they were."""
+    import hashlib
+
+    from millrace.operators import rows
+
+    codes = [("s", [0, 4, None, 1, 2, 3] * 9), (None, [0, 1]), ("e", []), ("n", None), ("x", [4, None])]
+    got = {r["sample_id"]: r for r in rows.mask_tokens(spark.createDataFrame(codes, "sample_id string, codes array<int>"), 7).collect()}
+    assert got["n"]["inputs"] is None and got["n"]["targets"] is None and got["e"]["inputs"] == [] and got["x"]["inputs"] == [4, None] and got["x"]["targets"] == [-100, -100]
+    for s in ("s", None):
+        own, want_in, want_to = dict(codes)[s], [], []
+        h = [hashlib.sha256(f"7|{s}|{i}".encode() if s else f"7|{i}".encode()).digest() for i in range(len(own))]
+        u, v, w = ([int.from_bytes(x[4 * k : 4 * k + 4], "big") / 2**32 for x in h] for k in range(3))
+        least = min(u[i] for i, c in enumerate(own) if c is not None and c < 4)
+        for i, c in enumerate(own):
+            m = c is not None and c < 4 and (u[i] < 0.15 or (least >= 0.15 and u[i] == least))
+            want_to.append(c if m else -100)
+            want_in.append((5 if v[i] < 0.8 else int(w[i] * 5) if v[i] < 0.9 else c) if m else c)
+        assert (got[s]["inputs"], got[s]["targets"]) == (want_in, want_to)
+
+
+def test_boundaries_of_one_context_with_many(spark):
+    """Ties go to the smaller place, a place is taken once, null places match nothing."""
+    df = spark.createDataFrame([("a", [25, 50, None], [10, 40, None])], "k string, t array<bigint>, f array<bigint>")
+    got = metrics.boundary_match(df, ["k"], "t", "f").first()
+    assert got["precision"] == 2 / 3 and got["recall"] == 2 / 3
