@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from ..functions.sequences import hash_uniform, reverse_complement
 
 #: Token ids of a mask and of padding, and the target that is left out of a loss.
 MASK, PAD, IGNORE = 5, 6, -100
+#: Rows that are masked together.
+MASK_ROWS = 256
 
 
 def snv_windows(df: DataFrame, size: int) -> DataFrame:
@@ -40,21 +47,52 @@ def pad_and_mask(df: DataFrame, batch: str, codes: str = "codes") -> DataFrame:
 
 
 def mask_tokens(df: DataFrame, seed: int, share: float = 0.15) -> DataFrame:
-    """Inputs and targets of masked training, one pass over the code arrays, no shuffle.
+    """Inputs and targets of masked training, one Arrow pass over the code arrays, no shuffle; a base is hashed once for its three draws.
 
     A base is chosen when its draw is below ``share``; in a sequence where none is, the base with the least draw is.
     Of the chosen, 80% become the mask, 10% a random code 0 to 4 and the rest stay.  Draws hash (seed, sample, position),
     so a retried task repeats them.
     """
-    key = lambda i: F.concat_ws("|", F.lit(str(seed)), "sample_id", i.cast("string"))
-    draws = F.transform("codes", lambda c, i: F.when(c < 4, hash_uniform(key(i))))
-    # Positions without a base have a null draw, which array_min skips.
-    df = df.withColumn("_u", draws).withColumn("_least", F.array_min("_u"))
-    df = df.withColumn("_m", F.transform("_u", lambda u: F.coalesce((u < share) | (u == F.when(F.col("_least") >= share, F.col("_least"))), F.lit(False))))
-    target = F.zip_with("codes", "_m", lambda c, m: F.when(m, c).otherwise(IGNORE))
-    change = lambda c, i: F.when(hash_uniform(key(i), 1) < 0.8, MASK).when(hash_uniform(key(i), 1) < 0.9, F.floor(hash_uniform(key(i), 2) * 5).cast("int")).otherwise(c)
-    inputs = F.transform("codes", lambda c, i: F.when(F.get("_m", i), change(c, i)).otherwise(c))
-    return df.withColumns({"inputs": inputs, "targets": target}).drop("_u", "_least", "_m")
+    names = df.columns
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), MASK_ROWS):
+                part = b.slice(i, MASK_ROWS)
+                codes = part.column("_codes")
+                pairs = [_masked(f"{seed}|{s}|" if s is not None else f"{seed}|", c, share) for s, c in zip(part.column("_id").to_pylist(), codes, strict=True)]
+                columns = [pa.array([x and x[k] for x in pairs], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], [*names, "inputs", "targets"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    x = df.select("*", F.col("sample_id").cast("string").alias("_id"), F.col("codes").cast("array<int>").alias("_codes"))
+    return x.mapInArrow(masked, f"{fields}, inputs array<int>, targets array<int>")
+
+
+def _masked(prefix: str, codes: pa.ListScalar, share: float) -> tuple | None:
+    """Inputs and targets of one sequence; a code that is null stays null in both unless it is chosen, which it can't be."""
+    if not codes.is_valid:
+        return None
+    own = codes.values
+    null = own.is_null().to_numpy(zero_copy_only=False)
+    code = own.fill_null(IGNORE).to_numpy(zero_copy_only=False).astype(np.int32)
+    at = np.flatnonzero(~null & (code < 4))
+    start = hashlib.sha256(prefix.encode())
+    digests = bytearray()
+    for i in at.tolist():
+        h = start.copy()
+        h.update(b"%d" % i)
+        digests += h.digest()[:12]
+    u, v, w = (np.frombuffer(bytes(digests), ">u4").reshape(-1, 3) / 4294967296.0).T
+    chosen = u < share
+    if len(u) and not chosen.any():
+        chosen = u == u.min()
+    at, v, w = at[chosen], v[chosen], w[chosen]
+    targets = np.full(len(code), IGNORE, np.int32)
+    targets[at] = code[at]
+    inputs = code.copy()
+    inputs[at] = np.where(v < 0.8, MASK, np.where(v < 0.9, np.floor(w * 5).astype(np.int32), code[at]))
+    return ([None if n else c for c, n in zip(inputs.tolist(), null)] if null.any() else inputs), targets
 
 
 def strand_augment(df: DataFrame, seed: int, p: float = 0.5) -> DataFrame:
