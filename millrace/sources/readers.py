@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from urllib.parse import unquote
+import re
+from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.sequences import norm_split, parse_label, stable_id, vocab_id
 from .files import in_file_order
 from .samples import UNKNOWN
+from .store import materialize
 
 ALIASES = {"sequence": ("sequence", "sequences", "seq"), "label": ("label", "labels"), "species": ("species", "genome"), "group_id": ("group_id", "orthogroup")}
 # Endings of a file's stem that tell its split and not its species.
@@ -123,43 +126,63 @@ CELL_BYTES = 1 << 28
 
 
 def scan_artifacts(spark: SparkSession, root: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """(path, size_bytes, sha256) of every file below ``root``, by its path there; caches (``.cache``) and receipts are left out.
+    """(path, size_bytes, sha256) of every file below ``root``, by its path there; caches (``.cache``), hidden files and receipts are left out.
 
-    A file is one task's work, as its hash runs from its first byte.  Those up to ``cell_bytes`` come through Spark's reader, larger ones are opened where they lie, which needs a
-    store that Arrow's file systems know.
+    Folders are listed by tasks, level by level, so that no list of files passes the driver; one folder is one task's list.  Files are then dealt out
+    by their paths, some FILES_PER_TASK to a task.  A file is one task's work, as its hash runs from its first byte; those over ``cell_bytes`` are read piece by piece.
+    The store must be one that Arrow's file systems know.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.element_at(F.split("path", "/"), -1)
-    kept = listed.where(~F.col("path").contains("/.cache/") & ~name.endswith("receipt.json"))
-    small = kept.where(F.col("length") <= cell_bytes).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def listed(batches):
+        fs, top = _opened(root)
+        for b in batches:
+            for folder in b.column("folder").to_pylist():
+                found = [x for x in fs.get_file_info(FileSelector(f"{top}/{folder}" if folder else top)) if not _HIDDEN.search(x.base_name)]
+                for i in range(0, len(found), 1 << 16):
+                    part = [x for x in found[i : i + (1 << 16)] if x.type == FileType.Directory or (x.type == FileType.File and not x.base_name.endswith("receipt.json"))]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x.base_name}" if folder else x.base_name for x in part], pa.string()), pa.array([x.size for x in part], pa.int64()), pa.array([x.type == FileType.Directory for x in part], pa.bool_())], ["path", "size_bytes", "is_folder"])
 
     def digests(batches):
+        fs, top = _opened(root)
         for b in batches:
             out = []
-            for path in b.column("path").to_pylist():
-                fs, at = FileSystem.from_uri(path)
+            for path, size in zip(b.column("path").to_pylist(), b.column("size_bytes").to_pylist(), strict=True):
                 h = hashlib.sha256()
-                with fs.open_input_stream(at) as f:
-                    while piece := f.read(1 << 23):
+                with fs.open_input_stream(f"{top}/{path}") as f:
+                    while piece := f.read(size + 1 if size <= cell_bytes else 1 << 23):
                         h.update(piece)
                 out.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("size_bytes"), pa.array(out, pa.string())], ["path", "size_bytes", "sha256"])
 
-    large = kept.where(F.col("length") > cell_bytes).select("path", F.col("length").alias("size_bytes")).repartition("path").mapInArrow(digests, "path string, size_bytes bigint, sha256 string")
-    plain = lambda c: F.regexp_replace(c, "^[a-zA-Z0-9+.-]+:/*", "/")
-    # Spark's reader has no row for an empty file, but its list of files has it.
-    every = spark.createDataFrame([(unquote(p),) for p in listed.inputFiles()], "path string").where(~F.col("path").contains("/.cache/") & ~name.endswith("receipt.json"))
-    empty = every.select(plain("path").alias("path")).join(kept.select(plain("path").alias("path")), "path", "left_anti")
-    small = small.unionByName(empty.select("path", F.lit(0).cast("long").alias("size_bytes"), F.sha2(F.lit(""), 256).alias("sha256")))
-    top = plain(F.lit(root.rstrip("/") + "/"))
-    return small.unionByName(large).withColumn("path", F.substr(plain(F.col("path")), F.length(top) + 1))
+    folders, levels, many = spark.createDataFrame([("",)], "folder string"), [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        level = materialize(folders.mapInArrow(listed, "path string, size_bytes bigint, is_folder boolean"))
+        levels.append(level.where("NOT is_folder").select("path", "size_bytes"))
+        folders = level.where("is_folder").select(F.col("path").alias("folder"))
+        if folders.isEmpty():
+            break
+        folders = folders.repartition(many, "folder")
+    files = reduce(DataFrame.unionByName, levels)
+    # Paths are few bytes and much work, so the number of tasks is a fixed one.
+    return files.repartition(max(many, files.count() // FILES_PER_TASK), "path").mapInArrow(digests, "path string, size_bytes bigint, sha256 string")
+
+
+#: Names that Spark's readers take for hidden.
+_HIDDEN = re.compile(r"^\.|^_(?!(common_)?metadata$)[^=]*$|\._COPYING_$")
+FILES_PER_TASK = 1 << 14
+
+
+def _opened(path: str) -> tuple[FileSystem, str]:
+    """Arrow's file system of a path as Spark names it, and the path there."""
+    fs, at = FileSystem.from_uri(quote(path, safe=":/?&=") if ":" in path.partition("/")[0] else path)
+    return fs, at.rstrip("/")
 
 
 def write_texts(df: DataFrame, root: str) -> None:
     """Each row (path, text) as a file of its own below ``root``, written by the row's task under another name and moved into place."""
 
     def write(batches):
-        fs, top = FileSystem.from_uri(root)
+        fs, top = _opened(root)
         mark = f".attempt-{TaskContext.get().taskAttemptId()}"
         made, n = set(), 0
         for b in batches:

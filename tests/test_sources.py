@@ -193,3 +193,17 @@ def test_embeddings_must_be_whole(spark, tmp_path):
     readers.append_embeddings(spark.createDataFrame([(3, [float("nan"), None])], df.schema), str(tmp_path / "e"))
     with pytest.raises(ValueError):
         readers.read_embeddings(spark, str(tmp_path / "e"), 2, 3)
+
+
+def test_scan_lists_folders_in_tasks(spark, tmp_path):
+    """Names with spaces and percent signs, hidden ones left out, and no list of files on the driver."""
+    top = tmp_path / "a b%20c"
+    held = {"x y%.txt": b"1", "d=0/_e=1": b"2", "d=0/deep/f #g?": b"3" * 50}
+    for name, raw in {**held, "_hidden": b"no", ".h/x": b"no", "_tmp/x": b"no"}.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(raw)
+    want = {(n, len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in held.items()}
+    for root in (str(top), f"file:{top}", f"file://{top}/"):
+        got = readers.scan_artifacts(spark, root, 10)
+        assert {tuple(r) for r in got.collect()} == want
+        assert "binaryFile" not in got._jdf.queryExecution().toString()
