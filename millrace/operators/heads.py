@@ -27,7 +27,9 @@ def fit_logistic(train: DataFrame, test: DataFrame, c: float = 1.0, steps: int =
     sizes = train.groupBy("label").agg(F.count("*").alias("n"))
     w = Window.partitionBy(F.lit(0))  # one row per class
     weights = sizes.select("label", (F.sum("n").over(w) / (F.count("*").over(w) * F.col("n"))).alias("weight"))
-    a, b = _scaled(train.join(weights, "label"), test)
+    # Each step sends a gradient of every task to the driver: as many tasks as cores, whatever the rows.
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    a, b = _scaled(train.join(weights, "label").coalesce(cores), test)
     # The scaler divides by the sample's deviation; the penalty is that of features of population deviation 1.
     n = max(1, train.count())
     model = LogisticRegression(weightCol="weight", regParam=(n - 1) / n / (c * n), elasticNetParam=0.0, maxIter=steps, standardization=False).fit(a)

@@ -85,3 +85,19 @@ def test_leave_one_group_out(data):
         assert np.allclose([got[i] for i in np.flatnonzero(test)], want, atol=1e-6)
     with pytest.raises(ValueError, match="takes three"):
         L.logo_logistic(df.where("grp IN ('g1', 'g2')"), "row", "grp", "v", "y", (5,))
+
+
+def test_head_is_fitted_by_as_many_tasks_as_cores(spark, monkeypatch):
+    from millrace.operators import heads
+
+    parts, fit = [], heads.LogisticRegression.fit
+    monkeypatch.setattr(heads.LogisticRegression, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 3)], float(i % 2)) for i in range(60)], "id long, embedding array<double>, label double").repartition(9)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+    try:
+        heads.fit_logistic(df, df, steps=2).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert parts == [spark.sparkContext.defaultParallelism]
