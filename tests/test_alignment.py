@@ -102,3 +102,17 @@ def test_low_homology_by_groups(spark):
     assert low(samples.drop("group_id")) == {x: x not in "bde" for x in "abcdefg"}
     with pytest.raises(Exception, match="no positive sample in group g"):
         homology.low_homology(samples.where("sample_id <> 'a'"), hits, "sample_id").collect()
+
+
+def test_search_among_its_own_rows(spark):
+    """A row is no hit of its own, its copies are; seeds that hardly any pair shares are counted over whole tables."""
+    rnd = random.Random(8)
+    a, b, c = ("".join(rnd.choices("ACGT", k=300)) for _ in range(3))
+    near = a[:150] + ("A" if a[150] != "A" else "C") + a[151:]
+    t = spark.createDataFrame([(0, a), (1, near), (50, b), (51, b), (52, b), (100, c), (3, None), (150, "")], "id long, s string")
+    got = {r["query"]: (r["target"], r["identity"]) for r in homology.similarity_join(t.where("id % 50 = 0"), t, "id", "s", itself=False).collect()}
+    assert got == {0: (1, 299 / 300), 50: (51, 1.0)}
+    assert homology._shares_seeds(10)(a.encode(), near.encode()) is None and homology._shares_seeds(10)(a.encode(), b.encode()) == (1, 0)
+    wanted = np.full(-(-(5**10) // 8), 255, np.uint8)
+    counts = {r["seed"]: r["in_targets"] for r in homology._seed_counts(t.selectExpr("s AS sequence").where("sequence IS NOT NULL"), 10, wanted).collect()}
+    assert counts[int(homology._seed_numbers(b, 10)[7])] == 3 and counts[int(homology._seed_numbers(a, 10)[7])] == 2
