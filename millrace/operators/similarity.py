@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,40 +63,62 @@ def _short_keys(s: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
 
 def _marks() -> tuple[np.ndarray, np.ndarray]:
     rnd = np.random.default_rng(11)
-    return rnd.integers(1, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rnd.integers(0, 2**63, 2 * BANDS, dtype=np.uint64)
+    return rnd.integers(0, 2**31, (2 * BANDS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1), rnd.integers(0, 2**32, (2 * BANDS, 1), dtype=np.uint32)
 
 
-def _band_keys(s: str, factors: np.ndarray, adds: np.ndarray) -> list[str]:
-    """Two MinHash marks of the letter grams in each band."""
-    codes = np.frombuffer(s.encode("utf-8"), np.uint8).astype(np.uint64)
-    grams = np.zeros(len(codes) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        grams = grams * np.uint64(131) + codes[i : len(grams) + i]
-    grams = np.unique(grams)
-    mixed = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    least = [int(((mixed * f + a) >> np.uint64(16)).min()) for f, a in zip(factors, adds)]
-    return [f"b{i}|{x}|{y}" for i, (x, y) in enumerate(zip(least[::2], least[1::2]))]
+#: Grams that pass all marks together.
+_AT_ONCE = 512
 
 
-def _keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    factors, adds = _marks()
-    longest = max(m for m in range(SHORT, 2 * SHORT) if _found_sizes(m))
+def _band_keys(s: bytes, factors: np.ndarray, adds: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Two MinHash marks of the letter grams in each band, mixed to a 64-bit key; ``room`` (marks, _AT_ONCE) is written over."""
+    grams = _gram_numbers(s).view(np.uint64)
+    mixed = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), 2**32 - 1, np.uint32)
+    for i in range(0, len(mixed), _AT_ONCE):
+        part = mixed[i : i + _AT_ONCE]
+        x = room[:, : len(part)]
+        np.multiply(factors, part, out=x)
+        x += adds
+        np.minimum(least, x.min(axis=1), out=least)
+    keys = (least[::2].astype(np.uint64) << np.uint64(32) | least[1::2]) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return (keys ^ (keys >> np.uint64(31))).view(np.int64)
 
-    def of(s: str) -> list[tuple[str, int | None, bool | None]]:
-        lies, finds = _short_keys(s) if 0 < len(s) <= longest else ([], [])
-        both = _band_keys(s, factors, adds) if len(s) > SHORT else []
-        return [(k, i, False) for k, i in lies] + [(k, i, True) for k, i in finds] + [(k, None, None) for k in both]
 
-    for part in parts:
-        yield part.map(of)
+def _short_key(key: str) -> int:
+    return int.from_bytes(blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def sequence_keys(df: DataFrame, node: str, sequence: str) -> DataFrame:
     """(node, size, key, place, finds): 64-bit keys; two sequences may be near copies if one lies under a key that finds the other, or both have it with null."""
-    keys = F.pandas_udf(_keys, "array<struct<key:string,place:int,finds:boolean>>")
-    x = df.select(F.col(node).alias("node"), F.length(sequence).alias("size"), F.explode(keys(F.col(sequence))).alias("x"))
-    return x.select("node", "size", F.xxhash64("x.key").alias("key"), "x.place", "x.finds")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, adds = _marks()
+        room = np.empty((len(factors), _AT_ONCE), np.uint32)
+        longest = max(m for m in range(SHORT, 2 * SHORT) if _found_sizes(m))
+        for batch in batches:
+            of, sizes, values, places, finds = [], [], [], [], []
+            for i, s in enumerate(batch.column("sequence").to_pylist()):
+                lies, found = _short_keys(s) if 0 < len(s) <= longest else ([], [])
+                bands = _band_keys(s.encode(), factors, adds, room) if len(s) > SHORT else np.zeros(0, np.int64)
+                values += [np.array([_short_key(k) for k, _ in lies + found], np.int64), bands]
+                places += [at for _, at in lies + found] + [None] * len(bands)
+                finds += [False] * len(lies) + [True] * len(found) + [None] * len(bands)
+                of.append(np.full(len(lies) + len(found) + len(bands), i))
+                sizes.append(np.full(len(of[-1]), len(s), np.int32))
+            if of:
+                columns = [batch.column("node").take(pa.array(np.concatenate(of))), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(values)), pa.array(places, pa.int32()), pa.array(finds, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "size", "key", "place", "finds"])
+
+    x = _dealt(df.select(F.col(node).alias("node"), F.col(sequence).alias("sequence")))
+    return x.mapInArrow(keys, f"node {x.schema['node'].dataType.simpleString()}, size int, key bigint, place int, finds boolean")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out to a fixed number of tasks that is not coalesced: the work lies in the letters and not in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
 
 
 def _meet(keyed: DataFrame, extra: list[str] = [], apart: str = "true") -> DataFrame:  # noqa: B006
@@ -112,7 +135,7 @@ def _meet(keyed: DataFrame, extra: list[str] = [], apart: str = "true") -> DataF
     return met.select(F.least("node0", "node1").alias("a"), F.greatest("node0", "node1").alias("b")).distinct()
 
 
-#: Pairs over this length are first looked at through their shared grams.
+#: Pairs over this length are first aligned around the diagonal of their shared grams.
 LONG, NARROW = 512, 64
 
 
@@ -124,25 +147,35 @@ def _gram_numbers(s: bytes) -> np.ndarray:
     return out
 
 
-def likely_band(q: bytes, t: bytes) -> tuple[int, int] | None:
-    """For long pairs the diagonals around the one that most of their shared grams lie on; none (1, 0) where too few are shared for any near copy.
+def likely_band(q: bytes, t: bytes) -> tuple[int, ...] | None:
+    """(low, high) around the diagonal that most shared grams of a long pair lie on, and (low, high) of all diagonals that a near copy can touch; (1, 0) where there can be none.
 
-    An edit destroys at most GRAM grams, so a near copy keeps nine tenths of the shorter sequence's less GRAM for each edit.
+    An alignment of a near copy has nine tenths of the longer sequence's letters and an edit for 19 of them at most, each of which destroys at most GRAM grams: 8 / 19 of the aligned letters less
+    GRAM - 1 begin a gram that both have.  Its gaps are edits, so all of these grams lie on diagonals no further apart than the edits; those that a sequence has twice may lie on any.
     """
-    n = min(len(q), len(t))
-    if n <= LONG:
+    n, longer = min(len(q), len(t)), max(len(q), len(t))
+    if n < GRAM:
         return None
     (a, i, x), (b, j, y) = (np.unique(_gram_numbers(s), return_index=True, return_counts=True) for s in (q, t))
     _, p, r = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if 10 * np.minimum(x[p], y[r]).sum() < 9 * n - 10 * GRAM * (edits_of(n) + 1):
+    shared, least = np.minimum(x[p], y[r]), -(-(72 * longer - 190 * (GRAM - 1)) // 190)
+    if shared.sum() < least:
         return 1, 0
+    if n <= LONG:
+        return None
     once = (x[p] == 1) & (y[r] == 1)
     if not once.any():
         return None
-    stripe = (j[r][once] - i[p][once]) // NARROW
-    values, times = np.unique(stripe, return_counts=True)
+    diagonals = np.sort(j[r][once] - i[p][once])
+    edits, wide = edits_of(n), ()
+    if (least := least - shared[~once].sum()) > 0:
+        begins = diagonals[np.searchsorted(diagonals, diagonals + edits, "right") - np.arange(len(diagonals)) >= least]
+        if not len(begins):
+            return 1, 0
+        wide = int(begins[0]) - edits, int(begins[-1]) + edits
+    values, times = np.unique(diagonals // NARROW, return_counts=True)
     middle = int(values[times.argmax()]) * NARROW
-    return middle - NARROW, middle + 2 * NARROW
+    return middle - NARROW, middle + 2 * NARROW, *wide
 
 
 def near(found: Alignments, query: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -150,6 +183,11 @@ def near(found: Alignments, query: np.ndarray, target: np.ndarray) -> np.ndarray
     return (found.score > 0) & (20 * found.matches >= 19 * found.columns) & (10 * (found.query_end - found.query_begin) >= 9 * query) & (10 * (found.target_end - found.target_begin) >= 9 * target)
 
 
+def least_score(query: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The least score of a near copy: nine tenths of the longer sequence's letters, 19 of 20 columns equal, 3 taken for each other one."""
+    return -(-18 * np.maximum(query, target) // 25)
+
+
 def confirmed(pairs: DataFrame, df: DataFrame, node: str, sequence: str) -> DataFrame:
     """(a, b, identity, coverage_a, coverage_b) of the pairs whose best local alignment is equal in IDENTITY of its columns and covers COVERAGE of both.
 
@@ -161,7 +199,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, node: str, sequence: str) -> Data
     n, m = F.length("query"), F.length("target")
     edits = F.floor(F.least(n, m) / 19)
     x = x.select("a", "b", n.alias("n"), m.alias("m"), "query", "target", (-F.floor(n / 10) - edits).alias("low"), (F.floor(m / 10) + edits).alias("high"))
-    found = align_pairs(x, ["a", "b", "n", "m"], SCORING, likely_band, near).where("score > 0")
+    found = align_pairs(x, ["a", "b", "n", "m"], SCORING, likely_band, near, least_score).where("score > 0")
     share = lambda end, of: (F.col(f"{end}_end") - F.col(f"{end}_begin")) / F.col(of)
     found = found.select("a", "b", (F.col("matches") / F.col("columns")).alias("identity"), share("query", "n").alias("coverage_a"), share("target", "m").alias("coverage_b"))
     return found.where((F.col("identity") >= IDENTITY) & (F.col("coverage_a") >= COVERAGE) & (F.col("coverage_b") >= COVERAGE))

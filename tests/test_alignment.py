@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from millrace.operators import homology
-from millrace.operators.alignment import Scoring, align
+from millrace.operators.alignment import Scoring, align, align_even
 
 
 def plain(q, t, low, high, s):
@@ -116,3 +116,20 @@ def test_search_among_its_own_rows(spark):
     wanted = np.full(-(-(5**10) // 8), 255, np.uint8)
     counts = {r["seed"]: r["in_targets"] for r in homology._seed_counts(t.selectExpr("s AS sequence").where("sequence IS NOT NULL"), 10, wanted).collect()}
     assert counts[int(homology._seed_numbers(b, 10)[7])] == 3 and counts[int(homology._seed_numbers(a, 10)[7])] == 2
+
+
+def test_even_gaps_give_the_same_alignments():
+    rnd = random.Random(7)
+    for alphabet, scoring in (("ACGT", Scoring(1, 3, 3, 3)), ("AC", Scoring(1, 1, 1, 1)), ("A", Scoring(1, 3, 3, 3)), ("ACGTN", Scoring(2, 3, 2, 2))):
+        for _ in range(25):
+            pairs = []
+            for _ in range(rnd.choice([1, 9])):
+                a = "".join(rnd.choices(alphabet, k=rnd.choice([1, 2, 20, 120])))
+                b = "".join(x for x in a if rnd.random() > 0.05) + "".join(rnd.choices(alphabet, k=rnd.randrange(1, 9)))
+                middle = rnd.randrange(-6, 6)
+                pairs.append((a.encode(), b.encode(), middle - rnd.randrange(20), middle + rnd.randrange(20)))
+            q, t, low, high = zip(*pairs)
+            want, got = (f(list(q), list(t), np.array(low), np.array(high), scoring) for f in (align, align_even))
+            assert all((x == y).all() for x, y in zip(want, got))
+            over = align_even(list(q), list(t), np.array(low), np.array(high), scoring, want.score + 1)
+            assert not any(x.any() for x in over)

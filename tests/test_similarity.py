@@ -82,3 +82,13 @@ def test_long_pairs_through_their_main_diagonal(spark):
     assert all(abs(r["identity"] - want[r["a"], r["b"]]) < 1e-9 for r in got)
     rejected = [similarity.likely_band(a.encode(), b.encode()) == (1, 0) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and (i, j) in want]
     assert not any(rejected) and similarity.likely_band(texts[0].encode(), texts[6].encode()) == (1, 0)
+
+
+def test_pairs_that_no_near_copy_can_be_are_not_aligned():
+    rnd = random.Random(8)
+    a, b = ("".join(rnd.choices("ACGT", k=n)) for n in (1000, 200))
+    # The thirds lie 200 diagonals apart, further than a near copy's edits; a short pair shares a third of its grams.
+    assert similarity.likely_band(a.encode(), (a[:333] + b + a[333:666] + b[::-1] + a[666:]).encode()) == (1, 0)
+    assert similarity.likely_band(a[:300].encode(), (a[:100] + b).encode()) == (1, 0)
+    low, high, *wide = similarity.likely_band(a.encode(), (b[:40] + a).encode())
+    assert low <= 40 <= high and wide == [40 - 52, 40 + 52]
