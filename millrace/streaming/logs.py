@@ -141,15 +141,20 @@ def best_so_far(evals: DataFrame, min_delta: float = 0.0) -> DataFrame:
 
     def follow(key, frames, state):
         best, stale = state.get if state.exists else (None, 0)
-        x = pd.concat(frames).sort_values("step", kind="stable")
-        marks = []
-        for v in x["value"]:
-            v = None if pd.isna(v) else float(v)
-            new = best is None or (v is not None and v < best - min_delta)
-            best, stale = (v, 0) if new else (best, stale + 1)
-            marks.append((new, best, stale))
+        # A run has few rows in a batch, so that what pandas takes for a call counts, not the rows.
+        parts = list(frames)
+        x = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if not x["step"].is_monotonic_increasing:
+            x = x.sort_values("step", kind="stable")
+        news, bests, stales = [], [], []
+        for v in x["value"].to_numpy(np.float64, na_value=np.nan).tolist():
+            new = best is None or v < best - min_delta
+            best, stale = (None if v != v else v, 0) if new else (best, stale + 1)
+            news.append(new)
+            bests.append(np.nan if best is None else best)
+            stales.append(stale)
         state.update((best, stale))
-        yield x[list(names)].reset_index(drop=True).join(pd.DataFrame(marks, columns=["new", "best", "stale"]))
+        yield pd.DataFrame({**{n: x[n].array for n in names}, "new": np.array(news, bool), "best": np.array(bests, np.float64), "stale": np.array(stales, np.int64)}, copy=False)
 
     return evals.groupBy("run_key").applyInPandasWithState(follow, out, "best double, stale long", "append", GroupStateTimeout.NoTimeout)
 

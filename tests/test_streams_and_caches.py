@@ -119,3 +119,17 @@ def test_silence_makes_a_run_stalled(spark, tmp_path):
     plan = lambda *k: spark.createDataFrame([(x,) for x in k], "run_key string")
     assert tuple(logs.roll_up(plan("a", "b", "c", "d", "d"), out).first()) == (1, 0, 1, 2, "running")
     assert logs.roll_up(plan("a"), out).first()["status"] == "ok" and logs.roll_up(plan("a", "c"), out).first()["status"] == "not_running"
+
+
+def test_best_so_far_of_a_run_in_many_frames(spark, tmp_path):
+    rows = [(7, s, float((s * 37) % 11)) for s in range(20)]
+    schema, key = "run_key long, step long, value double", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get(key)
+    spark.conf.set(key, 3)
+    try:
+        logs.best_so_far(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    got = sorted((r["step"], r["best"], r["run_key"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(s, min(v for _, at, v in rows if at <= s), 7) for _, s, _ in rows]
