@@ -92,3 +92,40 @@ def test_pairs_that_no_near_copy_can_be_are_not_aligned():
     assert similarity.likely_band(a[:300].encode(), (a[:100] + b).encode()) == (1, 0)
     low, high, *wide = similarity.likely_band(a.encode(), (b[:40] + a).encode())
     assert low <= 40 <= high and wide == [40 - 52, 40 + 52]
+
+
+def test_pairs_are_refused_by_their_sketches_before_sequences_meet(spark):
+    rnd = random.Random(21)
+    texts = []
+    for n in (130, 300, 900):
+        base = "".join(rnd.choices("ACGT", k=n))
+        texts += [base, edited(rnd, base, n // 30), base[n // 12 :] + "".join(rnd.choices("ACGT", k=n // 12))]
+    repeated = "".join(rnd.choices("ACGT", k=40)) * 8
+    texts += [repeated, repeated[:200] + "A" + repeated[200:], "".join(rnd.choices("ACGT", k=320)), "ACGT" * 9]
+    marked = similarity.sequence_marks(spark.createDataFrame(list(enumerate(texts)), "node long, c string"), "node", "c").persist()
+    pairs = spark.createDataFrame([(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))], "a long, b long")
+    left = {(r["a"], r["b"]) for r in similarity._alike(pairs, marked).collect()}
+    assert set(linked(texts)) <= left and left == {(3 * k + i, 3 * k + j) for k in range(3) for i, j in ((0, 1), (0, 2), (1, 2))} | {(9, 10)}
+
+
+def test_edits_are_counted_before_long_pairs_are_aligned():
+    rnd = random.Random(22)
+    for n in (1100, 2500):
+        base = "".join(rnd.choices("ACGT", k=n))
+        for share, far in ((0.03, False), (0.05, False), (0.09, True)):
+            x = rnd.randrange(n // 10)
+            inner = edited(rnd, base[x : n - n // 10 + x], int(share * 0.9 * n))
+            other = "".join(rnd.choices("ACGT", k=x)) + inner + "".join(rnd.choices("ACGT", k=n // 10 - x))
+            assert similarity.too_many_edits(base.encode(), other.encode(), -n // 6, n // 6) == far
+            assert not far or similarity.likely_band(base.encode(), other.encode()) == (1, 0)
+
+
+def test_canonical_rows_equal_the_column_functions(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions.sequences import canonical
+
+    df = spark.createDataFrame([(1, "TTTG"), (2, "CAAA"), (3, ""), (4, None), (5, "ACGTN")], "id long, s string")
+    got = similarity.canonical_rows(df, "s", "whole").select("id", "s", F.hex("whole").alias("w")).collect()
+    want = df.select("id", canonical(F.col("s")).alias("s"), F.upper(F.sha2(canonical(F.col("s")), 256)).alias("w")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
