@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from millrace.operators import homology
-from millrace.operators.alignment import Scoring, align, align_even
+from millrace.operators.alignment import Scoring, align, align_even, best_scores
 
 
 def plain(q, t, low, high, s):
@@ -133,3 +133,18 @@ def test_even_gaps_give_the_same_alignments():
             assert all((x == y).all() for x, y in zip(want, got))
             over = align_even(list(q), list(t), np.array(low), np.array(high), scoring, want.score + 1)
             assert not any(x.any() for x in over)
+
+
+def test_scores_come_without_alignments():
+    rnd = random.Random(31)
+    for alphabet, scoring in (("ACGT", homology.SCORING), ("AC", Scoring(1, 1, 2, 1)), ("A", Scoring(2, 3, 5, 2))):
+        pairs = []
+        for _ in range(40):
+            a, b = ("".join(rnd.choices(alphabet, k=rnd.randrange(1, 60))) for _ in range(2))
+            b = a[: len(a) // 2] + b[:5] + a[len(a) // 2 :] if rnd.random() < 0.5 else b
+            low = rnd.randrange(-len(a), len(b))
+            pairs.append((a.encode(), b.encode(), low, rnd.randrange(low, len(b) + 1)))
+        q, t, low, high = (list(x) for x in zip(*pairs, strict=True))
+        assert (best_scores(q, t, np.array(low), np.array(high), scoring) == align(q, t, np.array(low), np.array(high), scoring).score).all()
+    least = homology.least_score(0.8)(np.array([100, 100]), np.array([100, 130]))
+    assert least.tolist() == [48, 62]  # 80 letters with 16 gaps of one letter: 64 * 2 - 16 * 5
